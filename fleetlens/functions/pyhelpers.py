@@ -1,6 +1,7 @@
 """Small per-batch Python helpers: strict JSON and Python syntax have no built-in Spark function.
 
-Each runs inside ``mapInPandas``; Spark partitions the rows and no row needs another one.
+Each runs inside ``mapInArrow``; Spark partitions the rows and no row needs another one. The module
+is pickled by value, so workers need not have the package installed.
 """
 
 from __future__ import annotations
@@ -8,15 +9,31 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Identity fields the platform assigns, and lists whose order carries no meaning.
 ASSIGNED_FIELDS = {"job_id", "created_time", "creator_user_name", "effective_budget_policy_id", "settings"}
 UNORDERED_LISTS = {"tasks": "task_key", "job_clusters": "job_cluster_key"}
 
+DEFINITION_FACTS = {
+    "error_line": pa.int64(),
+    "error_msg": pa.string(),
+    "is_object": pa.bool_(),
+    "has_name": pa.bool_(),
+    "top_name": pa.string(),
+    "name": pa.string(),
+    "cron": pa.string(),
+    "tz": pa.string(),
+    "pause": pa.string(),
+}
+
 _MAGIC = re.compile(r"^\s*(%|!|pip install\b)")
 
 
@@ -30,9 +47,7 @@ def _text(value) -> str | None:
 
 def describe_definition(raw: str | None) -> dict:
     """Facts of one JSON definition: where it fails to parse, or its name and schedule."""
-    out = dict.fromkeys(
-        ("error_line", "error_msg", "is_object", "has_name", "top_name", "name", "cron", "tz", "pause")
-    )
+    out = dict.fromkeys(DEFINITION_FACTS)
     try:
         spec = json.loads(raw if raw is not None else "")
     except json.JSONDecodeError as err:
@@ -98,28 +113,35 @@ def syntax_error(source: str) -> tuple[int | None, str] | None:
     return failure
 
 
-def describe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append the facts of each JSON definition; other definitions have none."""
     for batch in batches:
-        facts = pd.DataFrame([describe_definition(raw) if is_json else {} for raw, is_json
-                              in zip(batch["raw"], batch["ext"] == "json", strict=True)],
-                             columns=list(describe_definition("{}")), index=batch.index)
-        facts["error_line"] = facts["error_line"].astype("Int64")
-        yield pd.concat([batch, facts], axis=1)
+        pairs = zip(batch["raw"].to_pylist(), batch["ext"].to_pylist(), strict=True)
+        facts = [describe_definition(raw) if ext == "json" else {} for raw, ext in pairs]
+        columns = {field.name: batch[field.name] for field in batch.schema}
+        for name, kind in DEFINITION_FACTS.items():
+            columns[name] = pa.array([fact.get(name) for fact in facts], kind)
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def leaf_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per leaf; the key columns are repeated."""
     for batch in batches:
-        keys = list(batch.columns.drop("raw"))
-        leaves = [definition_leaves(raw) for raw in batch["raw"]]
-        out = batch[keys].loc[batch.index.repeat([len(found) for found in leaves])].reset_index(drop=True)
-        flat = [leaf for found in leaves for leaf in found]
-        yield out.assign(path=[p for p, _ in flat], val=[v for _, v in flat])
+        found = [definition_leaves(raw) for raw in batch["raw"].to_pylist()]
+        rows = pa.array([i for i, leaves in enumerate(found) for _ in leaves], pa.int64())
+        columns = {f.name: batch[f.name].take(rows) for f in batch.schema if f.name != "raw"}
+        columns["path"] = pa.array([path for leaves in found for path, _ in leaves], pa.string())
+        columns["val"] = pa.array([val for leaves in found for _, val in leaves], pa.string())
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def syntax_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def syntax_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file that does not parse."""
     for batch in batches:
-        errors = [syntax_error(text) for text in batch["text"]]
-        bad = [e is not None for e in errors]
-        out = batch.loc[bad, ["repo", "job_dir", "path"]]
-        hits = [e for e in errors if e is not None]
-        yield out.assign(line=pd.array([e[0] for e in hits], dtype="Int64"), msg=[e[1] for e in hits])
+        errors = [syntax_error(text) for text in batch["text"].to_pylist()]
+        bad = pa.array([i for i, error in enumerate(errors) if error is not None], pa.int64())
+        hits = [error for error in errors if error is not None]
+        columns = {name: batch[name].take(bad) for name in ("repo", "job_dir", "path")}
+        columns["line"] = pa.array([line for line, _ in hits], pa.int64())
+        columns["msg"] = pa.array([msg for _, msg in hits], pa.string())
+        yield pa.RecordBatch.from_pydict(columns)

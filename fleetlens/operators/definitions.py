@@ -15,7 +15,7 @@ from ..sources import schemas
 def describe(job_def: DataFrame) -> DataFrame:
     """Definitions with their parse error or their name and schedule, parsed once with a strict reader."""
     columns = [c.strip().split(" ")[0] for c in schemas.JOB_DEF.split(",")]
-    return job_def.select(*columns).mapInPandas(describe_batches, schemas.DEF_FACTS)
+    return job_def.select(*columns).mapInArrow(describe_batches, schemas.DEF_FACTS)
 
 
 def _env_order(config: DataFrame) -> DataFrame:

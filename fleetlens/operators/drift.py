@@ -14,7 +14,7 @@ JOB = ["repo", "job_key"]
 
 def definition_leaves(job_def: DataFrame) -> DataFrame:
     """(repo, job_key, side, path, val): authored settings as dotted paths with JSON values."""
-    return job_def.where(F.col("ext") == "json").select(*JOB, "side", "raw").mapInPandas(
+    return job_def.where(F.col("ext") == "json").select(*JOB, "side", "raw").mapInArrow(
         leaf_batches, "repo string, job_key string, side string, path string, val string"
     )
 

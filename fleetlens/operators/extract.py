@@ -264,6 +264,6 @@ def pip_requirements(files: DataFrame) -> DataFrame:
 def syntax_findings(files: DataFrame) -> DataFrame:
     """Notebooks that do not parse even without their magic lines. Parsed, never run."""
     notebooks = files.where(F.col("ext") == "py").select("repo", "job_dir", "path", "text")
-    return notebooks.mapInPandas(
+    return notebooks.mapInArrow(
         syntax_batches, "repo string, job_dir string, path string, line bigint, msg string"
     )
