@@ -28,15 +28,21 @@ def unix_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
+def one_line_end(text: Column) -> Column:
+    """The text with every line end as ``\\n``. Most texts have no other and pass unchanged."""
+    return F.when(text.rlike(P.OTHER_EOL), F.regexp_replace(text, rf"\r\n|{P.OTHER_EOL}", "\n")).otherwise(text)
+
+
 def lines(text: Column) -> Column:
-    """Lines of a text; a final line end opens no further line, and an empty text has no line."""
-    body = F.split(F.regexp_replace(text, rf"{P.EOL}\z", ""), P.EOL, -1)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(body)
+    """Lines of a text whose line ends are all ``\\n``; a final line end opens no further line, and an
+    empty text has no line."""
+    parts = F.split(text, "\n", -1)
+    return F.when(F.endswith(text, F.lit("\n")) | (text == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def head(text: Column, n: int) -> Column:
-    """The first ``n`` lines, joined by newlines."""
-    return F.array_join(F.slice(F.split(text, P.EOL, n + 1), 1, n), "\n")
+    """The first ``n`` lines of a text whose line ends are all ``\\n``."""
+    return F.substring_index(text, "\n", n)
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -45,10 +51,14 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def path_parts(path: Column) -> Column:
-    """Sort key of a path: folder by folder, not character by character."""
     return F.split(path, "/")
 
 
+def path_order(path: Column) -> Column:
+    """Sort key of a path, folder by folder: the separator sorts before every other character."""
+    return F.translate(path, "/", "\x01")
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -18,6 +18,10 @@ def describe(job_def: DataFrame) -> DataFrame:
     return job_def.select(*columns).mapInArrow(describe_batches, schemas.DEF_FACTS)
 
 
+def _in_repo(defs: DataFrame) -> DataFrame:
+    return defs.where(F.col("side") == "repo")
+
+
 def _env_order(config: DataFrame) -> DataFrame:
     """(repo, envs, has_prod): environments as configured."""
     envs = F.coalesce(F.map_keys("platform.job_def_dirs"), F.array().cast("array<string>"))
@@ -28,10 +32,10 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
     """First readable JSON definition of each key: from the prod folder where one is configured, else
     from every folder in order."""
     ranked = lookup_join(
-        defs.where((F.col("ext") == "json") & F.col("error_line").isNull() & F.col("is_object")),
+        _in_repo(defs).where((F.col("ext") == "json") & F.col("error_line").isNull() & F.col("is_object")),
         _env_order(config), ["repo"], ["path"], "inner",
     ).where(F.when(F.col("has_prod"), F.col("env") == "prod").otherwise(F.array_contains("envs", F.col("env"))))
-    order = F.struct(F.array_position("envs", F.col("env")), X.path_parts(F.col("path")))
+    order = F.struct(F.array_position("envs", F.col("env")), X.path_order(F.col("path")))
     return (
         ranked.groupBy("repo", F.lower("job_key").alias("job_key"))
         .agg(F.min_by(F.struct("name", "cron", "tz", "pause"), order).alias("d"))
@@ -42,11 +46,11 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
 def repo_definition_lookup(refs: DataFrame, defs: DataFrame, config: DataFrame) -> DataFrame:
     """Definition file for a reference (repo, ref): by file stem or key, or by name; prod first, then the
     other environments as configured, then path order."""
-    ranked = lookup_join(defs.where(F.col("ext") == "json"), _env_order(config), ["repo"], ["path"], "inner")
+    ranked = lookup_join(_in_repo(defs).where(F.col("ext") == "json"), _env_order(config), ["repo"], ["path"], "inner")
     env_rank = F.when(F.col("env") == "prod", F.lit(0).cast("bigint")).otherwise(F.array_position("envs", F.col("env")))
     placed = ranked.where(F.array_contains("envs", F.col("env"))).select(
         "repo",
-        F.struct(env_rank.alias("env_rank"), X.path_parts(F.col("path")).alias("parts")).alias("place"),
+        F.struct(env_rank.alias("env_rank"), X.path_order(F.col("path")).alias("parts")).alias("place"),
         F.struct("path", "top_name").alias("hit"),
         F.lower(F.substring_index("stem", "_", 1)).alias("by_key"),
         F.lower(X.either(F.col("top_name"))).alias("by_name"),
@@ -79,7 +83,7 @@ def definition_lint(defs: DataFrame, config: DataFrame) -> DataFrame:
         "repo", F.when(F.size(configured) > 0, configured).otherwise(fallback).alias("dirs")
     )
     checked = lookup_join(
-        defs.where((F.col("ext") == "json") & (F.col("side") == "repo")), dirs, ["repo"], ["path"]
+        _in_repo(defs).where(F.col("ext") == "json"), dirs, ["repo"], ["path"]
     )
     normal = F.regexp_replace("path", r"\A[./]+", "")
     deployable = F.exists(F.coalesce("dirs", fallback), lambda d: F.contains(normal, d))
@@ -111,7 +115,7 @@ def definition_counts(folders: DataFrame, defs: DataFrame, config: DataFrame) ->
     )
     wanted = lookup_join(folders, models, ["repo"], ["job_dir"], "inner").withColumn("job_key", F.lower("ticket"))
     present = (
-        lookup_join(defs.where(F.col("side") == "repo"), models, ["repo"], ["path"], "inner")
+        lookup_join(_in_repo(defs), models, ["repo"], ["path"], "inner")
         .where((F.col("ext") == _definition_ext(F.col("deploy_model"))) & F.array_contains("envs", F.col("env")))
         .groupBy("repo", F.lower("job_key").alias("job_key"))
         .agg(F.count("*").alias("n_defs"))

@@ -37,13 +37,13 @@ def best_headers(folders: DataFrame, files: DataFrame, required: DataFrame) -> D
     parts = X.path_parts(F.col("path"))
     direct = F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1
     notebooks = files.where((F.col("ext") == "py") & direct).select(
-        "repo", "job_dir", "path", X.head(F.col("text"), LINT_HEAD).alias("_head")
+        "repo", "job_dir", "path", X.head(X.one_line_end(F.col("text")), LINT_HEAD).alias("_head")
     ).withColumn("_names", F.regexp_extract_all("_head", F.lit(P.HEADER_KEY), F.lit(1)))
     # Only short name lists travel from here on, not the texts.
     ruled = lookup_join(notebooks, required, ["repo"], ["path"], "inner").withColumn(
         "present", _header_fields_in(F.col("_head"), F.col("header_fields"))
     )
-    best = F.struct((-F.size("present")).alias("rank"), parts.alias("parts"))
+    best = F.struct((-F.size("present")).alias("rank"), X.path_order(F.col("path")).alias("place"))
     return ruled.groupBy("repo", "job_dir").agg(F.min_by("present", best).alias("present"))
 
 

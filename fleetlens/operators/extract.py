@@ -12,66 +12,81 @@ from ..functions.skew import lookup_join
 
 MAX_OBJECTS = 40
 CATALOG_HEAD = 60
-
-_FACT = "struct<kind:string,key:string,seq:string,v1:string,v2:string,pos:int>"
+#: Up to this many denied words of a whole estate are matched inside each file.
+MAX_DENIED_WORDS = 1000
 
 
 def source_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
     keep = [c for c in files.columns if c not in ("text", "n_bytes")]
-    return files.select(*keep, F.posexplode(X.lines(F.col("text"))).alias("pos", "line")).select(
+    plain = files.select(*keep, X.one_line_end(F.col("text")).alias("text"))
+    return plain.select(*keep, F.posexplode(X.lines(F.col("text"))).alias("pos", "line")).select(
         *keep, (F.col("pos") + 1).alias("line_no"), "line"
     )
 
 
 # Facts for the catalog -------------------------------------------------------------------------
+# A fact is (kind, key, seq, v1, v2, pos); what the fields hold depends on the kind.
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
 def _fact(kind: str, key: Column, seq: Column, v1: Column, v2: Column, pos: Column) -> Column:
     return F.struct(
-        F.lit(kind).alias("kind"), key.alias("key"), seq.alias("seq"), v1.alias("v1"), v2.alias("v2"),
-        pos.cast("int").alias("pos"),
-    ).cast(_FACT)
+        F.lit(kind).alias("kind"), key.alias("key"), seq.alias("seq"), v1.alias("v1"), v2.alias("v2"), pos.alias("pos")
+    )
 
 
-def _object_facts(text: Column) -> Column:
+def _names(text: Column) -> Column:
     """Names after a SQL keyword, in code only: comments cut, import lines dropped."""
-    code = F.regexp_replace(F.regexp_replace(text, P.LINE_COMMENT, ""), P.IMPORT_LINE_BODY, "")
-    names = F.regexp_extract_all(code, F.lit(P.CATALOG_REF), F.lit(1))
-    null = F.lit(None).cast("string")
-    return F.transform(names, lambda n, i: _fact("object", F.lower(n), null, n, null, i))
-
-
-def _word_facts(text: Column) -> Column:
-    """Distinct words of a text, and each ``$``-joined name once under every word in it."""
-    upper = F.upper(text)
-    null = F.lit(None).cast("string")
-    words = F.array_distinct(F.regexp_extract_all(upper, F.lit(f"{P.WORD}+"), F.lit(0)))
-    dollars = F.array_distinct(
-        F.regexp_extract_all(upper, F.lit(r"[\p{L}\p{N}_$]*\$[\p{L}\p{N}_$]*"), F.lit(0))
-    )
-    plain = F.transform(words, lambda w: _fact("word", w, F.lit(""), null, null, F.lit(0)))
-    joined = F.flatten(
-        F.transform(
-            dollars,
-            lambda s: F.transform(
-                F.array_distinct(F.regexp_extract_all(s, F.lit(f"{P.WORD}+"), F.lit(0))),
-                lambda w: _fact("word", w, s, null, null, F.lit(0)),
-            ),
-        )
+    code = F.regexp_replace(F.regexp_replace(X.one_line_end(text), P.LINE_COMMENT, ""), P.IMPORT_LINE_BODY, "")
+    return F.regexp_extract_all(code, F.lit(P.CATALOG_REF), F.lit(1))
+
+
+def _object_facts(names: Column) -> Column:
+    return F.transform(names, lambda n, i: _fact("object", F.lower(n), _null(), n, _null(), i))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(f"{P.WORD}+"), F.lit(0)))
+
+
+def _dollar_names(text: Column) -> Column:
+    """``$``-joined names; most texts have none."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}_$]*\$[\p{L}\p{N}_$]*"), F.lit(0))
+    return F.when(F.contains(text, F.lit("$")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+
+def _word_facts(words: Column, dollars: Column, known: list[str] | None) -> Column:
+    """A fact per word, and one per word of each ``$``-joined name; only words of ``known`` if given."""
+    own = words if known is None else F.array_intersect(words, F.array(*[F.lit(w) for w in known]).cast("array<string>"))
+    plain = F.transform(own, lambda w: _fact("word", w, F.lit(""), _null(), _null(), F.lit(0)))
+    joined = F.transform(
+        dollars,
+        lambda s: F.transform(_words(s), lambda w: _fact("word", w, s, _null(), _null(), F.lit(0))),
     )
-    return F.concat(plain, joined)
+    return F.concat(plain, F.flatten(joined))
 
 
-def _header_facts(text: Column, ext: Column, path: Column, job_dir: Column) -> Column:
-    """STATUS and LAST_UPDATED of a notebook directly in the job folder; none when it has neither."""
-    top = X.head(text, CATALOG_HEAD)
-    keys = F.regexp_extract_all(top, F.lit(P.HEADER_FIELD), F.lit(1))
-    values = F.regexp_extract_all(top, F.lit(P.HEADER_FIELD), F.lit(2))
+def _notebook_head() -> Column:
+    """First lines of a notebook directly in the job folder, else null."""
+    parts = X.path_parts(F.col("path"))
+    direct = F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1
+    return F.when((F.col("ext") == "py") & direct, X.head(X.one_line_end(F.col("text")), CATALOG_HEAD))
+
+
+def _header_facts(keys: Column, values: Column) -> Column:
+    """STATUS and LAST_UPDATED of a head; none when it has neither."""
     value = lambda k: X.strip(F.get(values, F.array_position(keys, k).cast("int") - 1))
-    parts = X.path_parts(path)
-    direct = F.array_position(parts, job_dir) == F.size(parts) - 1
-    fact = _fact("header", F.lit(""), F.lit(None).cast("string"), value("STATUS"), value("LAST_UPDATED"), F.lit(0))
-    none = F.array().cast(f"array<{_FACT}>")
-    return F.when((ext == "py") & direct & (F.size(keys) > 0), F.array(fact)).otherwise(none)
+    fact = _fact("header", F.lit(""), _null(), value("STATUS"), value("LAST_UPDATED"), F.lit(0))
+    return F.filter(F.array(fact), lambda _: F.size(keys) > 0)
+
+
+def denied_words(deny: DataFrame) -> list[str] | None:
+    """The first words of all denied schemas if they are few, else None. A few words of a whole estate
+    are matched per file; otherwise every word of a file goes into the join with the deny lists."""
+    words = _deny_lookup(deny).select("key").distinct().limit(MAX_DENIED_WORDS + 1).collect()
+    return sorted(row.key for row in words) if len(words) <= MAX_DENIED_WORDS else None
 
 
 def _deny_lookup(deny: DataFrame) -> DataFrame:
@@ -91,22 +106,37 @@ def _deny_lookup(deny: DataFrame) -> DataFrame:
     )
 
 
-def _file_facts(files: DataFrame, *columns: Column) -> DataFrame:
+def _place(files: DataFrame, **parsed: Column) -> DataFrame:
+    """(repo, job_dir, ext_rank, place) and what was parsed from the text of each file."""
     return files.select(
         "repo",
         "job_dir",
         F.when(F.col("ext") == "sql", 0).otherwise(1).alias("ext_rank"),
-        X.path_parts(F.col("path")).alias("parts"),
-        F.explode(F.concat(*columns)).alias("fact"),
-    ).select("repo", "job_dir", "ext_rank", "parts", "fact.*")
+        X.path_order(F.col("path")).alias("place"),
+        *[column.alias(name) for name, column in parsed.items()],
+    )
+
+
+def _with_header(parsed: DataFrame) -> DataFrame:
+    found = lambda group: F.regexp_extract_all("top", F.lit(P.HEADER_FIELD), F.lit(group))
+    return parsed.withColumn("keys", found(1)).withColumn("values", found(2))
+
+
+def _facts(parsed: DataFrame, *facts: Column) -> DataFrame:
+    return parsed.select("repo", "job_dir", "ext_rank", "place", F.explode(F.concat(*facts)).alias("fact")).select(
+        "repo", "job_dir", "ext_rank", "place", "fact.*"
+    )
+
 
 
 def _first_of_each(facts: DataFrame) -> DataFrame:
     """First fact per (job, kind, key): SQL files before Python files, path order, text order. The
-    partial aggregation leaves at most one row per key and map task to shuffle."""
-    order = F.struct("ext_rank", "parts", "pos")
+    partial aggregation leaves at most one row per key and map task to shuffle. It works by sorting;
+    a leading hash lets the sort go by one number instead of four strings."""
+    order = F.struct("ext_rank", "place", "pos")
+    keys = ["repo", "job_dir", "kind", "key"]
     return (
-        facts.groupBy("repo", "job_dir", "kind", "key")
+        facts.groupBy(F.xxhash64(*keys).alias("hash"), *keys)
         .agg(F.min_by(F.struct("v1", "v2"), order).alias("first"))
         .select("repo", "job_dir", "kind", "key", "first.v1", "first.v2")
     )
@@ -116,7 +146,8 @@ def _cap_objects(facts: DataFrame) -> DataFrame:
     """Keep a job's first 40 objects by name; other facts stand alone in their group. Spark applies
     the limit before the shuffle too, so a job with very many objects sends 40 rows per map task."""
     group = F.when(F.col("kind") == "object", F.lit("object")).otherwise(F.concat_ws(":", "kind", "key"))
-    rank = F.row_number().over(Window.partitionBy("repo", "job_dir", "group").orderBy("key"))
+    keys = ["repo", "job_dir", "group"]
+    rank = F.row_number().over(Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("key"))
     return facts.withColumn("group", group).withColumn("rank", rank).where(F.col("rank") <= MAX_OBJECTS).drop(
         "group", "rank"
     )
@@ -129,14 +160,14 @@ def _keep_denied(facts: DataFrame, deny: DataFrame) -> DataFrame:
         facts.withColumn("name", F.col("key")).withColumn("key", word),
         _deny_lookup(deny),
         ["repo", "key"],
-        ["job_dir", "parts"],
+        ["job_dir", "place"],
     )
     mention = F.when(F.col("pattern").isNull(), F.col("seq") == "").otherwise(
         (F.col("seq") != "") & F.rlike("seq", F.col("pattern"))
     )
     is_word = F.col("kind") == "word"
     return joined.where(~is_word | (F.col("term").isNotNull() & mention)).select(
-        "repo", "job_dir", "ext_rank", "parts",
+        "repo", "job_dir", "ext_rank", "place",
         F.when(is_word, F.lit("mention")).otherwise(F.col("kind")).alias("kind"),
         F.when(is_word, F.col("term")).otherwise(F.col("name")).alias("key"),
         "v1", "v2", "pos",
@@ -148,11 +179,14 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     (repo, job_dir, status, last_updated, objects, flags). ``objects`` holds at most 40 names and
     ``flags`` at most the repository's deny list."""
     text = F.col("text")
-    facts = _file_facts(
-        files,
-        _object_facts(text),
-        _header_facts(text, F.col("ext"), F.col("path"), F.col("job_dir")),
-        _word_facts(text),
+    parsed = _with_header(
+        _place(files, names=_names(text), words=_words(text), dollars=_dollar_names(text), top=_notebook_head())
+    )
+    facts = _facts(
+        parsed,
+        _object_facts(F.col("names")),
+        _header_facts(F.col("keys"), F.col("values")),
+        _word_facts(F.col("words"), F.col("dollars"), denied_words(deny)),
     )
     kept = _cap_objects(_first_of_each(_keep_denied(facts, deny)))
     is_kind = lambda k: F.col("kind") == k
@@ -166,7 +200,7 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
 
 def object_refs(files: DataFrame) -> DataFrame:
     """Data objects of every job in their first casing, at most 40 by name."""
-    facts = _file_facts(files, _object_facts(F.col("text")))
+    facts = _facts(_place(files, names=_names(F.col("text"))), _object_facts(F.col("names")))
     return _cap_objects(_first_of_each(facts)).select(
         "repo", "job_dir", F.col("key").alias("object_key"), F.col("v1").alias("object")
     )
@@ -174,15 +208,15 @@ def object_refs(files: DataFrame) -> DataFrame:
 
 def deprecated_mentions(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Denied schemas named anywhere in a job's texts, comments included."""
-    facts = _file_facts(files, _word_facts(F.col("text")))
+    parsed = _place(files, words=_words(F.col("text")), dollars=_dollar_names(F.col("text")))
+    facts = _facts(parsed, _word_facts(F.col("words"), F.col("dollars"), denied_words(deny)))
     return _keep_denied(facts, deny).select("repo", "job_dir", F.col("key").alias("term")).distinct()
 
 
 def notebook_headers(files: DataFrame) -> DataFrame:
     """STATUS and LAST_UPDATED of the first notebook that carries either."""
-    facts = _file_facts(
-        files, _header_facts(F.col("text"), F.col("ext"), F.col("path"), F.col("job_dir"))
-    )
+    parsed = _with_header(_place(files, top=_notebook_head()))
+    facts = _facts(parsed, _header_facts(F.col("keys"), F.col("values")))
     return _first_of_each(facts).select(
         "repo", "job_dir", F.col("v1").alias("status"), F.col("v2").alias("last_updated")
     )
@@ -238,8 +272,7 @@ def job_doc_fields(docs: DataFrame) -> DataFrame:
 
 def pip_requirements(files: DataFrame) -> DataFrame:
     """Distinct (job, package, version) of notebook installs; version is null where none is pinned."""
-    install = P.LINE_START + P.PIP_INSTALL.replace("(?i)^", "").replace("(.*)", f"([^{P.EOL_CHARS}]*)")
-    args = F.regexp_extract_all("text", F.lit("(?i)" + install), F.lit(1))
+    args = F.regexp_extract_all(X.one_line_end(F.col("text")), F.lit(P.PIP_INSTALL), F.lit(1))
     arg = F.col("arg")
     tokens = (
         files.where(F.col("ext") == "py")

@@ -24,17 +24,27 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.where(~skipped & ~suffix.isin(P.BINARY_SUFFIXES))
 
 
-def _any(text: Column, patterns: Sequence[str]) -> Column:
-    """True where a pattern matches: one filter over the whole text, before it is cut into lines."""
-    return F.lit(False) if not patterns else text.rlike("|".join(f"(?:{p})" for p in patterns))
+def _shape(text: Column, needle: str, pattern: str) -> Column:
+    return F.contains(text, F.lit(needle)) & text.rlike(pattern) if needle else text.rlike(pattern)
 
 
-def secret_shape_scan(files: DataFrame, shapes: Sequence[tuple[str, str]] = tuple(P.SECRET_SHAPES)) -> DataFrame:
+def _any(tests: Sequence[Column]) -> Column:
+    found = F.lit(False)
+    for test in tests:
+        found = found | test
+    return found
+
+
+def secret_shape_scan(files: DataFrame, shapes: Sequence[tuple[str, str, str]] = tuple(P.SECRET_SHAPES)) -> DataFrame:
     """One hit per (line, shape). The shapes are a fixed list, so they are literals of one expression
-    and no join is needed."""
-    suspects = files.where(_any(F.col("text"), [p for _, p in shapes]))
+    and no join is needed. No shape spans lines: only texts that hold one are cut into lines."""
+    # The lambda names the text once, however long the expression is that makes it.
+    holds = F.exists(F.array("text"), lambda t: _any([_shape(t, needle, p) for _, needle, p in shapes]))
+    suspects = files.where(holds)
     lines = source_lines(suspects.select("repo", "path", "text"))
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(label)) for label, p in shapes]))
+    hits = F.array_compact(
+        F.array(*[F.when(_shape(F.col("line"), needle, p), F.lit(label)) for label, needle, p in shapes])
+    )
     return lines.select(
         "repo", "path", "line_no", F.explode(hits).alias("shape"),
         F.substring(X.strip(F.col("line")), 1, SNIPPET).alias("snippet"),
@@ -44,8 +54,8 @@ def secret_shape_scan(files: DataFrame, shapes: Sequence[tuple[str, str]] = tupl
 def denylist_scan(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(repo, path, line_no, n_terms) of lines with private terms. Never the term, never the line."""
     patterns = [f"(?iud:{t})" for t in terms]
-    suspects = files.where(_any(F.col("text"), patterns))
-    lines = source_lines(suspects.select("repo", "path", "text")).where(_any(F.col("line"), patterns))
+    union = "|".join(patterns) or r"\A(?!\A)"
+    lines = source_lines(files.select("repo", "path", "text")).where(F.col("line").rlike(union))
     chunks = [patterns[i : i + TERMS_PER_EXPRESSION] for i in range(0, len(patterns), TERMS_PER_EXPRESSION)]
     counted = lines.withColumn("n_terms", F.lit(0))
     for chunk in chunks:

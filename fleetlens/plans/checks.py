@@ -61,18 +61,16 @@ STEPS: dict[str, str] = {
         select repo, split_part(unnest(string_split(dirs, ',')), ':', 1) as env, rtrim(split_part(unnest(string_split(dirs, ',')), ':', 2), '/') as dir,
                generate_subscripts(string_split(dirs, ','), 1) as ord, kind, model from @@conf where dirs <> ''""",
     "json_def": """
-        select d.*, json_valid(raw) as valid, case when json_valid(raw) then json_type(raw) = 'OBJECT' else false end as is_object,
-               case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(raw, '$.name') end as top_name,
-               case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(coalesce(json_extract(raw, '$.settings'), try_cast(raw as json)), '$.name') end as name,
-               case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(coalesce(json_extract(raw, '$.settings'), try_cast(raw as json)), '$.schedule.quartz_cron_expression') end as cron,
-               case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(coalesce(json_extract(raw, '$.settings'), try_cast(raw as json)), '$.schedule.timezone_id') end as tz,
-               case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(coalesce(json_extract(raw, '$.settings'), try_cast(raw as json)), '$.schedule.pause_status') end as pause
-        from @@all_def d where ext = 'json'""",
+        select repo, job_key, side, env, path, stem, ext, raw, j is not null as valid, coalesce(json_type(j) = 'OBJECT', false) as is_object,
+               json_extract_string(j, '$.name') as top_name, json_extract_string(body, '$.name') as name,
+               json_extract_string(body, '$.schedule.quartz_cron_expression') as cron, json_extract_string(body, '$.schedule.timezone_id') as tz,
+               json_extract_string(body, '$.schedule.pause_status') as pause, body
+        from (select *, coalesce(json_extract(j, '$.settings'), j) as body from (select *, try_cast(raw as json) as j from @@all_def where ext = 'json'))""",
     "def_schedule": """
         select repo, job_key, name, cron, tz, pause from (
           select d.repo, d.job_key, d.name, d.cron, d.tz, d.pause, row_number() over (partition by d.repo, d.job_key order by e.ord, string_split(d.path, '/')) as r
           from @@json_def d join @@env e on d.repo = e.repo and d.env = e.env
-          where d.valid and d.is_object and (e.env = 'prod' or not exists (select 1 from @@env p where p.repo = d.repo and p.env = 'prod'))
+          where d.side = 'repo' and d.valid and d.is_object and (e.env = 'prod' or not exists (select 1 from @@env p where p.repo = d.repo and p.env = 'prod'))
         ) where r = 1""",
     "cat_object": """
         select repo, job_dir, string_agg(object, ',' order by object_key) as objects, list(object order by object_key) as names from (
@@ -186,7 +184,7 @@ STEPS: dict[str, str] = {
                when not d.is_object then d.path || ': job definition must be a JSON object'
                else d.path || ': missing job name (expected top-level "name" or "settings.name")' end as problem
         from @@json_def d left join @@conf c on d.repo = c.repo where d.side = 'repo' and (not d.valid or (
-          (not d.is_object or (d.top_name is null and json_extract_string(d.raw, '$.settings.name') is null))
+          (not d.is_object or (d.top_name is null and d.name is null))
           and case when c.dirs = '' then true else exists (select 1 from @@env e where e.repo = d.repo and contains(d.path, e.dir || '/')) end))""",
     "def_count": """
         select f.repo, f.job_dir, f.ticket, c.model, case c.model when 'api-reset' then 'json' when 'sql-ddl' then 'sql' end as ext,
@@ -205,7 +203,7 @@ STEPS: dict[str, str] = {
                       else t.value::varchar end as val,
                  t.fullkey as fk
           from (select * from @@json_def where env = 'prod' and valid and is_object) d,
-               lateral json_tree(coalesce(json_extract(d.raw, '$.settings'), try_cast(d.raw as json))) t)
+               lateral json_tree(d.body) t)
         where kind <> 'OBJECT' and not contains(fk, '[') and path not in ('job_id', 'created_time', 'creator_user_name', 'effective_budget_policy_id')""",
     "both_json": """
         select repo, job_key from @@def where env = 'prod' and ext = 'json' group by 1, 2 having count(distinct side) = 2""",

@@ -8,6 +8,8 @@ that Spark and DuckDB both run: the queries use it through Spark, the check SQL
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,9 +233,10 @@ _TABLE_REF = re.compile(r"@@(\w+)")
 _GIVEN_REF = re.compile(r"(?<!@)@(\w+)\b(?=\s|\)|$)")
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
-    inner = _TABLE_REF.sub(lambda m: f"({spark_sql(m[1], sf_dir)}) {m[1]}", TABLES[name])
-    return _GIVEN_REF.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if m[1] in GIVEN else m[0], inner)
+def spark_sql(name: str, given: Callable[[str], str]) -> str:
+    """SQL of a table; ``given`` names the view of a given table."""
+    inner = _TABLE_REF.sub(lambda m: f"({spark_sql(m[1], given)}) {m[1]}", TABLES[name])
+    return _GIVEN_REF.sub(lambda m: given(m[1]) if m[1] in GIVEN else m[0], inner)
 
 
 GIVEN = {
@@ -242,6 +245,10 @@ GIVEN = {
 }
 
 
+#: Given tables whose rows take much work each.
+WIDE = {"lineitem", "documents", "pages", "conversations"}
+
+
 def check_sql(body: str, more: dict[str, str] | None = None) -> str:
     """``body`` with every ``@@name`` it needs (directly or through another) as a common table
     expression, in DuckDB's SQL. ``more`` holds further named expressions."""
@@ -274,10 +281,21 @@ class Estate:
         self.spark, self.sf_dir = spark, sf_dir
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table. A scan with fewer splits than there are cores is spread over them, before its
+        short rows grow into texts; a large scan has splits enough and is left as it is."""
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in WIDE or rows.rdd.getNumPartitions() >= cores:
+            return rows
+        return rows.repartition(cores)
+
+    def _view(self, name: str) -> str:
+        view = f"given_{name}_{zlib.crc32(self.sf_dir.encode()):08x}"
+        self.given(name).createOrReplaceTempView(view)
+        return view
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.sql(spark_sql(name, self.sf_dir))
+        return self.spark.sql(spark_sql(name, self._view))
 
     def files(self) -> DataFrame:
         return self.table("src").withColumn("n_bytes", F.octet_length("text").cast("bigint"))

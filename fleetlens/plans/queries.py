@@ -24,7 +24,7 @@ from ..operators import (
     runs,
     secrets,
 )
-from ..session import scratch_dir
+from ..session import scratch_dir, settle, tune
 from ..sources import commands as command_source
 from ..sources import files as file_source
 from ..sources import policy, sinks, snapshots
@@ -39,7 +39,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Callable[[Estate], DataFrame]) -> Callable[[Estate], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Estate(spark, sf_dir))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Estate(tune(spark), sf_dir))
     return fn
 
 
@@ -59,6 +59,10 @@ def _catalog(e: Estate) -> DataFrame:
     return catalog_build.build_catalog(**_sources(e))
 
 
+def _settled_catalog(e: Estate) -> DataFrame:
+    return settle(_catalog(e), "catalog-rows")
+
+
 def _flat_catalog(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flags", joined("flags")).withColumn("objects", joined("objects"))
 
@@ -248,7 +252,7 @@ def _published(fresh: DataFrame) -> DataFrame:
 @query
 def write_catalog(e: Estate) -> DataFrame:
     path = scratch_dir(e.spark, "catalog")
-    fresh = _catalog(e)
+    fresh = _settled_catalog(e)
     sinks.publish_catalog(_published(fresh), path)
     sinks.write_catalog(fresh, path)
     return sinks.read_catalog(e.spark, path, sinks.fresh_schema(fresh)).select("repo", "dir", "ticket", "status", "owner")
@@ -313,12 +317,12 @@ def job_catalog(e: Estate) -> DataFrame:
 
 @query
 def catalog_summary(e: Estate) -> DataFrame:
-    return catalog.catalog_summary(_catalog(e))
+    return catalog.catalog_summary(_settled_catalog(e))
 
 
 @query
 def object_index(e: Estate) -> DataFrame:
-    return catalog.object_index(_catalog(e))
+    return catalog.object_index(_settled_catalog(e))
 
 
 @query
@@ -328,12 +332,12 @@ def graph_job_nodes(e: Estate) -> DataFrame:
 
 @query
 def graph_job_facets(e: Estate) -> DataFrame:
-    return graph.graph_job_facets(_catalog(e))
+    return graph.graph_job_facets(_settled_catalog(e))
 
 
 @query
 def graph_object_nodes(e: Estate) -> DataFrame:
-    return graph.graph_object_nodes(_catalog(e))
+    return graph.graph_object_nodes(_settled_catalog(e))
 
 
 @query
@@ -343,24 +347,24 @@ def graph_edges(e: Estate) -> DataFrame:
 
 @query
 def related_jobs(e: Estate) -> DataFrame:
-    edges = graph.graph_edges(_catalog(e))
+    edges = graph.graph_edges(_settled_catalog(e))
     return graph.related_jobs(edges, graph.newest_jobs(edges))
 
 
 @query
 def migration_map(e: Estate) -> DataFrame:
-    return catalog.migration_map(_catalog(e))
+    return catalog.migration_map(_settled_catalog(e))
 
 
 @query
 def catalog_staleness(e: Estate) -> DataFrame:
-    fresh = _catalog(e)
+    fresh = _settled_catalog(e)
     return freshness.catalog_staleness(fresh, _published(fresh))
 
 
 @query
 def catalog_orphans(e: Estate) -> DataFrame:
-    fresh = _catalog(e)
+    fresh = _settled_catalog(e)
     return freshness.catalog_orphans(fresh, _published(fresh))
 
 
@@ -484,7 +488,7 @@ def _definition_refs(e: Estate) -> DataFrame:
 
 def _found(e: Estate) -> DataFrame:
     return definitions.repo_definition_lookup(
-        _definition_refs(e), definitions.describe(e.definitions().where(F.col("side") == "repo")), e.config()
+        _definition_refs(e), definitions.describe(e.definitions()), e.config()
     )
 
 
@@ -525,7 +529,7 @@ def run_output(e: Estate) -> DataFrame:
 
 @query
 def failure_triage(e: Estate) -> DataFrame:
-    rows = _catalog(e)
+    rows = _settled_catalog(e)
     return runs.failure_triage(e.runs(), rows, graph.graph_edges(rows))
 
 
@@ -552,10 +556,8 @@ def command_audit_stream(e: Estate) -> DataFrame:
 def guard_rule_parity(e: Estate) -> DataFrame:
     """All guard rules against the rules that ever decided a command: what is left never fired."""
     rules = policy.guard_rules(e.spark)
-    audited = commands.command_audit(e.table("command"), e.table("sql_file"))
-    fired = audited.where(F.col("reason").startswith("platform:")).select(
-        F.split_part("reason", F.lit(":"), F.lit(2)).alias("kind"), F.split_part("reason", F.lit(":"), F.lit(3)).alias("rule")
-    ).distinct()
+    rule = commands.first_rule(F.col("kind"), X.dequoted(F.col("cmd")))
+    fired = e.table("command").select("kind", rule.alias("rule")).distinct()
     return commands.guard_rule_parity(rules, rules.join(fired, ["kind", "rule"], "left_semi"))
 
 
@@ -589,7 +591,7 @@ def layout_inference(e: Estate) -> DataFrame:
 def catalog_refresh_stream(e: Estate) -> DataFrame:
     published, state, changes = (scratch_dir(e.spark, n) for n in ("catalog", "refresh-state", "changes"))
     sources = _sources(e)
-    stale = catalog_build.build_catalog(**sources).withColumn("status", F.lit("OLD"))
+    stale = _catalog(e).withColumn("status", F.lit("OLD"))
     sinks.publish_catalog(stale, published)
     e.table("file_change").drop("event_id").write.json(changes)
     stream = command_source.load_file_changes(e.spark, changes, streaming=True)

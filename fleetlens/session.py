@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans rely on. AQE splits skewed join partitions and coalesces small ones; the
 #: Arrow batch is small because rows carry whole files.
@@ -16,7 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Beyond this size the JVM runs a generated method uncompiled; separate operators are faster then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,6 +30,23 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the defaults to a session made elsewhere, leaving alone what it sets itself."""
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write rows that several later steps read and return the written table: the steps share one
+    computation, and a lost executor costs a reread only."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared checkpoint folder. Only a session that names none (a test on
     one machine) gets a local temporary folder."""

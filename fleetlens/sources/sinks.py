@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import freshness
+from ..session import settle
 
 
 def write_findings(df: DataFrame, path: str, fmt: str = "json", by: str = "repo") -> None:
@@ -42,6 +43,7 @@ def write_catalog(fresh: DataFrame, path: str, repos: DataFrame | None = None) -
 
     Safe to repeat: the same input gives the same folders.
     """
+    fresh = settle(fresh, "fresh-catalog")
     published = read_catalog(fresh.sparkSession, path, fresh_schema(fresh))
     if repos is not None:
         published = published.join(repos.select("repo").distinct(), "repo", "left_semi")
