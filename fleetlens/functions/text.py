@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def key_pattern(prefixes: Column) -> Column:
 
 def job_key(folder: Column, prefixes: Column | None = None) -> Column:
     """Job key found anywhere in a folder name; null when there is none."""
-    pattern = F.lit(P.DEFAULT_JOB_KEY) if prefixes is None else key_pattern(prefixes)
-    return F.nullif(F.regexp_extract(folder, pattern, 0) if prefixes is None
-                    else F.regexp_substr(folder, pattern), F.lit(""))
+    if prefixes is None:
+        return F.nullif(F.regexp_extract(folder, P.DEFAULT_JOB_KEY, 0), F.lit(""))
+    return F.regexp_substr(folder, key_pattern(prefixes))
 
 
 def without_quotes(c: Column) -> Column:
@@ -114,7 +116,9 @@ def summary(c: Column) -> Column:
 
 
 def table_cell(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\\\|"), "\n", " "))
+    """Text for a cell of a Markdown table."""
+    escaped = F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    return strip(F.replace(escaped, F.lit("\n"), F.lit(" ")))
 
 
 def url_path(c: Column) -> Column:
@@ -130,9 +134,18 @@ def package_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.substring_index(c, "[", 1), "[-_.]+", "-"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once: a lambda that mentions an expression computes
+    it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_fold_case(arr: Column) -> Column:
     """Distinct values ignoring case, first casing kept, ordered by the folded value."""
-    folded = F.transform(arr, F.lower)
-    first = F.filter(arr, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
-    pairs = F.array_sort(F.transform(first, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))
-    return F.transform(pairs, lambda p: p["v"])
+    ranked = F.array_sort(
+        F.transform(arr, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
+    )
+    first = lambda rows: F.filter(
+        rows, lambda row, i: (i == 0) | (F.get(rows, i - 1)["k"] != row["k"])
+    )
+    return let(ranked, lambda rows: F.transform(first(rows), lambda row: row["v"]))

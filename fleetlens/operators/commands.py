@@ -35,7 +35,10 @@ def warehouse_cli(dequoted: Column) -> Column:
     """The warehouse client a command calls, also by a full path; null if none."""
     return F.coalesce(
         *[
-            F.when(dequoted.rlike(rf"(?U)(^|[\s;&|(/]){re.escape(cli)}(\s|$)"), F.lit(cli))
+            F.when(
+                F.contains(dequoted, F.lit(cli)) & dequoted.rlike(rf"(?U)(^|[\s;&|(/]){re.escape(cli)}(\s|$)"),
+                F.lit(cli),
+            )
             for cli in P.WAREHOUSE_CLIS
         ]
     )

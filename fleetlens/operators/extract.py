@@ -14,6 +14,8 @@ MAX_OBJECTS = 40
 CATALOG_HEAD = 60
 #: Up to this many denied words of a whole estate are matched inside each file.
 MAX_DENIED_WORDS = 1000
+#: Up to this many of them make one pattern.
+MAX_WORDS_IN_PATTERN = 50
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -47,23 +49,35 @@ def _object_facts(names: Column) -> Column:
     return F.transform(names, lambda n, i: _fact("object", F.lower(n), _null(), n, _null(), i))
 
 
-def _words(text: Column) -> Column:
+def _all_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(f"{P.WORD}+"), F.lit(0)))
 
 
+def _words(text: Column, known: list[str] | None) -> Column:
+    """Distinct upper-case words of a text; only those of ``known`` if given."""
+    if known is None:
+        return _all_words(text)
+    if not known:
+        return F.array().cast("array<string>")
+    if len(known) > MAX_WORDS_IN_PATTERN:
+        return F.array_intersect(_all_words(text), F.array(*[F.lit(w) for w in known]))
+    first = "".join(sorted({w[0] for w in known}))
+    pattern = rf"(?i)(?=[{first}]){P.WORD_START}(?:{'|'.join(known)}){P.WORD_END}"
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.upper))
+
+
 def _dollar_names(text: Column) -> Column:
     """``$``-joined names; most texts have none."""
     found = F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}_$]*\$[\p{L}\p{N}_$]*"), F.lit(0))
     return F.when(F.contains(text, F.lit("$")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
-def _word_facts(words: Column, dollars: Column, known: list[str] | None) -> Column:
-    """A fact per word, and one per word of each ``$``-joined name; only words of ``known`` if given."""
-    own = words if known is None else F.array_intersect(words, F.array(*[F.lit(w) for w in known]).cast("array<string>"))
-    plain = F.transform(own, lambda w: _fact("word", w, F.lit(""), _null(), _null(), F.lit(0)))
+def _word_facts(words: Column, dollars: Column) -> Column:
+    """A fact per word, and one per word of each ``$``-joined name."""
+    plain = F.transform(words, lambda w: _fact("word", w, F.lit(""), _null(), _null(), F.lit(0)))
     joined = F.transform(
         dollars,
-        lambda s: F.transform(_words(s), lambda w: _fact("word", w, s, _null(), _null(), F.lit(0))),
+        lambda s: F.transform(_all_words(s), lambda w: _fact("word", w, s, _null(), _null(), F.lit(0))),
     )
     return F.concat(plain, F.flatten(joined))
 
@@ -75,17 +89,22 @@ def _notebook_head() -> Column:
     return F.when((F.col("ext") == "py") & direct, X.head(X.one_line_end(F.col("text")), CATALOG_HEAD))
 
 
-def _header_facts(keys: Column, values: Column) -> Column:
-    """STATUS and LAST_UPDATED of a head; none when it has neither."""
-    value = lambda k: X.strip(F.get(values, F.array_position(keys, k).cast("int") - 1))
+def _header_facts(fields: Column) -> Column:
+    """STATUS and LAST_UPDATED among the header fields of a head; none when it has neither. The first
+    value of each counts."""
+
+    def value(key: str) -> Column:
+        own = F.filter(fields, lambda f: F.regexp_extract(f, P.HEADER_FIELD, 1) == key)
+        return X.strip(F.regexp_extract(F.get(own, F.lit(0)), P.HEADER_FIELD, 2))
+
     fact = _fact("header", F.lit(""), _null(), value("STATUS"), value("LAST_UPDATED"), F.lit(0))
-    return F.filter(F.array(fact), lambda _: F.size(keys) > 0)
+    return F.filter(F.array(fact), lambda _: F.size(fields) > 0)
 
 
 def denied_words(deny: DataFrame) -> list[str] | None:
     """The first words of all denied schemas if they are few, else None. A few words of a whole estate
     are matched per file; otherwise every word of a file goes into the join with the deny lists."""
-    words = _deny_lookup(deny).select("key").distinct().limit(MAX_DENIED_WORDS + 1).collect()
+    words = _deny_lookup(deny).select("key").where("key <> ''").distinct().limit(MAX_DENIED_WORDS + 1).collect()
     return sorted(row.key for row in words) if len(words) <= MAX_DENIED_WORDS else None
 
 
@@ -117,9 +136,8 @@ def _place(files: DataFrame, **parsed: Column) -> DataFrame:
     )
 
 
-def _with_header(parsed: DataFrame) -> DataFrame:
-    found = lambda group: F.regexp_extract_all("top", F.lit(P.HEADER_FIELD), F.lit(group))
-    return parsed.withColumn("keys", found(1)).withColumn("values", found(2))
+def _header_fields() -> Column:
+    return F.regexp_extract_all(_notebook_head(), F.lit(P.HEADER_FIELD), F.lit(0))
 
 
 def _facts(parsed: DataFrame, *facts: Column) -> DataFrame:
@@ -179,14 +197,15 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     (repo, job_dir, status, last_updated, objects, flags). ``objects`` holds at most 40 names and
     ``flags`` at most the repository's deny list."""
     text = F.col("text")
-    parsed = _with_header(
-        _place(files, names=_names(text), words=_words(text), dollars=_dollar_names(text), top=_notebook_head())
+    parsed = _place(
+        files, names=_names(text), words=_words(text, denied_words(deny)), dollars=_dollar_names(text),
+        fields=_header_fields(),
     )
     facts = _facts(
         parsed,
         _object_facts(F.col("names")),
-        _header_facts(F.col("keys"), F.col("values")),
-        _word_facts(F.col("words"), F.col("dollars"), denied_words(deny)),
+        _header_facts(F.col("fields")),
+        _word_facts(F.col("words"), F.col("dollars")),
     )
     kept = _cap_objects(_first_of_each(_keep_denied(facts, deny)))
     is_kind = lambda k: F.col("kind") == k
@@ -208,15 +227,15 @@ def object_refs(files: DataFrame) -> DataFrame:
 
 def deprecated_mentions(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Denied schemas named anywhere in a job's texts, comments included."""
-    parsed = _place(files, words=_words(F.col("text")), dollars=_dollar_names(F.col("text")))
-    facts = _facts(parsed, _word_facts(F.col("words"), F.col("dollars"), denied_words(deny)))
+    text = F.col("text")
+    parsed = _place(files, words=_words(text, denied_words(deny)), dollars=_dollar_names(text))
+    facts = _facts(parsed, _word_facts(F.col("words"), F.col("dollars")))
     return _keep_denied(facts, deny).select("repo", "job_dir", F.col("key").alias("term")).distinct()
 
 
 def notebook_headers(files: DataFrame) -> DataFrame:
     """STATUS and LAST_UPDATED of the first notebook that carries either."""
-    parsed = _with_header(_place(files, top=_notebook_head()))
-    facts = _facts(parsed, _header_facts(F.col("keys"), F.col("values")))
+    facts = _facts(_place(files, fields=_header_fields()), _header_facts(F.col("fields")))
     return _first_of_each(facts).select(
         "repo", "job_dir", F.col("v1").alias("status"), F.col("v2").alias("last_updated")
     )

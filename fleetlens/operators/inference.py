@@ -35,15 +35,11 @@ def _folders() -> Column:
 
 def _definition_dirs() -> Column:
     """Paths of the walked ``job_definitions`` folders a file lies in."""
-    folders = _folders()
-    return F.transform(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))),
-            lambda i: (F.get(folders, i - 1) == "job_definitions")
-            & F.forall(F.slice(folders, 1, i), _walked),
-        ),
-        lambda i: F.array_join(F.slice(folders, 1, i), "/"),
+    depths = lambda fs: F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(fs), F.lit(1))),
+        lambda i: (F.get(fs, i - 1) == "job_definitions") & F.forall(F.slice(fs, 1, i), _walked),
     )
+    return X.let(_folders(), lambda fs: F.transform(depths(fs), lambda i: F.array_join(F.slice(fs, 1, i), "/")))
 
 
 def platform_inference(listing: DataFrame) -> DataFrame:

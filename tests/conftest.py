@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from fleetlens.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests", "local[4]",
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false",
+           "spark.driver.memory": "6g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))},
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def files(spark):
+    """Source files from {path below the job folder: text}; other folders by a path with 'JOB-'."""
+
+    def make(texts: dict[str, str], repo: str = "r", job_dir: str = "JOB-1_A"):
+        rows = []
+        for name, text in texts.items():
+            folder = name.split("/")[0] if name.startswith("JOB-") else job_dir
+            rest = name.split("/", 1)[1] if name.startswith("JOB-") else name
+            rows.append((repo, folder, f"jobs/{folder}/{rest}", rest.rsplit(".", 1)[-1], text, len(text)))
+        from fleetlens.sources.schemas import SOURCE_FILE
+
+        return spark.createDataFrame(rows, SOURCE_FILE)
+
+    return make
+
+
+@pytest.fixture
+def config(spark):
+    """Repository configurations from nested dicts, missing parts left out."""
+    import json
+
+    from fleetlens.sources.schemas import REPO_CONFIG
+
+    def make(*confs: dict):
+        rows = [(json.dumps({"repo": "r", **c}),) for c in confs or ({},)]
+        parsed = spark.createDataFrame(rows, "raw string").selectExpr(f"from_json(raw, '{REPO_CONFIG}') as c")
+        return parsed.select("c.*")
+
+    return make
+
+
+def tuples(df, *columns):
+    return sorted(tuple(row) for row in (df.select(*columns) if columns else df).collect())
