@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Copies of each lookup row. Enough to take one hot key apart; what is still too large for a task
+#: is split further by AQE's skew handling.
+SALTS = 8
 
 
 def lookup_join(

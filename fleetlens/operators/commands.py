@@ -118,11 +118,11 @@ def command_audit(
         *EVENT, "rule", "cli", "verb", F.lit(None).cast("string").alias("file_verb"), F.lit(False).alias("too_large")
     )
     waiting = tested.where(F.col("open"))
-    scans = referenced_sql_scan(waiting, sql_files).groupBy("event_id").agg(
+    scans = referenced_sql_scan(waiting, sql_files).groupBy("repo", "event_id").agg(
         F.min_by("verb", F.when(F.col("verb").isNotNull(), F.col("ord"))).alias("file_verb"),
         F.max("too_large").alias("too_large"),
     )
-    with_files = waiting.join(scans, "event_id", "left").select(
+    with_files = waiting.join(scans, ["repo", "event_id"], "left").select(
         *EVENT, "rule", "cli", "verb", "file_verb", "too_large"
     )
     return _decide(direct.unionByName(with_files))

@@ -43,14 +43,33 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def _configured(defs: DataFrame, config: DataFrame) -> DataFrame:
+    """Definitions in a configured folder with ``env_rank``: JSON from prod first, then (as DDL always)
+    in configured order."""
+    ranked = lookup_join(_in_repo(defs), _env_order(config), ["repo"], ["path"], "inner")
+    prod_first = (F.col("ext") == "json") & (F.col("env") == "prod")
+    position = F.array_position("envs", F.col("env"))
+    return ranked.where(position > 0).withColumn("env_rank", F.when(prod_first, 0).otherwise(position))
+
+
+def first_definitions(job_def: DataFrame, config: DataFrame) -> DataFrame:
+    """The repository definition of each key and format, as a lookup by key finds it."""
+    place = F.struct("env_rank", X.path_order(F.col("path")))
+    kept = ["env", "path", "stem", "raw"]
+    return (
+        _configured(job_def, config)
+        .groupBy("repo", "job_key", "side", "ext")
+        .agg(F.min_by(F.struct(*kept), place).alias("d"))
+        .select("repo", "job_key", "side", "ext", *[F.col(f"d.{c}").alias(c) for c in kept])
+    )
+
+
 def repo_definition_lookup(refs: DataFrame, defs: DataFrame, config: DataFrame) -> DataFrame:
     """Definition file for a reference (repo, ref): by file stem or key, or by name; prod first, then the
     other environments as configured, then path order."""
-    ranked = lookup_join(_in_repo(defs).where(F.col("ext") == "json"), _env_order(config), ["repo"], ["path"], "inner")
-    env_rank = F.when(F.col("env") == "prod", F.lit(0).cast("bigint")).otherwise(F.array_position("envs", F.col("env")))
-    placed = ranked.where(F.array_contains("envs", F.col("env"))).select(
+    placed = _configured(defs.where(F.col("ext") == "json"), config).select(
         "repo",
-        F.struct(env_rank.alias("env_rank"), X.path_order(F.col("path")).alias("parts")).alias("place"),
+        F.struct("env_rank", X.path_order(F.col("path")).alias("order")).alias("place"),
         F.struct("path", "top_name").alias("hit"),
         F.lower(F.substring_index("stem", "_", 1)).alias("by_key"),
         F.lower(X.either(F.col("top_name"))).alias("by_name"),

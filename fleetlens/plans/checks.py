@@ -196,17 +196,22 @@ STEPS: dict[str, str] = {
         from @@def_count where ext is not null and n_defs = 0""",
     "def_problem": """
         select n.repo, n.job_dir, l.problem from @@def_count n join @@lint l on n.repo = l.repo and lower(n.ticket) = l.job_key where n.model = 'api-reset'""",
+    "pair": """
+        select repo, job_key, side, ext, raw from @@all_def where side = 'live'
+        union all select repo, job_key, side, ext, raw from (
+          select d.*, row_number() over (partition by d.repo, d.job_key, d.ext
+                 order by case when d.ext = 'json' and d.env = 'prod' then 0 else e.ord end, string_split(d.path, '/')) as r
+          from @@all_def d join @@env e on d.repo = e.repo and d.env = e.env where d.side = 'repo') where r = 1""",
     "leaf": """
         select repo, job_key, side, path, val from (
-          select d.repo, d.job_key, d.side, substr(t.fullkey, 3) as path, t.type as kind,
-                 case when t.key = 'tasks' and t.path = '$' and len(from_json(t.value, '["json"]')) > 0 then '[{"task_key": "a"}, {"task_key": "b"}]' when t.type = 'ARRAY' then t.value::varchar
-                      else t.value::varchar end as val,
-                 t.fullkey as fk
-          from (select * from @@json_def where env = 'prod' and valid and is_object) d,
-               lateral json_tree(d.body) t)
+          select d.repo, d.job_key, d.side, substr(t.fullkey, 3) as path, t.type as kind, t.fullkey as fk,
+                 case when t.key = 'tasks' and t.path = '$' and len(from_json(t.value, '["json"]')) > 0 then '[{"task_key": "a"}, {"task_key": "b"}]'
+                      else t.value::varchar end as val
+          from (select *, coalesce(json_extract(j, '$.settings'), j) as body
+                from (select *, try_cast(raw as json) as j from @@pair where ext = 'json') where json_type(j) = 'OBJECT') d, lateral json_tree(d.body) t)
         where kind <> 'OBJECT' and not contains(fk, '[') and path not in ('job_id', 'created_time', 'creator_user_name', 'effective_budget_policy_id')""",
     "both_json": """
-        select repo, job_key from @@def where env = 'prod' and ext = 'json' group by 1, 2 having count(distinct side) = 2""",
+        select repo, job_key from @@pair where ext = 'json' group by 1, 2 having count(distinct side) = 2""",
     "diff": """
         select * from (
           select coalesce(r.repo, l.repo) as repo, coalesce(r.job_key, l.job_key) as job_key, coalesce(r.path, l.path) as path,
@@ -219,7 +224,7 @@ STEPS: dict[str, str] = {
         select repo, job_key, max(t) filter (where side = 'repo') <> max(t) filter (where side = 'live') as drift from (
           select repo, job_key, side, trim(rtrim(trim(regexp_replace(
             lower(string_split(x, chr(39))[1]) || chr(39) || string_split(x, chr(39))[2] || chr(39) || lower(string_split(x, chr(39))[3]), '\s+', ' ', 'g')), ';')) as t
-          from (select *, regexp_replace(regexp_replace(raw, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'g') as x from @@def where ext = 'sql' and env = 'prod'))
+          from (select *, regexp_replace(regexp_replace(raw, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'g') as x from @@pair where ext = 'sql'))
         group by 1, 2 having count(distinct side) = 2""",
     "want": """
         select distinct repo, unnest([ticket, job_dir, replace(ticket, 'JOB', 'load'), replace(ticket, 'JOB-', '')]) as ref from @@folder""",

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import definitions, drift
 
 
-def comparable(job_def: DataFrame) -> DataFrame:
-    """Live definitions and the prod ones of the repository."""
-    return job_def.where(F.col("env") == "prod")
+def comparable(job_def: DataFrame, config: DataFrame) -> DataFrame:
+    """Live definitions, and of the repository's the one that stands for each job."""
+    live = job_def.where(F.col("side") == "live")
+    return live.unionByName(definitions.first_definitions(job_def, config))
 
 
-def definition_drift(job_def: DataFrame) -> DataFrame:
-    pairs = comparable(job_def)
-    return drift.definition_drift(
-        drift.definition_leaves(pairs), drift.compared_jobs(pairs.where(F.col("ext") == "json"))
-    )
+def _compared(pairs: DataFrame) -> DataFrame:
+    return drift.compared_jobs(pairs.where(F.col("ext") == "json"))
+
+
+def definition_drift(job_def: DataFrame, config: DataFrame) -> DataFrame:
+    pairs = comparable(job_def, config)
+    return drift.definition_drift(drift.definition_leaves(pairs), _compared(pairs))
 
 
 def drift_summary(job_def: DataFrame, config: DataFrame, platforms: DataFrame) -> DataFrame:
-    pairs = comparable(job_def)
-    compared = drift.compared_jobs(pairs.where(F.col("ext") == "json"))
+    pairs = comparable(job_def, config)
     return drift.drift_summary(
-        compared, definition_drift(job_def), drift.ddl_drift(pairs), config, platforms
+        _compared(pairs), definition_drift(job_def, config), drift.ddl_drift(pairs), config, platforms
     )

@@ -459,12 +459,12 @@ def denylist_scan(e: Estate) -> DataFrame:
 # Drift ---------------------------------------------------------------------------------------------
 @query
 def definition_leaves(e: Estate) -> DataFrame:
-    return drift.definition_leaves(drift_run.comparable(e.definitions()))
+    return drift.definition_leaves(drift_run.comparable(e.definitions(), e.config()))
 
 
 @query
 def definition_drift(e: Estate) -> DataFrame:
-    return drift_run.definition_drift(e.definitions())
+    return drift_run.definition_drift(e.definitions(), e.config())
 
 
 @query
@@ -475,7 +475,7 @@ def drift_summary(e: Estate) -> DataFrame:
 
 @query
 def ddl_drift(e: Estate) -> DataFrame:
-    return drift.ddl_drift(drift_run.comparable(e.definitions()))
+    return drift.ddl_drift(drift_run.comparable(e.definitions(), e.config()))
 
 
 def _definition_refs(e: Estate) -> DataFrame:

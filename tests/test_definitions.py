@@ -92,11 +92,11 @@ def test_drift_kinds_and_summary(spark, defs, config):
         ("repo", "prod", "JOB-2.json", {"name": "n"}), ("live", "prod", "JOB-2.json", {"settings": {"name": "n"}}),
         ("repo", "prod", "JOB-3.json", {"name": "only here"}),
     )
-    assert tuples(drift_run.definition_drift(rows), "job_key", "path", "kind", "repo_val", "live_val") == [
+    assert tuples(drift_run.definition_drift(rows, conf(config, prod="defs/prod")), "job_key", "path", "kind", "repo_val", "live_val") == [
         ("job-1", "a", "removed", "1", "<absent>"), ("job-1", "b", "changed", "1", "1.0"), ("job-1", "d.e", "added", "<absent>", '"x"'),
     ]
     summary = lambda kind, model: tuples(
-        drift_run.drift_summary(rows, config({"platform": {"kind": kind, "deploy_model": model}}), platform_dim(spark)),
+        drift_run.drift_summary(rows, config({"platform": {"kind": kind, "deploy_model": model, "job_def_dirs": {"prod": "defs/prod"}}}), platform_dim(spark)),
         "job_key", "drift", F.array_join("added", ","), F.array_join("removed", ","), F.array_join("changed", ","),
     )
     # The platform's own model counts: a wrong configured one does not switch drift detection off.
@@ -120,3 +120,13 @@ def test_live_names(spark, defs, config):
     assert tuples(drift.live_name_resolution(refs, found, live).fillna("-"), "ref", "job_id", "n_matches", "status") == [
         ("77", "77", 1, "resolved"), ("JOB-1", "1", 1, "resolved"), ("JOB-2", "-", 2, "ambiguous"), ("gone", "-", 0, "missing"),
     ]
+
+
+def test_drift_compares_the_definition_a_lookup_finds(defs, config):
+    rows = defs(
+        ("repo", "dev", "JOB-1_A.json", {"name": "dev"}), ("repo", "prod", "JOB-1_A.json", {"name": "n"}), ("repo", "prod", "JOB-1_B.json", {"x": 1}),
+        ("live", "prod", "JOB-1.json", {"name": "n"}), ("repo", "dev", "JOB-2.json", {"name": "a"}), ("live", "prod", "JOB-2.json", {"name": "b"}),
+        ("repo", "lab", "JOB-3.json", {"name": "a"}), ("live", "prod", "JOB-3.json", {"name": "b"}),
+    )
+    got = drift_run.definition_drift(rows, conf(config, dev="defs/dev", prod="defs/prod"))
+    assert tuples(got, "job_key", "path", "kind") == [("job-2", "name", "changed")]
