@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -134,6 +134,12 @@ def package_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.substring_index(c, "[", 1), "[-_.]+", "-"))
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and columns read without repeating their expression: Spark copies a
+    plain column's expression into every filter on it, but not that of a generator's output."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value computed once: a lambda that mentions an expression computes
     it again for every element."""

@@ -68,16 +68,21 @@ def _file_refs(cmd: Column) -> Column:
     )
 
 
-def referenced_sql_scan(commands: DataFrame, sql_files: DataFrame) -> DataFrame:
-    """(event_id, repo, ord, path, verb, too_large): the SQL files each command names, with what the scan
-    of the file found. Paths are relative to the repository root or to the event's folder in it."""
+def _file_scans(commands: DataFrame, sql_files: DataFrame, *keep: str) -> DataFrame:
+    """One row per command and SQL file it names, with what the scan of the file found."""
+    cwd, ref = F.coalesce("cwd", F.lit("")), F.col("ref")
     named = commands.select(
-        "event_id", "repo", F.coalesce("cwd", F.lit("")).alias("cwd"), F.posexplode(_file_refs(F.col("cmd"))).alias("ord", "ref")
+        "event_id", "repo", *keep, cwd.alias("cwd"), F.posexplode(_file_refs(F.col("cmd"))).alias("ord", "ref")
     ).withColumn(
-        "path",
-        F.when((F.col("cwd") != "") & ~F.col("ref").startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(F.col("ref")),
+        "path", F.when((F.col("cwd") != "") & ~ref.startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(ref)
     )
-    return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"], ["event_id"]).select(
+    return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"], ["event_id"])
+
+
+def referenced_sql_scan(commands: DataFrame, sql_files: DataFrame) -> DataFrame:
+    """(event_id, repo, ord, path, verb, too_large): the SQL files each command names, with what the scan
+    of the file found. Paths are relative to the repository root or to the event's folder in it."""
+    return _file_scans(commands, sql_files).select(
         "event_id", "repo", "ord", "path", "verb", F.coalesce("too_large", F.lit(False)).alias("too_large")
     )
 
@@ -105,25 +110,26 @@ def command_audit(
     decided row by row without a shuffle.
     """
     plain = X.dequoted(F.col("cmd"))
-    tested = (
-        commands.select("event_id", "ts", "repo", "kind", "cwd", "cmd")
-        .withColumn("rule", first_rule(F.col("kind"), plain, rules))
-        .withColumn("cli", F.when(F.col("rule").isNull(), warehouse_cli(plain)))
-        .withColumn("verb", F.when(F.col("cli").isNotNull(), destructive_verb(plain)))
-        .withColumn(
-            "open", F.col("cli").isNotNull() & F.col("verb").isNull() & (F.size(_file_refs(F.col("cmd"))) > 0)
-        )
+    ruled = X.computed_once(
+        commands.select("event_id", "ts", "repo", "kind", "cwd", "cmd"), rule=first_rule(F.col("kind"), plain, rules)
     )
+    called = X.computed_once(ruled, cli=F.when(F.col("rule").isNull(), warehouse_cli(plain)))
+    own = X.computed_once(called, verb=F.when(F.col("cli").isNotNull(), destructive_verb(plain)))
+    names_file = F.size(_file_refs(F.col("cmd"))) > 0
+    tested = X.computed_once(own, open=F.col("cli").isNotNull() & F.col("verb").isNull() & names_file)
     direct = tested.where(~F.col("open")).select(
         *EVENT, "rule", "cli", "verb", F.lit(None).cast("string").alias("file_verb"), F.lit(False).alias("too_large")
     )
-    waiting = tested.where(F.col("open"))
-    scans = referenced_sql_scan(waiting, sql_files).groupBy("repo", "event_id").agg(
-        F.min_by("verb", F.when(F.col("verb").isNotNull(), F.col("ord"))).alias("file_verb"),
-        F.max("too_large").alias("too_large"),
-    )
-    with_files = waiting.join(scans, ["repo", "event_id"], "left").select(
-        *EVENT, "rule", "cli", "verb", "file_verb", "too_large"
+    waiting = tested.where("open").drop("verb")
+    with_files = (
+        _file_scans(waiting, sql_files, "ts", "kind", "cmd", "cli")
+        .groupBy(*EVENT, "cli")
+        .agg(
+            F.min_by("verb", F.when(F.col("verb").isNotNull(), F.col("ord"))).alias("file_verb"),
+            F.coalesce(F.max("too_large"), F.lit(False)).alias("too_large"),
+        )
+        .withColumn("rule", F.lit(None).cast("string"))
+        .withColumn("verb", F.lit(None).cast("string"))
     )
     return _decide(direct.unionByName(with_files))
 

@@ -28,20 +28,10 @@ def _shape(text: Column, needle: str, pattern: str) -> Column:
     return F.contains(text, F.lit(needle)) & text.rlike(pattern) if needle else text.rlike(pattern)
 
 
-def _any(tests: Sequence[Column]) -> Column:
-    found = F.lit(False)
-    for test in tests:
-        found = found | test
-    return found
-
-
 def secret_shape_scan(files: DataFrame, shapes: Sequence[tuple[str, str, str]] = tuple(P.SECRET_SHAPES)) -> DataFrame:
     """One hit per (line, shape). The shapes are a fixed list, so they are literals of one expression
-    and no join is needed. No shape spans lines: only texts that hold one are cut into lines."""
-    # The lambda names the text once, however long the expression is that makes it.
-    holds = F.exists(F.array("text"), lambda t: _any([_shape(t, needle, p) for _, needle, p in shapes]))
-    suspects = files.where(holds)
-    lines = source_lines(suspects.select("repo", "path", "text"))
+    and no join is needed."""
+    lines = source_lines(files.select("repo", "path", "text"))
     hits = F.array_compact(
         F.array(*[F.when(_shape(F.col("line"), needle, p), F.lit(label)) for label, needle, p in shapes])
     )
