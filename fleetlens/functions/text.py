@@ -61,6 +61,19 @@ def path_order(path: Column) -> Column:
     return F.translate(path, "/", "\x01")
 
 
+def resolved_path(path: Column) -> Column:
+    """Path without ``.`` and ``..`` steps; an absolute path stays absolute."""
+    steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
+            F.concat(acc, F.array(s))
+        ),
+    )
+    return F.concat(F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

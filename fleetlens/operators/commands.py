@@ -74,7 +74,8 @@ def _file_scans(commands: DataFrame, sql_files: DataFrame, *keep: str) -> DataFr
     named = commands.select(
         "event_id", "repo", *keep, cwd.alias("cwd"), F.posexplode(_file_refs(F.col("cmd"))).alias("ord", "ref")
     ).withColumn(
-        "path", F.when((F.col("cwd") != "") & ~ref.startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(ref)
+        "path",
+        X.resolved_path(F.when((F.col("cwd") != "") & ~ref.startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(ref)),
     )
     return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"], ["event_id"])
 

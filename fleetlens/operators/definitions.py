@@ -52,6 +52,11 @@ def _configured(defs: DataFrame, config: DataFrame) -> DataFrame:
     return ranked.where(position > 0).withColumn("env_rank", F.when(prod_first, 0).otherwise(position))
 
 
+def configured(defs: DataFrame, config: DataFrame) -> DataFrame:
+    """Repository definitions that lie in a configured folder."""
+    return _configured(defs, config).select(*defs.columns)
+
+
 def first_definitions(job_def: DataFrame, config: DataFrame) -> DataFrame:
     """The repository definition of each key and format, as a lookup by key finds it."""
     place = F.struct("env_rank", X.path_order(F.col("path")))

@@ -179,7 +179,7 @@ STEPS: dict[str, str] = {
         select f.repo, f.job_dir, 'no .py notebook found to check header' from @@folder f
         where not exists (select 1 from @@best b where b.repo = f.repo and b.job_dir = f.job_dir)""",
     "lint": """
-        select d.repo, d.job_key, d.path,
+        select d.repo, d.job_key, d.env, d.path,
           case when not d.valid then d.path || ':2: invalid JSON: Expecting value'
                when not d.is_object then d.path || ': job definition must be a JSON object'
                else d.path || ': missing job name (expected top-level "name" or "settings.name")' end as problem
@@ -195,7 +195,8 @@ STEPS: dict[str, str] = {
         select repo, job_dir, ticket, 'REQUIRED ' || case ext when 'json' then 'job-def JSON' else 'task DDL (*.sql)' end || ' missing for ' || ticket || ' (deploy_model=' || model || ')' as problem
         from @@def_count where ext is not null and n_defs = 0""",
     "def_problem": """
-        select n.repo, n.job_dir, l.problem from @@def_count n join @@lint l on n.repo = l.repo and lower(n.ticket) = l.job_key where n.model = 'api-reset'""",
+        select n.repo, n.job_dir, l.problem from @@def_count n join @@lint l on n.repo = l.repo and lower(n.ticket) = l.job_key
+        join @@env e on l.repo = e.repo and l.env = e.env where n.model = 'api-reset'""",
     "pair": """
         select repo, job_key, side, ext, raw from @@all_def where side = 'live'
         union all select repo, job_key, side, ext, raw from (

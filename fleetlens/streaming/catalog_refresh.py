@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,26 +16,13 @@ GENERATED_FILES = ["JOBS.md", "OBJECTS.md", "index_data.json"]
 GENERATED_DIRS = ["graph", "objects"]
 
 
-def _resolved(path: Column) -> Column:
-    """Path without ``.`` and ``..`` steps."""
-    steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
-    kept = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
-            F.concat(acc, F.array(s))
-        ),
-    )
-    return F.array_join(kept, "/")
-
-
 def catalog_edits(changes: DataFrame, jobs_dir: str = "jobs") -> DataFrame:
     """Changes that call for a new catalog: truly below the jobs folder, and not one of the files the
     catalog writes itself."""
     path = F.col("path")
     folder = F.regexp_replace(path, r"/?[^/]*$", "")
     generated = X.file_name(path).isin(GENERATED_FILES) | folder.isin([f"{jobs_dir}/{d}" for d in GENERATED_DIRS])
-    return changes.withColumn("path", _resolved(path)).where(path.startswith(jobs_dir + "/") & ~generated)
+    return changes.withColumn("path", X.resolved_path(path)).where(path.startswith(jobs_dir + "/") & ~generated)
 
 
 def catalog_refresh_stream(

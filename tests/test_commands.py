@@ -43,7 +43,8 @@ def test_quotes_paths_and_files(decide):
         "platform:databricks:jobs-reset", "warehouse:snow:DELETE", "warehouse:snow:DROP", "unscannable:snow", "pass", "warehouse:psql:DROP",
         "pass", "warehouse:snow:TRUNCATE", "pass", "warehouse:snow:DROP", "warehouse:snow:CREATE  OR REPLACE", "pass", "pass",
     ]
-    assert decide("databricks", "bq query -f x.sql", cwd="sub") == ["warehouse:bq:GRANT"]
+    assert decide("databricks", "bq query -f x.sql", "bq -f ../deploy.sql", "bq -f /x.sql", cwd="sub") == ["warehouse:bq:GRANT", "warehouse:bq:DROP", "pass"]
+    assert decide("databricks", "snow sql -f ./deploy.sql") == ["warehouse:snow:DROP"]
 
 
 def test_dbt_prod_in_every_form(decide):

@@ -130,3 +130,18 @@ def test_drift_compares_the_definition_a_lookup_finds(defs, config):
     )
     got = drift_run.definition_drift(rows, conf(config, dev="defs/dev", prod="defs/prod"))
     assert tuples(got, "job_key", "path", "kind") == [("job-2", "name", "changed")]
+
+
+def test_gate_judges_only_definitions_in_configured_folders(spark, files, defs, config):
+    from fleetlens.operators import catalog
+    from fleetlens.plans import gate_run
+
+    src = files({"a.py": "x = 1"})
+    rows = defs(("repo", "prod", "JOB-1_A.json", {"name": "n"}), ("repo", "lab", "JOB-1_A.json", "{"))
+    doc = spark.createDataFrame([], "repo string, job_dir string, text string, content_sha256 string")
+    folders = catalog.job_folders(src)
+    for dirs, problems in (({"prod": "defs/prod"}, 0), ({"prod": "defs/prod", "lab": "defs/lab"}, 1)):
+        checks = gate_run.run_checks(folders, src, doc, rows, conf(config, **dirs))
+        gate = {r.check: (r.ok, r.n_problems) for r in gate_run.job_gate(folders, src, checks).collect()}
+        assert gate["job_definitions"] == (problems == 0, problems)
+        assert gate["dependency_vulns"] == (True, 0) and gate["notebook_syntax"] == (True, 0)
