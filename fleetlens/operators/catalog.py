@@ -139,8 +139,12 @@ def object_entries(catalog: DataFrame) -> DataFrame:
 
 def object_labels(catalog: DataFrame) -> DataFrame:
     """Per object of a repository: the casing of its first entry and its number of folders."""
-    return object_entries(catalog).groupBy("repo", "object_key").agg(
-        F.min_by("object", "place").alias("object"), F.count("*").alias("n_jobs")
+    keys = ["repo", "object_key"]
+    return (
+        object_entries(catalog)
+        .groupBy(F.xxhash64(*keys).alias("hash"), *keys)  # the hash keeps the sort off the strings
+        .agg(F.min_by("object", "place").alias("object"), F.count("*").alias("n_jobs"))
+        .drop("hash")
     )
 
 
