@@ -48,8 +48,29 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``. Without that setting a session on one
+    machine gets a local temporary folder; on a cluster, whose machines share none, it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "fleetlens")
+    return f"{root.rstrip('/')}/fleetlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared checkpoint folder. Only a session that names none (a test on
-    one machine) gets a local temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "fleetlens")
-    return f"{root.rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder name in the scratch root."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch root. Frames that read it end here, so call it
+    when their results are written."""
+    drop_path(spark, scratch_root(spark))

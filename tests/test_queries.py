@@ -8,6 +8,8 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as contract
+from fleetlens.plans import checks
+from fleetlens.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -19,10 +21,10 @@ def db():
 
 
 def test_every_query_has_check_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(checks.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(checks.oracle_sql()))
 def test_query(spark, db, name):
     problem, _ = compare(spark, db, SF_DIR, name)
     assert not problem, problem
