@@ -134,12 +134,11 @@ def repeated_substrings(docs: DataFrame, window: int = 20, keep_text: bool = Fal
     base = _read(docs)
     rows = base.where("doc_id is not null").mapInArrow(seeds, SEEDS)
     place = F.struct("doc_id", "begin")
-    again = (
-        rows.where("seed is not null").groupBy("seed")
-        .agg(F.count("*").alias("times"), F.min("cover").alias("low"), F.max("cover").alias("high"), F.min(place).alias("at"))
-        .where("times > 1")
-    )
-    met = rows.where("seed is not null").join(again, "seed")
+    sent = rows.where("seed is not null")
+    twice = sent.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1").select("seed")
+    found = settle(sent.join(twice, "seed"), "seeds")
+    again = found.groupBy("seed").agg(F.min("cover").alias("low"), F.max("cover").alias("high"), F.min(place).alias("at"))
+    met = found.join(again, "seed")
     open_ = F.col("low") != F.col("high")
     runs = (
         met.where(open_ | (place != F.col("at"))).select("doc_id", "begin", "n", open_.alias("open"))
