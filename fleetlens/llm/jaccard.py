@@ -17,8 +17,11 @@ from .words import Windows, mix, signed, slices, words_of
 #: N-grams that come last in the order of the incidence's columns, if they are among the most frequent ones. The order may
 #: be any: this number bounds the table that is broadcast (8 bytes each) and the result does not depend on it.
 LATE = 1 << 17
-#: Columns with more documents than this are first joined through one document of theirs.
+#: Columns with more documents than this are first joined through a few documents of theirs, their hubs.
 STAR = 8
+#: Hubs per column and round. Rounds go on while a column's pairs outnumber its rows by more than ``ROOM``.
+HUBS = 4
+ROOM = 4
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
 
@@ -134,16 +137,57 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     return settle(found.join(nodes.select("node").distinct(), "node", "left_semi"), "sets")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets meet the bound."""
-    pairs = settle(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-    sets = _sets_of(docs, nodes, length)
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v").distinct()
 
 
+def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> DataFrame:
+    """Links that join up the documents of crowded columns as far as a few hubs reach.
+
+    In each round a column is joined to its hubs alone, the documents with the most shared columns, which are the ones least
+    edited; only pairs from different components are verified. Most of a group of near copies is one component
+    after a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
+    """
+    crowd = block.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > STAR).select("gram")
+    weight = block.groupBy("node").agg(F.count("*").alias("weight"))
+    dense = settle(block.join(crowd, "gram").join(weight, "node"), "crowds")
+    sets = _sets_of(docs, dense.select("node"), length)
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    used, found, left = None, None, float("inf")
+    while True:
+        placed = dense.withColumn("c", F.col("node")) if found is None else _placed(dense, found)
+        shares = placed.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(
+            F.sum("k").alias("rows"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")
+        )
+        busy = shares.where(F.col("pairs") > ROOM * F.col("rows"))
+        now = busy.agg(F.sum("pairs").alias("n")).first()["n"] or 0
+        if now == 0 or now > 0.7 * left:
+            return links
+        left = now
+        open_ = settle(placed.join(busy.select("gram"), "gram"), "open-columns")
+        free = open_ if used is None else open_.join(used, ["gram", "node"], "left_anti")
+        hubs = settle(
+            free.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("turn"))
+            .agg(F.max_by(F.struct("node", "n", "c"), F.struct("weight", -F.col("node"))).alias("hub")), "hubs"
+        )
+        chosen = hubs.select("gram", F.col("hub.node").alias("node"))
+        used = chosen if used is None else used.unionByName(chosen)
+        pairs = (
+            open_.join(hubs, "gram").where((F.col("c") != F.col("hub.c")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+            .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        )
+        links = settle(links.unionByName(_links(pairs, sets, percent)), "links")
+        found = connected_components(links)
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of nodes with their component as ``c``."""
+    return rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -155,8 +199,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     1. Documents with equal sets are one node, named by their smallest doc_id.
     2. The incidence keeps the leading columns of each row, in an order that puts the most frequent n-grams last; two sets
        that link share a leading n-gram. Columns that only one set holds are dropped.
-    3. Columns of many documents are joined to their smallest set first; the links found make components. Pairs within a
-       component need no further look, so a group of thousands of near copies is never paired off.
+    3. Columns of many documents are joined through a few hubs first; the links found make components. Pairs within a
+       component need no further look, so a group of thousands of near copies is not paired off.
     4. The product of the rest, over pairs from different components, adds up the shared columns of each pair, one n-gram
        block per task. A pair goes on if sizes fit and the sum reaches the bound that its sizes give.
     5. Pairs that are left are verified on whole sets, read from the texts again.
@@ -179,15 +223,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     shared = leading.groupBy("gram").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("gram")
     block = settle(leading.join(shared, "gram").join(names, "name").select("gram", "node", "n").distinct(), "incidence")
 
-    hub = block.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("n", "node")).alias("hub")).where(F.col("df") > STAR)
-    star = (
-        block.join(hub, "gram").where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
-        .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-    )
-    links = settle(_links(star, docs, length, percent), "links")
-    early = connected_components(links)
-
-    placed = block.join(early, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("c"))
+    links = _crowds(docs, block, percent, length)
+    placed = _placed(block, connected_components(links))
     mixed = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
     placed = settle(placed.join(mixed, "gram"), "columns")
     part = placed.select("gram", "c").distinct()
@@ -201,9 +238,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     )
     # All but the leading columns of the set that ends first can be shared besides: ceil(percent * n) - 1 of them.
     need = F.ceil(percent * F.col("both") / (100 + percent)) - F.ceil(percent * F.col("most") / 100) + 1
-    rest = product.where(F.col("shared") >= need).select("u", "v")
-    links = links.unionByName(_links(rest, docs, length, percent))
-    found = connected_components(links)
+    rest = settle(product.where(F.col("shared") >= need).select("u", "v"), "pairs")
+    sets = _sets_of(docs, rest.select(F.explode(F.array("u", "v")).alias("node")), length)
+    found = connected_components(links.unionByName(_links(rest, sets, percent)))
 
     own = listed.join(names, "name", "left").join(found, "node", "left")
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
