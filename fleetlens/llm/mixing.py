@@ -97,11 +97,11 @@ def word_count(text: Column) -> Column:
 
 
 def _cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per pattern and wanted amount, the last bin of the seeded order that belongs to it.
+    """Per pattern and wanted amount, which documents make it up: those before ``cut`` in the seeded order and the one at ``fill``.
 
     Sums over bins of the place, then over finer bins of the one bin where the amount is reached: both are merged before the
-    shuffle and small, whatever share of the rows a pattern holds. The amount ends in a fine bin, about a 16 millionth of the
-    documents, which counts as a whole if more than half of it is wanted.
+    shuffle and small, whatever share of the rows a pattern holds. What is then missing, less than a fine bin, is
+    filled by the document whose size comes closest to it among those beyond the cut, if that is better than none.
     """
     order = W.partitionBy("pattern", "copy").orderBy("bin")
 
@@ -109,12 +109,20 @@ def _cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         run = sums.withColumn("upto", F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
         return run.where("before < need and need <= upto").withColumn("need", F.col("need") - F.col("before"))
 
-    coarse = sized.groupBy("pattern", F.shiftright("place", 64 - BIN_BITS).alias("bin")).agg(F.sum("size").alias("size"))
+    coarse = sized.groupBy("pattern", _bin(1).alias("bin")).agg(F.sum("size").alias("size"))
     high = reached(coarse.join(F.broadcast(wanted), "pattern")).select("pattern", "copy", "need", F.col("bin").alias("high"))
-    inside = sized.withColumn("high", F.shiftright("place", 64 - BIN_BITS)).join(F.broadcast(high), ["pattern", "high"])
-    fine = inside.groupBy("pattern", "copy", "need", F.shiftright("place", 64 - 2 * BIN_BITS).alias("bin")).agg(F.sum("size").alias("size"))
-    half = F.when(F.col("need") * 2 > F.col("size"), F.col("bin")).otherwise(F.col("bin") - 1)
-    return reached(fine).select("pattern", "copy", half.alias("cut"))
+    inside = sized.withColumn("high", _bin(1)).join(F.broadcast(high), ["pattern", "high"])
+    fine = inside.groupBy("pattern", "copy", "need", _bin(2).alias("bin")).agg(F.sum("size").alias("size"))
+    cut = settle(reached(fine).select("pattern", "copy", "need", F.col("bin").alias("cut")), "mix-cuts")
+    beyond = sized.where("size > 0").join(F.broadcast(cut), "pattern").where(_bin(2) >= F.col("cut"))
+    off = F.abs(F.col("size") - F.col("need"))
+    fill = beyond.where(off < F.col("need")).groupBy("pattern", "copy").agg(F.min_by("place", F.struct(off, "place")).alias("fill"))
+    return cut.join(fill, ["pattern", "copy"], "left").select("pattern", F.struct("cut", "fill").alias("cut"))
+
+
+def _bin(step: int) -> Column:
+    """Bin of the seeded place after so many steps."""
+    return F.shiftright("place", 64 - step * BIN_BITS)
 
 
 def _pattern(source: str | Column, many: bool) -> Column:
@@ -146,10 +154,11 @@ def draw_plan(docs: DataFrame, source: str | Column = "source", weights: Sequenc
     return sized, settle(facts.join(cuts.groupBy("pattern").agg(F.collect_list("cut").alias("cuts")), "pattern", "left"), "mix-plan")
 
 
-def _copies(size: Column, place: Column) -> Column:
-    at = F.shiftright(place, 64 - 2 * BIN_BITS)
-    part = F.coalesce(F.size(F.filter("cuts", lambda cut: at <= cut)), F.lit(0))
-    return F.when(size > 0, F.col("whole") + part).otherwise(0).cast("int")
+def _copies() -> Column:
+    """Of a row with its pattern's plan."""
+    held = F.filter("cuts", lambda c: (_bin(2) < c["cut"]) | F.coalesce(F.col("place") == c["fill"], F.lit(False)))
+    part = F.when(F.col("cuts").isNotNull(), F.size(held)).otherwise(0)
+    return F.when(F.col("size") > 0, F.col("whole") + part).otherwise(0).cast("int")
 
 
 def mix_sources(docs: DataFrame, source: str | Column = "source", weights: Sequence[float] = (1, 2, 3), seed: int = 0, many: bool = False) -> DataFrame:
@@ -164,9 +173,8 @@ def mix_sources(docs: DataFrame, source: str | Column = "source", weights: Seque
     taken; rows with one doc_id and source go together; an empty table gives no rows; other columns are not read.
     """
     sized, plan = draw_plan(docs, source, weights, seed, many)
-    copies = _copies(F.col("size"), F.col("place"))
-    return sized.join(F.broadcast(plan), "pattern").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+    return sized.join(F.broadcast(plan), "pattern").withColumn("copies", _copies()).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
@@ -174,7 +182,7 @@ def mixed_documents(docs: DataFrame, source: str | Column = "source", weights: S
     """The mix itself: each row of ``docs``, with all its columns, as often as it is taken. Texts are not shuffled."""
     _, plan = draw_plan(docs, source, weights, seed, many)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _pattern(source, many).alias("pattern"), word_count(F.col("text")).alias("size"), _place(seed).alias("place"))
-    taken = row.join(F.broadcast(plan), "pattern").withColumn("copies", _copies(F.col("size"), F.col("place"))).where("copies > 0")
+    taken = row.join(F.broadcast(plan), "pattern").withColumn("copies", _copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
