@@ -135,6 +135,7 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
     places: list[int] = []
     base: set[str] = set()
     labels: dict[str, float] = {}
+    notices: dict[int, str] = {}
     tagged = False
     at, word = 0, 0
     for end, (kind, phrase, size) in finder.iter(line):
@@ -147,10 +148,11 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
             base.add(BASE[phrase])
             labels[BASE[phrase]] = max(0.8, labels.get(BASE[phrase], 0))
         elif kind == "notice":
-            label, weight = NOTICES[phrase]
-            labels[label] = max(weight, labels.get(label, 0))
+            notices[end - size] = max(phrase, notices.get(end - size, ""), key=len)  # the longest one that begins there
         else:
             tagged = True
+    for label, weight in (NOTICES[phrase] for phrase in notices.values()):
+        labels[label] = max(weight, labels.get(label, 0))
     if tagged:
         for found in _TAG_LINE.finditer(lowered):
             for label in expression_labels(found[1]):
