@@ -39,7 +39,8 @@ _FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids
 
 
 def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """Pieces of at most ``window`` ids: whole windows from the start of a document, and what is left at its end."""
+    """Pieces of at most ``window`` ids: whole windows from the start of a document, then a half one if more than that is left, then
+    what is left. Rests of more than half a window would seldom find a partner."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
@@ -47,10 +48,9 @@ def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_b
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array([*coder.encode_ordinary(text or ""), END_ID], "<u4")
-                rows += [
-                    (doc_id, at, len(ids[at : at + window]), zlib.crc32(ids[at : at + window].tobytes()), len(ids))
-                    for at in range(0, len(ids), window)
-                ]
+                whole, rest = divmod(len(ids), window)
+                cuts = [*range(0, whole * window + 1, window), *([whole * window + window // 2] if rest > window // 2 else []), len(ids)]
+                rows += [(doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)) for a, b in zip(cuts, cuts[1:]) if a < b]
             yield pa.record_batch([list(x) for x in zip(*rows)] if rows else [[] for _ in _FIELDS], schema=_FIELDS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
