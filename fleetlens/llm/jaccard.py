@@ -17,10 +17,9 @@ from .words import Windows, mix, signed, slices, words_of
 #: N-grams that come last in the order of the incidence's columns, if they are among the most frequent ones. The order may
 #: be any: this number bounds the table that is broadcast (8 bytes each) and the result does not depend on it.
 LATE = 1 << 17
-#: Columns with more documents than this are first joined through a few documents of theirs, their hubs.
+#: Columns with more documents than this are first joined through single documents of theirs, their hubs.
 STAR = 8
-#: Hubs per column and round. Rounds go on while a column's pairs outnumber its rows by more than ``ROOM``.
-HUBS = 4
+#: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink.
 ROOM = 4
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
@@ -115,7 +114,7 @@ def _wanted_table(nodes: DataFrame) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """(node, grams) of the wanted documents, hardly more, read from the texts again instead of kept for all."""
+    """(node, grams) of the wanted documents, and of few others, read from the texts again instead of kept for all."""
     table: Broadcast = docs.sparkSession.sparkContext.broadcast(_wanted_table(nodes))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -133,28 +132,36 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate([np.zeros(0, np.uint64), *sets])))
                 yield pa.record_batch([part.column("doc_id"), grams], names=["node", "grams"])
 
-    found = base.where("doc_id is not null").mapInArrow(pick, "node long, grams array<long>")
-    return settle(found.join(nodes.select("node").distinct(), "node", "left_semi"), "sets")
+    return base.where("doc_id is not null").mapInArrow(pick, "node long, grams array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets meet the bound."""
+    pairs = settle(pairs.select("u", "v").distinct(), "pairs")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), length)
     both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
     same = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v").distinct()
+    return settle(both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v").distinct(), "links")
+
+
+def _enough(shared: str, a: str, b: str, percent: int) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` can link if they share so many leading columns: all but the leading ones of the set that
+    ends first, ceil(percent * size / 100) - 1 of them, can be shared besides."""
+    whole = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+    return _sizes_fit(F.col(a), F.col(b), percent) & (F.col(shared) >= whole - F.ceil(percent * F.greatest(a, b) / 100) + 1)
 
 
 def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> DataFrame:
-    """Links that join up the documents of crowded columns as far as a few hubs reach.
+    """Links that join up the documents of crowded columns as far as hubs reach.
 
-    In each round a column is joined to its hubs alone, the documents with the most shared columns, which are the ones least
-    edited; only pairs from different components are verified. Most of a group of near copies is one component
-    after a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
+    In each round a crowded column names its hub, the document with the most shared columns: the one least edited. Each document
+    goes with one hub, that of most of its columns, if it is in another component than that; the shared columns of the pair are
+    added up, held against the bound and what is left verified. Most of a group of near copies is one component after
+    a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
     """
     crowd = block.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > STAR).select("gram")
     weight = block.groupBy("node").agg(F.count("*").alias("weight"))
     dense = settle(block.join(crowd, "gram").join(weight, "node"), "crowds")
-    sets = _sets_of(docs, dense.select("node"), length)
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     used, found, left = None, None, float("inf")
     while True:
@@ -162,24 +169,28 @@ def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> Dat
         shares = placed.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(
             F.sum("k").alias("rows"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")
         )
-        busy = shares.where(F.col("pairs") > ROOM * F.col("rows"))
+        busy = settle(shares.where(F.col("pairs") > ROOM * F.col("rows")), "busy")
         now = busy.agg(F.sum("pairs").alias("n")).first()["n"] or 0
         if now == 0 or now > 0.7 * left:
             return links
         left = now
         open_ = settle(placed.join(busy.select("gram"), "gram"), "open-columns")
         free = open_ if used is None else open_.join(used, ["gram", "node"], "left_anti")
-        hubs = settle(
-            free.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("turn"))
-            .agg(F.max_by(F.struct("node", "n", "c"), F.struct("weight", -F.col("node"))).alias("hub")), "hubs"
+        best = F.max_by(F.struct("node", "n", "c"), F.struct("weight", -F.col("node"))).alias("hub")
+        hubs = settle(free.groupBy("gram").agg(best).select("gram", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "hubs")
+        used = hubs.select("gram", F.col("h").alias("node")) if used is None else used.unionByName(hubs.select("gram", F.col("h").alias("node")))
+        votes = (
+            open_.join(hubs, "gram").where((F.col("c") != F.col("hc")) & _sizes_fit(F.col("n"), F.col("hn"), percent))
+            .groupBy("node", "n", "h", "hn").agg(F.count("*").alias("votes"))
         )
-        chosen = hubs.select("gram", F.col("hub.node").alias("node"))
-        used = chosen if used is None else used.unionByName(chosen)
-        pairs = (
-            open_.join(hubs, "gram").where((F.col("c") != F.col("hub.c")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
-            .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        chosen = settle(
+            votes.groupBy("node", "n").agg(F.max_by(F.struct("h", "hn"), F.struct("votes", -F.col("h"))).alias("hub"))
+            .select("node", "n", F.col("hub.h").alias("h"), F.col("hub.hn").alias("hn")), "chosen"
         )
-        links = settle(links.unionByName(_links(pairs, sets, percent)), "links")
+        own = block.select("gram", F.col("node").alias("h")).join(chosen.select("h").distinct(), "h")
+        shared = block.select("gram", "node").join(chosen, "node").join(own, ["gram", "h"]).groupBy("node", "n", "h", "hn").agg(F.count("*").alias("shared"))
+        pairs = shared.where(_enough("shared", "n", "hn", percent)).select(F.col("h").alias("u"), F.col("node").alias("v"))
+        links = links.unionByName(_links(docs, pairs, percent, length))
         found = connected_components(links)
 
 
@@ -233,14 +244,10 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
         cross.join(placed.select("gram", "c", F.col("node").alias("a"), F.col("n").alias("na")), ["gram", "c"])
         .join(placed.select("gram", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("nb")), ["gram", "d"])
         .where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-        .groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.greatest("na", "nb").alias("most"), (F.col("na") + F.col("nb")).alias("both"))
-        .agg(F.count("*").alias("shared"))
+        .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
     )
-    # All but the leading columns of the set that ends first can be shared besides: ceil(percent * n) - 1 of them.
-    need = F.ceil(percent * F.col("both") / (100 + percent)) - F.ceil(percent * F.col("most") / 100) + 1
-    rest = settle(product.where(F.col("shared") >= need).select("u", "v"), "pairs")
-    sets = _sets_of(docs, rest.select(F.explode(F.array("u", "v")).alias("node")), length)
-    found = connected_components(links.unionByName(_links(rest, sets, percent)))
+    rest = product.where(_enough("shared", "na", "nb", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
 
     own = listed.join(names, "name", "left").join(found, "node", "left")
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
