@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -19,8 +20,12 @@ from .words import Windows, mix, signed, slices, words_of
 LATE = 1 << 17
 #: Columns with more documents than this are first joined through single documents of theirs, their hubs.
 STAR = 8
-#: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink.
+#: Hubs that a crowded column names in a round, and of a document's hubs those whose shared columns are added up and those verified.
+HUBS, COUNTED, VERIFIED = 4, 4, 1
+#: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by at least a tenth.
 ROOM = 4
+#: Words of 64 bits in a document's sketch of its leading columns.
+SKETCH = 4
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
 
@@ -144,19 +149,24 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int, length: int) -> Data
     return settle(both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v").distinct(), "links")
 
 
-def _enough(shared: str, a: str, b: str, percent: int) -> Column:
-    """Whether sets of sizes ``a`` and ``b`` can link if they share so many leading columns: all but the leading ones of the set that
+def _least_shared(a: Column, b: Column, percent: int) -> Column:
+    """Leading columns that sets of sizes ``a`` and ``b`` share at least if they link: all but the leading ones of the set that
     ends first, ceil(percent * size / 100) - 1 of them, can be shared besides."""
-    whole = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
-    return _sizes_fit(F.col(a), F.col(b), percent) & (F.col(shared) >= whole - F.ceil(percent * F.greatest(a, b) / 100) + 1)
+    whole = F.ceil(percent * (a + b) / (100 + percent))
+    return whole - F.ceil(percent * F.greatest(a, b) / 100) + 1
+
+
+def _may_link(shared: str, a: str, b: str, percent: int) -> Column:
+    a, b = F.col(a), F.col(b)
+    return _sizes_fit(a, b, percent) & (F.col(shared) >= _least_shared(a, b, percent))
 
 
 def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> DataFrame:
     """Links that join up the documents of crowded columns as far as hubs reach.
 
-    In each round a crowded column names its hub, the document with the most shared columns: the one least edited. Each document
-    goes with one hub, that of most of its columns, if it is in another component than that; the shared columns of the pair are
-    added up, held against the bound and what is left verified. Most of a group of near copies is one component after
+    In each round a crowded column names a few hubs, new ones each time: documents with the most shared columns, which are the ones
+    least edited. For each document the shared columns with hubs of other components are added up and held against the
+    bound; the pair that shares most is verified. Most of a group of near copies is one component after
     a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
     """
     crowd = block.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > STAR).select("gram")
@@ -171,29 +181,50 @@ def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> Dat
         )
         busy = settle(shares.where(F.col("pairs") > ROOM * F.col("rows")), "busy")
         now = busy.agg(F.sum("pairs").alias("n")).first()["n"] or 0
-        if now == 0 or now > 0.7 * left:
+        if now == 0 or now > 0.9 * left:
             return links
         left = now
         open_ = settle(placed.join(busy.select("gram"), "gram"), "open-columns")
         free = open_ if used is None else open_.join(used, ["gram", "node"], "left_anti")
         best = F.max_by(F.struct("node", "n", "c"), F.struct("weight", -F.col("node"))).alias("hub")
-        hubs = settle(free.groupBy("gram").agg(best).select("gram", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "hubs")
-        used = hubs.select("gram", F.col("h").alias("node")) if used is None else used.unionByName(hubs.select("gram", F.col("h").alias("node")))
+        hubs = settle(
+            free.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("turn")).agg(best)
+            .select("gram", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "hubs"
+        )
+        named = hubs.select("gram", F.col("h").alias("node"))
+        used = named if used is None else used.unionByName(named)
         votes = (
             open_.join(hubs, "gram").where((F.col("c") != F.col("hc")) & _sizes_fit(F.col("n"), F.col("hn"), percent))
             .groupBy("node", "n", "h", "hn").agg(F.count("*").alias("votes"))
         )
-        chosen = settle(
-            votes.groupBy("node", "n").agg(F.max_by(F.struct("h", "hn"), F.struct("votes", -F.col("h"))).alias("hub"))
-            .select("node", "n", F.col("hub.h").alias("h"), F.col("hub.hn").alias("hn")), "chosen"
-        )
+        chosen = settle(_most(votes, "votes", COUNTED), "chosen")
         own = block.select("gram", F.col("node").alias("h")).join(chosen.select("h").distinct(), "h")
         shared = block.select("gram", "node").join(chosen, "node").join(own, ["gram", "h"]).groupBy("node", "n", "h", "hn").agg(F.count("*").alias("shared"))
-        pairs = shared.where(_enough("shared", "n", "hn", percent)).select(F.col("h").alias("u"), F.col("node").alias("v"))
-        links = links.unionByName(_links(docs, pairs, percent, length))
+        near = _most(shared.where(_may_link("shared", "n", "hn", percent)), "shared", VERIFIED)
+        links = links.unionByName(_links(docs, near.select(F.col("h").alias("u"), F.col("node").alias("v")), percent, length))
         found = connected_components(links)
 
 
+def _most(pairs: DataFrame, count: str, k: int) -> DataFrame:
+    """Of each node's hubs, at most one per column and so few, the ``k`` with the highest count."""
+    order = W.partitionBy("node").orderBy(F.desc(count), "h")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("node", "n", "h", "hn")
+
+
+def _sketches(block: DataFrame) -> DataFrame:
+    """(node, m, s): number of a node's columns and a bit for the hash of each."""
+    slot = F.pmod(F.xxhash64("gram"), F.lit(64 * SKETCH))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = [F.bit_or(F.when(F.floor(slot / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    return block.groupBy("node").agg(F.count("*").alias("m"), *words).select("node", "m", F.struct(*[f"s{i}" for i in range(SKETCH)]).alias("s"))
+
+
+def _most_shared(m: Column, s: Column, other: Column) -> Column:
+    """At most so many columns are shared with a node of the other sketch: each bit that only one has is a column of its own."""
+    lone = [F.bit_count(s[f"s{i}"].bitwiseAND(F.bitwise_not(other[f"s{i}"]))) for i in range(SKETCH)]
+    return m - sum(lone[1:], lone[0])
+
+
 def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of nodes with their component as ``c``."""
     return rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -212,8 +243,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
        that link share a leading n-gram. Columns that only one set holds are dropped.
     3. Columns of many documents are joined through a few hubs first; the links found make components. Pairs within a
        component need no further look, so a group of thousands of near copies is not paired off.
-    4. The product of the rest, over pairs from different components, adds up the shared columns of each pair, one n-gram
-       block per task. A pair goes on if sizes fit and the sum reaches the bound that its sizes give.
+    4. The product of the rest, over pairs from different components, adds up the shared columns of each pair. A pair is
+       discarded at once if sizes or sketches of its columns rule it out, else if the sum stays below the bound that its sizes give.
     5. Pairs that are left are verified on whole sets, read from the texts again.
 
     Every text is read whole and every candidate is verified; nothing is sampled or capped. A text without words, or null, has an
@@ -235,18 +266,24 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     block = settle(leading.join(shared, "gram").join(names, "name").select("gram", "node", "n").distinct(), "incidence")
 
     links = _crowds(docs, block, percent, length)
-    placed = _placed(block, connected_components(links))
-    mixed = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
+    placed = _placed(block, connected_components(links)).join(_sketches(block), "node")
+    # Of a pair from two components one is outside the largest component of each column they share.
+    parts = placed.groupBy("gram", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1").select("gram", "main")
     placed = settle(placed.join(mixed, "gram"), "columns")
-    part = placed.select("gram", "c").distinct()
-    cross = part.toDF("gram", "c").join(part.toDF("gram", "d"), "gram").where("c < d")
-    product = (
-        cross.join(placed.select("gram", "c", F.col("node").alias("a"), F.col("n").alias("na")), ["gram", "c"])
-        .join(placed.select("gram", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("nb")), ["gram", "d"])
-        .where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-        .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
+    outside = placed.where("c <> main").select("gram", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "c", "m", "s")])
+    fits = (
+        (F.col("c") != F.col("c_")) & _sizes_fit(F.col("n"), F.col("n_"), percent)
+        & (_most_shared(F.col("m"), F.col("s"), F.col("s_")) >= _least_shared(F.col("n"), F.col("n_"), percent))
+        & (_most_shared(F.col("m_"), F.col("s_"), F.col("s")) >= _least_shared(F.col("n"), F.col("n_"), percent))
+        # Both may be outside; such a pair counts once.
+        & ((F.col("c_") < F.col("c")) | (F.col("c") == F.col("main")))
     )
-    rest = product.where(_enough("shared", "na", "nb", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # A pair may stand either way round in different columns.
+    sizes = F.greatest("n", "n_").alias("most"), F.least("n", "n_").alias("least")
+    ends = F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")
+    product = outside.join(placed, "gram").where(fits).groupBy(*ends, *sizes).agg(F.count("*").alias("shared"))
+    rest = product.where(_may_link("shared", "most", "least", percent)).select("u", "v")
     found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
 
     own = listed.join(names, "name", "left").join(found, "node", "left")
