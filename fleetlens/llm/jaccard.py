@@ -22,7 +22,7 @@ LATE = 1 << 17
 STAR = 8
 #: Hubs that a crowded column names in a round, and of a document's hubs those whose shared columns are added up and those verified.
 HUBS, COUNTED, VERIFIED = 4, 4, 1
-#: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by at least a tenth.
+#: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by half.
 ROOM = 4
 #: Words of 64 bits in a document's sketch of its leading columns.
 SKETCH = 4
@@ -181,7 +181,7 @@ def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> Dat
         )
         busy = settle(shares.where(F.col("pairs") > ROOM * F.col("rows")), "busy")
         now = busy.agg(F.sum("pairs").alias("n")).first()["n"] or 0
-        if now == 0 or now > 0.9 * left:
+        if now == 0 or now > 0.5 * left:
             return links
         left = now
         open_ = settle(placed.join(busy.select("gram"), "gram"), "open-columns")
@@ -234,6 +234,37 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _product(block: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(u, v, most, least, shared): shared columns of pairs from different components, with the sizes of both sets.
+
+    Of such a pair one is outside the largest component of each column they share, so only those outside are paired off.
+    """
+    placed = _placed(block, found)
+    parts = placed.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(
+        F.count("*").alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("inner")
+    )
+    busy = F.col("rows") * F.col("rows") - F.col("inner") > 2 * ROOM * F.col("rows")
+    columns = settle(placed.join(parts.where("parts > 1").select("gram", "main", busy.alias("busy")), "gram"), "columns")
+    busy_rows = columns.where("busy")
+    sketches = _sketches(block.join(busy_rows.select("node").distinct(), "node"))
+    some, many = _met(columns.where("not busy"), percent), _met(busy_rows.join(sketches, "node"), percent, ("m", "s"))
+    # A pair may stand either way round in different columns.
+    sizes = F.greatest("n", "n_").alias("most"), F.least("n", "n_").alias("least")
+    ends = F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")
+    return some.unionByName(many).groupBy(*ends, *sizes).agg(F.count("*").alias("shared"))
+
+
+def _met(columns: DataFrame, percent: int, sketch: tuple[str, ...] = ()) -> DataFrame:
+    """A row (node, n, node_, n_) for each column that a pair shares, unless sizes or sketches rule the pair out."""
+    outside = columns.where("c <> main").select("gram", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "c", *sketch)])
+    # Both may be outside; such a pair counts once.
+    fits = (F.col("c") != F.col("c_")) & ((F.col("c_") < F.col("c")) | (F.col("c") == F.col("main"))) & _sizes_fit(F.col("n"), F.col("n_"), percent)
+    if sketch:
+        need = _least_shared(F.col("n"), F.col("n_"), percent)
+        fits &= (_most_shared(F.col("m"), F.col("s"), F.col("s_")) >= need) & (_most_shared(F.col("m_"), F.col("s_"), F.col("s")) >= need)
+    return outside.join(columns, "gram").where(fits).select("node", "n", "node_", "n_")
+
+
 def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for all rows of ``docs`` (doc_id, text): documents link when
     100 times the intersection of their shingle sets is at least ``percent`` times the union.
@@ -266,23 +297,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     block = settle(leading.join(shared, "gram").join(names, "name").select("gram", "node", "n").distinct(), "incidence")
 
     links = _crowds(docs, block, percent, length)
-    placed = _placed(block, connected_components(links)).join(_sketches(block), "node")
-    # Of a pair from two components one is outside the largest component of each column they share.
-    parts = placed.groupBy("gram", "c").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1").select("gram", "main")
-    placed = settle(placed.join(mixed, "gram"), "columns")
-    outside = placed.where("c <> main").select("gram", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "c", "m", "s")])
-    fits = (
-        (F.col("c") != F.col("c_")) & _sizes_fit(F.col("n"), F.col("n_"), percent)
-        & (_most_shared(F.col("m"), F.col("s"), F.col("s_")) >= _least_shared(F.col("n"), F.col("n_"), percent))
-        & (_most_shared(F.col("m_"), F.col("s_"), F.col("s")) >= _least_shared(F.col("n"), F.col("n_"), percent))
-        # Both may be outside; such a pair counts once.
-        & ((F.col("c_") < F.col("c")) | (F.col("c") == F.col("main")))
-    )
-    # A pair may stand either way round in different columns.
-    sizes = F.greatest("n", "n_").alias("most"), F.least("n", "n_").alias("least")
-    ends = F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")
-    product = outside.join(placed, "gram").where(fits).groupBy(*ends, *sizes).agg(F.count("*").alias("shared"))
+    product = _product(block, connected_components(links), percent)
     rest = product.where(_may_link("shared", "most", "least", percent)).select("u", "v")
     found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
 
