@@ -42,6 +42,9 @@ PIP_INSTALL = r"(?imd)^[ \t]*(?:#[ \t]*MAGIC[ \t]+)?%?pip[ \t]+install[ \t]+(.*)
 PIP_PINNED = r"^([A-Za-z0-9_.\[\]-]+)==([0-9][A-Za-z0-9.]*)$"
 PIP_NAME = r"^[A-Za-z0-9_.\[\]-]+$"
 
+#: Lines of a notebook that are no Python: shell and package commands.
+MAGIC_LINE = r"(?md)^[ \t\f]*(?:[%!]|pip install(?![A-Za-z0-9_])).*$"
+
 # Keys ------------------------------------------------------------------------------------------
 DEFAULT_JOB_KEY = r"[A-Z][A-Z0-9]+-\p{Nd}+"
 
@@ -101,7 +104,6 @@ DESTRUCTIVE_SQL = (
 )
 SQL_FILE_FLAG = r"(?U)(?:-f|-i|--file|--filename|--input-file|--query)[=\s]+([^\s;|&]+)"
 SQL_STDIN = r"(?U)<\s*([^\s;|&<>]+)"
-MAX_SQL_SCAN_BYTES = 2_000_000
 
 # Guarded commands per platform, (kind, order, rule name, pattern). The rule names are
 # ours; the patterns decide what is asked about.

@@ -4,30 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Copies of each lookup row. Enough to take one hot key apart; what is still too large for a task
-#: is split further by AQE's skew handling.
-SALTS = 8
 
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` with a side that has few rows per key.
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str | Column],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join on ``keys`` plus a salt, so that the rows of one hot key meet ``salts`` copies of its
-    lookup row in ``salts`` tasks.
-
-    No side is forced to broadcast: Spark broadcasts the lookup only while its size estimate is
-    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles on (keys, salt) otherwise. The salt is
-    a hash of row columns, so a recomputed task gives every row its old salt.
+    No side is forced to broadcast: Spark broadcasts the lookup only while its size estimate is below
+    ``spark.sql.autoBroadcastJoinThreshold``. Beyond that the session's skew handling (``session.DEFAULTS``) splits
+    the partition of a hot key by the measured sizes, which copies the lookup rows of that key alone.
     """
-    hashed = F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in spread_by])
-    salted = facts.withColumn("_salt", F.pmod(hashed, F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(lookup, list(keys), how)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 DASH = "—"
-SUMMARY_MAX = 180
 
 
 def either(*cols: Column) -> Column:
@@ -42,11 +41,6 @@ def lines(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("\n")) | (text == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def head(text: Column, n: int) -> Column:
-    """The first ``n`` lines of a text whose line ends are all ``\\n``."""
-    return F.substring_index(text, "\n", n)
-
-
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null (not '') when nothing matches."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -83,9 +77,11 @@ def file_stem(path: Column) -> Column:
 
 
 def key_number(ticket: Column) -> Column:
-    """Number of a job key, 0 when it has none."""
+    """Number of a job key, 0 when it has none, the largest number there is when it has too many digits."""
     digits = F.regexp_extract(ticket, r"-([0-9]+)", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("decimal(38,0)").cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(digits.try_cast("bigint"), F.lit(2**63 - 1).cast("bigint"))
+    )
 
 
 def key_pattern(prefixes: Column) -> Column:
@@ -123,11 +119,6 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, r"[:\\/]", ".")
 
 
-def summary(c: Column) -> Column:
-    """At most 180 characters, the cut marked with an ellipsis."""
-    return F.when(F.length(c) > SUMMARY_MAX, F.concat(rstrip(F.substring(c, 1, SUMMARY_MAX - 1)), F.lit("…"))).otherwise(c)
-
-
 def table_cell(c: Column) -> Column:
     """Text for a cell of a Markdown table."""
     escaped = F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))

@@ -17,7 +17,7 @@ def job_folders(dirs: DataFrame, config: DataFrame | None = None) -> DataFrame:
         keyed = named.withColumn("ticket", X.job_key(F.col("job_dir")))
     else:
         prefixes = config.select("repo", F.col("project.key_prefixes").alias("prefixes"))
-        keyed = lookup_join(named, prefixes, ["repo"], ["job_dir"]).withColumn(
+        keyed = lookup_join(named, prefixes, ["repo"]).withColumn(
             "ticket", X.job_key(F.col("job_dir"), F.col("prefixes"))
         )
     return keyed.where(F.col("ticket").isNotNull()).select("repo", "job_dir", "ticket")
@@ -56,9 +56,9 @@ def job_catalog(
         F.nullif(F.col("project.ticket_url_template"), F.lit("")).alias("url_template"),
     )
     rows = folders.join(doc, ["repo", "job_dir"], "left").join(found, ["repo", "job_dir"], "left")
-    rows = lookup_join(rows, curated, ["repo", "ticket"], ["job_dir"])
-    rows = lookup_join(rows.withColumn("job_key", F.lower("ticket")), deployed, ["repo", "job_key"], ["job_dir"])
-    rows = lookup_join(rows, conf, ["repo"], ["job_dir"])
+    rows = lookup_join(rows, curated, ["repo", "ticket"])
+    rows = lookup_join(rows.withColumn("job_key", F.lower("ticket")), deployed, ["repo", "job_key"])
+    rows = lookup_join(rows, conf, ["repo"])
 
     c, dash = F.col, F.lit(X.DASH)
     no_text = F.array().cast("array<string>")
@@ -70,7 +70,7 @@ def job_catalog(
         "ticket",
         c("job_dir").alias("dir"),
         X.either(c("cur_name"), c("doc_name"), c("def_name"), c("job_dir")).alias("name"),
-        X.summary(X.either(c("cur_summary"), c("doc_purpose"), dash)).alias("purpose"),
+        X.either(c("cur_summary"), c("doc_purpose"), dash).alias("purpose"),
         X.either(c("def_cron"), c("doc_schedule"), dash).alias("schedule"),
         X.either(c("cur_owner"), c("doc_owner"), dash).alias("owner"),
         F.coalesce("flags", no_text).alias("flags"),
@@ -152,7 +152,7 @@ def object_index(catalog: DataFrame) -> DataFrame:
     """Object -> jobs, one row per (object, folder) with the object's label and folder count. Rows
     rather than a list per object: an object may occur in a large share of all jobs."""
     entries = object_entries(catalog).select("repo", "object_key", "ticket", "dir", "link")
-    return lookup_join(entries, object_labels(catalog), ["repo", "object_key"], ["dir"], "inner").select(
+    return lookup_join(entries, object_labels(catalog), ["repo", "object_key"], "inner").select(
         "repo", "object_key", "object", "n_jobs", "ticket", "dir", "link"
     )
 
@@ -166,6 +166,6 @@ def migration_map(catalog: DataFrame) -> DataFrame:
     """Deprecated schema -> every job still on it, one row each, with the schema's number of jobs."""
     uses = catalog.select("repo", F.explode("flags").alias("schema"), "ticket", "dir")
     sizes = uses.groupBy("repo", "schema").agg(F.count("*").alias("n_jobs"))
-    return lookup_join(uses, sizes, ["repo", "schema"], ["dir"], "inner").select(
+    return lookup_join(uses, sizes, ["repo", "schema"], "inner").select(
         "repo", "schema", "n_jobs", "ticket", "dir"
     )

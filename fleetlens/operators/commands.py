@@ -50,11 +50,9 @@ def destructive_verb(dequoted: Column) -> Column:
 
 
 def sql_verdicts(sql_files: DataFrame) -> DataFrame:
-    """(repo, path, verb, too_large) of each SQL file: all a command needs to know about it, so texts are
-    never shuffled. Beyond the size cap a file counts as unscannable."""
-    too_large = F.col("n_bytes") > P.MAX_SQL_SCAN_BYTES
-    verb = F.when(~too_large, destructive_verb(X.dequoted(F.col("text"))))
-    return sql_files.select("repo", "path", verb.alias("verb"), too_large.alias("too_large"))
+    """(repo, path, verb) of each SQL file, read whole: all a command needs to know about it, so texts are
+    never shuffled."""
+    return sql_files.select("repo", "path", destructive_verb(X.dequoted(F.col("text"))).alias("verb"))
 
 
 def _file_refs(cmd: Column) -> Column:
@@ -77,15 +75,13 @@ def _file_scans(commands: DataFrame, sql_files: DataFrame, *keep: str) -> DataFr
         "path",
         X.resolved_path(F.when((F.col("cwd") != "") & ~ref.startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(ref)),
     )
-    return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"], ["event_id"])
+    return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"])
 
 
 def referenced_sql_scan(commands: DataFrame, sql_files: DataFrame) -> DataFrame:
-    """(event_id, repo, ord, path, verb, too_large): the SQL files each command names, with what the scan
-    of the file found. Paths are relative to the repository root or to the event's folder in it."""
-    return _file_scans(commands, sql_files).select(
-        "event_id", "repo", "ord", "path", "verb", F.coalesce("too_large", F.lit(False)).alias("too_large")
-    )
+    """(event_id, repo, ord, path, verb): the SQL files each command names, with what the scan of the file
+    found. Paths are relative to the repository root or to the event's folder in it."""
+    return _file_scans(commands, sql_files).select("event_id", "repo", "ord", "path", "verb")
 
 
 def _decide(commands: DataFrame) -> DataFrame:
@@ -94,7 +90,6 @@ def _decide(commands: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("rule").isNotNull(), F.concat(F.lit("platform:"), "kind", F.lit(":"), "rule"))
         .when(F.col("cli").isNotNull() & verb.isNotNull(), F.concat(F.lit("warehouse:"), "cli", F.lit(":"), verb))
-        .when(F.col("cli").isNotNull() & F.col("too_large"), F.concat(F.lit("unscannable:"), "cli"))
     )
     return commands.withColumn("reason", reason).select(
         *EVENT, F.when(F.col("reason").isNull(), F.lit(PASS)).otherwise(F.lit(ASK)).alias("decision"), "reason"
@@ -105,7 +100,7 @@ def command_audit(
     commands: DataFrame, sql_files: DataFrame, rules: Sequence[tuple] = tuple(P.GUARD_RULES)
 ) -> DataFrame:
     """One decision per command: the platform's guarded commands first, then destructive SQL sent through
-    a warehouse client, inline or in a file, then files too large to scan.
+    a warehouse client, inline or in a file.
 
     Only commands that call a client, name a file and are not decided yet take the join; all others are
     decided row by row without a shuffle.
@@ -119,16 +114,19 @@ def command_audit(
     names_file = F.size(_file_refs(F.col("cmd"))) > 0
     tested = X.computed_once(own, open=F.col("cli").isNotNull() & F.col("verb").isNull() & names_file)
     direct = tested.where(~F.col("open")).select(
-        *EVENT, "rule", "cli", "verb", F.lit(None).cast("string").alias("file_verb"), F.lit(False).alias("too_large")
+        *EVENT, "rule", "cli", "verb", F.lit(None).cast("string").alias("file_verb")
     )
     waiting = tested.where("open").drop("verb")
     with_files = (
         _file_scans(waiting, sql_files, "ts", "kind", "cmd", "cli")
-        .groupBy(*EVENT, "cli")
+        .groupBy(*EVENT, "cwd", "cli")
         .agg(
             F.min_by("verb", F.when(F.col("verb").isNotNull(), F.col("ord"))).alias("file_verb"),
-            F.coalesce(F.max("too_large"), F.lit(False)).alias("too_large"),
+            # Equal events meet here; each named a first file once and comes out again.
+            F.count_if(F.col("ord") == 0).cast("int").alias("times"),
         )
+        .withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .drop("cwd", "times", "turn")
         .withColumn("rule", F.lit(None).cast("string"))
         .withColumn("verb", F.lit(None).cast("string"))
     )

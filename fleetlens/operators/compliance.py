@@ -18,7 +18,7 @@ def arch_findings(refs: DataFrame, policy: DataFrame) -> DataFrame:
     declares a layer with a rule, the schema must be that layer or one it may read.
     """
     rules = policy.select("repo", "deny", "exceptions", "hints", "layer_rules")
-    judged = lookup_join(refs, rules, ["repo"], ["path", "line_no"], "inner")
+    judged = lookup_join(refs, rules, ["repo"], "inner")
     ref, layer, parts = F.upper("ref"), F.col("layer"), F.col("parts")
     denied = F.try_element_at(F.filter(parts, lambda p: F.array_contains(F.col("deny"), p)), F.lit(1))
     hint = F.coalesce(

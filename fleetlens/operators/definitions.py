@@ -33,7 +33,7 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
     from every folder in order."""
     ranked = lookup_join(
         _in_repo(defs).where((F.col("ext") == "json") & F.col("error_line").isNull() & F.col("is_object")),
-        _env_order(config), ["repo"], ["path"], "inner",
+        _env_order(config), ["repo"], "inner",
     ).where(F.when(F.col("has_prod"), F.col("env") == "prod").otherwise(F.array_contains("envs", F.col("env"))))
     order = F.struct(F.array_position("envs", F.col("env")), X.path_order(F.col("path")))
     return (
@@ -46,7 +46,7 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
 def _configured(defs: DataFrame, config: DataFrame) -> DataFrame:
     """Definitions in a configured folder with ``env_rank``: JSON from prod first, then (as DDL always)
     in configured order."""
-    ranked = lookup_join(_in_repo(defs), _env_order(config), ["repo"], ["path"], "inner")
+    ranked = lookup_join(_in_repo(defs), _env_order(config), ["repo"], "inner")
     prod_first = (F.col("ext") == "json") & (F.col("env") == "prod")
     position = F.array_position("envs", F.col("env"))
     return ranked.where(position > 0).withColumn("env_rank", F.when(prod_first, 0).otherwise(position))
@@ -90,8 +90,8 @@ def repo_definition_lookup(refs: DataFrame, defs: DataFrame, config: DataFrame)
         F.lower(F.substring_index("ref", "_", 1)).alias("key"),
         F.lower("ref").alias("named"),
     )
-    found = lookup_join(asked, first_by("by_key", "key"), ["repo", "key"], ["ref"])
-    found = lookup_join(found, first_by("by_name", "named"), ["repo", "named"], ["ref"])
+    found = lookup_join(asked, first_by("by_key", "key"), ["repo", "key"])
+    found = lookup_join(found, first_by("by_name", "named"), ["repo", "named"])
     best = F.least("key_hit", "named_hit")
     return found.select("repo", "ref", best["hit"]["path"].alias("path"), best["hit"]["top_name"].alias("name"))
 
@@ -107,7 +107,7 @@ def definition_lint(defs: DataFrame, config: DataFrame) -> DataFrame:
         "repo", F.when(F.size(configured) > 0, configured).otherwise(fallback).alias("dirs")
     )
     checked = lookup_join(
-        _in_repo(defs).where(F.col("ext") == "json"), dirs, ["repo"], ["path"]
+        _in_repo(defs).where(F.col("ext") == "json"), dirs, ["repo"]
     )
     normal = F.regexp_replace("path", r"\A[./]+", "")
     deployable = F.exists(F.coalesce("dirs", fallback), lambda d: F.contains(normal, d))
@@ -137,14 +137,14 @@ def definition_counts(folders: DataFrame, defs: DataFrame, config: DataFrame) ->
         F.col("platform.deploy_model").alias("deploy_model"),
         F.coalesce(F.map_keys("platform.job_def_dirs"), F.array().cast("array<string>")).alias("envs"),
     )
-    wanted = lookup_join(folders, models, ["repo"], ["job_dir"], "inner").withColumn("job_key", F.lower("ticket"))
+    wanted = lookup_join(folders, models, ["repo"], "inner").withColumn("job_key", F.lower("ticket"))
     present = (
-        lookup_join(_in_repo(defs), models, ["repo"], ["path"], "inner")
+        lookup_join(_in_repo(defs), models, ["repo"], "inner")
         .where((F.col("ext") == _definition_ext(F.col("deploy_model"))) & F.array_contains("envs", F.col("env")))
         .groupBy("repo", F.lower("job_key").alias("job_key"))
         .agg(F.count("*").alias("n_defs"))
     )
-    return lookup_join(wanted, present, ["repo", "job_key"], ["job_dir"]).select(
+    return lookup_join(wanted, present, ["repo", "job_key"]).select(
         "repo", "job_dir", "ticket", "deploy_model", F.coalesce("n_defs", F.lit(0)).alias("n_defs")
     )
 

@@ -19,7 +19,7 @@ def vulnerable_pins(pins: DataFrame, advisory: DataFrame, allow: DataFrame) -> D
     """(job, package, version, vuln_id) of pinned versions with an open advisory, one row per advisory."""
     pinned = pins.where(F.col("version").isNotNull())
     known = open_advisories(advisory, allow)
-    return lookup_join(pinned, known, PIN, ["repo", "job_dir"], "inner").select("repo", "job_dir", *PIN, "vuln_id")
+    return lookup_join(pinned, known, PIN, "inner").select("repo", "job_dir", *PIN, "vuln_id")
 
 
 def unpinned_installs(pins: DataFrame) -> DataFrame:

@@ -9,15 +9,13 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.skew import lookup_join
 
-LINT_HEAD = 80
-
 
 def _literal(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
 
 
-def _header_fields_in(text: Column, wanted: Column) -> Column:
-    """The wanted ``# FIELD:`` names in the first lines. Names are read off with one pattern; only a
+def _header_fields_in(wanted: Column) -> Column:
+    """The wanted ``# FIELD:`` names of a notebook. Names are read off with one pattern; only a
     name that pattern cannot spell is looked for by itself."""
     names = F.col("_names")
     odd = r"(?U)[\n:=]|^\s|\s\z"
@@ -26,7 +24,7 @@ def _header_fields_in(text: Column, wanted: Column) -> Column:
         lambda f: F.array_contains(names, f)
         | (
             f.rlike(odd)
-            & F.rlike("_head", F.concat(F.lit(rf"(?md)^#{P.SPACE}*"), _literal(f), F.lit(rf"{P.SPACE}*[:=]")))
+            & F.rlike("_notebook", F.concat(F.lit(rf"(?md)^#{P.SPACE}*"), _literal(f), F.lit(rf"{P.SPACE}*[:=]")))
         ),
     )
 
@@ -37,11 +35,11 @@ def best_headers(folders: DataFrame, files: DataFrame, required: DataFrame) -> D
     parts = X.path_parts(F.col("path"))
     direct = F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1
     notebooks = files.where((F.col("ext") == "py") & direct).select(
-        "repo", "job_dir", "path", X.head(X.one_line_end(F.col("text")), LINT_HEAD).alias("_head")
-    ).withColumn("_names", F.regexp_extract_all("_head", F.lit(P.HEADER_KEY), F.lit(1)))
-    # Only short name lists travel from here on, not the texts.
-    ruled = lookup_join(notebooks, required, ["repo"], ["path"], "inner").withColumn(
-        "present", _header_fields_in(F.col("_head"), F.col("header_fields"))
+        "repo", "job_dir", "path", X.one_line_end(F.col("text")).alias("_notebook")
+    ).withColumn("_names", F.regexp_extract_all("_notebook", F.lit(P.HEADER_KEY), F.lit(1)))
+    # The required fields are a row per repository; a notebook is needed for names the pattern cannot spell.
+    ruled = lookup_join(notebooks, required, ["repo"], "inner").withColumn(
+        "present", _header_fields_in(F.col("header_fields"))
     )
     best = F.struct((-F.size("present")).alias("rank"), X.path_order(F.col("path")).alias("place"))
     return ruled.groupBy("repo", "job_dir").agg(F.min_by("present", best).alias("present"))
@@ -49,7 +47,7 @@ def best_headers(folders: DataFrame, files: DataFrame, required: DataFrame) -> D
 
 def doc_lint(folders: DataFrame, docs: DataFrame, files: DataFrame, required: DataFrame) -> DataFrame:
     """Problems of each job's documentation: (repo, job_dir, problem)."""
-    jobs = lookup_join(folders.select("repo", "job_dir"), required, ["repo"], ["job_dir"], "inner")
+    jobs = lookup_join(folders.select("repo", "job_dir"), required, ["repo"], "inner")
     doc = docs.select("repo", "job_dir", F.col("text").alias("doc"))
     headers = best_headers(folders, files, required)
     state = jobs.join(doc, ["repo", "job_dir"], "left").join(headers, ["repo", "job_dir"], "left")

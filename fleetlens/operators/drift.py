@@ -29,7 +29,7 @@ def definition_drift(leaves: DataFrame, compared: DataFrame) -> DataFrame:
     """Paths of the compared jobs that are live only, in the repository only, or differ. Both sides meet in one aggregation
     on (job, path): one shuffle with map-side merge instead of an outer join."""
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("val")))
-    paired = lookup_join(leaves, compared, JOB, ["path"], "inner")
+    paired = lookup_join(leaves, compared, JOB, "inner")
     both = paired.groupBy(*JOB, "path").agg(side("repo").alias("repo_val"), side("live").alias("live_val"))
     kind = (
         F.when(F.col("repo_val").isNull(), F.lit("added"))
@@ -102,7 +102,7 @@ def drift_summary(
         F.when(F.col("drift"), F.array(F.lit("ddl"))).otherwise(none).alias("changed"),
     )
     return lookup_join(
-        json_rows.unionByName(ddl_rows), scope, ["repo", "adapter_model"], ["job_key"], "inner"
+        json_rows.unionByName(ddl_rows), scope, ["repo", "adapter_model"], "inner"
     ).drop("adapter_model")
 
 
@@ -115,7 +115,7 @@ def live_name_resolution(refs: DataFrame, found: DataFrame, live_job: DataFrame)
         F.count("*").alias("n"), F.min("job_id").alias("job_id")
     )
     named = asked.withColumn("live_name", F.coalesce("def_name", "ref"))
-    hit = lookup_join(named, by_name, ["repo", "live_name"], ["ref"])
+    hit = lookup_join(named, by_name, ["repo", "live_name"])
     is_id = F.col("ref").rlike(r"^\p{Nd}+\z")
     n = F.when(is_id, F.lit(1)).otherwise(F.coalesce("n", F.lit(0)))
     return hit.select(

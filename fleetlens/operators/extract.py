@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -10,13 +10,6 @@ from ..functions import text as X
 from ..functions.pyhelpers import syntax_batches
 from ..functions.skew import lookup_join
 
-MAX_OBJECTS = 40
-CATALOG_HEAD = 60
-#: Up to this many denied words of a whole estate are matched inside each file.
-MAX_DENIED_WORDS = 1000
-#: Up to this many of them make one pattern.
-MAX_WORDS_IN_PATTERN = 50
-
 
 def source_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
@@ -53,19 +46,6 @@ def _all_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(f"{P.WORD}+"), F.lit(0)))
 
 
-def _words(text: Column, known: list[str] | None) -> Column:
-    """Distinct upper-case words of a text; only those of ``known`` if given."""
-    if known is None:
-        return _all_words(text)
-    if not known:
-        return F.array().cast("array<string>")
-    if len(known) > MAX_WORDS_IN_PATTERN:
-        return F.array_intersect(_all_words(text), F.array(*[F.lit(w) for w in known]))
-    first = "".join(sorted({w[0] for w in known}))
-    pattern = rf"(?i)(?=[{first}]){P.WORD_START}(?:{'|'.join(known)}){P.WORD_END}"
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.upper))
-
-
 def _dollar_names(text: Column) -> Column:
     """``$``-joined names; most texts have none."""
     found = F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}_$]*\$[\p{L}\p{N}_$]*"), F.lit(0))
@@ -82,15 +62,15 @@ def _word_facts(words: Column, dollars: Column) -> Column:
     return F.concat(plain, F.flatten(joined))
 
 
-def _notebook_head() -> Column:
-    """First lines of a notebook directly in the job folder, else null."""
+def _notebook() -> Column:
+    """Text of a notebook directly in the job folder, else null."""
     parts = X.path_parts(F.col("path"))
     direct = F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1
-    return F.when((F.col("ext") == "py") & direct, X.head(X.one_line_end(F.col("text")), CATALOG_HEAD))
+    return F.when((F.col("ext") == "py") & direct, X.one_line_end(F.col("text")))
 
 
 def _header_facts(fields: Column) -> Column:
-    """STATUS and LAST_UPDATED among the header fields of a head; none when it has neither. The first
+    """STATUS and LAST_UPDATED among the header fields; none when it has neither. The first
     value of each counts."""
 
     def value(key: str) -> Column:
@@ -101,13 +81,6 @@ def _header_facts(fields: Column) -> Column:
     return F.filter(F.array(fact), lambda _: F.size(fields) > 0)
 
 
-def denied_words(deny: DataFrame) -> list[str] | None:
-    """The first words of all denied schemas if they are few, else None. A few words of a whole estate
-    are matched per file; otherwise every word of a file goes into the join with the deny lists."""
-    words = _deny_lookup(deny).select("key").where("key <> ''").distinct().limit(MAX_DENIED_WORDS + 1).collect()
-    return sorted(row.key for row in words) if len(words) <= MAX_DENIED_WORDS else None
-
-
 def _deny_lookup(deny: DataFrame) -> DataFrame:
     """(repo, key, term, pattern): a denied schema under its first word. Of spellings that differ only
     in case the last configured one is reported. ``pattern`` is null for a term without ``$``."""
@@ -137,7 +110,7 @@ def _place(files: DataFrame, **parsed: Column) -> DataFrame:
 
 
 def _header_fields() -> Column:
-    return F.regexp_extract_all(_notebook_head(), F.lit(P.HEADER_FIELD), F.lit(0))
+    return F.regexp_extract_all(_notebook(), F.lit(P.HEADER_FIELD), F.lit(0))
 
 
 def _facts(parsed: DataFrame, *facts: Column) -> DataFrame:
@@ -160,25 +133,12 @@ def _first_of_each(facts: DataFrame) -> DataFrame:
     )
 
 
-def _cap_objects(facts: DataFrame) -> DataFrame:
-    """Keep a job's first 40 objects by name; other facts stand alone in their group. Spark applies
-    the limit before the shuffle too, so a job with very many objects sends 40 rows per map task."""
-    group = F.when(F.col("kind") == "object", F.lit("object")).otherwise(F.concat_ws(":", "kind", "key"))
-    keys = ["repo", "job_dir", "group"]
-    rank = F.row_number().over(Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("key"))
-    return facts.withColumn("group", group).withColumn("rank", rank).where(F.col("rank") <= MAX_OBJECTS).drop(
-        "group", "rank"
-    )
-
-
 def _keep_denied(facts: DataFrame, deny: DataFrame) -> DataFrame:
     """Words become mentions where the repository denies them; other facts pass."""
-    word = F.when(F.col("kind") == "word", F.col("key"))
+    # A key that no denied word has spreads the other facts over the tasks.
+    word = F.when(F.col("kind") == "word", F.col("key")).otherwise(F.concat(F.lit("\x00"), "job_dir", "key"))
     joined = lookup_join(
-        facts.withColumn("name", F.col("key")).withColumn("key", word),
-        _deny_lookup(deny),
-        ["repo", "key"],
-        ["job_dir", "place"],
+        facts.withColumn("name", F.col("key")).withColumn("key", word), _deny_lookup(deny), ["repo", "key"]
     )
     mention = F.when(F.col("pattern").isNull(), F.col("seq") == "").otherwise(
         (F.col("seq") != "") & F.rlike("seq", F.col("pattern"))
@@ -194,11 +154,11 @@ def _keep_denied(facts: DataFrame, deny: DataFrame) -> DataFrame:
 
 def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Objects, header and denied schemas of every job, from one scan of the texts:
-    (repo, job_dir, status, last_updated, objects, flags). ``objects`` holds at most 40 names and
-    ``flags`` at most the repository's deny list."""
+    (repo, job_dir, status, last_updated, objects, flags). ``objects`` holds the distinct
+    names of one folder and ``flags`` at most the repository's deny list."""
     text = F.col("text")
     parsed = _place(
-        files, names=_names(text), words=_words(text, denied_words(deny)), dollars=_dollar_names(text),
+        files, names=_names(text), words=_all_words(text), dollars=_dollar_names(text),
         fields=_header_fields(),
     )
     facts = _facts(
@@ -207,7 +167,7 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
         _header_facts(F.col("fields")),
         _word_facts(F.col("words"), F.col("dollars")),
     )
-    kept = _cap_objects(_first_of_each(_keep_denied(facts, deny)))
+    kept = _first_of_each(_keep_denied(facts, deny))
     is_kind = lambda k: F.col("kind") == k
     return kept.groupBy("repo", "job_dir").agg(
         F.max(F.when(is_kind("header"), F.col("v1"))).alias("status"),
@@ -218,9 +178,9 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
 
 
 def object_refs(files: DataFrame) -> DataFrame:
-    """Data objects of every job in their first casing, at most 40 by name."""
+    """Data objects of every job in their first casing."""
     facts = _facts(_place(files, names=_names(F.col("text"))), _object_facts(F.col("names")))
-    return _cap_objects(_first_of_each(facts)).select(
+    return _first_of_each(facts).select(
         "repo", "job_dir", F.col("key").alias("object_key"), F.col("v1").alias("object")
     )
 
@@ -228,7 +188,7 @@ def object_refs(files: DataFrame) -> DataFrame:
 def deprecated_mentions(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Denied schemas named anywhere in a job's texts, comments included."""
     text = F.col("text")
-    parsed = _place(files, words=_words(text, denied_words(deny)), dollars=_dollar_names(text))
+    parsed = _place(files, words=_all_words(text), dollars=_dollar_names(text))
     facts = _facts(parsed, _word_facts(F.col("words"), F.col("dollars")))
     return _keep_denied(facts, deny).select("repo", "job_dir", F.col("key").alias("term")).distinct()
 
@@ -315,7 +275,9 @@ def pip_requirements(files: DataFrame) -> DataFrame:
 
 def syntax_findings(files: DataFrame) -> DataFrame:
     """Notebooks that do not parse even without their magic lines. Parsed, never run."""
-    notebooks = files.where(F.col("ext") == "py").select("repo", "job_dir", "path", "text")
+    # The same lines without shell and package magic; the line numbers stay.
+    bare = F.regexp_replace(X.unix_newlines(F.col("text")), P.MAGIC_LINE, "#")
+    notebooks = files.where(F.col("ext") == "py").select("repo", "job_dir", "path", "text", bare.alias("bare"))
     return notebooks.mapInArrow(
         syntax_batches, "repo string, job_dir string, path string, line bigint, msg string"
     )

@@ -39,6 +39,6 @@ def stale_summaries(enrichment: DataFrame, folders: DataFrame, docs: DataFrame)
         (F.coalesce("summary", F.lit("")) != "") & (F.coalesce("claude_md_hash", F.lit("")) != "")
     ).select("repo", "ticket", "claude_md_hash")
     current = folders.join(docs.select("repo", "job_dir", "content_sha256"), ["repo", "job_dir"])
-    return lookup_join(current, curated, ["repo", "ticket"], ["job_dir"], "inner").where(
+    return lookup_join(current, curated, ["repo", "ticket"], "inner").where(
         F.col("claude_md_hash") != F.col("content_sha256")
     ).select("repo", "ticket", "job_dir")

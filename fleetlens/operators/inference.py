@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
 
-MAX_PREFIXES = 5
 JOB_FOLDER = r"^([A-Za-z][A-Za-z0-9]*)-\p{Nd}+_"
 CANDIDATES = ["jobs", "dags", "pipelines", "tasks"]
 NAME = r"\A[A-Za-z0-9._-]+\z"
@@ -82,7 +81,7 @@ def platform_inference(listing: DataFrame) -> DataFrame:
 
 def jobs_dir_inference(listing: DataFrame) -> DataFrame:
     """(repo, jobs_dir, key_prefixes): the first candidate folder whose children look like job folders,
-    with at most five prefixes; ``jobs`` without prefixes when there is none."""
+    with its prefixes; ``jobs`` without prefixes when there is none."""
     parts = _parts()
     child = F.get(parts, F.lit(1))
     known = F.array(*[F.lit(c) for c in CANDIDATES])
@@ -93,13 +92,11 @@ def jobs_dir_inference(listing: DataFrame) -> DataFrame:
         .where(_usable_path(F.col("top")) & (F.col("top").isin(CANDIDATES) | ~F.col("top").startswith(".")))
         .distinct()
     )
-    first = Window.partitionBy("repo", "top").orderBy("prefix")
-    few = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_PREFIXES)
     place = F.coalesce(
         F.nullif(F.array_position(known, F.col("top")), F.lit(0).cast("bigint")), F.lit(len(CANDIDATES) + 1).cast("bigint")
     )
     best = (
-        few.groupBy("repo", "top")
+        found.groupBy("repo", "top")
         .agg(F.sort_array(F.collect_list("prefix")).alias("key_prefixes"))
         .groupBy("repo")
         .agg(F.min(F.struct(place.alias("place"), "top", "key_prefixes")).alias("b"))

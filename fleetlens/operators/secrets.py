@@ -11,7 +11,6 @@ from ..functions import patterns as P
 from ..functions import text as X
 from .extract import source_lines
 
-SNIPPET = 120
 #: Terms tested in one generated expression; a longer list is tested in several.
 TERMS_PER_EXPRESSION = 100
 
@@ -37,7 +36,7 @@ def secret_shape_scan(files: DataFrame, shapes: Sequence[tuple[str, str, str]] =
     )
     return lines.select(
         "repo", "path", "line_no", F.explode(hits).alias("shape"),
-        F.substring(X.strip(F.col("line")), 1, SNIPPET).alias("snippet"),
+        X.strip(F.col("line")).alias("snippet"),
     )
 
 

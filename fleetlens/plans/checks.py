@@ -27,10 +27,9 @@ STEPS: dict[str, str] = {
           select *, regexp_extract_all(code, '(?i)\b(?:from|join|into|update|table|view)\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w+){1,2})', 1) as n from @@code)""",
     "object": """
         select repo, job_dir, object_key, object from (
-          select repo, job_dir, object_key, object, row_number() over (partition by repo, job_dir order by object_key) as r from (
-            select repo, job_dir, lower(name) as object_key, name as object, row_number() over (partition by repo, job_dir, lower(name)
-                   order by case when ext = 'sql' then 0 else 1 end, string_split(path, '/'), line_no, pos) as f from @@name)
-          where f = 1) where r <= 40""",
+          select repo, job_dir, lower(name) as object_key, name as object, row_number() over (partition by repo, job_dir, lower(name)
+                 order by case when ext = 'sql' then 0 else 1 end, string_split(path, '/'), line_no, pos) as f from @@name)
+        where f = 1""",
     "deny": """
         select repo, unnest(string_split(deny, ',')) as term, upper(unnest(string_split(deny, ','))) as schema,
                generate_subscripts(string_split(deny, ','), 1) - 1 as ord from @@conf where deny <> ''""",
@@ -44,7 +43,7 @@ STEPS: dict[str, str] = {
                  row_number() over (partition by repo, job_dir order by string_split(path, '/')) as r from (
             select repo, job_dir, path, regexp_extract_all(top, '(?m)^#\s*(STATUS|LAST_UPDATED)\s*[:=]\s*(.+)$', 1) as k,
                    regexp_extract_all(top, '(?m)^#\s*(STATUS|LAST_UPDATED)\s*[:=]\s*(.+)$', 2) as v
-            from (select *, array_to_string(string_split(text, chr(10))[1:60], chr(10)) as top from @@src
+            from (select *, text as top from @@src
                   where ext = 'py' and path not like '%/lib/%'))
           where len(k) > 0) where r = 1""",
     "doc_field": r"""
@@ -82,7 +81,7 @@ STEPS: dict[str, str] = {
     "cat": """
         select f.repo, f.ticket, f.job_dir as dir,
           coalesce(nullif(c.name, ''), nullif(d.name, ''), nullif(s.name, ''), f.job_dir) as name,
-          case when length(p) <= 180 then p else rtrim(left(p, 179)) || '…' end as purpose,
+          p as purpose,
           coalesce(nullif(s.cron, ''), nullif(d.schedule, ''), '—') as schedule,
           coalesce(nullif(c.owner, ''), nullif(d.owner, ''), '—') as owner,
           coalesce(m.flags, '') as flags,
@@ -162,7 +161,7 @@ STEPS: dict[str, str] = {
         union all
         select repo, 'header', unnest(case when header_req = '' then ['JOB', 'TICKET', 'PURPOSE', 'STATUS'] else string_split(header_req, ',') end) from @@conf""",
     "book": r"""
-        select s.repo, s.job_dir, s.path, list(n.field) filter (where regexp_matches(array_to_string(string_split(s.text, chr(10))[1:80], chr(10)), '(?m)^#\s*' || n.field || '\s*[:=]')) as present
+        select s.repo, s.job_dir, s.path, list(n.field) filter (where regexp_matches(s.text, '(?m)^#\s*' || n.field || '\s*[:=]')) as present
         from @@src s join @@need n on s.repo = n.repo and n.kind = 'header' where s.ext = 'py' and s.path not like '%/lib/%' group by 1, 2, 3""",
     "best": """
         select repo, job_dir, coalesce(present, []) as present from (
@@ -242,8 +241,8 @@ STEPS: dict[str, str] = {
            or (kind = 'airflow' and state = 'running') or (kind = 'snowflake_tasks' and state = 'EXECUTING')""",
     "plain": "select *, replace(replace(cmd, chr(39), ''), '\"', '') as q from @@command",
     "sql_verdict": r"""
-        select repo, path, n_bytes > 2000000 as too_large, case when n_bytes <= 2000000 then upper(nullif(regexp_extract(replace(replace(text, chr(39), ''), '"', ''),
-          '(?i)\b(CREATE\s+OR\s+REPLACE|CREATE|ALTER|DROP|DELETE|UPDATE|INSERT|TRUNCATE|MERGE|GRANT|REVOKE|REPLACE\s+INTO)\b', 1), '')) end as verb from @@sql_file""",
+        select repo, path, upper(nullif(regexp_extract(replace(replace(text, chr(39), ''), '"', ''),
+          '(?i)\b(CREATE\s+OR\s+REPLACE|CREATE|ALTER|DROP|DELETE|UPDATE|INSERT|TRUNCATE|MERGE|GRANT|REVOKE|REPLACE\s+INTO)\b', 1), '')) as verb from @@sql_file""",
     "named_file": r"""
         select event_id, repo, generate_subscripts(r, 1) - 1 as ord, trim(unnest(r), chr(39) || '"') as path from (
           select event_id, repo, list_concat(regexp_extract_all(cmd, '(?:-f|-i|--file|--filename|--input-file|--query)[=\s]+([^\s;|&]+)', 1),
@@ -251,8 +250,7 @@ STEPS: dict[str, str] = {
     "audit": r"""
         select event_id, ts, repo, kind, cmd, case when reason is null then 'pass' else 'ask' end as decision, reason from (
           select *, case when rule is not null then 'platform:' || kind || ':' || rule
-                         when cli is not null and coalesce(verb, fverb) is not null then 'warehouse:' || cli || ':' || coalesce(verb, fverb)
-                         when cli is not null and big then 'unscannable:' || cli end as reason from (
+                         when cli is not null and coalesce(verb, fverb) is not null then 'warehouse:' || cli || ':' || coalesce(verb, fverb) end as reason from (
             select p.*, case
               when kind = 'databricks' and regexp_matches(q, '(?i)databricks\s+jobs\s+reset\b') then 'jobs-reset'
               when kind = 'databricks' and regexp_matches(q, '(?i)databricks\s+jobs\s+delete\b') then 'jobs-delete'
@@ -268,22 +266,23 @@ STEPS: dict[str, str] = {
               when kind = 'prefect' and regexp_matches(q, '(?i)prefect\s+(deployment|flow-run|work-pool)\s+delete\b') then 'delete' end as rule,
               case when regexp_matches(q, '(^|[\s;&|(/])snow(\s|$)') then 'snow' when regexp_matches(q, '(^|[\s;&|(/])psql(\s|$)') then 'psql' end as cli,
               upper(nullif(regexp_extract(q, '(?i)\b(CREATE\s+OR\s+REPLACE|CREATE|ALTER|DROP|DELETE|UPDATE|INSERT|TRUNCATE|MERGE|GRANT|REVOKE|REPLACE\s+INTO)\b', 1), '')) as verb,
-              f.fverb, coalesce(f.big, false) as big
+              f.fverb
             from @@plain p left join (
-              select n.event_id, arg_min(v.verb, n.ord) as fverb, bool_or(v.too_large) as big from @@named_file n
+              select n.event_id, arg_min(v.verb, n.ord) as fverb from @@named_file n
               join @@sql_verdict v on n.repo = v.repo and n.path = v.path group by 1) f on p.event_id = f.event_id))""",
 }
 
 CHECKS: dict[str, str] = {
     "scan_source_files": """
         select source as repo, 'JOB-' || doc_id || '_Text' as job_dir,
-          'jobs/JOB-' || doc_id || '_Text/sub/t.' || case when lang = 'en' then 'py' else 'sql' end as path,
+          case when ascii(right(source, 1)) % 2 = 0 then 'jobs' else 'etl/work' end || '/JOB-' || doc_id || '_Text/sub/t.' || case when lang = 'en' then 'py' else 'sql' end as path,
           case when lang = 'en' then 'py' else 'sql' end as ext, regexp_replace(text, '\\r\\n?', chr(10), 'g') as text,
           strlen(text) as n_bytes from @documents""",
     "scan_job_docs": "select repo, job_dir, text, sha256(text) as content_sha256 from @@doc",
     "scan_definitions": """
         select d.repo, d.job_key, d.env, d.path, d.stem, d.ext, d.raw, case when j.valid then null when d.ext = 'json' then 2 end::bigint as error_line, j.name, j.cron
-        from @@all_def d left join @@json_def j on d.repo = j.repo and d.path = j.path and d.side = j.side where d.side = 'repo'""",
+        from @@all_def d left join @@json_def j on d.repo = j.repo and d.path = j.path and d.side = j.side where d.side = 'repo'
+          and (not exists (select 1 from @@env e where e.repo = d.repo) or exists (select 1 from @@env e where e.repo = d.repo and e.env = d.env and d.path like e.dir || '/%'))""",
     "load_enrichment": """
         select repo, 'JOB-' || k as ticket, case when k < 2 then c_name else c_name end as name, null::varchar as summary, 'o' || c_nationkey as owner
         from (select *, c_custkey as k, 'repo' || c_custkey as repo from @customer) where k % 10 <> 9
@@ -350,6 +349,10 @@ CHECKS: dict[str, str] = {
         with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select repo, arg_max(ticket, num) as job from g group by repo)
         select t.repo, t.job, b.ticket as related, count(*) as n_shared, min(a.o) as first_shared
         from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket group by 1, 2, 3""",
+    "shared_objects": """
+        with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select repo, arg_max(ticket, num) as job from g group by repo)
+        select t.repo, t.job, b.ticket as related, a.o as object_key
+        from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket""",
     "migration_map": """
         with u as (select repo, unnest(string_split(flags, ',')) as schema, ticket, dir from @@cat where flags <> '')
         select u.repo, u.schema, n.n_jobs, u.ticket, u.dir from u join (select repo, schema, count(*) as n_jobs from u group by 1, 2) n on u.repo = n.repo and u.schema = n.schema""",
@@ -419,7 +422,7 @@ CHECKS: dict[str, str] = {
             case when len(list_filter(regexp_extract_all(line, '\b[A-Z]{2,6}-[0-9]{1,5}\b'),
               lambda h: not regexp_matches(h, '^(JOB-|DAG-|ABC-|ENG-|PROJ-)'))) > 0 then 'non-placeholder ticket key' end]) as shape
           from @@text_line)
-        select repo, path, line_no, shape, left(regexp_replace(line, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g'), 120) as snippet from hit where shape is not null""",
+        select repo, path, line_no, shape, regexp_replace(line, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') as snippet from hit where shape is not null""",
     "denylist_scan": r"""
         select repo, path, line_no, (regexp_matches(line, '(?i)corp\.io')::int + regexp_matches(line, '(?i)old\.gone')::int + regexp_matches(line, '(?i)erion|eaux')::int) as n_terms
         from @@text_line where regexp_matches(line, '(?i)corp\.io|old\.gone|erion|eaux')""",
@@ -442,9 +445,12 @@ CHECKS: dict[str, str] = {
     "trigger_conflicts": """
         select c.c_custkey as request_id, 'repo' || (c.c_custkey % 25) as repo, 'JOB-' || c.c_custkey as job_key, count(a.run_id) as n_active, min(a.run_id) as first_run_id, count(a.run_id) = 0 as ok
         from @customer c left join @@active a on a.job_key = 'JOB-' || c.c_custkey group by 1""",
+    "blocking_runs": """
+        select c.c_custkey as request_id, 'repo' || (c.c_custkey % 25) as repo, 'JOB-' || c.c_custkey as job_key, a.run_id, a.state, a.started
+        from @customer c join @@active a on a.job_key = 'JOB-' || c.c_custkey""",
     "run_status": """
         select repo, job_key, run_id, coalesce(state, 'UNKNOWN') as state, result_state, case when result_state is null then 0 else 1 end as n_tasks from @@run""",
-    "run_output": "select repo, run_id, coalesce(nullif(logs, ''), nullif(error, ''), left(payload, 4000)) as text, logs_truncated as truncated from @@run",
+    "run_output": "select repo, run_id, coalesce(nullif(logs, ''), nullif(error, ''), payload) as text, logs_truncated as truncated from @@run",
     "failure_triage": r"""
         with f as (
           select repo, job_key, run_id, coalesce(nullif(logs, ''), nullif(error, ''), payload) as t from @@run where result_state = 'FAILED'),
@@ -463,7 +469,7 @@ CHECKS: dict[str, str] = {
     "command_audit": "select * from @@audit",
     "command_audit_stream": "select * from @@audit",
     "referenced_sql_scan": """
-        select n.event_id, n.repo, n.ord, n.path, v.verb, coalesce(v.too_large, false) as too_large from @@named_file n left join @@sql_verdict v on n.repo = v.repo and n.path = v.path""",
+        select n.event_id, n.repo, n.ord, n.path, v.verb from @@named_file n left join @@sql_verdict v on n.repo = v.repo and n.path = v.path""",
     "guard_rule_parity": r"""
         select r.kind, r.ord, r.pattern, 'a' as only_in from (values
           ('databricks', 0, 'jobs-reset', 'databricks\s+jobs\s+reset\b'), ('databricks', 1, 'jobs-delete', 'databricks\s+jobs\s+delete\b'),
@@ -513,7 +519,7 @@ CHECKS: dict[str, str] = {
           union select repo, 'infra/job_definitions', null from @@listing where path like 'infra/job_definitions/%'),
         c as (select repo, dir, env from d qualify row_number() over (partition by repo order by dir) = 1)
         select repo, 'jobs_dir' as item, '' as name, top as value from j
-        union all select repo, 'key_prefix', '', prefix from (select p.repo, p.prefix, row_number() over (partition by p.repo order by p.prefix) as r from p join j on p.repo = j.repo and p.top = j.top and j.hit) where r <= 5
+        union all select repo, 'key_prefix', '', prefix from (select p.repo, p.prefix from p join j on p.repo = j.repo and p.top = j.top and j.hit)
         union all select repo, 'job_def_dir', 'prod', dir || coalesce('/' || env, '') from c""",
     "catalog_refresh_stream": r"""
         select c.repo, c.dir, c.ticket, case when t.repo is null then 'OLD' else c.status end as status from @@cat c

@@ -94,16 +94,19 @@ def _texts(e: Estate) -> DataFrame:
 @query
 def scan_source_files(e: Estate) -> DataFrame:
     root = scratch_dir(e.spark, "sources")
+    # Some sources keep their jobs in another folder.
+    place = F.when(F.ascii(F.right("source", F.lit(1))) % 2 == 0, "jobs").otherwise("etl/work")
     doc = e.given("documents")
+    config = doc.select(F.col("source").alias("repo"), F.struct(place.alias("jobs_dir"), F.array().cast("array<string>").alias("key_prefixes")).alias("project")).distinct()
     write_tree(
         doc.select(
-            F.concat("source", F.lit("/jobs/JOB-"), "doc_id", F.lit("_Text/sub/t."),
+            F.concat("source", F.lit("/"), place, F.lit("/JOB-"), "doc_id", F.lit("_Text/sub/t."),
                      F.when(F.col("lang") == "en", "py").otherwise("sql")).alias("path"),
             "text",
         ),
         root,
     )
-    return file_source.scan_source_files(e.spark, [root])
+    return file_source.scan_source_files(e.spark, [root], config=config)
 
 
 @query
@@ -119,7 +122,7 @@ def scan_definitions(e: Estate) -> DataFrame:
     root = scratch_dir(e.spark, "definitions")
     own = e.definitions().where(F.col("side") == "repo")
     write_tree(own.select(F.concat_ws("/", "repo", "path").alias("path"), F.col("raw").alias("text")), root)
-    return definitions.describe(file_source.scan_definitions(e.spark, [root])).select(
+    return definitions.describe(file_source.scan_definitions(e.spark, [root], config=e.config())).select(
         "repo", "job_key", "env", "path", "stem", "ext", "raw", "error_line", "name", "cron"
     )
 
@@ -347,10 +350,16 @@ def graph_edges(e: Estate) -> DataFrame:
 
 @query
 def related_jobs(e: Estate) -> DataFrame:
-    edges = graph.graph_edges(_settled_catalog(e))
+    edges = settle(graph.graph_edges(_catalog(e)), "edges")
     return graph.related_jobs(edges, graph.newest_jobs(edges))
 
 
+@query
+def shared_objects(e: Estate) -> DataFrame:
+    edges = settle(graph.graph_edges(_catalog(e)), "edges")
+    return graph.shared_objects(edges, graph.newest_jobs(edges))
+
+
 @query
 def migration_map(e: Estate) -> DataFrame:
     return catalog.migration_map(_settled_catalog(e))
@@ -508,13 +517,21 @@ def active_runs(e: Estate) -> DataFrame:
     return runs.active_runs(e.runs())
 
 
-@query
-def trigger_conflicts(e: Estate) -> DataFrame:
-    requests = e.given("customer").select(
+def _requests(e: Estate) -> DataFrame:
+    return e.given("customer").select(
         F.col("c_custkey").alias("request_id"), F.concat(F.lit("repo"), F.col("c_custkey") % 25).alias("repo"),
         F.concat(F.lit("JOB-"), "c_custkey").alias("job_key"),
     )
-    return runs.trigger_conflicts(requests, runs.active_runs(e.runs()))
+
+
+@query
+def trigger_conflicts(e: Estate) -> DataFrame:
+    return runs.trigger_conflicts(_requests(e), runs.active_runs(e.runs()))
+
+
+@query
+def blocking_runs(e: Estate) -> DataFrame:
+    return runs.blocking_runs(_requests(e), runs.active_runs(e.runs()))
 
 
 @query

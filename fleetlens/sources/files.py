@@ -1,4 +1,5 @@
-"""Scans of repository trees. Layout under every root: ``<repo>/<jobs dir>/<job folder>/...``."""
+"""Scans of repository trees. Layout under every root: ``<repo>/<jobs dir>/<job folder>/...``, where each repository's
+configuration may name its jobs folder and its definition folders."""
 
 from __future__ import annotations
 
@@ -11,14 +12,30 @@ from ..functions import text as X
 from . import schemas
 
 
+def _bases(spark: SparkSession, roots: Sequence[str]) -> list[str]:
+    """Full names of the root folders, as the paths of their files begin."""
+    bases = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        bases += [status.getPath().toString().rstrip("/") for status in found or []]
+    return bases
+
+
 def _read(spark: SparkSession, roots: Sequence[str], name_glob: str) -> DataFrame:
-    """path, bytes and size of every matching file. ``content`` is read only where it is selected."""
-    return (
+    """repo, path in it, full name, bytes and size of every matching file. The first folder below a root is the
+    repository. ``content`` is read only where it is selected."""
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name_glob)
         .load(list(roots))
-        .select(F.col("path").alias("uri"), "content", "length")
+    )
+    uri = F.col("path")
+    below = F.coalesce(*[F.when(uri.startswith(b + "/"), F.substr(uri, F.lit(len(b) + 2))) for b in _bases(spark, roots)], F.lit(None).cast("string"))
+    return files.select(uri.alias("uri"), below.alias("below"), "content", "length").select(
+        "uri", F.substring_index("below", "/", 1).alias("repo"),
+        F.substr("below", F.length(F.substring_index("below", "/", 1)) + 2).alias("path"), "content", "length",
     )
 
 
@@ -27,23 +44,36 @@ def _decoded(content: Column) -> Column:
     return X.unix_newlines(F.make_valid_utf8(content.cast("string")))
 
 
-def _locate(files: DataFrame, jobs_dir: str) -> DataFrame:
-    """Split ``.../<repo>/<jobs_dir>/<job folder>/rest`` into columns."""
-    where = rf"^.*/([^/]+)/({jobs_dir}/([^/]+)/.+)$"
-    return files.where(F.col("uri").rlike(where)).select(
-        F.regexp_extract("uri", where, 1).alias("repo"),
-        F.regexp_extract("uri", where, 3).alias("job_dir"),
-        F.regexp_extract("uri", where, 2).alias("path"),
-        "content",
-        "length",
+def _with_config(files: DataFrame, config: DataFrame | None, **fields: str) -> DataFrame:
+    """Add fields of the repository's configuration, null where it has none."""
+    if config is None:
+        return files.select("*", *[F.lit(None).alias(name) for name in fields])
+    own = config.groupBy("repo").agg(*[F.first(F.expr(field), ignorenulls=True).alias(name) for name, field in fields.items()])
+    return files.join(own, "repo", "left")
+
+
+def _locate(files: DataFrame, config: DataFrame | None, jobs_dir: str) -> DataFrame:
+    """Files below the job folders of their repository: job_dir, and what follows it as ``rest``."""
+    known = _with_config(files, config, own_dir="project.jobs_dir", own_prefixes="project.key_prefixes")
+    folder = F.concat(F.rtrim(F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)), F.lit("/")), F.lit("/"))
+    below = known.withColumn("folder", folder).where(F.startswith("path", "folder")).withColumn(
+        "inner", F.substr("path", F.length("folder") + 1)
+    )
+    return below.where(F.contains("inner", F.lit("/"))).withColumn("job_dir", F.substring_index("inner", "/", 1)).withColumn(
+        "rest", F.substr("inner", F.length("job_dir") + 2)
     )
 
 
 def scan_source_files(
-    spark: SparkSession, roots: Sequence[str], name_glob: str = "*.{py,sql}", jobs_dir: str = "jobs"
+    spark: SparkSession,
+    roots: Sequence[str],
+    name_glob: str = "*.{py,sql}",
+    jobs_dir: str = "jobs",
+    config: DataFrame | None = None,
 ) -> DataFrame:
-    """Every source file below the job folders, with its whole text."""
-    found = _locate(_read(spark, roots, name_glob), jobs_dir)
+    """Every source file below the job folders, with its whole text. A repository's own ``project.jobs_dir`` goes
+    before ``jobs_dir``."""
+    found = _locate(_read(spark, roots, name_glob), config, jobs_dir)
     return found.select(
         "repo",
         "job_dir",
@@ -69,14 +99,14 @@ def scan_job_docs(
     doc_name: str = "claude.md",
     jobs_dir: str = "jobs",
     key_prefixes: Sequence[str] = (),
+    config: DataFrame | None = None,
 ) -> DataFrame:
-    """The doc directly inside each job folder whose name carries a job key."""
-    found = _locate(_read(spark, roots, doc_name), jobs_dir)
-    prefixes = F.array(*[F.lit(p) for p in key_prefixes]).cast("array<string>")
-    return found.where(
-        (F.size(F.split("path", "/")) == len(jobs_dir.split("/")) + 2)
-        & X.job_key(F.col("job_dir"), prefixes).isNotNull()
-    ).select(
+    """The doc directly inside each job folder whose name carries a job key. A repository's own jobs folder and key
+    prefixes go before the given ones."""
+    found = _locate(_read(spark, roots, doc_name), config, jobs_dir)
+    given = F.array(*[F.lit(p) for p in key_prefixes]).cast("array<string>")
+    prefixes = F.coalesce(F.col("own_prefixes").cast("array<string>"), given)
+    return found.where(~F.contains("rest", F.lit("/")) & X.job_key(F.col("job_dir"), prefixes).isNotNull()).select(
         "repo",
         "job_dir",
         _decoded(F.col("content")).alias("text"),
@@ -85,18 +115,26 @@ def scan_job_docs(
 
 
 def scan_definitions(
-    spark: SparkSession, roots: Sequence[str], name_glob: str = "*.{json,sql}", defs_dir: str = "job_definitions"
+    spark: SparkSession,
+    roots: Sequence[str],
+    name_glob: str = "*.{json,sql}",
+    defs_dir: str = "job_definitions",
+    config: DataFrame | None = None,
 ) -> DataFrame:
-    """Definitions below ``<repo>/.../<defs_dir>/<env>/``; the key is the file stem before ``_``."""
-    where = rf"^.*?/([^/]+)/((?:[^/]+/)?{defs_dir}/([^/]+)/[^/]+)$"
-    files = _read(spark, roots, name_glob).where(F.col("uri").rlike(where))
-    path = F.regexp_extract("uri", where, 2)
-    return files.select(
-        F.regexp_extract("uri", where, 1).alias("repo"),
+    """Definitions directly in the folders that a repository's ``platform.job_def_dirs`` names, with the environment it
+    names them for; without such a list, in ``.../<defs_dir>/<env>/``. The key is the file stem before ``_``."""
+    files = _with_config(_read(spark, roots, name_glob), config, own_dirs="platform.job_def_dirs")
+    folder = F.regexp_replace("path", r"/?[^/]*\z", "")
+    own = F.filter(F.map_entries(F.col("own_dirs").cast("map<string,string>")), lambda e: F.rtrim(e["value"], F.lit("/")) == folder)
+    named = F.regexp_extract(folder, r"(?:^|/)\Q" + defs_dir + r"\E/([^/]+)\z", 1)
+    env = F.when(F.col("own_dirs").isNull(), F.nullif(named, F.lit(""))).otherwise(F.get(own, F.lit(0))["key"])
+    path = F.col("path")
+    return files.withColumn("env", env).where("env is not null").select(
+        "repo",
         F.lower(F.substring_index(X.file_stem(path), "_", 1)).alias("job_key"),
         F.lit("repo").alias("side"),
-        F.regexp_extract("uri", where, 3).alias("env"),
-        path.alias("path"),
+        "env",
+        "path",
         X.file_stem(path).alias("stem"),
         F.lower(F.element_at(F.split(path, r"\."), -1)).alias("ext"),
         _decoded(F.col("content")).alias("raw"),
@@ -118,9 +156,11 @@ def parse_enrichment(docs: DataFrame) -> DataFrame:
     )
 
 
-def load_enrichment(spark: SparkSession, roots: Sequence[str], name: str = "index_data.json") -> DataFrame:
+def load_enrichment(
+    spark: SparkSession, roots: Sequence[str], name: str = "index_data.json", jobs_dir: str = "jobs", config: DataFrame | None = None
+) -> DataFrame:
     """Curated summaries of ``<repo>/<jobs dir>/index_data.json``."""
-    docs = _read(spark, roots, name).select(
-        F.element_at(F.split("uri", "/"), -3).alias("repo"), _decoded(F.col("content")).alias("raw")
-    )
+    files = _with_config(_read(spark, roots, name), config, own_dir="project.jobs_dir")
+    folder = F.rtrim(F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)), F.lit("/"))
+    docs = files.where(F.col("path") == F.concat(folder, F.lit("/" + name))).select("repo", _decoded(F.col("content")).alias("raw"))
     return parse_enrichment(docs)

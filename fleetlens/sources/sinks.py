@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import freshness
-from ..session import settle
+from ..session import path_exists, settle
 
 
 def write_findings(df: DataFrame, path: str, fmt: str = "json", by: str = "repo") -> None:
     """Findings as JSON lines (or another format), one folder per repository."""
-    df.write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,8 +41,11 @@ def write_catalog(fresh: DataFrame, path: str, repos: DataFrame | None = None) -
     """Publish a new snapshot: rewrite the repositories in which a row changed, appeared or vanished
     and leave the others alone. ``repos`` limits the comparison to repositories known to be touched.
 
-    Safe to repeat: the same input gives the same folders.
+    Safe to repeat: the same input gives the same folders. Where nothing is published yet, all of it is.
     """
+    if not path_exists(fresh.sparkSession, path):
+        publish_catalog(fresh, path)
+        return
     fresh = settle(fresh, "fresh-catalog")
     published = read_catalog(fresh.sparkSession, path, fresh_schema(fresh))
     if repos is not None:

@@ -38,11 +38,11 @@ def test_first_casing_is_sql_before_py_then_path_then_text(files):
     assert tuples(extract.object_refs(df), "object") == [("RAW.TAB",)]
 
 
-def test_object_cap_keeps_the_first_forty_names(files):
+def test_all_names_of_a_folder_are_kept(files):
     refs = [f"raw.t_{i:03d}" for i in range(60)]
     df = files({"a.sql": "\n".join(f"from {r}" for r in reversed(refs)), "JOB-2_B/a.sql": "from x.yy"})
     got = tuples(extract.object_refs(df), "job_dir", "object")
-    assert got == [("JOB-1_A", r) for r in refs[:40]] + [("JOB-2_B", "x.yy")]
+    assert got == [("JOB-1_A", r) for r in refs] + [("JOB-2_B", "x.yy")]
 
 
 def test_mentions_anywhere_in_configured_casing(files, config):
@@ -52,16 +52,15 @@ def test_mentions_anywhere_in_configured_casing(files, config):
     assert tuples(extract.deprecated_mentions(df, deny_of(config)), "term") == []
 
 
-def test_mentions_agree_however_many_words_are_denied(files, config, monkeypatch):
+def test_mentions_agree_however_many_words_are_denied(files, config):
     df = files({"a.sql": "raw.x OLD.y", "JOB-2_B/b.py": "old news é_raw raw²"})
     deny = deny_of(config, "RAW", "Old", "N$X")
     want = [("JOB-1_A", "Old"), ("JOB-1_A", "RAW"), ("JOB-2_B", "Old")]
     assert tuples(extract.deprecated_mentions(df, deny), "job_dir", "term") == want
-    monkeypatch.setattr(extract, "MAX_WORDS_IN_PATTERN", 0)
-    assert tuples(extract.deprecated_mentions(df, deny), "job_dir", "term") == want
-    monkeypatch.setattr(extract, "MAX_DENIED_WORDS", 0)
-    assert extract.denied_words(deny) is None
-    assert tuples(extract.deprecated_mentions(df, deny), "job_dir", "term") == want
+    accented = files({"a.sql": "select 1 from été.x", "JOB-2_B/b.py": "tété"})
+    for more in (0, 58, 1098):
+        many = deny_of(config, "ÉTÉ", "Old", *[f"W{i}" for i in range(more)])
+        assert tuples(extract.deprecated_mentions(accented, many), "job_dir", "term") == [("JOB-1_A", "ÉTÉ")]
 
 
 def test_headers_come_from_the_first_notebook_with_any(files):
@@ -71,7 +70,7 @@ def test_headers_come_from_the_first_notebook_with_any(files):
         "JOB-4_D/a.py": "# STATUS:\n# LAST_UPDATED: 1",
     })
     assert tuples(extract.notebook_headers(df), "job_dir", F.coalesce("status", F.lit("-")), F.coalesce("last_updated", F.lit("-"))) == [
-        ("JOB-1_A", "ACTIVE", "-"), ("JOB-4_D", "# LAST_UPDATED: 1", "-"),
+        ("JOB-1_A", "ACTIVE", "-"), ("JOB-3_C", "LATE", "-"), ("JOB-4_D", "# LAST_UPDATED: 1", "-"),
     ]
 
 
@@ -122,12 +121,12 @@ def test_expressions(spark):
     df = spark.createDataFrame([("JOB-12_X", "a" * 179 + " tail", "DB.MARTS.V", "a b/é+*~.md")], "d string, long string, o string, p string")
     row = df.select(
         X.job_key(F.col("d")).alias("key"), X.key_number(F.lit("JOB-12")).alias("num"), X.key_number(F.lit("x")).alias("none"),
-        X.summary(F.col("long")).alias("cut"), X.schema_part(F.col("o")).alias("layer"), X.schema_part(F.lit("bare")).alias("bare"),
+        X.key_number(F.lit("JOB-" + "9" * 25)).alias("huge"), X.schema_part(F.col("o")).alias("layer"), X.schema_part(F.lit("bare")).alias("bare"),
         X.node_id(F.lit("a:b\\c/d")).alias("node"), X.url_path(F.col("p")).alias("url"), X.table_cell(F.lit(" a|b\nc ")).alias("cell"),
         X.job_key(F.lit("my.JOB-7"), F.array(F.lit("y."), F.lit("OB"))).alias("prefixed"),
         X.distinct_fold_case(F.array(F.lit("b"), F.lit("A"), F.lit("a"), F.lit("B"))).alias("folded"),
     ).collect()[0]
     assert row.key == "JOB-12" and row.num == 12 and row.none == 0
-    assert row.cut == "a" * 179 + "…" and row.layer == "MARTS" and row.bare == "object"
+    assert row.huge == 2**63 - 1 and row.layer == "MARTS" and row.bare == "object"
     assert row.node == "a.b.c.d" and row.url == "a%20b/%C3%A9%2B%2A~.md" and row.cell == "a\\|b c"
     assert row.prefixed == "OB-7" and row.folded == ["A", "b"]

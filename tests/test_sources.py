@@ -44,6 +44,32 @@ def test_scan_definitions(spark, tmp_path):
     ]
 
 
+def test_scans_follow_each_repository(spark, tmp_path, config):
+    put(tmp_path, "repo1/job_definitions/prod/JOB-1_x.json", "{}")
+    put(tmp_path, "repo2/jobs/JOB-2_x/jobs/sub/a.py", "x")
+    put(tmp_path, "repo3/etl/JOB-3_x/a.py", "x")
+    put(tmp_path, "repo3/etl/JOB-3_x/claude.md", "x")
+    put(tmp_path, "repo3/etl/index_data.json", '{"jobs":[{"ticket":"J-1","name":"n"}]}')
+    put(tmp_path, "repo3/infra/etl/job_definitions/prod/JOB-3_x.json", "{}")
+    put(tmp_path, "repo4/infra/defs/prod/JOB-4_x.json", "{}")
+    put(tmp_path, "repo4/job_definitions/prod/JOB-5_x.json", "{}")
+    put(tmp_path, "a.b/j+s/JOB-6_x/a.py", "x")
+    conf = config(
+        {"repo": "repo3", "project": {"jobs_dir": "etl/"}}, {"repo": "a.b", "project": {"jobs_dir": "j+s"}},
+        {"repo": "repo4", "platform": {"job_def_dirs": {"live": "infra/defs/prod/"}}},
+    )
+    root = [str(tmp_path)]
+    assert tuples(files.scan_source_files(spark, root, config=conf), "repo", "job_dir", "path") == [
+        ("a.b", "JOB-6_x", "j+s/JOB-6_x/a.py"), ("repo2", "JOB-2_x", "jobs/JOB-2_x/jobs/sub/a.py"), ("repo3", "JOB-3_x", "etl/JOB-3_x/a.py"),
+    ]
+    assert tuples(files.scan_definitions(spark, root, config=conf), "repo", "env", "path") == [
+        ("repo1", "prod", "job_definitions/prod/JOB-1_x.json"), ("repo3", "prod", "infra/etl/job_definitions/prod/JOB-3_x.json"),
+        ("repo4", "live", "infra/defs/prod/JOB-4_x.json"),
+    ]
+    assert tuples(files.scan_job_docs(spark, root, config=conf), "repo", "job_dir") == [("repo3", "JOB-3_x")]
+    assert tuples(files.load_enrichment(spark, root, config=conf), "repo", "ticket") == [("repo3", "J-1")]
+
+
 def test_enrichment_last_entry_wins(spark, tmp_path):
     put(tmp_path, "a/jobs/index_data.json", json.dumps({"jobs": [
         {"ticket": "J-1", "name": "old", "objects": ["x.y"]}, {"name": "none"}, {"ticket": "J-1", "name": "new"}]}))
