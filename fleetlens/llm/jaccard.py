@@ -24,8 +24,8 @@ STAR = 8
 HUBS, COUNTED, VERIFIED = 4, 4, 1
 #: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by half.
 ROOM = 4
-#: Words of 64 bits in a document's sketch of its leading columns.
-SKETCH = 4
+#: Words of 64 bits in a document's sketch of its leading columns, and of its whole set.
+SKETCH, SET_SKETCH = 4, 64
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
 
@@ -118,8 +118,16 @@ def _wanted_table(nodes: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """(node, grams) of the wanted documents, and of few others, read from the texts again instead of kept for all."""
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """A bit for the hash of each n-gram of a set."""
+    bits = np.zeros(64 * SET_SKETCH, bool)
+    bits[(keys % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, length: int, form: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(node, n, grams) of the wanted documents, and of few others, read from the texts again instead of kept for all; with
+    ``form`` that of each set instead of its grams."""
     table: Broadcast = docs.sparkSession.sparkContext.broadcast(_wanted_table(nodes))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -133,18 +141,37 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
             hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
             for part in slices(batch.filter(pa.array(hit))):
                 sets = shingle_sets(part.column("text"), length)
+                sizes = pa.array([len(k) for k in sets], pa.int64())
+                sets = [form(k) for k in sets] if form else sets
                 ends = np.cumsum([0, *map(len, sets)])
                 grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate([np.zeros(0, np.uint64), *sets])))
-                yield pa.record_batch([part.column("doc_id"), grams], names=["node", "grams"])
+                yield pa.record_batch([part.column("doc_id"), sizes, grams], names=["node", "n", "grams"])
+
+    return base.where("doc_id is not null").mapInArrow(pick, "node long, n long, grams array<long>")
+
 
-    return base.where("doc_id is not null").mapInArrow(pick, "node long, grams array<long>")
+def _near_by_sketch(docs: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
+    """The pairs that sketches of their whole sets do not rule out: each bit that only one of them has is an n-gram of its own. A
+    sketch is a small part of a set, so that few pairs that do not link have their sets sent."""
+    pairs = settle(pairs.select("u", "v").distinct(), "near")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), length, _bits)
+    both = pairs.join(sets.toDF("v", "nb", "b"), "v").join(sets.toDF("u", "na", "a"), "u")
+
+    def lone(x: str, y: str) -> Column:
+        words = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(words, F.lit(0), lambda total, k: total + k)
+
+    most = F.least(F.col("na") - lone("a", "b"), F.col("nb") - lone("b", "a"))
+    return both.where(most >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))).select("u", "v")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets meet the bound."""
     pairs = settle(pairs.select("u", "v").distinct(), "pairs")
     sets = _sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), length)
-    both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v").join(
+        sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u"
+    )
     same = F.size(F.array_intersect("a", "b"))
     return settle(both.where(100 * same >= percent * (F.size("a") + F.size("b") - same)).select("u", "v").distinct(), "links")
 
@@ -276,7 +303,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
        component need no further look, so a group of thousands of near copies is not paired off.
     4. The product of the rest, over pairs from different components, adds up the shared columns of each pair. A pair is
        discarded at once if sizes or sketches of its columns rule it out, else if the sum stays below the bound that its sizes give.
-    5. Pairs that are left are verified on whole sets, read from the texts again.
+    5. Pairs that are left are held against sketches of their whole sets, then verified on the sets, read from the texts again.
 
     Every text is read whole and every candidate is verified; nothing is sampled or capped. A text without words, or null, has an
     empty set and is its own component; a null doc_id links with nothing and has a null component; repeated rows
@@ -299,6 +326,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     links = _crowds(docs, block, percent, length)
     product = _product(block, connected_components(links), percent)
     rest = product.where(_may_link("shared", "most", "least", percent)).select("u", "v")
+    rest = _near_by_sketch(docs, rest, percent, length)
     found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
 
     own = listed.join(names, "name", "left").join(found, "node", "left")
