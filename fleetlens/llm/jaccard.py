@@ -20,12 +20,12 @@ from .words import Windows, mix, signed, slices, words_of
 LATE = 1 << 17
 #: Columns with more documents than this are first joined through single documents of theirs, their hubs.
 STAR = 8
-#: Hubs that a crowded column names in a round, and of a document's hubs those whose shared columns are added up and those verified.
-HUBS, COUNTED, VERIFIED = 4, 4, 1
+#: Hubs that a crowded column names in a round, and of a document's hubs those whose sketches are compared and those verified.
+HUBS, COMPARED, VERIFIED = 4, 4, 1
 #: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by half.
 ROOM = 4
-#: Words of 64 bits in a document's sketch of its leading columns, and of its whole set.
-SKETCH, SET_SKETCH = 4, 64
+#: Words of 64 bits in a document's sketch of its leading columns, in the smaller one that goes along with rows, and in that of its whole set.
+SKETCH, SMALL_SKETCH, SET_SKETCH = 16, 4, 64
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
 
@@ -188,17 +188,16 @@ def _may_link(shared: str, a: str, b: str, percent: int) -> Column:
     return _sizes_fit(a, b, percent) & (F.col(shared) >= _least_shared(a, b, percent))
 
 
-def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> DataFrame:
+def _crowds(docs: DataFrame, block: DataFrame, sketches: DataFrame, percent: int, length: int) -> DataFrame:
     """Links that join up the documents of crowded columns as far as hubs reach.
 
     In each round a crowded column names a few hubs, new ones each time: documents with the most shared columns, which are the ones
-    least edited. For each document the shared columns with hubs of other components are added up and held against the
-    bound; the pair that shares most is verified. Most of a group of near copies is one component after
+    least edited. A document's sketch is held against those of the hubs it meets in most columns, and the nearest one that
+    the bound allows is verified. Most of a group of near copies is one component after
     a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
     """
     crowd = block.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > STAR).select("gram")
-    weight = block.groupBy("node").agg(F.count("*").alias("weight"))
-    dense = settle(block.join(crowd, "gram").join(weight, "node"), "crowds")
+    dense = settle(block.join(crowd, "gram").join(sketches.select("node", F.col("m").alias("weight")), "node"), "crowds")
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     used, found, left = None, None, float("inf")
     while True:
@@ -224,9 +223,10 @@ def _crowds(docs: DataFrame, block: DataFrame, percent: int, length: int) -> Dat
             open_.join(hubs, "gram").where((F.col("c") != F.col("hc")) & _sizes_fit(F.col("n"), F.col("hn"), percent))
             .groupBy("node", "n", "h", "hn").agg(F.count("*").alias("votes"))
         )
-        chosen = settle(_most(votes, "votes", COUNTED), "chosen")
-        own = block.select("gram", F.col("node").alias("h")).join(chosen.select("h").distinct(), "h")
-        shared = block.select("gram", "node").join(chosen, "node").join(own, ["gram", "h"]).groupBy("node", "n", "h", "hn").agg(F.count("*").alias("shared"))
+        chosen = settle(_most(votes, "votes", COMPARED), "chosen")
+        both = chosen.join(sketches.toDF("h", "hm", "hs"), "h").join(sketches, "node")
+        most = F.least(_most_shared(F.col("m"), F.col("s"), F.col("hs")), _most_shared(F.col("hm"), F.col("hs"), F.col("s")))
+        shared = both.select("node", "n", "h", "hn", most.alias("shared"))
         near = _most(shared.where(_may_link("shared", "n", "hn", percent)), "shared", VERIFIED)
         links = links.unionByName(_links(docs, near.select(F.col("h").alias("u"), F.col("node").alias("v")), percent, length))
         found = connected_components(links)
@@ -239,16 +239,28 @@ def _most(pairs: DataFrame, count: str, k: int) -> DataFrame:
 
 
 def _sketches(block: DataFrame) -> DataFrame:
-    """(node, m, s): number of a node's columns and a bit for the hash of each."""
+    """(node, m, s): number of a node's columns and a bit for the hash of each. Rows meet before they are merged: a node's columns
+    lie apart, and a partial sketch is larger than a row."""
     slot = F.pmod(F.xxhash64("gram"), F.lit(64 * SKETCH))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     words = [F.bit_or(F.when(F.floor(slot / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
-    return block.groupBy("node").agg(F.count("*").alias("m"), *words).select("node", "m", F.struct(*[f"s{i}" for i in range(SKETCH)]).alias("s"))
+    return block.select("gram", "node").repartition("node").groupBy("node").agg(F.count("*").alias("m"), *words).select("node", "m", F.struct(*[f"s{i}" for i in range(SKETCH)]).alias("s"))
 
 
-def _most_shared(m: Column, s: Column, other: Column) -> Column:
+def _folded(sketches: DataFrame) -> DataFrame:
+    """The same with fewer bits: each stands for several of the whole sketch."""
+    words = []
+    for i in range(SMALL_SKETCH):
+        word = F.col(f"s.s{i}")
+        for j in range(i + SMALL_SKETCH, SKETCH, SMALL_SKETCH):
+            word = word.bitwiseOR(F.col(f"s.s{j}"))
+        words.append(word.alias(f"s{i}"))
+    return sketches.select("node", "m", F.struct(*words).alias("s"))
+
+
+def _most_shared(m: Column, s: Column, other: Column, words: int = SKETCH) -> Column:
     """At most so many columns are shared with a node of the other sketch: each bit that only one has is a column of its own."""
-    lone = [F.bit_count(s[f"s{i}"].bitwiseAND(F.bitwise_not(other[f"s{i}"]))) for i in range(SKETCH)]
+    lone = [F.bit_count(s[f"s{i}"].bitwiseAND(F.bitwise_not(other[f"s{i}"]))) for i in range(words)]
     return m - sum(lone[1:], lone[0])
 
 
@@ -261,7 +273,7 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _product(block: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _product(block: DataFrame, sketches: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(u, v, most, least, shared): shared columns of pairs from different components, with the sizes of both sets.
 
     Of such a pair one is outside the largest component of each column they share, so only those outside are paired off.
@@ -272,9 +284,7 @@ def _product(block: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     )
     busy = F.col("rows") * F.col("rows") - F.col("inner") > 2 * ROOM * F.col("rows")
     columns = settle(placed.join(parts.where("parts > 1").select("gram", "main", busy.alias("busy")), "gram"), "columns")
-    busy_rows = columns.where("busy")
-    sketches = _sketches(block.join(busy_rows.select("node").distinct(), "node"))
-    some, many = _met(columns.where("not busy"), percent), _met(busy_rows.join(sketches, "node"), percent, ("m", "s"))
+    some, many = _met(columns.where("not busy"), percent), _met(columns.where("busy").join(_folded(sketches), "node"), percent, ("m", "s"))
     # A pair may stand either way round in different columns.
     sizes = F.greatest("n", "n_").alias("most"), F.least("n", "n_").alias("least")
     ends = F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v")
@@ -288,7 +298,8 @@ def _met(columns: DataFrame, percent: int, sketch: tuple[str, ...] = ()) -> Data
     fits = (F.col("c") != F.col("c_")) & ((F.col("c_") < F.col("c")) | (F.col("c") == F.col("main"))) & _sizes_fit(F.col("n"), F.col("n_"), percent)
     if sketch:
         need = _least_shared(F.col("n"), F.col("n_"), percent)
-        fits &= (_most_shared(F.col("m"), F.col("s"), F.col("s_")) >= need) & (_most_shared(F.col("m_"), F.col("s_"), F.col("s")) >= need)
+        here, there = _most_shared(F.col("m"), F.col("s"), F.col("s_"), SMALL_SKETCH), _most_shared(F.col("m_"), F.col("s_"), F.col("s"), SMALL_SKETCH)
+        fits &= (here >= need) & (there >= need)
     return outside.join(columns, "gram").where(fits).select("node", "n", "node_", "n_")
 
 
@@ -323,8 +334,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
     shared = leading.groupBy("gram").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("gram")
     block = settle(leading.join(shared, "gram").join(names, "name").select("gram", "node", "n").distinct(), "incidence")
 
-    links = _crowds(docs, block, percent, length)
-    product = _product(block, connected_components(links), percent)
+    sketches = settle(_sketches(block), "sketches")
+    links = _crowds(docs, block, sketches, percent, length)
+    product = _product(block, sketches, connected_components(links), percent)
     rest = product.where(_may_link("shared", "most", "least", percent)).select("u", "v")
     rest = _near_by_sketch(docs, rest, percent, length)
     found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
