@@ -96,6 +96,9 @@ ADAPTERS = [
     ("dbt", "git-sync", []),
 ]
 
+# Fixed value: a scheduled task's name, alone or below a schema or a database and a schema.
+TASK_REF = r"\A[A-Za-z_][A-Za-z0-9_$]*(\.[A-Za-z_][A-Za-z0-9_$]*){0,2}\z"
+
 # Command-line clients of warehouses, in the order they are looked for.
 WAREHOUSE_CLIS = ["snow", "snowsql", "bq", "dbsqlcli", "psql", "mysql", "sqlcmd", "duckdb", "redshift-data"]
 DESTRUCTIVE_SQL = (

@@ -115,6 +115,11 @@ def schema_part(ref: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(F.lit("object"))
 
 
+def is_task_ref(ref: Column) -> Column:
+    """Whether a text names a scheduled task and may stand in SQL; false for null, and with a line end behind the name."""
+    return F.coalesce(ref.rlike(P.TASK_REF), F.lit(False))
+
+
 def node_id(name: Column) -> Column:
     return F.regexp_replace(name, r"[:\\/]", ".")
 

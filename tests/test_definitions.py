@@ -6,7 +6,7 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
-from fleetlens.functions import pyhelpers
+from fleetlens.functions import pyhelpers, text
 from fleetlens.operators import definitions, drift
 from fleetlens.plans import drift_run
 from fleetlens.sources.policy import platform_dim
@@ -145,3 +145,10 @@ def test_gate_judges_only_definitions_in_configured_folders(spark, files, defs,
         gate = {r.check: (r.ok, r.n_problems) for r in gate_run.job_gate(folders, src, checks).collect()}
         assert gate["job_definitions"] == (problems == 0, problems)
         assert gate["dependency_vulns"] == (True, 0) and gate["notebook_syntax"] == (True, 0)
+
+
+def test_task_refs(spark):
+    good = ["nightly_load", "RAW.nightly_load", "prod.raw.load$2", "_x"]
+    bad = ["", "2load", "a.b.c.d", "a..b", ".a", "a.", "load; drop table t", "load'--", "lo ad", "../load", "load\n", "lädt", None]
+    rows = spark.createDataFrame([(r,) for r in good + bad], "ref string").select("ref", text.is_task_ref(F.col("ref")).alias("ok"))
+    assert [r.ref for r in rows.where("ok").collect()] == good and rows.where("ok is null").count() == 0
