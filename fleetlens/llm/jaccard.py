@@ -24,8 +24,10 @@ STAR = 8
 HUBS, COMPARED, VERIFIED = 4, 4, 1
 #: Rounds go on while the pairs of a column outnumber its rows by more than this, and shrink by half.
 ROOM = 4
-#: Words of 64 bits in a document's sketch of its leading columns, in the smaller one that goes along with rows, and in that of its whole set.
-SKETCH, SMALL_SKETCH, SET_SKETCH = 16, 4, 64
+#: Words of 64 bits in a document's sketch of its leading columns, and in the smaller one that goes along with rows.
+SKETCH, SMALL_SKETCH = 16, 4
+#: Bits per n-gram, and up to twice as many, in a document's sketch of its whole set: a thirtieth to a fifteenth of the set's bytes.
+SET_BITS = 2
 #: Bits of the table of wanted documents that is broadcast: 4 MB.
 WANTED_BITS = 25
 
@@ -70,13 +72,25 @@ def _narrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """A bit for the hash of each n-gram of a set; the number of bits is a power of two and grows with the set."""
+    size = 64
+    while size < SET_BITS * len(keys):
+        size *= 2
+    bits = np.zeros(size if len(keys) else 0, bool)
+    bits[(keys & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _facts(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """A row per document, and a row per n-gram that at least three different sets of the slice hold."""
+    """A row per document with a sketch of its set, and a row per n-gram that at least three different sets of the slice hold."""
     sets = shingle_sets(part.column("text"), length)
     own = {set_id(k): k for k in sets if len(k)}
     keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]), return_counts=True)
     keys, counts = keys[counts >= 3], counts[counts >= 3]
     n, m = len(sets), len(keys)
+    bits = [_bits(k) for k in sets]
+    ends = np.cumsum([0, *map(len, bits), *[0] * m])
     return pa.record_batch(
         [
             pa.array(part.column("doc_id").to_pylist() + [None] * m, pa.int64()),
@@ -84,8 +98,9 @@ def _facts(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
             pa.array([set_id(k) if len(k) else None for k in sets] + [None] * m, pa.int64()),
             pa.array([None] * n + signed(keys).tolist(), pa.int64()),
             pa.array([None] * n + counts.tolist(), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate([np.zeros(0, np.uint64), *bits]))),
         ],
-        names=["doc_id", "n_shingles", "name", "gram", "df"],
+        names=["doc_id", "n_shingles", "name", "gram", "df", "bits"],
     )
 
 
@@ -118,16 +133,8 @@ def _wanted_table(nodes: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """A bit for the hash of each n-gram of a set."""
-    bits = np.zeros(64 * SET_SKETCH, bool)
-    bits[(keys % np.uint64(len(bits))).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
-
-
-def _sets_of(docs: DataFrame, nodes: DataFrame, length: int, form: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(node, n, grams) of the wanted documents, and of few others, read from the texts again instead of kept for all; with
-    ``form`` that of each set instead of its grams."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+    """(node, grams) of the wanted documents, and of few others, read from the texts again instead of kept for all."""
     table: Broadcast = docs.sparkSession.sparkContext.broadcast(_wanted_table(nodes))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -141,26 +148,30 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, length: int, form: Callable[[np.
             hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
             for part in slices(batch.filter(pa.array(hit))):
                 sets = shingle_sets(part.column("text"), length)
-                sizes = pa.array([len(k) for k in sets], pa.int64())
-                sets = [form(k) for k in sets] if form else sets
                 ends = np.cumsum([0, *map(len, sets)])
                 grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate([np.zeros(0, np.uint64), *sets])))
-                yield pa.record_batch([part.column("doc_id"), sizes, grams], names=["node", "n", "grams"])
+                yield pa.record_batch([part.column("doc_id"), grams], names=["node", "grams"])
 
-    return base.where("doc_id is not null").mapInArrow(pick, "node long, n long, grams array<long>")
+    return base.where("doc_id is not null").mapInArrow(pick, "node long, grams array<long>")
 
 
-def _near_by_sketch(docs: DataFrame, pairs: DataFrame, percent: int, length: int) -> DataFrame:
-    """The pairs that sketches of their whole sets do not rule out: each bit that only one of them has is an n-gram of its own. A
-    sketch is a small part of a set, so that few pairs that do not link have their sets sent."""
-    pairs = settle(pairs.select("u", "v").distinct(), "near")
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), length, _bits)
-    both = pairs.join(sets.toDF("v", "nb", "b"), "v").join(sets.toDF("u", "na", "a"), "u")
+def _near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sketches (node, size, bits) of their whole sets do not rule out: each bit that only one of them has is an n-gram of
+    its own. A sketch is a small part of a set, so that few pairs that do not link have their sets sent."""
+    pairs = pairs.select("u", "v").distinct()
+    both = pairs.join(sets.toDF("v", "nb", "b"), "v").join(sets.toDF("u", "na", "a"), "u").withColumn("k", F.least(F.size("a"), F.size("b")))
+
+    def folded(bits: str) -> Column:
+        """With as few bits as the shorter sketch has: each stands for several."""
+        none = F.array_repeat(F.lit(0).cast("long"), F.col("k"))
+        turns = F.sequence(F.lit(0), (F.size(bits) / F.col("k")).cast("int") - 1)
+        return F.aggregate(turns, none, lambda held, i: F.zip_with(held, F.slice(bits, i * F.col("k") + 1, F.col("k")), lambda p, q: p.bitwiseOR(q)))
 
     def lone(x: str, y: str) -> Column:
         words = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
         return F.aggregate(words, F.lit(0), lambda total, k: total + k)
 
+    both = both.select("u", "v", "na", "nb", folded("a").alias("a"), folded("b").alias("b"))
     most = F.least(F.col("na") - lone("a", "b"), F.col("nb") - lone("b", "a"))
     return both.where(most >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))).select("u", "v")
 
@@ -188,12 +199,12 @@ def _may_link(shared: str, a: str, b: str, percent: int) -> Column:
     return _sizes_fit(a, b, percent) & (F.col(shared) >= _least_shared(a, b, percent))
 
 
-def _crowds(docs: DataFrame, block: DataFrame, sketches: DataFrame, percent: int, length: int) -> DataFrame:
+def _crowds(docs: DataFrame, block: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, length: int) -> DataFrame:
     """Links that join up the documents of crowded columns as far as hubs reach.
 
     In each round a crowded column names a few hubs, new ones each time: documents with the most shared columns, which are the ones
     least edited. A document's sketch is held against those of the hubs it meets in most columns, and the nearest one that
-    the bound allows is verified. Most of a group of near copies is one component after
+    the bound allows is verified, unless sketches of their whole sets rule it out. Most of a group of near copies is one component after
     a round or two, and pairs within a component are not looked at again. What hubs do not reach is left to the product.
     """
     crowd = block.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > STAR).select("gram")
@@ -228,7 +239,8 @@ def _crowds(docs: DataFrame, block: DataFrame, sketches: DataFrame, percent: int
         most = F.least(_most_shared(F.col("m"), F.col("s"), F.col("hs")), _most_shared(F.col("hm"), F.col("hs"), F.col("s")))
         shared = both.select("node", "n", "h", "hn", most.alias("shared"))
         near = _most(shared.where(_may_link("shared", "n", "hn", percent)), "shared", VERIFIED)
-        links = links.unionByName(_links(docs, near.select(F.col("h").alias("u"), F.col("node").alias("v")), percent, length))
+        near = _near_by_sketch(near.select(F.col("h").alias("u"), F.col("node").alias("v")), sets, percent)
+        links = links.unionByName(_links(docs, near, percent, length))
         found = connected_components(links)
 
 
@@ -314,31 +326,36 @@ def jaccard_join(docs: DataFrame, percent: int = 75, length: int = 5) -> DataFra
        component need no further look, so a group of thousands of near copies is not paired off.
     4. The product of the rest, over pairs from different components, adds up the shared columns of each pair. A pair is
        discarded at once if sizes or sketches of its columns rule it out, else if the sum stays below the bound that its sizes give.
-    5. Pairs that are left are held against sketches of their whole sets, then verified on the sets, read from the texts again.
+    5. Pairs that are left are held against sketches of their whole sets, whose bits grow with the set, then verified on the sets,
+       read from the texts again.
 
     Every text is read whole and every candidate is verified; nothing is sampled or capped. A text without words, or null, has an
     empty set and is its own component; a null doc_id links with nothing and has a null component; repeated rows
     are copies; a doc_id should name one text. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    facts = settle(_narrow(docs, lambda part: _facts(part, length), "doc_id long, n_shingles long, name long, gram long, df long"), "shingle-facts")
+    facts = settle(_narrow(docs, lambda part: _facts(part, length), "doc_id long, n_shingles long, name long, gram long, df long, bits array<long>"), "shingle-facts")
     late_rows = (
         facts.where("gram is not null").groupBy("gram").agg(F.sum("df").alias("df")).where("df >= 16")
         .orderBy(F.desc("df"), "gram").limit(LATE).select("gram").toArrow()
     )
     late = spark.sparkContext.broadcast(np.sort(late_rows.column("gram").to_numpy().view(np.uint64)))
     listed = facts.where("gram is null").select("doc_id", "n_shingles", "name")
-    names = listed.where("doc_id is not null and name is not null").groupBy("name").agg(F.min("doc_id").alias("node"))
+    nodes = settle(
+        facts.where("gram is null and doc_id is not null and name is not null").groupBy("name")
+        .agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("size"), F.any_value("bits").alias("bits")), "nodes"
+    )
+    names, sets = nodes.select("name", "node"), nodes.select("node", "size", "bits")
 
     leading = _narrow(docs, lambda part: _prefixes(part, length, percent, late.value), "gram long, name long, n int")
     shared = leading.groupBy("gram").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("gram")
     block = settle(leading.join(shared, "gram").join(names, "name").select("gram", "node", "n").distinct(), "incidence")
 
     sketches = settle(_sketches(block), "sketches")
-    links = _crowds(docs, block, sketches, percent, length)
+    links = _crowds(docs, block, sketches, sets, percent, length)
     product = _product(block, sketches, connected_components(links), percent)
     rest = product.where(_may_link("shared", "most", "least", percent)).select("u", "v")
-    rest = _near_by_sketch(docs, rest, percent, length)
+    rest = _near_by_sketch(rest, sets, percent)
     found = connected_components(links.unionByName(_links(docs, rest, percent, length)))
 
     own = listed.join(names, "name", "left").join(found, "node", "left")
