@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import definitions, drift
+from ..session import settle
 
 
 def comparable(job_def: DataFrame, config: DataFrame) -> DataFrame:
@@ -18,13 +19,15 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return drift.compared_jobs(pairs.where(F.col("ext") == "json"))
 
 
-def definition_drift(job_def: DataFrame, config: DataFrame) -> DataFrame:
-    pairs = comparable(job_def, config)
+def _leaf_drift(pairs: DataFrame) -> DataFrame:
     return drift.definition_drift(drift.definition_leaves(pairs), _compared(pairs))
 
 
+def definition_drift(job_def: DataFrame, config: DataFrame) -> DataFrame:
+    return _leaf_drift(comparable(job_def, config))
+
+
 def drift_summary(job_def: DataFrame, config: DataFrame, platforms: DataFrame) -> DataFrame:
-    pairs = comparable(job_def, config)
-    return drift.drift_summary(
-        _compared(pairs), definition_drift(job_def, config), drift.ddl_drift(pairs), config, platforms
-    )
+    """Leaves, DDL and the list of jobs read the chosen definitions from one written table instead of choosing them each."""
+    pairs = settle(comparable(job_def, config), "definition-sides")
+    return drift.drift_summary(_compared(pairs), _leaf_drift(pairs), drift.ddl_drift(pairs), config, platforms)
