@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -27,27 +28,34 @@ SALTS = 64
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> tiktoken.Encoding:
-    """The vocabulary of ``<name>.json`` from its rank file, which gives the same ids several times faster."""
+    """The vocabulary of ``<name>.json`` from its rank file, which gives the same ids several times faster, and the added tokens
+    that only the JSON file lists."""
     path = public_tokenizers.path(f"{name}.tiktoken")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = False) -> DataFrame:
     """Pieces of at most ``window`` ids: whole windows from the start of a document, then a half one if more than that is left, then
-    what is left. Rests of more than half a window would seldom find a partner."""
+    what is left. Rests of more than half a window would seldom find a partner. With ``added``, added tokens inside texts get
+    their own ids, as the JSON file gives them when it is loaded as it stands."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
+        names = sorted(coder.special_tokens_set) if added else []
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*coder.encode_ordinary(text or ""), END_ID], "<u4")
+                text = text or ""
+                words = coder.encode(text, allowed_special="all") if any(x in text for x in names) else coder.encode_ordinary(text)
+                ids = np.array([*words, END_ID], "<u4")
                 whole, rest = divmod(len(ids), window)
                 cuts = [*range(0, whole * window + 1, window), *([whole * window + window // 2] if rest > window // 2 else []), len(ids)]
                 rows += [(doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)) for a, b in zip(cuts, cuts[1:]) if a < b]
@@ -136,7 +144,7 @@ def _intervals(plan: Sequence[tuple[tuple[int, ...], int]]) -> dict[str, np.ndar
     return {name: np.array(x, np.int64) for name, x in zip(("length", "from", "sequence", "each", "offset"), zip(*rows))}
 
 
-def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = False) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece.
 
     Documents are cut where a window is full; the histogram of piece lengths, at most ``window`` numbers, is all that
@@ -146,9 +154,9 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_
     rows whatever the input and is sent to the tasks.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed each; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. ``added`` is as in ``cut_documents``.
     """
-    pieces = settle(cut_documents(docs, window, vocabulary), "pieces")
+    pieces = settle(cut_documents(docs, window, vocabulary, added), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
     salted = pieces.withColumn("salt", salt)
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -52,7 +52,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,17 @@ def test_odd_rows(odd_documents):
     assert sum(r["doc_id"] == 5 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
     assert {r["length"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert packing.pack_documents(odd_documents.limit(0)).count() == 0
+
+
+def test_added_tokens_as_the_tokenizer_loads_them(spark, tmp_path):
+    import corpus_pipeline
+    from fleetlens.llm import queries
+
+    texts = ["<|endoftext|> <|endoftext|>x", "one \n <|endoftext|>\n\n two  <|endoftext|>", "<|endoftext|", None, "a<|endoftext|><|endoftext|>é👍", "word " * 3000 + "<|endoftext|>" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [[*e.ids, 1] for e in coder.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert 50256 in ids[0]
+    check(queries.op7_packing(spark, str(tmp_path)).collect(), ids, 2048)
+    check(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), ids, 2048)
