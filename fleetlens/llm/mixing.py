@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,8 +16,6 @@ from ..session import settle
 COPY_COSTS = (0, 1, 3)
 #: Bins of the seeded order per step, as a power of two; two steps follow each other.
 BIN_BITS = 12
-#: The flow has a node per combination of sources; more than this are refused. It also bounds what is broadcast: a row each.
-MOST_PATTERNS = 50_000
 
 
 def share_targets(sizes: Sequence[int], weights: Sequence[float], limit: float = len(COPY_COSTS)) -> list[float]:
@@ -38,7 +36,6 @@ def share_targets(sizes: Sequence[int], weights: Sequence[float], limit: float =
 class _Arc:
     to: int
     room: int
-    cost: int
     back: int
 
 
@@ -46,50 +43,71 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Seq
     """Words that each membership pattern gives in its first, second, ... copy, so that the sources get their quotas
     at the least cost of repetition.
 
-    ``capacity`` has a pattern's words, ``members`` its sources. Each further copy of a pattern costs more, so the
-    cost is convex and successive shortest paths find the optimum. The graph has a node per pattern and per source,
-    never one per document.
+    ``capacity`` has a pattern's words, ``members`` its sources. The graph has a node per pattern and per source, never one
+    per document. Only copies cost, and each further one more, so a path is cheapest whose first arc is: the largest flow of first copies,
+    enlarged by second ones and then by third ones, is the optimum. Each is found by shortest paths in levels.
     """
     n, m = len(capacity), len(quotas)
     graph: list[list[_Arc]] = [[] for _ in range(n + m + 2)]
 
-    def link(a: int, b: int, room: int, cost: int) -> _Arc:
-        graph[a].append(_Arc(b, room, cost, len(graph[b])))
-        graph[b].append(_Arc(a, 0, -cost, len(graph[a]) - 1))
+    def link(a: int, b: int, room: int) -> _Arc:
+        graph[a].append(_Arc(b, room, len(graph[b])))
+        graph[b].append(_Arc(a, 0, len(graph[a]) - 1))
         return graph[a][-1]
 
     begin, end = n + m, n + m + 1
-    copies = [[link(begin, p, capacity[p], cost) for cost in costs] for p in range(n)]
     for p, sources in enumerate(members):
         for s in sources:
-            link(p, n + s, sum(quotas), 0)
+            link(p, n + s, sum(quotas))
     for s, quota in enumerate(quotas):
-        link(n + s, end, quota, 0)
+        link(n + s, end, quota)
+    copies: list[list[_Arc]] = [[] for _ in range(n)]
+    for k in sorted(range(len(costs)), key=lambda k: costs[k]):
+        for p in range(n):
+            copies[p].append(link(begin, p, capacity[p]))
+        while (level := _levels(graph, begin, end))[end] >= 0:
+            _block(graph, level, begin, end)
+    return [[cap - arc.room for arc in arcs] for cap, arcs in zip(capacity, copies)]
+
+
+def _levels(graph: list[list[_Arc]], begin: int, end: int) -> list[int]:
+    """Steps from the start along arcs with room, -1 where none lead."""
+    level = [-1] * len(graph)
+    level[begin], queue = 0, deque([begin])
+    while queue:
+        a = queue.popleft()
+        for arc in graph[a]:
+            if arc.room > 0 and level[arc.to] < 0:
+                level[arc.to] = level[a] + 1
+                queue.append(arc.to)
+    return level
+
+
+def _block(graph: list[list[_Arc]], level: list[int], begin: int, end: int) -> None:
+    """Send what fits along paths that go one level up with each arc. An arc found useless is not tried again."""
+    turn = [0] * len(graph)
+    path: list[_Arc] = []
+    at = begin
     while True:
-        best: list[float] = [float("inf")] * len(graph)
-        came: list[tuple[int, int] | None] = [None] * len(graph)
-        best[begin], queue = 0, [begin]
-        waiting = {begin}
-        while queue:
-            a = queue.pop(0)
-            waiting.discard(a)
-            for k, arc in enumerate(graph[a]):
-                if arc.room > 0 and best[a] + arc.cost < best[arc.to]:
-                    best[arc.to], came[arc.to] = best[a] + arc.cost, (a, k)
-                    if arc.to not in waiting:
-                        queue.append(arc.to)
-                        waiting.add(arc.to)
-        if came[end] is None:
-            return [[cap - arc.room for arc in arcs] for cap, arcs in zip(capacity, copies)]
-        path, at = [], end
-        while at != begin:
-            a, k = came[at]
-            path.append(graph[a][k])
-            at = a
-        flow = min(arc.room for arc in path)
-        for arc in path:
-            arc.room -= flow
-            graph[arc.to][arc.back].room += flow
+        if at == end:
+            flow = min(arc.room for arc in path)
+            for arc in path:
+                arc.room -= flow
+                graph[arc.to][arc.back].room += flow
+            path, at = [], begin
+        elif turn[at] < len(graph[at]):
+            arc = graph[at][turn[at]]
+            if arc.room > 0 and level[arc.to] == level[at] + 1:
+                path.append(arc)
+                at = arc.to
+            else:
+                turn[at] += 1
+        elif at == begin:
+            return
+        else:
+            arc = path.pop()
+            at = graph[arc.to][arc.back].to
+            turn[at] += 1
 
 
 def word_count(text: Column) -> Column:
@@ -110,11 +128,11 @@ def _cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         return run.where("before < need and need <= upto").withColumn("need", F.col("need") - F.col("before"))
 
     coarse = sized.groupBy("pattern", _bin(1).alias("bin")).agg(F.sum("size").alias("size"))
-    high = reached(coarse.join(F.broadcast(wanted), "pattern")).select("pattern", "copy", "need", F.col("bin").alias("high"))
-    inside = sized.withColumn("high", _bin(1)).join(F.broadcast(high), ["pattern", "high"])
+    high = reached(coarse.join(wanted, "pattern")).select("pattern", "copy", "need", F.col("bin").alias("high"))
+    inside = sized.withColumn("high", _bin(1)).join(high, ["pattern", "high"])
     fine = inside.groupBy("pattern", "copy", "need", _bin(2).alias("bin")).agg(F.sum("size").alias("size"))
     cut = settle(reached(fine).select("pattern", "copy", "need", F.col("bin").alias("cut")), "mix-cuts")
-    beyond = sized.where("size > 0").join(F.broadcast(cut), "pattern").where(_bin(2) >= F.col("cut"))
+    beyond = sized.where("size > 0").join(cut, "pattern").where(_bin(2) >= F.col("cut"))
     off = F.abs(F.col("size") - F.col("need"))
     fill = beyond.where(off < F.col("need")).groupBy("pattern", "copy").agg(F.min_by("place", F.struct(off, "place")).alias("fill"))
     return cut.join(fill, ["pattern", "copy"], "left").select("pattern", F.struct("cut", "fill").alias("cut"))
@@ -137,7 +155,6 @@ def _place(seed: int) -> Column:
 
 def draw_plan(docs: DataFrame, source: str | Column = "source", weights: Sequence[float] = (1, 2, 3), seed: int = 0, many: bool = False) -> tuple[DataFrame, DataFrame]:
     """(a row (doc_id, pattern, size, place) per row of ``docs``, a row per pattern with its facts and cuts)."""
-    spark = docs.sparkSession
     sized = settle(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), _pattern(source, many).alias("pattern"),
@@ -145,13 +162,73 @@ def draw_plan(docs: DataFrame, source: str | Column = "source", weights: Sequenc
         ),
         "mix-sizes",
     )
-    totals = [(r["pattern"], r["size"]) for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()]
-    if len(totals) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
-    plan, wanted = plan_mix(totals, weights)
-    facts = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole int")
-    cuts = _cuts(sized, spark.createDataFrame(wanted, "pattern string, copy int, need long"))
-    return sized, settle(facts.join(cuts.groupBy("pattern").agg(F.collect_list("cut").alias("cuts")), "pattern", "left"), "mix-plan")
+    patterns = settle(sized.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("names", F.from_json("pattern", "array<string>")), "mix-patterns")
+    sources = _targets(patterns, weights)
+    facts = settle(
+        patterns.withColumn("own", _key(F.col("names")[0])).join(sources.select("own", "source_size", "target"), "own").join(_flows(patterns, sources), "pattern", "left")
+        .withColumn("flow", F.coalesce("flow", _alone())), "mix-flows",
+    )
+    wanted = facts.select("pattern", "size", F.posexplode("flow").alias("copy", "need")).where("0 < need and need < size").drop("size")
+    whole = F.when(F.col("size") > 0, F.size(F.filter("flow", lambda f: f == F.col("size")))).otherwise(0)
+    cuts = _cuts(sized, wanted).groupBy("pattern").agg(F.collect_list("cut").alias("cuts"))
+    plan = facts.select("pattern", "source_size", "target", whole.alias("whole")).join(cuts, "pattern", "left")
+    return sized, settle(plan, "mix-plan")
+
+
+def _key(name: Column) -> Column:
+    """The pattern of one source alone: a name that is never null."""
+    return F.to_json(F.array(name))
+
+
+def _alone() -> Column:
+    """The flow of a pattern whose one source has no other pattern: copies one after the other until the target is reached."""
+    left = F.rint("target").cast("long")
+    return F.array(*[F.least(F.greatest(left - k * F.col("size"), F.lit(0)), F.col("size")) for k in range(len(COPY_COSTS))])
+
+
+def _targets(patterns: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """(own, name, source_size, target) for each source, as ``share_targets`` gives it, by one aggregate for each time that shares are shared again."""
+    spark = patterns.sparkSession
+    each = patterns.select(F.explode("names").alias("name"), "size").groupBy("name").agg(F.sum("size").alias("source_size"))
+    ordered = settle(each.orderBy(F.col("name").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)), "mix-sources")
+    before, offsets = 0, []
+    for r in ordered.groupBy("part").count().orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["count"]
+    turn = F.col("before") + F.col("id") - F.shiftleft("part", 33)
+    numbered = ordered.join(spark.createDataFrame(offsets, "part long, before long"), "part").withColumn(
+        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
+    )
+    words = patterns.agg(F.sum("size")).first()[0] or 0
+    total, weight = numbered.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, limit = total or 0, len(COPY_COSTS)
+    rest, weight, n = float(total), weight or 0.0, 0
+    while True:
+        share = F.lit(rest) * F.col("weight") / F.lit(weight) if weight else F.lit(0.0)
+        above = share > limit * F.col("source_size")
+        found = numbered.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("source_size"))).alias("size"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        if found["n"] <= n:
+            break
+        n, rest, weight = found["n"], float(total - limit * found["size"]), found["weight"] or 0.0
+    # Overlapping sources count a document more than once; what is shared out is the words there are.
+    scale = words / max(1, total) if words < total else 1.0
+    target = F.when(above, limit * F.col("source_size").cast("double")).otherwise(share) * scale
+    return settle(numbered.select(_key(F.col("name")).alias("own"), "name", "source_size", target.alias("target")), "mix-targets")
+
+
+def _flows(patterns: DataFrame, sources: DataFrame) -> DataFrame:
+    """(pattern, flow) of the patterns that share a source with another one. Only those are routed on the driver."""
+    spark = patterns.sparkSession
+    touched = patterns.where(F.size("names") > 1).select(F.explode("names").alias("name")).select(_key(F.col("name")).alias("own")).distinct()
+    quotas = {r["own"]: round(r["target"]) for r in sources.join(touched, "own", "left_semi").select("own", "target").orderBy(F.col("name").asc_nulls_last()).collect()}
+    if not quotas:
+        return spark.createDataFrame([], "pattern string, flow array<bigint>")
+    number = {own: i for i, own in enumerate(quotas)}
+    linked = patterns.withColumn("own", _key(F.col("names")[0])).join(touched, "own", "left_semi")
+    rows = linked.select("pattern", "size", F.transform("names", _key).alias("owns")).collect()
+    rows.sort(key=lambda r: [number[own] for own in r["owns"]])
+    flows = route([r["size"] for r in rows], [[number[own] for own in r["owns"]] for r in rows], list(quotas.values()))
+    return spark.createDataFrame([(r["pattern"], flow) for r, flow in zip(rows, flows)], "pattern string, flow array<bigint>")
 
 
 def _copies() -> Column:
@@ -166,14 +243,14 @@ def mix_sources(docs: DataFrame, source: str | Column = "source", weights: Seque
 
     ``source`` is a name, or with ``many`` an array of names for documents that belong to several sources; documents
     with the same sources form a pattern. Sources in order of code points, null last, have the weights in turn. What reaches the driver
-    is one row per pattern, at most ``MOST_PATTERNS``. Each document is taken 0 to 3 times; which ones make up a
+    are patterns of several sources and those that share a source with them; without such patterns nothing per source. Each document is taken 0 to 3 times; which ones make up a
     part of a copy depends on a hash of seed and doc_id alone, so reruns agree.
 
     ``source_size`` and ``target`` are those of the document's first source. Null and empty texts have size 0 and are never
     taken; rows with one doc_id and source go together; an empty table gives no rows; other columns are not read.
     """
     sized, plan = draw_plan(docs, source, weights, seed, many)
-    return sized.join(F.broadcast(plan), "pattern").withColumn("copies", _copies()).select(
+    return sized.join(plan, "pattern").withColumn("copies", _copies()).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
@@ -182,29 +259,5 @@ def mixed_documents(docs: DataFrame, source: str | Column = "source", weights: S
     """The mix itself: each row of ``docs``, with all its columns, as often as it is taken. Texts are not shuffled."""
     _, plan = draw_plan(docs, source, weights, seed, many)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _pattern(source, many).alias("pattern"), word_count(F.col("text")).alias("size"), _place(seed).alias("place"))
-    taken = row.join(F.broadcast(plan), "pattern").withColumn("copies", _copies()).where("copies > 0")
+    taken = row.join(plan, "pattern").withColumn("copies", _copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
-
-
-def plan_mix(totals: Sequence[tuple[str, int]], weights: Sequence[float]) -> tuple[list[tuple], list[tuple]]:
-    """(pattern, size of its first source, its target, whole copies) and (pattern, copy, words of a part copy)."""
-    lists = [(json.loads(p), p, int(s or 0)) for p, s in totals]
-    names = sorted({s for own, _, _ in lists for s in own}, key=lambda s: (s is None, s or ""))
-    number = {s: i for i, s in enumerate(names)}
-    lists.sort(key=lambda x: [number[s] for s in x[0]])
-    members = [[number[s] for s in own] for own, _, _ in lists]
-    words = [size for _, _, size in lists]
-    sizes = [0] * len(names)
-    for size, own in zip(words, members):
-        for s in own:
-            sizes[s] += size
-    turns = [weights[i % len(weights)] for i in range(len(names))]
-    # Overlapping sources count a document more than once; what is shared out is the words there are.
-    targets = [x * sum(words) / max(1, sum(sizes)) for x in share_targets(sizes, turns)] if sum(words) < sum(sizes) else share_targets(sizes, turns)
-    flows = route(words, members, [round(x) for x in targets])
-    plan = [
-        (p, sizes[own[0]], targets[own[0]], sum(f == size and size > 0 for f in flow))
-        for (_, p, size), own, flow in zip(lists, members, flows)
-    ]
-    wanted = [(p, k, f) for (_, p, size), flow in zip(lists, flows) for k, f in enumerate(flow) if 0 < f < size]
-    return plan, wanted

@@ -84,3 +84,21 @@ def test_odd_rows(odd_documents):
     assert mixed.columns == odd_documents.columns and set(CLASHING) <= set(mixed.columns)
     assert mixed.agg(F.count("*")).first()[0] == sum(r["copies"] for r in rows)
     assert mixing.mix_sources(odd_documents.limit(0)).count() == 0
+
+
+def test_any_number_of_sources(spark):
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.format_string("s%05d", "id").alias("source"))
+    rows = mixing.mix_sources(df).collect()
+    sizes = [i % 7 + 1 for i in range(n)]
+    targets = mixing.share_targets(sizes, [i % 3 + 1 for i in range(n)])
+    assert len(rows) == n and all(r["size"] == r["source_size"] == sizes[r["doc_id"]] and r["target"] == pytest.approx(targets[r["doc_id"]]) for r in rows)
+
+
+def test_many_overlapping_sources_are_routed_in_time():
+    draw = random.Random(3)
+    members = [sorted(draw.sample(range(300), draw.randint(1, 3))) for _ in range(6000)]
+    capacity = [draw.randint(1, 1000) for _ in members]
+    quotas = [sum(capacity) // 300] * 300
+    flow = mixing.route(capacity, members, quotas)
+    assert all(0 <= x <= c for f, c in zip(flow, capacity) for x in f) and sum(map(sum, flow)) == sum(quotas)
