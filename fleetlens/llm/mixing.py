@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,8 +15,9 @@ from ..session import settle
 
 #: Copies of a document that the mix may hold, and the cost of a word in its first, second, third copy.
 COPY_COSTS = (0, 1, 3)
-#: Bins of the seeded order per step, as a power of two; two steps follow each other.
+#: Bins of the seeded order per step, as a power of two, and the steps that follow each other.
 BIN_BITS = 12
+STEPS = 3
 
 
 def share_targets(sizes: Sequence[int], weights: Sequence[float], limit: float = len(COPY_COSTS)) -> list[float]:
@@ -115,27 +117,69 @@ def word_count(text: Column) -> Column:
 
 
 def _cuts(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per pattern and wanted amount, which documents make it up: those before ``cut`` in the seeded order and the one at ``fill``.
+    """Per pattern and wanted amount, which documents make it up: those taken in one of several rounds, and the one at ``fill``.
 
-    Sums over bins of the place, then over finer bins of the one bin where the amount is reached: both are merged before the
-    shuffle and small, whatever share of the rows a pattern holds. What is then missing, less than a fine bin, is
-    filled by the document whose size comes closest to it among those beyond the cut, if that is better than none.
+    A round puts the documents no larger than what is missing in a seeded order of its own and takes those before its ``cut``. Sums over bins
+    of the place, then over finer bins of the one bin where the amount is passed: they are merged before the shuffle and small, whatever
+    share of the rows a pattern holds, and count every row that shares a place. Rounds follow until what is missing is below the shortest
+    document left. Rows of one doc_id and text go together; where they alone come next and are too many, the next round leaves out documents
+    of their size. What is then missing is filled by the place whose rows come closest to it, if that is better than none.
     """
     order = W.partitionBy("pattern", "copy").orderBy("bin")
+    full = sized.where("size > 0")
+    now = settle(wanted.select("pattern", "copy", "need", F.col("need").alias("most"), F.array().cast(_ROUNDS).alias("rounds")), "mix-open")
+    done: list[DataFrame] = []
+    turn = 0
+    while True:
+        place = _turned(F.lit(turn))
+        fits = full.join(now, "pattern").where((F.col("size") <= F.col("most")) & ~_held(F.col("rounds"))).withColumn("place", place).select("pattern", "copy", "need", "size", "place")
+
+        def passed(rows: DataFrame, step: int) -> DataFrame:
+            sums = rows.groupBy("pattern", "copy", "need", _bin(step).alias("bin")).agg(F.sum("size").alias("size"), F.min("size").alias("least"))
+            return sums.withColumn("upto", F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
+
+        first = settle(passed(fits, 1), "mix-bins")
+        # Where all that fits is no more than what is missing, all is taken.
+        every = first.groupBy("pattern", "copy").agg(F.max("upto").alias("upto"))
+        at = first
+        for step in range(2, STEPS + 1):
+            inner = at.where("before <= need and need < upto").select("pattern", "copy", (F.col("need") - F.col("before")).alias("need"), F.col("bin").alias("_bin"))
+            at = passed(fits.drop("need").join(inner, ["pattern", "copy"]).where(_bin(step - 1) == F.col("_bin")), step)
+        found = at.where("before <= need and need < upto").select("pattern", "copy", "bin", "least", (F.col("need") - F.col("before")).alias("left"))
+        cut = F.coalesce("bin", F.lit(1 << 62))
+        left = F.coalesce("left", F.col("need") - F.col("upto"))
+        # Nothing taken: rows that share a place are too many.
+        most = F.when(left == F.col("need"), F.col("least") - 1).otherwise(left)
+        entry = F.struct(F.lit(turn).alias("turn"), F.col("most").alias("most"), cut.alias("cut"))
+        after = now.join(every, ["pattern", "copy"], "left").join(found, ["pattern", "copy"], "left").select(
+            "pattern", "copy", F.when(F.col("upto").isNull(), F.col("need")).otherwise(left).alias("need"), F.when(F.col("upto").isNull(), 0).otherwise(most).alias("most"),
+            F.when(F.col("upto").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(entry)).cast(_ROUNDS)).alias("rounds"),
+        )
+        after = settle(after, "mix-open")
+        done.append(after.where("most <= 0"))
+        now = after.where("most > 0")
+        turn += 1
+        if now.isEmpty():
+            break
+    ended = reduce(DataFrame.unionByName, done)
+    off = F.abs(F.col("size") - F.col("need"))
+    rest = full.join(ended, "pattern").where((F.col("size") < 2 * F.col("need")) & ~_held(F.col("rounds")))
+    groups = rest.groupBy("pattern", "copy", "need", "place").agg(F.sum("size").alias("size"))
+    fill = groups.where(off < F.col("need")).groupBy("pattern", "copy").agg(F.min_by("place", F.struct(off, "place")).alias("fill"))
+    return ended.join(fill, ["pattern", "copy"], "left").select("pattern", F.struct("rounds", "fill").alias("cut"))
 
-    def reached(sums: DataFrame) -> DataFrame:
-        run = sums.withColumn("upto", F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
-        return run.where("before < need and need <= upto").withColumn("need", F.col("need") - F.col("before"))
 
-    coarse = sized.groupBy("pattern", _bin(1).alias("bin")).agg(F.sum("size").alias("size"))
-    high = reached(coarse.join(wanted, "pattern")).select("pattern", "copy", "need", F.col("bin").alias("high"))
-    inside = sized.withColumn("high", _bin(1)).join(high, ["pattern", "high"])
-    fine = inside.groupBy("pattern", "copy", "need", _bin(2).alias("bin")).agg(F.sum("size").alias("size"))
-    cut = settle(reached(fine).select("pattern", "copy", "need", F.col("bin").alias("cut")), "mix-cuts")
-    beyond = sized.where("size > 0").join(cut, "pattern").where(_bin(2) >= F.col("cut"))
-    off = F.abs(F.col("size") - F.col("need"))
-    fill = beyond.where(off < F.col("need")).groupBy("pattern", "copy").agg(F.min_by("place", F.struct(off, "place")).alias("fill"))
-    return cut.join(fill, ["pattern", "copy"], "left").select("pattern", F.struct("cut", "fill").alias("cut"))
+_ROUNDS = "array<struct<turn: int, most: bigint, cut: bigint>>"
+
+
+def _turned(turn: Column) -> Column:
+    """The place of a document in the order of a round."""
+    return F.xxhash64("place", turn)
+
+
+def _held(rounds: Column) -> Column:
+    """Whether a row was taken in one of the rounds."""
+    return F.exists(rounds, lambda r: (F.col("size") <= r["most"]) & (F.shiftright(_turned(r["turn"]), 64 - STEPS * BIN_BITS) < r["cut"]))
 
 
 def _bin(step: int) -> Column:
@@ -150,7 +194,7 @@ def _pattern(source: str | Column, many: bool) -> Column:
 
 
 def _place(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def draw_plan(docs: DataFrame, source: str | Column = "source", weights: Sequence[float] = (1, 2, 3), seed: int = 0, many: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +277,7 @@ def _flows(patterns: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _copies() -> Column:
     """Of a row with its pattern's plan."""
-    held = F.filter("cuts", lambda c: (_bin(2) < c["cut"]) | F.coalesce(F.col("place") == c["fill"], F.lit(False)))
+    held = F.filter("cuts", lambda c: _held(c["rounds"]) | F.coalesce(F.col("place") == c["fill"], F.lit(False)))
     part = F.when(F.col("cuts").isNotNull(), F.size(held)).otherwise(0)
     return F.when(F.col("size") > 0, F.col("whole") + part).otherwise(0).cast("int")
 
@@ -244,10 +288,10 @@ def mix_sources(docs: DataFrame, source: str | Column = "source", weights: Seque
     ``source`` is a name, or with ``many`` an array of names for documents that belong to several sources; documents
     with the same sources form a pattern. Sources in order of code points, null last, have the weights in turn. What reaches the driver
     are patterns of several sources and those that share a source with them; without such patterns nothing per source. Each document is taken 0 to 3 times; which ones make up a
-    part of a copy depends on a hash of seed and doc_id alone, so reruns agree.
+    part of a copy depends on a hash of seed, doc_id and text alone, so reruns agree.
 
     ``source_size`` and ``target`` are those of the document's first source. Null and empty texts have size 0 and are never
-    taken; rows with one doc_id and source go together; an empty table gives no rows; other columns are not read.
+    taken; rows with one doc_id, text and source go together; an empty table gives no rows; other columns are not read.
     """
     sized, plan = draw_plan(docs, source, weights, seed, many)
     return sized.join(plan, "pattern").withColumn("copies", _copies()).select(

@@ -102,3 +102,29 @@ def test_many_overlapping_sources_are_routed_in_time():
     quotas = [sum(capacity) // 300] * 300
     flow = mixing.route(capacity, members, quotas)
     assert all(0 <= x <= c for f, c in zip(flow, capacity) for x in f) and sum(map(sum, flow)) == sum(quotas)
+
+
+def test_a_long_text_at_the_cut_leaves_room_for_many_short_ones(spark):
+    for seed in range(2):
+        rows = [(i, "w " * (9000 if i % 360 == 0 else 10 + i % 50), "b") for i in range(1800)] + [(5000 + i, "v " * 40, "a") for i in range(500)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix_sources(df, seed=seed, weights=(2, 3)).collect()
+        for source, ids in (("a", range(5000, 5500)), ("b", range(1800))):
+            own = [r for r in got if r["doc_id"] in ids]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 40
+
+
+def test_rows_without_an_own_id_are_taken_singly(spark):
+    rows = [(None if i % 2 else 7, f"{'w ' * 9} {i}", "a") for i in range(400)] + [(i, "v v v v v v v v v v", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, weights=(1, 3)).collect()
+    own = [r for r in got if r["target"] == 2000]
+    assert len(own) == 400 and abs(sum(r["taken"] for r in own) - 2000) <= 10
+    assert mixing.mixed_documents(df, weights=(1, 3)).where("source = 'a'").count() == 200
+
+
+def test_equal_rows_never_overfill(spark):
+    rows = [(None, "w " * 10, "a")] * 300 + [(i, "x " * 10, "a") for i in range(100)] + [(i, "v " * 10, "b") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, weights=(1, 11)).collect()
+    assert sum(r["taken"] for r in got if r["source_size"] == 4000) <= next(r["target"] for r in got if r["source_size"] == 4000)
