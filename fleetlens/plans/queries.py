@@ -613,5 +613,5 @@ def catalog_refresh_stream(e: Estate) -> DataFrame:
     e.table("file_change").drop("event_id").write.json(changes)
     stream = command_source.load_file_changes(e.spark, changes, streaming=True)
     build = lambda repos: catalog_build.build_catalog_for(repos, **sources)
-    catalog_refresh.catalog_refresh_stream(stream, build, published, state).awaitTermination()
+    catalog_refresh.catalog_refresh_stream(stream, build, published, state, config=sources["config"]).awaitTermination()
     return sinks.read_catalog(e.spark, published, sinks.fresh_schema(stale)).select("repo", "dir", "ticket", "status")

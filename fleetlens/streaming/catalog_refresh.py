@@ -16,13 +16,19 @@ GENERATED_FILES = ["JOBS.md", "OBJECTS.md", "index_data.json"]
 GENERATED_DIRS = ["graph", "objects"]
 
 
-def catalog_edits(changes: DataFrame, jobs_dir: str = "jobs") -> DataFrame:
+def catalog_edits(changes: DataFrame, jobs_dir: str = "jobs", config: DataFrame | None = None) -> DataFrame:
     """Changes that call for a new catalog: truly below the jobs folder, and not one of the files the
-    catalog writes itself."""
-    path = F.col("path")
+    catalog writes itself. A repository's own ``project.jobs_dir`` goes before ``jobs_dir``."""
+    path, top = F.col("path"), F.col("_top")
+    known = changes.withColumn("_top", F.lit(jobs_dir))
+    if config is not None:
+        own = config.groupBy("repo").agg(F.max("project.jobs_dir").alias("_own"))
+        known = changes.join(own, "repo", "left").withColumn("_top", X.resolved_path(F.coalesce("_own", F.lit(jobs_dir))))
     folder = F.regexp_replace(path, r"/?[^/]*$", "")
-    generated = X.file_name(path).isin(GENERATED_FILES) | folder.isin([f"{jobs_dir}/{d}" for d in GENERATED_DIRS])
-    return changes.withColumn("path", X.resolved_path(path)).where(path.startswith(jobs_dir + "/") & ~generated)
+    written = F.array(*[F.concat(top, F.lit(f"/{d}")) for d in GENERATED_DIRS])
+    generated = X.file_name(path).isin(GENERATED_FILES) | F.array_contains(written, folder)
+    found = known.withColumn("path", X.resolved_path(path)).where(path.startswith(F.concat(top, F.lit("/"))) & ~generated)
+    return found.select(*changes.columns)
 
 
 def catalog_refresh_stream(
@@ -31,6 +37,7 @@ def catalog_refresh_stream(
     published: str,
     checkpoint: str,
     jobs_dir: str = "jobs",
+    config: DataFrame | None = None,
 ) -> StreamingQuery:
     """Rebuild the catalog of the repositories a micro-batch touches and publish what changed.
 
@@ -39,7 +46,7 @@ def catalog_refresh_stream(
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        touched = catalog_edits(batch, jobs_dir).select("repo").distinct().persist()
+        touched = catalog_edits(batch, jobs_dir, config).select("repo").distinct().persist()
         if not touched.isEmpty():
             write_catalog(build(touched), published, touched)
         touched.unpersist()
