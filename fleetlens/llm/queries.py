@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, embeddings, jaccard, language, licenses, mixing, packing, pii, quality, substring
+from . import chat, embeddings, jaccard, language, licenses, mixing, packing, pii, quality, secret_scan, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,17 +68,39 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_quality_bands, op2_substring_dedup, op3_embedding_dedup, op4_jaccard_join, op5_personal_data,
         op6_chat_format, op7_packing, op8_source_mix, op9_language_id, op10_license_scan,
+        op11_secret_scan,
     )
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _plain_case(expression: str) -> str:
+    """Case-insensitive ASCII groups as classes: elsewhere ``(?i:k)`` also means the Kelvin sign."""
+    return re.sub(
+        r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", expression
+    )
+
+
+def _spans_sql(turn: int, rule: secret_scan.Rule) -> str:
+    """Matches of a rule, the texts before them, and the parts whose size counts, as three lists of a document."""
+    said = "'" + _plain_case(rule.expression).replace("'", "''") + "'"
+    return (
+        f"select nr, {turn} as turn, '{rule.kind}' as kind, {rule.least} as least, regexp_extract_all(t, {said}) as m, "
+        f"regexp_extract_all(t, {said}, {rule.group}) as body, string_split_regex(t, {said}) as gap from doc where regexp_matches(t, {said})"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""
 with doc as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
@@ -131,4 +154,17 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, f) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(f))::bigint as formatted_chars
 from formed group by conv_id""",
+    "op11_secret_scan": f"""
+with doc as (select row_number() over () as nr, doc_id, coalesce(text, '') as t from documents),
+part as ({" union all ".join(_spans_sql(i, r) for i, r in enumerate(secret_scan.RULES))}),
+flat as (select nr, turn, kind, least, unnest(m) as m, unnest(body) as body, unnest(gap[:len(m)]) as gap, unnest(range(len(m))) as i from part),
+placed as (select *, sum(length(gap) + length(m)) over (partition by nr, turn order by i) as e from flat),
+span as (select nr, turn, kind, e - length(m) as s, kind || ':' || (e - length(m)) || ':' || e as said from placed where strlen(body) >= least),
+told as (
+  select nr, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(said, ',' order by s, turn) filter (turn < {len(secret_scan.BASE)}) as base, string_agg(said, ',' order by s, turn) as spans, count(*) as n_spans
+  from span group by nr)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans
+from doc left join told using (nr)""",
 }

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_fixtures import documents, odd_documents  # noqa: F401
+
+from fleetlens.llm import automaton, secret_scan
+from fleetlens.llm.secret_scan import Rule, Scan, Scanner
+
+#: Written in parts, so that this file holds no shape that scanners report.
+PIECES = [
+    "password", "PassWd", "secret", "secre", "token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc", "deadbeef" * 4, "0123456789abcdef", "AK" + "IA",
+    "ABCDEFGH1234", "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----", "-----BEGIN ", "gh" + "p_", "A1b2" * 10, "xo" + "xb-", "AI" + "za",
+    "sk_" + "live_", "ey" + "J", "abcDEF-_", ".", "https://", "user", "pa55", "@", "é", "K", "\n", "/", "👍", "\x00",
+]
+
+
+def brute(text: str, rules=secret_scan.RULES):
+    found = []
+    for r, rule in enumerate(rules):
+        for m in re.finditer(rule.expression.replace("(?i:", "(?ai:"), text):
+            if len(m[rule.group].encode()) >= rule.least:
+                found.append((m.start(), r, f"{rule.kind}:{m.start()}:{m.end()}"))
+    return sorted(found)
+
+
+def test_against_brute_force(documents):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(PIECES) for _ in range(draw.randint(0, 25))) for _ in range(2500)]
+    texts += [None, "", "token=abc token=secret:abcdefgh", "secretoken=abcdefgh", "f" * 31, "f" * 32, "f" * 5_000, "token=" + "x y" * 30_000]
+    rows = secret_scan.digest(secret_scan.scan_secrets(documents(texts, clash=True))).collect()
+    assert len(rows) == len(texts) and sum(r["n_spans"] for r in rows) > 1000
+    for text, r in zip(texts, rows):
+        want = brute(text or "")
+        base = [x for x in want if x[1] < 3]
+        assert r["spans"] == ",".join(x[2] for x in want), text
+        assert r["base_sha256"] == hashlib.sha256(",".join(x[2] for x in base).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in base) for k in range(3))
+
+
+def test_base_rules_are_the_given_ones():
+    """Failing matches are consumed and dropped, as the plain expressions with a length behind them say."""
+    given_hex, given_access = re.compile("[0-9a-f]+"), re.compile("AKIA[A-Z0-9]+")
+    draw = random.Random(1)
+    for _ in range(500):
+        text = "".join(draw.choice(["0a", "f" * 8, "9" * 20, "g", " ", "AK" + "IA", "Z9", "token=", "secret ="]) for _ in range(20))
+        own = [x[2] for x in brute(text) if x[1] in (1, 2)]
+        want = [(m.start(), f"access:{m.start()}:{m.end()}") for m in given_access.finditer(text) if len(m[0]) >= 16]
+        want += [(m.start(), f"hex:{m.start()}:{m.end()}") for m in given_hex.finditer(text) if len(m[0]) >= 32]
+        assert own == [x[1] for x in sorted(want, key=lambda x: (x[0], "ah".index(x[1][0])))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "a+b", "[ab]c*d", "(ab|cd)+", "a{2,3}b?", "(a|b)(c|d){2}", "[^a]bc", "(?i:k)x+", "ab?c"]), min_size=1, max_size=3), st.text("abcdkKx", max_size=30))
+def test_any_rules(expressions, text):
+    rules = tuple(Rule(f"k{i}", e) for i, e in enumerate(expressions))
+    try:
+        scanner = Scan(Scanner.of(rules))
+    except ValueError:
+        return  # matches that go on after a gap are refused
+    assert scanner.spans(text.encode()) == sorted((m.start(), i, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.expression, text))
+
+
+@pytest.mark.parametrize("expression", ["a", "a?", "a*b", "ab(cd)*", "abcd|bc", "a)", "(a", "^ab", "ab$", "é", r"\d+a"])
+def test_refused_expressions(expression):
+    with pytest.raises(ValueError):
+        Scanner.of((Rule("k", expression),))
+
+
+def test_automaton_is_minimal():
+    """(ab|cb)c and [ac]bc are one language; no two states of the result have the same marks and the same ways."""
+    samples = [ord(x) for x in "abc?"]
+    tables = [automaton.minimal(*automaton.ends_automaton(automaton.Positions.of(e), samples)) for e in ("(ab|cb)c", "[ac]bc")]
+    assert all(np.array_equal(x, y) for x, y in zip(*tables))
+    table, marks = tables[0]
+    assert len(table) == len({(marks[i], *table[i]) for i in range(len(table))}) == 4
+
+
+def test_one_state_array_for_all_rules():
+    scanner = Scanner.of()
+    assert scanner.step.max() < len(scanner.step) == scanner.width * len(scanner.marks)
+    assert {r for mark in scanner.marks.tolist() for r in range(62) if mark >> r & 1} == set(range(len(secret_scan.RULES)))
+
+
+def test_redaction_keeps_rows_and_other_columns(odd_documents, documents):
+    clean = secret_scan.redact_secrets(odd_documents)
+    assert clean.schema == odd_documents.schema
+    assert sorted(map(str, clean.collect())) == sorted(map(str, odd_documents.collect()))
+    text = 'é token = "' + "0123456789abcdef" * 2 + '" end'
+    assert [r["text"] for r in secret_scan.redact_secrets(documents([text, None])).collect()] == ['é [assign]" end', None]
+
+
+def test_odd_rows(odd_documents):
+    rows = secret_scan.digest(secret_scan.scan_secrets(odd_documents)).collect()
+    assert len(rows) == odd_documents.count() and all(r["spans"] == "" and r["n_spans"] == 0 for r in rows)
+    assert {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert secret_scan.digest(secret_scan.scan_secrets(odd_documents.limit(0))).count() == 0
