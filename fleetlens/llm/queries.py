@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, embeddings, jaccard, language, licenses, mixing, packing, pii, quality, secret_scan, substring
+from . import chat, embeddings, jaccard, language, licenses, mixing, packing, phrases, pii, quality, secret_scan, substring, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,12 +72,20 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_quality_bands, op2_substring_dedup, op3_embedding_dedup, op4_jaccard_join, op5_personal_data,
         op6_chat_format, op7_packing, op8_source_mix, op9_language_id, op10_license_scan,
-        op11_secret_scan,
+        op11_secret_scan, op12_embedding_whitening, op13_phrase_collocations,
     )
 }
 
@@ -167,4 +175,24 @@ told as (
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans
 from doc left join told using (nr)""",
+    "op13_phrase_collocations": f"""
+with doc as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+piece as (select lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) as x from doc),
+said as (select lang, regexp_extract_all(x, '[^\x20\x09]+') as w from piece),
+gram as (
+  select lang, size, array_to_string(w[s:s + size - 1], ' ') as phrase
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as s from said, (values (1), (2), (3)) as t(size) where len(w) >= size)),
+counted as (select lang, size, phrase, count(*) as f from gram group by all),
+total as (select lang, sum(f)::bigint as n from counted where size = 1 group by 1),
+candidate as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counted where size >= 2 and f >= 10),
+cut as (select *, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as rest from candidate, (values (1), (2)) as t(k) where k < size),
+scored as (
+  select cut.lang, cut.size, cut.phrase, a, k, x.f as l, y.f as r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+  from cut join counted x on x.lang = cut.lang and x.phrase = head join counted y on y.lang = cut.lang and y.phrase = rest),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, phrase, max(longer) as longer from (
+  select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a as longer from candidate where size = 3) group by all),
+alone as (select best.* from best left join inside using (lang, phrase) where coalesce(100 * longer < 50 * a, true)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alone)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000""",
 }

@@ -1,0 +1,139 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_fixtures import documents, invented, odd_documents  # noqa: F401
+
+from fleetlens.llm import phrases
+
+
+def counts_of(texts_by_lang, longest=3):
+    found = defaultdict(Counter)
+    for lang, text in texts_by_lang:
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            w = re.findall("[^\x20\x09]+", piece)
+            for n in range(1, longest + 1):
+                found[lang].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return found
+
+
+def brute(texts_by_lang, top=2000, threshold=10, longest=3, share=50):
+    rows = []
+    for lang, f in counts_of(texts_by_lang, longest).items():
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        candidates = {g: c for g, c in f.items() if len(g) > 1 and c >= threshold}
+        out = []
+        for g, a in candidates.items():
+            if any(
+                len(h) > len(g) and 100 * c >= share * a and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1)) for h, c in candidates.items()
+            ):
+                continue
+            score, _, l, r = min((10**6 * a * a // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g)))
+            out.append((-score, -a, " ".join(g).encode(), l, r))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(out)[:top], 1):
+            rows.append((lang, rank, phrase.decode(), -a, l, r, n, -score))
+    return sorted(rows)
+
+
+def prose(seed, n=150):
+    draw = random.Random(seed)
+    names = ["ra", "RA", "Lo", "mi", "té", "süß", "x y", "👍", "a.b", "\u0085", "Ünï", "K"]
+    marks = [" ", " ", " ", "  ", "\t", ", ", ".", "\n", "\r\n", "\v", "\f", " - ", "!?", ";", ":"]
+    return ["".join(draw.choice(names) + draw.choice(marks) for _ in range(draw.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("top", "longest"), [(2000, 3), (7, 3), (50, 2), (100, 4)])
+def test_against_brute_force(documents, top, longest):
+    texts = [*prose(top), None, "", " . ", *["Lo Mi ra"] * 40, *["one hot pair"] * 30, *invented(60, seed=2, words=80, vocabulary=12)]
+    docs = documents(texts, clash=True).repartition(5)
+    got = sorted(map(tuple, phrases.collocations(docs, longest=longest, top=top).collect()))
+    assert got == brute([("ab"[i % 2], t) for i, t in enumerate(texts)], top, longest=longest) and len(got) >= min(top, 30)
+
+
+def test_null_languages_are_one(spark):
+    rows = [(i, "hot pair here", None if i % 2 else "und") for i in range(12)]
+    got = phrases.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [tuple(r) for r in got] == [("und", 1, "hot pair here", 12, 12, 12, 36, 1_000_000)]
+
+
+def test_odd_rows(spark, odd_documents, documents):
+    assert phrases.collocations(odd_documents.limit(0)).count() == 0
+    assert phrases.collocations(documents([None, "", " \t ", ".,;"])).count() == 0
+    want = brute([(r["lang"] or "und", r["text"]) for r in odd_documents.collect()])
+    assert sorted(map(tuple, phrases.collocations(odd_documents).collect())) == want
+    long = "word " * 200_000 + "z" * 500_000
+    assert [tuple(r) for r in phrases.collocations(documents([long])).collect()] == brute([("a", long)])
+
+
+def test_products_beyond_64_bits(spark):
+    a, l, r = 3 * 10**13 + 7, 9 * 10**14 - 1, 10**15 - 1
+    rows = [("x", "", 0, r), ("x", "p", 1, l), ("x", "q", 1, r), ("x", "p q", 2, a)]
+    got = phrases.best_cuts(spark.createDataFrame(rows, "lang string, phrase string, size int, f long")).collect()
+    assert [(g["a"], g["l"], g["r"], g["score"]) for g in got] == [(a, l, r, 10**6 * a * a // (l * r))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=30), max_size=12), st.integers(2, 15))
+def test_summaries_keep_what_is_frequent(parts, threshold):
+    mass = sum(c for part in parts for _, c in part)
+    capacity = mass // threshold + 1
+    assert capacity * threshold > mass
+    whole, exact = phrases.Summary.empty(capacity), Counter()
+    for part in parts:
+        own = phrases.Summary.empty(capacity)
+        for k, c in part:
+            own.merge(np.array([k]), np.array([c]))
+            exact[k] += c
+        whole.merge(own.keys, own.counts, own.lost)
+    held = dict(zip(whole.keys.tolist(), whole.counts.tolist()))
+    assert len(held) <= capacity and whole.lost * (capacity + 1) <= mass
+    assert all(held.get(k, 0) <= c <= held.get(k, 0) + whole.lost for k, c in exact.items())
+    assert {k for k, c in exact.items() if c >= threshold} <= set(whole.may_reach(threshold).tolist())
+
+
+def test_summaries_drop_what_is_rare():
+    """A partition full of single n-grams ends with few of them."""
+    draw = np.random.default_rng(0)
+    summary = phrases.Summary.empty(40_000 // 10 + 1)
+    for _ in range(20):
+        summary.merge(np.concatenate([draw.integers(1000, 1 << 40, 2000), np.arange(5)]), np.ones(2005, np.int64))
+    kept = set(summary.may_reach(10).tolist())
+    assert set(range(5)) <= kept and len(kept) <= 4001
+
+
+def test_tasks_hand_on_the_same_counts_whatever_their_slices():
+    texts = [t for t in prose(5, 80)] + [None, "x " * 3000]
+    batch = pa.record_batch([pa.array(texts, pa.string()), pa.array(["e", "f"] * 41, pa.string())], names=["text", "lang"])
+
+    def total(batches):
+        found = Counter()
+        for rows in phrases._counted(iter(batches), 3, 16):
+            for part, keys, counts in zip(*(rows.column(c).to_pylist() for c in ("part", "keys", "counts"))):
+                for k, c in zip(phrases._unpacked(keys).tolist(), np.frombuffer(counts, "<i8").tolist()):
+                    found[part, k] += c
+        return found
+
+    small = [batch.slice(i, 3) for i in range(0, 82, 3)]
+    grams = counts_of([("ef"[i % 2], t) for i, t in enumerate(texts)])
+    assert total([batch]) == total(small) and sorted(total(small).values()) == sorted(c for f in grams.values() for c in f.values())
+    assert [len(x) for x in phrases._together(iter(small), 200)] != [82] and sum(len(x) for x in phrases._together(iter(small), 200)) == 82
+
+
+def test_grams_are_told_apart_by_their_words():
+    grams = phrases.grams_of(pa.array(["a b a b", "ab", None, "b, a b"]), pa.array(["x", "x", "x", "y"]), 3)
+    told = []
+    for n in range(3):
+        lang, said = grams.told(n, np.arange(len(grams.codes[n])))
+        told += [(a, b.decode(), int(c)) for a, b, c in zip(lang.to_pylist(), said.to_pylist(), grams.counts[n])]
+    assert sorted(told) == sorted([
+        ("x", "a", 2), ("x", "b", 2), ("x", "ab", 1), ("y", "b", 2), ("y", "a", 1), ("x", "a b", 2), ("x", "b a", 1), ("y", "a b", 1), ("x", "a b a", 1), ("x", "b a b", 1),
+    ])
+    assert all(len(set(h.tolist())) == len(h) for h in grams.hashes())
