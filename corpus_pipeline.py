@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import jaccard, mixing, packing, pii, quality
@@ -14,41 +13,65 @@ from fleetlens.session import settle, tune
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _own_names(docs: DataFrame) -> list[str]:
+    """Names under which a stage works: any other column gets a plain one, whatever characters its own has."""
+    return [c if c in ("doc_id", "text", "source", "n_chars") else f"column_{i}" for i, c in enumerate(docs.columns)]
+
+
+def _under_own_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage`` makes of the rows, its columns named as in ``docs``."""
+    return stage(docs.toDF(*_own_names(docs))).toDF(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null, empty or short text fails; repeated rows are judged each; a null doc_id
+    makes no difference; very long texts are judged whole; an empty table gives no rows; other columns of any name and type stay."""
     tune(spark)
-    return quality.passing(docs)
+    return _under_own_names(docs, quality.passing)
 
 
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; of rows that share a doc_id the first by
-    their columns. Documents without an id are in no group and stay."""
-    tune(spark)
+def _row_order(docs: DataFrame) -> Column:
+    """Which of the rows with one doc_id comes first, by hashes of all columns. Types that have no hash are hashed as JSON."""
+    plain = lambda f: not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+    return F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f.name) if plain(f) else F.to_json(F.struct(f.name)) for f in docs.schema]))
+
+
+def _one_of_near_copies(docs: DataFrame) -> DataFrame:
     joined = jaccard.jaccard_join(docs)
-    firsts = joined.where("doc_id = component_id").select("doc_id").distinct()
-    held = docs.join(firsts.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    one = held.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
+    firsts = joined.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("first"), F.struct(*docs.columns).alias("row"), _row_order(docs).alias("turn"))
+    one = rows.join(firsts, "first", "left_semi").groupBy("first").agg(F.min_by("row", "turn").alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies; of rows that share a doc_id the one with the smallest hashes
+    of its columns. Documents without an id are in no group and stay; those without text are alone in theirs; very long texts are compared
+    whole; an empty table gives no rows; other columns of any name and type stay."""
+    tune(spark)
+    return _under_own_names(docs, _one_of_near_copies)
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind, ``n_chars`` counted anew. A null text stays null, an empty one empty; repeated
+    rows stay repeated; null ids stay; very long texts are scanned whole; an empty table gives no rows; other columns of any name and type stay."""
     tune(spark)
-    clean = pii.redact(docs)
+    clean = _under_own_names(docs, pii.redact)
     if "n_chars" not in docs.columns:
         return clean
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Null and empty texts are never taken; a null source is a source; rows with one
+    doc_id, text and source go together; an empty table gives no rows; other columns of any name and type stay."""
     tune(spark)
-    return mixing.mixed_documents(docs)
+    return _under_own_names(docs, mixing.mixed_documents)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix and their places in sequences."""
+    """The pieces of the mix and their places in sequences. A null or empty text is its end id alone; null ids stay; repeated rows are
+    packed each; very long texts are cut; an empty table gives no rows; other columns are not read."""
     tune(spark)
     return packing.pack_documents(docs, added=True)
 
