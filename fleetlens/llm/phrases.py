@@ -27,6 +27,8 @@ HELD = 4_000_000
 PART_BYTES, MOST_PARTS = 2_000_000, 1 << 24
 #: The table of surviving n-grams that every task gets has at most so many bits.
 MOST_BITS = 1 << 28
+#: The phrases of a language are ranked in so many parts before all of them are.
+RANK_PARTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -327,7 +329,10 @@ def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, top: in
     """
     grams = frequent_grams(docs, longest, threshold)
     kept = standing_alone(settle(best_cuts(grams), "phrase-cuts"), share)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # The first of each part of a language come first, so that the task of a language gets a number of rows that does not grow.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    some = kept.withColumn("part", part).withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     total = grams.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
