@@ -77,11 +77,16 @@ def file_stem(path: Column) -> Column:
 
 
 def key_number(ticket: Column) -> Column:
-    """Number of a job key, 0 when it has none, the largest number there is when it has too many digits."""
-    digits = F.regexp_extract(ticket, r"-([0-9]+)", 1)
-    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(
-        F.coalesce(digits.try_cast("bigint"), F.lit(2**63 - 1).cast("bigint"))
-    )
+    """Number of a job key as (how many digits, the digits), which sorts like the number however long it is; a key
+    without a number counts as 0."""
+    digits = F.regexp_replace(F.regexp_extract(ticket, r"-([0-9]+)", 1), "^0+", "")
+    return F.struct(F.length(digits).alias("size"), digits.alias("digits"))
+
+
+def is_hundredth_key(ticket: Column) -> Column:
+    """Whether the number of a job key is divisible by 100."""
+    digits = key_number(ticket)["digits"]
+    return F.endswith(digits, F.lit("00")) | (digits == "")
 
 
 def key_pattern(prefixes: Column) -> Column:

@@ -148,11 +148,29 @@ def object_labels(catalog: DataFrame) -> DataFrame:
     )
 
 
-def object_index(catalog: DataFrame) -> DataFrame:
+def object_totals(catalog: DataFrame) -> DataFrame:
+    """Per object of a repository: its first entry in catalog order, whose casing is the object's label, and the numbers of
+    folders and tickets that have it."""
+    edge, node = ["repo", "object_key", "ticket"], ["repo", "object_key"]
+    by_ticket = (
+        object_entries(catalog)
+        .groupBy(F.xxhash64(*edge).alias("hash"), *edge)  # the hash keeps the sort off the strings
+        .agg(F.min(F.struct("place", "object")).alias("first"), F.count("*").alias("n"))
+        .drop("hash")
+    )
+    return (
+        by_ticket.groupBy(F.xxhash64(*node).alias("hash"), *node)
+        .agg(F.min("first").alias("first"), F.sum("n").alias("n_jobs"), F.count("*").alias("n_tickets"))
+        .select(*node, F.col("first.object").alias("object"), F.col("first.place").alias("first"), "n_jobs", "n_tickets")
+    )
+
+
+def object_index(catalog: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Object -> jobs, one row per (object, folder) with the object's label and folder count. Rows
-    rather than a list per object: an object may occur in a large share of all jobs."""
+    rather than a list per object: an object may occur in a large share of all jobs. ``labels`` are counted unless given."""
     entries = object_entries(catalog).select("repo", "object_key", "ticket", "dir", "link")
-    return lookup_join(entries, object_labels(catalog), ["repo", "object_key"], "inner").select(
+    labels = object_labels(catalog) if labels is None else labels.select("repo", "object_key", "object", "n_jobs")
+    return lookup_join(entries, labels, ["repo", "object_key"], "inner").select(
         "repo", "object_key", "object", "n_jobs", "ticket", "dir", "link"
     )
 

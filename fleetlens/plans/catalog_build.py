@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import catalog, definitions, extract
 from ..sources.policy import load_policy
@@ -23,7 +24,14 @@ def build_catalog(
     return catalog.job_catalog(folders, extract.job_doc_fields(docs), facts, schedules, enrichment, config)
 
 
-def build_catalog_for(repos: DataFrame, **sources: DataFrame) -> DataFrame:
-    """The catalog of some repositories (repo): every source is cut to them before anything else."""
-    wanted = repos.select("repo").distinct()
-    return build_catalog(**{name: df.join(wanted, "repo", "left_semi") for name, df in sources.items()})
+def build_catalog_for(jobs: DataFrame, **sources: DataFrame) -> DataFrame:
+    """Catalog rows of some jobs (repo, job_dir, ticket): every source is cut to them before anything else."""
+    keys = {
+        ("folders", "files", "docs"): (jobs.select("repo", "job_dir"), ["repo", "job_dir"]),
+        ("enrichment",): (jobs.select("repo", "ticket"), ["repo", "ticket"]),
+        ("job_def",): (jobs.select("repo", F.lower("ticket").alias("job_key")), ["repo", "job_key"]),
+        ("config",): (jobs.select("repo"), ["repo"]),
+    }
+    return build_catalog(**{
+        name: sources[name].join(wanted.distinct(), on, "left_semi") for names, (wanted, on) in keys.items() for name in names
+    })

@@ -107,6 +107,19 @@ STEPS: dict[str, str] = {
     "label": """
         select repo, lower(object) as object_key, arg_min(object, row(num, ticket, dir, pos)) as object, count(*) as n_jobs
         from @@entry group by 1, 2""",
+    "outdated": r"""
+        select * exclude (n) replace ('OLD' as status, array_to_string(list_concat(
+          case when objects = '' then [] when n % 5 = 0 then string_split(objects, ',')[2:] else string_split(objects, ',') end,
+          case when n % 3 = 0 then ['Old.GONE_' || (n % 7)] else [] end), ',') as objects) from (
+            select *, cast(split_part(ticket, '-', 2) as bigint) as n from @@cat
+            union all select * replace (ticket || '_X' as dir) from (select *, cast(split_part(ticket, '-', 2) as bigint) as n from @@cat where dir like '%\_F' escape '\') where n % 13 = 0)
+        where not (n % 11 = 0 and dir like '%\_O' escape '\')""",
+    "touched": r"""
+        select distinct repo, regexp_extract(path, '^(src/\.\./jobs|etl/work)/(JOB-\d+_[FOX])/', 2) as dir from @@file_change
+        where regexp_matches(path, '^(src/\.\./jobs|etl/work)/(JOB-\d+_[FOX])/')""",
+    "refreshed": """
+        select c.* from @@cat c where exists (select 1 from @@touched t where t.repo = c.repo and t.dir = c.dir)
+        union all select o.* from @@outdated o where not exists (select 1 from @@touched t where t.repo = o.repo and t.dir = o.dir)""",
     "published": r"""
         select * replace (case when n % 5 = 0 then 'OLD' else status end as status, case when n % 7 = 0 then 'GONE-' || dir else dir end as dir)
         from (select *, cast(regexp_extract(dir, '^JOB-(\d+)', 1) as bigint) as n from @@cat)""",
@@ -309,7 +322,7 @@ CHECKS: dict[str, str] = {
         select distinct lower(regexp_replace(package, '[-_.]+', '-', 'g')) as package, version, vuln_id, 'advisory' as source from @@advisory
         union all select package, version, vuln_id, 'allow' from @@allow""",
     "write_findings": "select repo, job_dir, file, line, occ, ref, schema, kind, message from @@finding",
-    "write_catalog": "select repo, dir, ticket, status, owner from @@cat",
+    "write_catalog": "select * from @@cat",
     "source_lines": "select repo, path, line_no, line from @@text_line",
     "object_refs": "select repo, job_dir, object_key, object from @@object",
     "policy_refs": "select repo, job_dir, path, line_no, occ, ref, replace(upper(ref), '.', ',') as parts from @@ref",
@@ -521,9 +534,11 @@ CHECKS: dict[str, str] = {
         select repo, 'jobs_dir' as item, '' as name, top as value from j
         union all select repo, 'key_prefix', '', prefix from (select p.repo, p.prefix from p join j on p.repo = j.repo and p.top = j.top and j.hit)
         union all select repo, 'job_def_dir', 'prod', dir || coalesce('/' || env, '') from c""",
-    "catalog_refresh_stream": r"""
-        select c.repo, c.dir, c.ticket, case when t.repo is null then 'OLD' else c.status end as status from @@cat c
-        left join (select distinct repo from @@file_change where path like 'src/../jobs/%') t on c.repo = t.repo""",
+    "catalog_refresh_stream": "select * from @@refreshed",
+    "catalog_refresh_index": """
+        select repo, lower(object) as object_key, arg_min(object, row(num, ticket, dir, pos)) as object, count(*) as n_jobs, count(distinct ticket) as n_tickets
+        from (select *, cast(split_part(ticket, '-', 2) as bigint) as num, generate_subscripts(string_split(objects, ','), 1) as pos,
+                unnest(string_split(objects, ',')) as object from (select repo, ticket, dir, objects from @@refreshed where objects <> '')) group by 1, 2""",
 }
 
 

@@ -153,7 +153,7 @@ TABLES: dict[str, str] = {
     "conf": (
         "select concat('repo', c_custkey) as repo, c_custkey as k, case when c_custkey % 29 = 28 then 2 else 1 end as schema_version, "
         "case when c_custkey % 31 = 30 then 'JOB,BAD PREFIX' when c_custkey % 5 = 0 then '' else 'JOB' end as prefixes, "
-        "case when c_custkey % 37 = 36 then '../jobs' else 'jobs' end as jobs_dir, "
+        "case when c_custkey % 37 = 36 then '../jobs' when c_custkey % 25 = 7 then 'etl/work' else 'jobs' end as jobs_dir, "
         "case when c_custkey % 41 = 40 then 'ftp://t.example/{id}' when c_custkey % 3 = 0 then '' else 'https://t.example/b/{id}' end as url, "
         f"case when c_custkey % 43 = 42 then 'cron' else {_kind('c_custkey')} end as kind, "
         f"case when c_custkey % 9 = 4 then 'git-sync' else {_MODEL.format(n='c_custkey')} end as model, "
@@ -212,7 +212,9 @@ TABLES: dict[str, str] = {
         "select event_id, ts, concat('repo', user_id % 25) as repo, "
         "case when event_type = 'error' then concat('jobsX/JOB-', user_id, '/a.py') when event_type = 'view' then 'jobs/JOBS.md' "
         "when event_type = 'click' then concat('jobs/graph/JOB-', user_id, '.md') "
-        "when event_type = 'signup' and user_id % 25 < 20 then concat('src/../jobs/JOB-', user_id, '_F/a.py') "
+        "when event_type = 'signup' and user_id % 25 = 7 then concat(case when event_id % 2 = 0 then 'etl/work' else 'jobs' end, '/JOB-', user_id, '_F/a.py') "
+        "when event_type = 'signup' and user_id % 25 < 20 then "
+        "concat('src/../jobs/JOB-', user_id, case event_id % 3 when 0 then '_F' when 1 then '_O' else '_X' end, '/a.py') "
         "else concat('jobs/JOB-', user_id, '_F/../../lib/x.py') end as path from @events"
     ),
     # File listings of many small repositories, a few files each.

@@ -28,6 +28,7 @@ from ..session import scratch_dir, settle, tune
 from ..sources import commands as command_source
 from ..sources import files as file_source
 from ..sources import policy, sinks, snapshots
+from ..sources.published import Published
 from ..sources.trees import write_tree
 from ..streaming import catalog_refresh
 from ..streaming import command_audit as audit_stream
@@ -258,7 +259,7 @@ def write_catalog(e: Estate) -> DataFrame:
     fresh = _settled_catalog(e)
     sinks.publish_catalog(_published(fresh), path)
     sinks.write_catalog(fresh, path)
-    return sinks.read_catalog(e.spark, path, sinks.fresh_schema(fresh)).select("repo", "dir", "ticket", "status", "owner")
+    return _flat_catalog(sinks.read_catalog(e.spark, path, sinks.fresh_schema(fresh)))
 
 
 # Extraction --------------------------------------------------------------------------------------
@@ -604,14 +605,33 @@ def layout_inference(e: Estate) -> DataFrame:
 
 
 # Streaming refresh -----------------------------------------------------------------------------------
-@query
-def catalog_refresh_stream(e: Estate) -> DataFrame:
-    published, state, changes = (scratch_dir(e.spark, n) for n in ("catalog", "refresh-state", "changes"))
+def _outdated(rows: DataFrame) -> DataFrame:
+    """An older state of the catalog: other statuses, objects that came or went, folders that are new or gone since."""
+    num = F.regexp_extract("ticket", r"(\d+)$", 1).cast("bigint")
+    objects = F.when(num % 5 == 0, F.slice("objects", 2, F.greatest(F.size("objects") - 1, F.lit(0)))).otherwise(F.col("objects"))
+    more = F.when(num % 3 == 0, F.array(F.concat(F.lit("Old.GONE_"), num % 7))).otherwise(F.array().cast("array<string>"))
+    old = rows.withColumn("objects", F.concat(objects, more)).withColumn("status", F.lit("OLD"))
+    gone = old.where((num % 13 == 0) & F.endswith("dir", F.lit("_F"))).withColumn("dir", F.concat("ticket", F.lit("_X")))
+    return old.where(~((num % 11 == 0) & F.endswith("dir", F.lit("_O")))).unionByName(gone)
+
+
+def _refreshed(e: Estate) -> Published:
+    path, state, changes = (scratch_dir(e.spark, n) for n in ("published", "refresh-state", "changes"))
     sources = _sources(e)
-    stale = _catalog(e).withColumn("status", F.lit("OLD"))
-    sinks.publish_catalog(stale, published)
+    published = Published.first(_outdated(_catalog(e)), path)
     e.table("file_change").drop("event_id").write.json(changes)
     stream = command_source.load_file_changes(e.spark, changes, streaming=True)
-    build = lambda repos: catalog_build.build_catalog_for(repos, **sources)
+    build = lambda jobs: catalog_build.build_catalog_for(jobs, **sources)
     catalog_refresh.catalog_refresh_stream(stream, build, published, state, config=sources["config"]).awaitTermination()
-    return sinks.read_catalog(e.spark, published, sinks.fresh_schema(stale)).select("repo", "dir", "ticket", "status")
+    return published
+
+
+@query
+def catalog_refresh_stream(e: Estate) -> DataFrame:
+    return _flat_catalog(_refreshed(e).catalog())
+
+
+@query
+def catalog_refresh_index(e: Estate) -> DataFrame:
+    """Totals of the objects after the same refresh."""
+    return _refreshed(e).totals().select("repo", "object_key", "object", "n_jobs", "n_tickets")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import path_exists
 from . import schemas
 
 
@@ -22,15 +23,26 @@ def _bases(spark: SparkSession, roots: Sequence[str]) -> list[str]:
     return bases
 
 
-def _read(spark: SparkSession, roots: Sequence[str], name_glob: str) -> DataFrame:
+def job_paths(
+    spark: SparkSession, roots: Sequence[str], jobs: DataFrame, jobs_dir: str = "jobs", config: DataFrame | None = None
+) -> list[str]:
+    """Folders of the given jobs (repo, job_dir) below the roots, as far as they exist. Meant for the few jobs of a micro-batch, whose
+    folders can then be scanned without listing the rest of the tree."""
+    own = _with_config(jobs.select("repo", "job_dir").distinct(), config, own_dir="project.jobs_dir")
+    top = F.rtrim(F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)), F.lit("/"))
+    inner = [r["p"] for r in own.select(F.concat_ws("/", "repo", X.resolved_path(top), "job_dir").alias("p")).orderBy("p").collect()]
+    return [p for root in roots for p in (f"{root.rstrip('/')}/{x}" for x in inner) if path_exists(spark, p)]
+
+
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _read(spark: SparkSession, roots: Sequence[str], name_glob: str, folders: Sequence[str] | None = None) -> DataFrame:
     """repo, path in it, full name, bytes and size of every matching file. The first folder below a root is the
-    repository. ``content`` is read only where it is selected."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob)
-        .load(list(roots))
-    )
+    repository. ``folders`` below the roots limit what is listed. ``content`` is read only where it is selected."""
+    wanted = list(roots if folders is None else folders)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob)
+    files = reader.load(wanted) if wanted else spark.createDataFrame([], _FILE)
     uri = F.col("path")
     below = F.coalesce(*[F.when(uri.startswith(b + "/"), F.substr(uri, F.lit(len(b) + 2))) for b in _bases(spark, roots)], F.lit(None).cast("string"))
     return files.select(uri.alias("uri"), below.alias("below"), "content", "length").select(
@@ -70,10 +82,11 @@ def scan_source_files(
     name_glob: str = "*.{py,sql}",
     jobs_dir: str = "jobs",
     config: DataFrame | None = None,
+    folders: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every source file below the job folders, with its whole text. A repository's own ``project.jobs_dir`` goes
-    before ``jobs_dir``."""
-    found = _locate(_read(spark, roots, name_glob), config, jobs_dir)
+    before ``jobs_dir``. ``folders`` (of ``job_paths``) limit the scan to some jobs."""
+    found = _locate(_read(spark, roots, name_glob, folders), config, jobs_dir)
     return found.select(
         "repo",
         "job_dir",
@@ -100,10 +113,11 @@ def scan_job_docs(
     jobs_dir: str = "jobs",
     key_prefixes: Sequence[str] = (),
     config: DataFrame | None = None,
+    folders: Sequence[str] | None = None,
 ) -> DataFrame:
     """The doc directly inside each job folder whose name carries a job key. A repository's own jobs folder and key
-    prefixes go before the given ones."""
-    found = _locate(_read(spark, roots, doc_name), config, jobs_dir)
+    prefixes go before the given ones. ``folders`` (of ``job_paths``) limit the scan to some jobs."""
+    found = _locate(_read(spark, roots, doc_name, folders), config, jobs_dir)
     given = F.array(*[F.lit(p) for p in key_prefixes]).cast("array<string>")
     prefixes = F.coalesce(F.col("own_prefixes").cast("array<string>"), given)
     return found.where(~F.contains("rest", F.lit("/")) & X.job_key(F.col("job_dir"), prefixes).isNotNull()).select(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
-from ..sources.sinks import write_catalog
+from ..operators import catalog
+from ..sources.published import Published
 
 # Files and folders the catalog writes itself.
 GENERATED_FILES = ["JOBS.md", "OBJECTS.md", "index_data.json"]
@@ -31,25 +32,34 @@ def catalog_edits(changes: DataFrame, jobs_dir: str = "jobs", config: DataFrame
     return found.select(*changes.columns)
 
 
+def touched_jobs(changes: DataFrame, jobs_dir: str = "jobs", config: DataFrame | None = None) -> DataFrame:
+    """The job folders in which something changed: (repo, job_dir, ticket). Changes outside a folder with a job key touch none."""
+    edits = catalog_edits(changes, jobs_dir, config)
+    top = F.lit(jobs_dir)
+    if config is not None:
+        own = config.groupBy("repo").agg(F.max("project.jobs_dir").alias("own_dir"))
+        edits, top = edits.join(own, "repo", "left"), F.coalesce("own_dir", F.lit(jobs_dir))
+    inner = F.substr("path", F.length(X.resolved_path(top)) + 2)
+    below = edits.select("repo", inner.alias("inner")).where(F.contains("inner", F.lit("/")))
+    return catalog.job_folders(below.select("repo", F.substring_index("inner", "/", 1).alias("job_dir")), config)
+
+
 def catalog_refresh_stream(
     changes: DataFrame,
     build: Callable[[DataFrame], DataFrame],
-    published: str,
+    published: Published,
     checkpoint: str,
     jobs_dir: str = "jobs",
     config: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Rebuild the catalog of the repositories a micro-batch touches and publish what changed.
+    """Rebuild the catalog rows of the jobs a micro-batch touches, and bring index and graph up to date with them.
 
-    ``build`` gets the touched repositories as (repo) and returns their fresh catalog rows. The result
-    depends on the sources alone, so a replayed batch writes the same folders again.
+    ``build`` gets the touched jobs as (repo, job_dir, ticket) and returns their fresh catalog rows; it should read the sources of
+    these jobs only. The result depends on the sources alone, so a replayed batch ends with the same tables.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        touched = catalog_edits(batch, jobs_dir, config).select("repo").distinct().persist()
-        if not touched.isEmpty():
-            write_catalog(build(touched), published, touched)
-        touched.unpersist()
+        published.refresh(touched_jobs(batch, jobs_dir, config), build, f"batch-{batch_id}")
 
     return (
         changes.writeStream.foreachBatch(refresh)
