@@ -34,6 +34,7 @@ LAYER_DECLARATION = rf"(?md)^{SPACE}*#{SPACE}*LAYER{SPACE}*[:=]{SPACE}*([A-Za-z_
 # Documentation ---------------------------------------------------------------------------------
 DOC_JOB_TITLE = rf"(?md)^#{SPACE}*Job:{SPACE}*(.+)$"
 DOC_TITLE = rf"(?md)^#{SPACE}+(.+)$"
+DOC_LABEL = rf"(?md)^\*\*([^\n]*?)\*\*:(?={SPACE}*{NON_SPACE})"
 HEADER_FIELD = rf"(?md)^#{SPACE}*(STATUS|LAST_UPDATED){SPACE}*[:=]{SPACE}*(.+)$"
 HEADER_KEY = rf"(?md)^#{SPACE}*(?=([^\n:=]*?){SPACE}*[:=])"
 

@@ -105,6 +105,17 @@ def job_key(folder: Column, prefixes: Column | None = None) -> Column:
     return F.regexp_substr(folder, key_pattern(prefixes))
 
 
+def quoted(literal: str) -> str:
+    """A text as a pattern that matches just it."""
+    return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def is_direct_notebook() -> Column:
+    """Whether a row of files is a notebook directly in its job folder."""
+    parts = path_parts(F.col("path"))
+    return (F.col("ext") == "py") & (F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1)
+
+
 def without_quotes(c: Column) -> Column:
     return F.translate(c, "`\"", "")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.pyhelpers import syntax_batches
+from ..functions.pyhelpers import parsed_batches, syntax_batches
 from ..functions.skew import lookup_join
+from .docs import header_names
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -64,9 +67,7 @@ def _word_facts(words: Column, dollars: Column) -> Column:
 
 def _notebook() -> Column:
     """Text of a notebook directly in the job folder, else null."""
-    parts = X.path_parts(F.col("path"))
-    direct = F.array_position(parts, F.col("job_dir")) == F.size(parts) - 1
-    return F.when((F.col("ext") == "py") & direct, X.one_line_end(F.col("text")))
+    return F.when(X.is_direct_notebook(), X.one_line_end(F.col("text")))
 
 
 def _header_facts(fields: Column) -> Column:
@@ -218,13 +219,43 @@ def policy_refs(files: DataFrame) -> DataFrame:
         )
     )
     refs = F.regexp_extract_all("line", F.lit(P.POLICY_REF), F.lit(1))
-    return (
-        numbered.where(~F.col("line").rlike(P.IMPORT_LINE))
-        .select("repo", "job_dir", "path", "layer", "line_no", F.posexplode(refs).alias("occ", "raw"))
-        .withColumn("ref", X.without_quotes(F.col("raw")))
-        .withColumn("parts", F.split(F.upper("ref"), r"\."))
-        .drop("raw")
+    found = numbered.where(~F.col("line").rlike(P.IMPORT_LINE)).select(
+        "repo", "job_dir", "path", "layer", "line_no", F.posexplode(refs).alias("occ", "raw")
     )
+    return _named_parts(found)
+
+
+def _named_parts(found: DataFrame) -> DataFrame:
+    return found.withColumn("ref", X.without_quotes(F.col("raw"))).withColumn("parts", F.split(F.upper("ref"), r"\.")).drop("raw")
+
+
+def file_facts(files: DataFrame, odd_headers: Sequence[str] = ()) -> DataFrame:
+    """All that the gate needs to know of a file, from one scan of its text, in one row: the layer it declares, its references by
+    line, install lines, header names (null but for notebooks directly in a job folder), and whether it parses. Files that say
+    nothing of this are left out."""
+    text = F.col("plain")
+    refs = lambda line: F.when(
+        ~line.rlike(P.IMPORT_LINE), F.regexp_extract_all(line, F.lit(P.POLICY_REF), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))
+    by_line = F.transform(X.lines(text), lambda line, i: F.struct((i + 1).alias("line_no"), refs(line).alias("raw")))
+    is_py = F.col("ext") == "py"
+    plain = files.select("repo", "job_dir", "path", "ext", "text", X.one_line_end(F.col("text")).alias("plain"))
+    facts = plain.select(
+        "repo", "job_dir", "path", "ext", F.upper(X.first_group(F.col("text"), P.LAYER_DECLARATION)).alias("layer"),
+        F.filter(by_line, lambda r: F.size(r["raw"]) > 0).alias("refs"),
+        F.when(is_py, _install_args(text)).alias("installs"),
+        F.when(X.is_direct_notebook(), header_names(text, odd_headers)).alias("names"),
+        F.when(is_py, F.col("text")).alias("text"),
+        F.when(is_py, F.regexp_replace(X.unix_newlines(F.col("text")), P.MAGIC_LINE, "#")).alias("bare"),
+    ).where(is_py | (F.size("refs") > 0))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in facts.schema if f.name not in ("text", "bare")]
+    return facts.mapInArrow(parsed_batches, ", ".join([*kept, "broken boolean, line bigint, msg string"]))
+
+
+def policy_refs_of(facts: DataFrame) -> DataFrame:
+    """``policy_refs`` from file facts."""
+    lines = facts.select("repo", "job_dir", "path", "layer", F.explode("refs").alias("r"))
+    return _named_parts(lines.select("repo", "job_dir", "path", "layer", "r.line_no", F.posexplode("r.raw").alias("occ", "raw")))
 
 
 # Documentation, installs, syntax -----------------------------------------------------------------
@@ -249,13 +280,22 @@ def job_doc_fields(docs: DataFrame) -> DataFrame:
     )
 
 
+def _install_args(text: Column) -> Column:
+    """What follows ``pip install`` on each line."""
+    return F.regexp_extract_all(text, F.lit(P.PIP_INSTALL), F.lit(1))
+
+
 def pip_requirements(files: DataFrame) -> DataFrame:
     """Distinct (job, package, version) of notebook installs; version is null where none is pinned."""
-    args = F.regexp_extract_all(X.one_line_end(F.col("text")), F.lit(P.PIP_INSTALL), F.lit(1))
+    notebooks = files.where(F.col("ext") == "py")
+    return requirements(notebooks.select("repo", "job_dir", _install_args(X.one_line_end(F.col("text"))).alias("installs")))
+
+
+def requirements(notebooks: DataFrame) -> DataFrame:
+    """The same from the install lines of notebooks (repo, job_dir, installs)."""
     arg = F.col("arg")
     tokens = (
-        files.where(F.col("ext") == "py")
-        .select("repo", "job_dir", F.explode(args).alias("args"))
+        notebooks.select("repo", "job_dir", F.explode("installs").alias("args"))
         .select("repo", "job_dir", F.explode(F.split("args", f"{P.SPACE}+")).alias("arg"))
         .where((arg != "") & ~arg.startswith("-"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,13 @@ JOB = ["repo", "job_dir"]
 CHECKS = ["notebook_syntax", "job_definitions", "dependency_vulns", "architecture", "documentation"]
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(*JOB).agg(F.count("*").alias(name))
-
-
 def _n(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
 def job_gate(
     folders: DataFrame,
-    files: DataFrame,
+    notebooks: DataFrame,
     syntax: DataFrame,
     definition_counts: DataFrame,
     definition_problems: DataFrame,
@@ -30,27 +28,23 @@ def job_gate(
     doc_problems: DataFrame,
     vulnerable: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (job, check): (repo, job_dir, check, ok, n_problems, detail, job_ok). Without
+    """One row per (job, check): (repo, job_dir, check, ok, n_problems, detail, job_ok). ``notebooks`` has a row for each parsed file. Without
     ``vulnerable`` the dependency check counts as skipped. Deprecated references never fail a job.
     The single problems are rows of :func:`gate_details`."""
-    counts = _count(files.where(F.col("ext") == "py"), "n_files")
-    judged = findings.groupBy(*JOB).agg(
-        F.count_if(F.col("kind") == VIOLATION).alias("n_violations"),
-        F.count_if(F.col("kind") == DEPRECATED).alias("n_debt"),
-    )
-    rows = folders
-    parts = [
-        counts,
-        _count(syntax, "n_syntax"),
-        definition_counts.select(*JOB, "deploy_model", "n_defs"),
-        _count(definition_problems, "n_def_problems"),
-        judged,
-        _count(doc_problems, "n_doc"),
+    mark = lambda df, name: df.select(*JOB, name.alias("what") if isinstance(name, Column) else F.lit(name).alias("what"))
+    found = [
+        mark(notebooks, "n_files"),
+        mark(syntax, "n_syntax"),
+        mark(definition_problems, "n_def_problems"),
+        mark(findings, F.when(F.col("kind") == VIOLATION, "n_violations").when(F.col("kind") == DEPRECATED, "n_debt")),
+        mark(doc_problems, "n_doc"),
     ]
     if vulnerable is not None:
-        parts.append(vulnerable.groupBy(*JOB).agg(F.count_distinct("package", "version").alias("n_vulnerable")))
-    for part in parts:
-        rows = rows.join(part, JOB, "left")
+        found.append(mark(vulnerable.select(*JOB, "package", "version").distinct(), "n_vulnerable"))
+    # Every check gives rows of one kind; they are counted together, merged before the one shuffle.
+    names = ["n_files", "n_syntax", "n_def_problems", "n_violations", "n_debt", "n_doc", "n_vulnerable"]
+    counted = reduce(DataFrame.unionByName, found).groupBy(*JOB).agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
+    rows = folders.join(definition_counts.select(*JOB, "deploy_model", "n_defs"), JOB, "left").join(counted, JOB, "left")
 
     model = F.col("deploy_model")
     needs_def = F.coalesce(model.isin("api-reset", "sql-ddl"), F.lit(False))

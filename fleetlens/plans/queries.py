@@ -444,7 +444,7 @@ def unpinned_installs(e: Estate) -> DataFrame:
 
 @query
 def job_gate(e: Estate) -> DataFrame:
-    return gate_run.job_gate(e.table("folder"), e.files(), _checks(e))
+    return gate_run.job_gate(e.table("folder"), _checks(e))
 
 
 @query

@@ -142,7 +142,7 @@ def test_gate_judges_only_definitions_in_configured_folders(spark, files, defs,
     folders = catalog.job_folders(src)
     for dirs, problems in (({"prod": "defs/prod"}, 0), ({"prod": "defs/prod", "lab": "defs/lab"}, 1)):
         checks = gate_run.run_checks(folders, src, doc, rows, conf(config, **dirs))
-        gate = {r.check: (r.ok, r.n_problems) for r in gate_run.job_gate(folders, src, checks).collect()}
+        gate = {r.check: (r.ok, r.n_problems) for r in gate_run.job_gate(folders, checks).collect()}
         assert gate["job_definitions"] == (problems == 0, problems)
         assert gate["dependency_vulns"] == (True, 0) and gate["notebook_syntax"] == (True, 0)
 
