@@ -21,51 +21,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ASSIGNED_FIELDS = {"job_id", "created_time", "creator_user_name", "effective_budget_policy_id", "settings"}
 UNORDERED_LISTS = {"tasks", "job_clusters"}
 
-DEFINITION_FACTS = {
-    "error_line": pa.int64(),
-    "error_msg": pa.string(),
-    "is_object": pa.bool_(),
-    "has_name": pa.bool_(),
-    "top_name": pa.string(),
-    "name": pa.string(),
-    "cron": pa.string(),
-    "tz": pa.string(),
-    "pause": pa.string(),
-}
 
 def _as_dict(value) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def _text(value) -> str | None:
-    return value if isinstance(value, str) else None
-
-
-def describe_definition(raw: str | None) -> dict:
-    """Facts of one JSON definition: where it fails to parse, or its name and schedule."""
-    out = dict.fromkeys(DEFINITION_FACTS)
+def json_error(raw: str) -> tuple[int | None, str | None]:
+    """(line, message) of what is wrong with a text that should be JSON."""
     try:
-        spec = json.loads(raw if raw is not None else "")
+        json.loads(raw)
     except json.JSONDecodeError as err:
-        out.update(error_line=err.lineno, error_msg=err.msg, is_object=False, has_name=False)
-        return out
+        return err.lineno, err.msg
     except (ValueError, RecursionError) as err:
-        out.update(error_line=1, error_msg=str(err), is_object=False, has_name=False)
-        return out
-    top = _as_dict(spec)
-    wrapped = _as_dict(top.get("settings"))
-    settings = _as_dict(top.get("settings", top))
-    schedule = _as_dict(settings.get("schedule"))
-    out.update(
-        is_object=isinstance(spec, dict),
-        has_name=bool(top.get("name") or wrapped.get("name")),
-        top_name=_text(top.get("name")),
-        name=_text(settings.get("name")),
-        cron=_text(schedule.get("quartz_cron_expression")),
-        tz=_text(schedule.get("timezone_id")),
-        pause=_text(schedule.get("pause_status")),
-    )
-    return out
+        return 1, str(err)
+    return 1, "too large or too deep"
 
 
 def definition_leaves(raw: str | None) -> list[tuple[str, str]]:
@@ -86,9 +55,9 @@ def definition_leaves(raw: str | None) -> list[tuple[str, str]]:
             continue
         if len(path) == 1 and isinstance(value, list) and path[0] in UNORDERED_LISTS:
             # Two such lists are equal when their items are, so the items stand in the order of their JSON.
-            found.append((path[0], f"[{', '.join(sorted(json.dumps(item, sort_keys=True) for item in value))}]"))
+            found.append((path[0], f"[{', '.join(sorted(json.dumps(item, sort_keys=True, ensure_ascii=False) for item in value))}]"))
             continue
-        found.append((".".join(map(str, path)), json.dumps(value, sort_keys=True)))
+        found.append((".".join(map(str, path)), json.dumps(value, sort_keys=True, ensure_ascii=False)))
     # A literal dotted key can spell the same path as a nested one; the later key of the document wins.
     return list(dict(reversed(found)).items())
 
@@ -106,14 +75,13 @@ def parse_failure(source: str) -> tuple[int | None, str] | None:
     return None
 
 
-def describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append the facts of each JSON definition; other definitions have none."""
+def error_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append line and message of what is wrong with the JSON of ``unparsed``."""
     for batch in batches:
-        pairs = zip(batch["raw"].to_pylist(), batch["ext"].to_pylist(), strict=True)
-        facts = [describe_definition(raw) if ext == "json" else {} for raw, ext in pairs]
+        errors = [json_error(raw) for raw in batch["unparsed"].to_pylist()]
         columns = {field.name: batch[field.name] for field in batch.schema}
-        for name, kind in DEFINITION_FACTS.items():
-            columns[name] = pa.array([fact.get(name) for fact in facts], kind)
+        columns["error_line"] = pa.array([line for line, _ in errors], pa.int64())
+        columns["error_msg"] = pa.array([msg for _, msg in errors], pa.string())
         yield pa.RecordBatch.from_pydict(columns)
 
 

@@ -6,16 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import strict_json as J
 from ..functions import text as X
-from ..functions.pyhelpers import describe_batches
+from ..functions.pyhelpers import error_batches
 from ..functions.skew import lookup_join
+from ..session import settle
 from ..sources import schemas
 
 
 def describe(job_def: DataFrame) -> DataFrame:
-    """Definitions with their parse error or their name and schedule, parsed once with a strict reader."""
+    """Definitions with name and schedule of the JSON ones, read strictly; ``unparsed`` is the text of one that is no JSON."""
     columns = [c.strip().split(" ")[0] for c in schemas.JOB_DEF.split(",")]
-    return job_def.select(*columns).mapInArrow(describe_batches, schemas.DEF_FACTS)
+    is_json = F.col("ext") == "json"
+    rows = X.computed_once(job_def.select(*columns), spec=F.when(is_json, J.parsed(F.col("raw"))))
+    spec = F.col("spec")
+    rows = X.computed_once(rows, wrapped=J.member(spec, "settings"))
+    wrapped = F.col("wrapped")
+    settings = F.when(wrapped.isNotNull(), wrapped).when(J.is_object(spec), spec)
+    rows = X.computed_once(rows, settings=settings, schedule=J.member(settings, "schedule"))
+    own, schedule = F.col("settings"), F.col("schedule")
+    return rows.select(
+        *columns,
+        F.when(is_json & spec.isNull(), F.coalesce("raw", F.lit(""))).alias("unparsed"),
+        F.when(is_json, F.coalesce(J.is_object(spec), F.lit(False))).alias("is_object"),
+        F.when(is_json, J.truthy(J.member(spec, "name")) | J.truthy(J.member(wrapped, "name"))).alias("has_name"),
+        J.string(J.member(spec, "name")).alias("top_name"),
+        J.string(J.member(own, "name")).alias("name"),
+        J.string(J.member(schedule, "quartz_cron_expression")).alias("cron"),
+        J.string(J.member(schedule, "timezone_id")).alias("tz"),
+        J.string(J.member(schedule, "pause_status")).alias("pause"),
+    )
+
+
+def with_errors(defs: DataFrame) -> DataFrame:
+    """Definitions with line and message of what is wrong with those that are no JSON, in place of ``unparsed``. Only these go to
+    Python, whose parser says where a text breaks off."""
+    fine = defs.where(F.col("unparsed").isNull()).withColumns({"error_line": F.lit(None).cast("bigint"), "error_msg": F.lit(None).cast("string")})
+    broken = defs.where(F.col("unparsed").isNotNull())
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in defs.schema), "error_line bigint, error_msg string"])
+    return fine.unionByName(broken.mapInArrow(error_batches, schema)).drop("unparsed")
 
 
 def _in_repo(defs: DataFrame) -> DataFrame:
@@ -32,7 +61,7 @@ def definition_schedule(defs: DataFrame, config: DataFrame) -> DataFrame:
     """First readable JSON definition of each key: from the prod folder where one is configured, else
     from every folder in order."""
     ranked = lookup_join(
-        _in_repo(defs).where((F.col("ext") == "json") & F.col("error_line").isNull() & F.col("is_object")),
+        _in_repo(defs).where((F.col("ext") == "json") & F.col("unparsed").isNull() & F.col("is_object")),
         _env_order(config), ["repo"], "inner",
     ).where(F.when(F.col("has_prod"), F.col("env") == "prod").otherwise(F.array_contains("envs", F.col("env"))))
     order = F.struct(F.array_position("envs", F.col("env")), X.path_order(F.col("path")))
@@ -72,13 +101,13 @@ def first_definitions(job_def: DataFrame, config: DataFrame) -> DataFrame:
 def repo_definition_lookup(refs: DataFrame, defs: DataFrame, config: DataFrame) -> DataFrame:
     """Definition file for a reference (repo, ref): by file stem or key, or by name; prod first, then the
     other environments as configured, then path order."""
-    placed = _configured(defs.where(F.col("ext") == "json"), config).select(
+    placed = settle(_configured(defs.where(F.col("ext") == "json"), config).select(
         "repo",
         F.struct("env_rank", X.path_order(F.col("path")).alias("order")).alias("place"),
         F.struct("path", "top_name").alias("hit"),
         F.lower(F.substring_index("stem", "_", 1)).alias("by_key"),
         F.lower(X.either(F.col("top_name"))).alias("by_name"),
-    )
+    ), "definition-places")
 
     def first_by(column: str, alias: str) -> DataFrame:
         return placed.where(F.col(column).isNotNull()).groupBy("repo", F.col(column).alias(alias)).agg(
@@ -107,7 +136,7 @@ def definition_lint(defs: DataFrame, config: DataFrame) -> DataFrame:
         "repo", F.when(F.size(configured) > 0, configured).otherwise(fallback).alias("dirs")
     )
     checked = lookup_join(
-        _in_repo(defs).where(F.col("ext") == "json"), dirs, ["repo"]
+        with_errors(_in_repo(defs).where(F.col("ext") == "json")), dirs, ["repo"]
     )
     normal = F.regexp_replace("path", r"\A[./]+", "")
     deployable = F.exists(F.coalesce("dirs", fallback), lambda d: F.contains(normal, d))

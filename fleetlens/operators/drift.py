@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pyhelpers import leaf_batches
+from ..functions import strict_json as J
+from ..functions import text as X
+from ..functions.pyhelpers import ASSIGNED_FIELDS, UNORDERED_LISTS, leaf_batches
 from ..functions.skew import lookup_join
+from ..session import settle
 
 ABSENT = "<absent>"
 JOB = ["repo", "job_key"]
 
 
+#: A key with a dot or an escape. Such a key can spell the path of a nested one, and then their order in the text decides.
+_DOTTED_KEY = r'(?s)"[^"]*[.\\][^"]*"\s*:'
+
+
 def definition_leaves(job_def: DataFrame) -> DataFrame:
-    """(repo, job_key, side, path, val): authored settings as dotted paths with JSON values."""
-    return job_def.where(F.col("ext") == "json").select(*JOB, "side", "raw").mapInArrow(
-        leaf_batches, "repo string, job_key string, side string, path string, val string"
-    )
+    """(repo, job_key, side, path, val): authored settings as dotted paths with JSON values. Objects are opened level by level
+    until none is left; lists stay whole, and those without an order have their items sorted.
+
+    Only definitions with dotted keys go to Python, if there are any: a VARIANT does not keep the order of keys.
+    """
+    rows = job_def.where(F.col("ext") == "json").select(*JOB, "side", "raw")
+    dotted = F.col("raw").rlike(_DOTTED_KEY)
+    specs = X.computed_once(rows.where(~dotted).select(*JOB, "side", "raw"), spec=J.parsed(F.col("raw"))).drop("raw")
+    wrapped = J.member(F.col("spec"), "settings")
+    body = F.when(J.is_object(wrapped), wrapped).otherwise(F.col("spec"))
+    level = J.members(specs.select(*JOB, "side", body.alias("value")), "value", "path", "value_").withColumnRenamed("value_", "value")
+    level = settle(level.where(~F.col("path").isin(sorted(ASSIGNED_FIELDS))), "definition-settings")
+    item = F.transform(F.col("value").try_cast("array<variant>"), J.to_text)
+    sorted_list = F.concat(F.lit("["), F.array_join(F.array_sort(item), ", "), F.lit("]"))
+    is_list = F.startswith(F.schema_of_variant("value"), F.lit("ARRAY"))
+    whole = F.when(F.col("path").isin(sorted(UNORDERED_LISTS)) & is_list, sorted_list).otherwise(J.to_text(F.col("value")))
+    leaves, is_leaf = [], ~J.is_object(F.col("value"))
+    while True:
+        leaves.append(level.where(is_leaf).select(*JOB, "side", "path", whole.alias("val")))
+        opened = level.where(~is_leaf)
+        if opened.isEmpty():
+            break
+        inner = J.members(opened.withColumnRenamed("path", "outer"), "value", "key", "value_")
+        level = settle(inner.select(*JOB, "side", F.concat("outer", F.lit("."), "key").alias("path"), F.col("value_").alias("value")), "definition-settings")
+        whole = J.to_text(F.col("value"))
+    if not rows.where(dotted).isEmpty():
+        leaves.append(rows.where(dotted).mapInArrow(leaf_batches, "repo string, job_key string, side string, path string, val string"))
+    return reduce(DataFrame.unionByName, leaves)
 
 
 def compared_jobs(job_def: DataFrame) -> DataFrame:

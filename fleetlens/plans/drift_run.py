@@ -24,7 +24,7 @@ def _leaf_drift(pairs: DataFrame) -> DataFrame:
 
 
 def definition_drift(job_def: DataFrame, config: DataFrame) -> DataFrame:
-    return _leaf_drift(comparable(job_def, config))
+    return _leaf_drift(settle(comparable(job_def, config), "definition-sides"))
 
 
 def drift_summary(job_def: DataFrame, config: DataFrame, platforms: DataFrame) -> DataFrame:

@@ -123,7 +123,8 @@ def scan_definitions(e: Estate) -> DataFrame:
     root = scratch_dir(e.spark, "definitions")
     own = e.definitions().where(F.col("side") == "repo")
     write_tree(own.select(F.concat_ws("/", "repo", "path").alias("path"), F.col("raw").alias("text")), root)
-    return definitions.describe(file_source.scan_definitions(e.spark, [root], config=e.config())).select(
+    found = file_source.scan_definitions(e.spark, [root], config=e.config())
+    return definitions.with_errors(settle(definitions.describe(found), "definitions")).select(
         "repo", "job_key", "env", "path", "stem", "ext", "raw", "error_line", "name", "cron"
     )
 
@@ -424,12 +425,12 @@ def doc_coverage(e: Estate) -> DataFrame:
 
 @query
 def definition_lint(e: Estate) -> DataFrame:
-    return definitions.definition_lint(definitions.describe(e.definitions()), e.config())
+    return definitions.definition_lint(settle(definitions.describe(e.definitions()).drop("raw"), "definitions"), e.config())
 
 
 @query
 def missing_definitions(e: Estate) -> DataFrame:
-    return definitions.missing_definitions(e.table("folder"), definitions.describe(e.definitions()), e.config())
+    return definitions.missing_definitions(e.table("folder"), e.definitions(), e.config())
 
 
 @query

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Of keys that occur twice in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Beyond this size the JVM runs a generated method uncompiled; separate operators are faster then.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -12,10 +12,6 @@ ENRICHMENT_DOC = (
     "date string, objects array<string>, claude_md_hash string>>"
 )
 JOB_DEF = "repo string, job_key string, side string, env string, path string, stem string, ext string, raw string"
-DEF_FACTS = (
-    JOB_DEF + ", error_line bigint, error_msg string, is_object boolean, has_name boolean, top_name string, "
-    "name string, cron string, tz string, pause string"
-)
 REPO_CONFIG = (
     "repo string, schema_version int, "
     "project struct<name string, key_prefixes array<string>, jobs_dir string, ticket_url_template string, "
