@@ -20,9 +20,9 @@ from ..session import settle
 from .words import mix
 
 #: Texts of about so many bytes are counted together.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: A task holds at most so many counted n-grams before it hands them on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Text of about so many bytes, or more beyond the most partitions, falls to a hash partition.
 PART_BYTES, MOST_PARTS = 2_000_000, 1 << 24
 #: The table of surviving n-grams that every task gets has at most so many bits.
