@@ -66,22 +66,25 @@ def _file_refs(cmd: Column) -> Column:
     )
 
 
-def _file_scans(commands: DataFrame, sql_files: DataFrame, *keep: str) -> DataFrame:
-    """One row per command and SQL file it names, with what the scan of the file found."""
+def named_files(commands: DataFrame, *keep: str) -> DataFrame:
+    """One row per command and SQL file it names: (event_id, repo, cwd, ord, ref, path) and what is kept."""
     cwd, ref = F.coalesce("cwd", F.lit("")), F.col("ref")
-    named = commands.select(
+    return commands.select(
         "event_id", "repo", *keep, cwd.alias("cwd"), F.posexplode(_file_refs(F.col("cmd"))).alias("ord", "ref")
     ).withColumn(
         "path",
         X.resolved_path(F.when((F.col("cwd") != "") & ~ref.startswith("/"), F.concat_ws("/", "cwd", "ref")).otherwise(ref)),
     )
-    return lookup_join(named, sql_verdicts(sql_files), ["repo", "path"])
+
+
+def _file_scans(commands: DataFrame, verdicts: DataFrame, *keep: str) -> DataFrame:
+    return lookup_join(named_files(commands, *keep), verdicts, ["repo", "path"])
 
 
 def referenced_sql_scan(commands: DataFrame, sql_files: DataFrame) -> DataFrame:
     """(event_id, repo, ord, path, verb): the SQL files each command names, with what the scan of the file
     found. Paths are relative to the repository root or to the event's folder in it."""
-    return _file_scans(commands, sql_files).select("event_id", "repo", "ord", "path", "verb")
+    return _file_scans(commands, sql_verdicts(sql_files)).select("event_id", "repo", "ord", "path", "verb")
 
 
 def _decide(commands: DataFrame) -> DataFrame:
@@ -98,9 +101,15 @@ def _decide(commands: DataFrame) -> DataFrame:
 
 def command_audit(
     commands: DataFrame, sql_files: DataFrame, rules: Sequence[tuple] = tuple(P.GUARD_RULES)
+) -> DataFrame:
+    return audit_with(commands, sql_verdicts(sql_files), rules)
+
+
+def audit_with(
+    commands: DataFrame, verdicts: DataFrame, rules: Sequence[tuple] = tuple(P.GUARD_RULES)
 ) -> DataFrame:
     """One decision per command: the platform's guarded commands first, then destructive SQL sent through
-    a warehouse client, inline or in a file.
+    a warehouse client, inline or in a file. ``verdicts`` are those of the SQL files (repo, path, verb).
 
     Only commands that call a client, name a file and are not decided yet take the join; all others are
     decided row by row without a shuffle.
@@ -118,7 +127,7 @@ def command_audit(
     )
     waiting = tested.where("open").drop("verb")
     with_files = (
-        _file_scans(waiting, sql_files, "ts", "kind", "cmd", "cli")
+        _file_scans(waiting, verdicts, "ts", "kind", "cmd", "cli")
         .groupBy(*EVENT, "cwd", "cli")
         .agg(
             F.min_by("verb", F.when(F.col("verb").isNotNull(), F.col("ord"))).alias("file_verb"),

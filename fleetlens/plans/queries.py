@@ -565,9 +565,16 @@ def referenced_sql_scan(e: Estate) -> DataFrame:
 
 @query
 def command_audit_stream(e: Estate) -> DataFrame:
-    out, state = scratch_dir(e.spark, "audit"), scratch_dir(e.spark, "audit-state")
+    names = ("audit", "audit-state", "sql-verdicts", "sql-changes", "sql-state")
+    out, state, judged, changes, judged_state = (scratch_dir(e.spark, n) for n in names)
+    files = e.table("sql_file")
+    verdicts = audit_stream.SqlVerdicts(e.spark, judged)
+    files.select("repo", F.concat(F.lit("./"), "path").alias("path")).write.json(changes)
+    edits = command_source.load_file_changes(e.spark, changes, streaming=True)
+    read = lambda wanted: files.join(wanted, ["repo", "path"], "left_semi")
+    audit_stream.sql_verdict_stream(edits, read, verdicts, judged_state).awaitTermination()
     stream = command_source.load_commands(e.spark, _write_commands(e), streaming=True)
-    audit_stream.command_audit_stream(stream, e.table("sql_file"), out, state).awaitTermination()
+    audit_stream.command_audit_stream(stream, verdicts, out, state).awaitTermination()
     return e.spark.read.parquet(out).select("event_id", "ts", "repo", "kind", "cmd", "decision", "reason")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import catalog as cat
 from ..session import drop_path, path_exists, settle
-from .sinks import bucketed, fresh_schema, overwrite_places, publish, read_published
+from .sinks import bucketed, fresh_schema, publish, read_published, replace_rows
 
 TICKET, OBJECT = ["repo", "ticket"], ["repo", "object_key"]
 PLACE = "struct<num:struct<size:int,digits:string>,ticket:string,dir:string,pos:int>"
@@ -118,13 +118,7 @@ class Published:
 
     def _apply(self, staged: str) -> None:
         """Replace the rows of the staged keys in the folders where they lie. Doing so twice changes nothing."""
-        rows = self._staged(staged, "catalog", self.schema)
         tickets = self._staged(staged, "tickets", "repo string, ticket string")
-        self._replace("catalog", self.schema, rows, tickets, TICKET)
+        replace_rows(f"{self.path}/catalog", self.schema, self._staged(staged, "catalog", self.schema), tickets, TICKET)
         totals = self._staged(staged, "totals", TOTALS)
-        self._replace("totals", TOTALS, totals.where("n_jobs > 0"), totals, OBJECT)
-
-    def _replace(self, name: str, schema: str, rows: DataFrame, keys: DataFrame, on: list[str]) -> None:
-        path, places = f"{self.path}/{name}", keys.select("repo", "bucket").distinct()
-        kept = read_published(self.spark, path, schema, places).join(keys.select(*on), on, "left_anti")
-        overwrite_places(settle(kept.unionByName(rows.select(*kept.columns)), f"new-{name}"), places, path)
+        replace_rows(f"{self.path}/totals", TOTALS, totals.where("n_jobs > 0"), totals, OBJECT)

@@ -61,6 +61,18 @@ def overwrite_places(rows: DataFrame, places: DataFrame, path: str) -> None:
     )
 
 
+def replace_rows(path: str, schema: str, rows: DataFrame, keys: DataFrame, on: list[str]) -> None:
+    """Replace the published rows of some keys by ``rows``. Both have their ``bucket``; folders without one of the keys are
+    neither read nor written. Doing so twice changes nothing."""
+    places = keys.select("repo", "bucket").distinct()
+    spark = rows.sparkSession
+    fresh = rows.select(*StructType.fromDDL(schema).names, "bucket")
+    if path_exists(spark, path):
+        kept = read_published(spark, path, schema, places).join(keys.select(*on), on, "left_anti")
+        fresh = kept.unionByName(fresh)
+    overwrite_places(settle(fresh, "new-rows"), places, path)
+
+
 def publish(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
     """First snapshot of a table, in folders by repository and hash of ``key``."""
     placed = bucketed(rows, key, buckets).withColumn("tombstone", F.lit(False))

@@ -12,7 +12,7 @@ from fleetlens.operators import commands, config_audit, inference, secrets
 from fleetlens.sources import commands as source
 from fleetlens.sources.policy import guard_rules, platform_dim
 from fleetlens.streaming import catalog_refresh
-from fleetlens.streaming.command_audit import command_audit_stream
+from fleetlens.streaming.command_audit import SqlVerdicts, command_audit_stream, sql_verdict_stream
 
 SQL_FILES = [
     ("r", "deploy.sql", "select 1;\ndrop view daily_totals;", 33), ("r", "safe.sql", "select dropped_on from ledger", 29),
@@ -75,13 +75,48 @@ def test_stream_replays_into_the_same_folder(spark, tmp_path):
              for i, (tool, cmd) in enumerate([("Bash", "databricks jobs delete 1"), ("Read", "x"), ("Bash", " "), ("Bash", "snow sql -f deploy.sql")])]
     (events / "a.json").write_text("\n".join(map(json.dumps, lines)))
     files = spark.createDataFrame(SQL_FILES, "repo string, path string, text string, n_bytes long")
+    verdicts = SqlVerdicts(spark, str(tmp_path / "verdicts"))
+    verdicts.update(files, lambda wanted: files)
     out = str(tmp_path / "out")
     for attempt in range(2):  # a lost checkpoint replays batch 0
         stream = source.load_commands(spark, str(events), streaming=True)
-        command_audit_stream(stream, files, out, str(tmp_path / f"state{attempt}")).awaitTermination()
+        command_audit_stream(stream, verdicts, out, str(tmp_path / f"state{attempt}")).awaitTermination()
         assert tuples(spark.read.parquet(out), "event_id", "reason", "batch_id") == [(0, "platform:databricks:jobs-delete", 0), (3, "warehouse:snow:DROP", 0)]
 
 
+def test_a_batch_of_changes_reads_only_the_files_it_names(spark, tmp_path):
+    texts = {f"sql/f{i}.sql": "drop table t" if i % 2 else "select 1" for i in range(40)}
+    asked: list[list[str]] = []
+
+    def read(wanted):
+        asked.append([p for p, in tuples(wanted, "path")])
+        return spark.createDataFrame([("r", p, texts[p]) for p in asked[-1] if p in texts], "repo string, path string, text string")
+
+    def changed(name, *paths):
+        (tmp_path / "changes").mkdir(exist_ok=True)
+        (tmp_path / "changes" / f"{name}.json").write_text("\n".join(json.dumps({"repo": "r", "path": p}) for p in paths))
+        stream = source.load_file_changes(spark, str(tmp_path / "changes"), streaming=True)
+        sql_verdict_stream(stream, read, verdicts, str(tmp_path / "state")).awaitTermination()
+        return dict(tuples(verdicts.of(spark.createDataFrame([("r", p) for p in texts] + [("r", "sql/gone.sql")], "repo string, path string")), "path", "verb"))
+
+    verdicts = SqlVerdicts(spark, str(tmp_path / "verdicts"))
+    nothing = spark.createDataFrame([("r", "sql/f1.sql")], "repo string, path string")
+    assert verdicts.of(nothing).count() == 0
+    texts["sql/gone.sql"] = "truncate t"
+    want = {p: "DROP" if "drop" in t else "TRUNCATE" if "trunc" in t else None for p, t in texts.items()}
+    assert changed("1", *texts) == want
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "verdicts").rglob("*.parquet")}
+    texts["sql/f2.sql"] = "grant all on t"
+    del texts["sql/gone.sql"]
+    del want["sql/gone.sql"]
+    assert changed("2", "sql/./f2.sql", "x/../sql/gone.sql") == {**want, "sql/f2.sql": "GRANT"}
+    assert asked[1:] == [["sql/f2.sql", "sql/gone.sql"]]
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "verdicts").rglob("*.parquet")}
+    assert len({p.parent for p, _ in before.items() ^ after.items()}) <= 2 < len({p.parent for p in after})
+    one = verdicts.of(nothing)
+    assert one.select(F.input_file_name()).distinct().count() == 1 and ("sql/f1.sql", "DROP") in tuples(one, "path", "verb")
+
+
 def test_no_event_is_lost_or_merged(spark):
     """Equal events, events of one id in different folders, and null ids."""
     from fleetlens.sources.schemas import COMMAND

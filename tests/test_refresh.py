@@ -120,7 +120,7 @@ def test_broken_off_batches_can_come_again(spark, tree, tmp_path):
     assert everything(published.catalog(), published.totals()) != want
     published._stage(jobs, build, f"{published.path}/staged/batch-1")
     staged = published._staged(f"{published.path}/staged/batch-1", "catalog", published.schema)
-    published._replace("catalog", published.schema, staged, staged.select("repo", "ticket", "bucket"), ["repo", "ticket"])
+    sinks.replace_rows(f"{published.path}/catalog", published.schema, staged, staged.select("repo", "ticket", "bucket"), ["repo", "ticket"])
     for batch in ("batch-1", "batch-1", "batch-0"):
         published.refresh(jobs, build, batch)
         assert everything(published.catalog(), published.totals()) == want
