@@ -46,6 +46,9 @@ PIP_NAME = r"^[A-Za-z0-9_.\[\]-]+$"
 #: Lines of a notebook that are no Python: shell and package commands.
 MAGIC_LINE = r"(?md)^[ \t\f]*(?:[%!]|pip install(?![A-Za-z0-9_])).*$"
 
+# What a denied schema may consist of, so that it can be looked for as a whole word.
+IDENTIFIER = r"\A[a-zA-Z0-9_$\p{L}\p{N}]+\z"
+
 # Keys ------------------------------------------------------------------------------------------
 DEFAULT_JOB_KEY = r"[A-Z][A-Z0-9]+-\p{Nd}+"
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.ranks import ranked
 from ..functions.skew import lookup_join
 
 
@@ -62,9 +63,6 @@ def job_catalog(
 
     c, dash = F.col, F.lit(X.DASH)
     no_text = F.array().cast("array<string>")
-    named_objects = F.filter(
-        F.transform(F.coalesce("cur_objects", no_text), X.strip), lambda o: o.isNotNull() & (o != "")
-    )
     return rows.select(
         "repo",
         "ticket",
@@ -76,16 +74,42 @@ def job_catalog(
         F.coalesce("flags", no_text).alias("flags"),
         X.strip(X.either(c("hdr_status"), c("doc_status"), c("cur_status"), F.lit("Unknown"))).alias("status"),
         X.either(c("hdr_updated"), c("cur_date"), dash).alias("last_updated"),
-        F.concat(X.url_path(F.concat_ws("/", F.coalesce("jobs_dir", F.lit("jobs")), "job_dir")), F.lit("/")).alias("link"),
+        _link().alias("link"),
         F.coalesce("has_doc", F.lit(False)).alias("has_claude_md"),
         F.coalesce(
             X.either(c("cur_summary")).isNotNull() & (X.either(c("cur_hash")) != c("doc_hash")), F.lit(False)
         ).alias("stale"),
-        X.distinct_fold_case(F.concat(named_objects, F.coalesce("code_objects", no_text))).alias("objects"),
+        _objects().alias("objects"),
         F.replace(c("url_template"), F.lit("{id}"), c("ticket")).alias("url"),
     )
 
 
+def _link() -> Column:
+    return F.concat(X.url_path(F.concat_ws("/", F.coalesce("jobs_dir", F.lit("jobs")), "job_dir")), F.lit("/"))
+
+
+def _objects() -> Column:
+    """Curated objects, then those of the code, each in its first casing."""
+    none = F.array().cast("array<string>")
+    named = F.filter(F.transform(F.coalesce("cur_objects", none), X.strip), lambda o: o.isNotNull() & (o != ""))
+    return X.distinct_fold_case(F.concat(named, F.coalesce("code_objects", none)))
+
+
+def object_rows(folders: DataFrame, objects: DataFrame, enrichment: DataFrame, config: DataFrame) -> DataFrame:
+    """Of the catalog only what its object indexes and edges need: (repo, ticket, dir, link, objects). No doc, header or definition
+    is read."""
+    curated = enrichment.select("repo", "ticket", F.col("objects").alias("cur_objects"))
+    conf = config.select("repo", F.col("project.jobs_dir").alias("jobs_dir"))
+    rows = folders.join(objects.withColumnRenamed("objects", "code_objects"), ["repo", "job_dir"], "left")
+    rows = lookup_join(lookup_join(rows, curated, ["repo", "ticket"]), conf, ["repo"])
+    return rows.select("repo", "ticket", F.col("job_dir").alias("dir"), _link().alias("link"), _objects().alias("objects"))
+
+
+def flag_rows(folders: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Of the catalog only (repo, ticket, dir, flags), for jobs that have any."""
+    return folders.join(mentions, ["repo", "job_dir"]).select("repo", "ticket", F.col("job_dir").alias("dir"), "flags")
+
+
 def in_catalog_order(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("repo", X.key_number(F.col("ticket")), "ticket", "dir")
 
@@ -125,15 +149,13 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
 def object_entries(catalog: DataFrame) -> DataFrame:
     """(repo, object_key, object, place, ticket, dir, ...): an object of a folder; ``place`` orders
     entries as the catalog does."""
-    return catalog.select(
-        "repo", "ticket", "dir", "link", "name", "last_updated",
-        F.posexplode("objects").alias("pos", "object"),
-    ).select(
+    known = [c for c in ("link", "name", "last_updated") if c in catalog.columns]
+    return catalog.select("repo", "ticket", "dir", *known, F.posexplode("objects").alias("pos", "object")).select(
         "repo",
         F.lower("object").alias("object_key"),
         "object",
         F.struct(X.key_number(F.col("ticket")).alias("num"), "ticket", "dir", "pos").alias("place"),
-        "ticket", "dir", "link", "name", "last_updated",
+        "ticket", "dir", *known,
     )
 
 
@@ -175,6 +197,11 @@ def object_index(catalog: DataFrame, labels: DataFrame | None = None) -> DataFra
     )
 
 
+def index_ranks(index: DataFrame) -> DataFrame:
+    """The index with each job's ``rank`` among the jobs of its object: by number, then name."""
+    return ranked(index, ["repo", "object_key"], [X.key_number(F.col("ticket")), F.col("ticket"), F.col("dir")])
+
+
 def in_index_order(index: DataFrame) -> DataFrame:
     """Most used objects first, jobs of an object by number."""
     return index.orderBy("repo", F.desc("n_jobs"), "object_key", X.key_number(F.col("ticket")), "ticket", "dir")

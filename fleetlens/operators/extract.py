@@ -55,16 +55,6 @@ def _dollar_names(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("$")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
-def _word_facts(words: Column, dollars: Column) -> Column:
-    """A fact per word, and one per word of each ``$``-joined name."""
-    plain = F.transform(words, lambda w: _fact("word", w, F.lit(""), _null(), _null(), F.lit(0)))
-    joined = F.transform(
-        dollars,
-        lambda s: F.transform(_all_words(s), lambda w: _fact("word", w, s, _null(), _null(), F.lit(0))),
-    )
-    return F.concat(plain, F.flatten(joined))
-
-
 def _notebook() -> Column:
     """Text of a notebook directly in the job folder, else null."""
     return F.when(X.is_direct_notebook(), X.one_line_end(F.col("text")))
@@ -82,21 +72,34 @@ def _header_facts(fields: Column) -> Column:
     return F.filter(F.array(fact), lambda _: F.size(fields) > 0)
 
 
-def _deny_lookup(deny: DataFrame) -> DataFrame:
-    """(repo, key, term, pattern): a denied schema under its first word. Of spellings that differ only
-    in case the last configured one is reported. ``pattern`` is null for a term without ``$``."""
+def _denied(deny: DataFrame) -> DataFrame:
+    """Denied schemas, a row per repository: ``plain`` names by their upper-case word, ``joined`` ones (with ``$``) by pattern. Of
+    spellings that differ only in case the last configured one is reported. What is no identifier can't name a schema: it is a finding of
+    the configuration audit and matches nothing."""
     upper = F.col("schema")
     tail = F.when(upper.endswith("$"), F.lit(f"(?={P.WORD})")).otherwise(F.lit(P.WORD_END))
-    return (
-        deny.groupBy("repo", "schema")
-        .agg(F.max_by("term", "ord").alias("term"))
-        .select(
-            "repo",
-            F.regexp_extract("schema", f"{P.WORD}+", 0).alias("key"),
-            "term",
-            F.when(upper.contains("$"), F.concat(F.lit(P.WORD_START + r"\Q"), upper, F.lit(r"\E"), tail)).alias("pattern"),
-        )
+    pattern = F.concat(F.lit(P.WORD_START + r"\Q"), upper, F.lit(r"\E"), tail)
+    terms = deny.where(F.col("term").rlike(P.IDENTIFIER)).groupBy("repo", "schema").agg(F.max_by("term", "ord").alias("term"))
+    listed = lambda condition, *fields: F.collect_list(F.when(condition, F.struct(*fields)))
+    return terms.groupBy("repo").agg(
+        listed(~upper.contains("$"), upper.alias("key"), "term").alias("plain"),
+        listed(upper.contains("$"), pattern.alias("pattern"), "term").alias("joined"),
+    )
+
+
+def _with_mentions(parsed: DataFrame, deny: DataFrame) -> DataFrame:
+    """``words`` and ``dollars`` of a file become the terms among them that its repository denies. Only lists of words meet
+    the rules, and only hits go on."""
+    ruled = lookup_join(parsed, _denied(deny), ["repo"])
+    hits = F.array_intersect("words", F.coalesce(F.transform("plain", lambda p: p["key"]), F.array().cast("array<string>")))
+    found = X.computed_once(ruled, hits=hits)
+    plain = F.transform(F.filter("plain", lambda p: F.array_contains("hits", p["key"])), lambda p: p["term"])
+    joined = F.transform(
+        F.filter("joined", lambda p: F.exists("dollars", lambda s: F.rlike(s, p["pattern"]))), lambda p: p["term"]
     )
+    none = F.array().cast("array<string>")
+    terms = F.concat(F.when(F.size("hits") > 0, plain).otherwise(none), F.when(F.size("dollars") > 0, F.coalesce(joined, none)).otherwise(none))
+    return found.withColumn("terms", terms).drop("words", "dollars", "plain", "joined", "hits")
 
 
 def _place(files: DataFrame, **parsed: Column) -> DataFrame:
@@ -134,25 +137,6 @@ def _first_of_each(facts: DataFrame) -> DataFrame:
     )
 
 
-def _keep_denied(facts: DataFrame, deny: DataFrame) -> DataFrame:
-    """Words become mentions where the repository denies them; other facts pass."""
-    # A key that no denied word has spreads the other facts over the tasks.
-    word = F.when(F.col("kind") == "word", F.col("key")).otherwise(F.concat(F.lit("\x00"), "job_dir", "key"))
-    joined = lookup_join(
-        facts.withColumn("name", F.col("key")).withColumn("key", word), _deny_lookup(deny), ["repo", "key"]
-    )
-    mention = F.when(F.col("pattern").isNull(), F.col("seq") == "").otherwise(
-        (F.col("seq") != "") & F.rlike("seq", F.col("pattern"))
-    )
-    is_word = F.col("kind") == "word"
-    return joined.where(~is_word | (F.col("term").isNotNull() & mention)).select(
-        "repo", "job_dir", "ext_rank", "place",
-        F.when(is_word, F.lit("mention")).otherwise(F.col("kind")).alias("kind"),
-        F.when(is_word, F.col("term")).otherwise(F.col("name")).alias("key"),
-        "v1", "v2", "pos",
-    )
-
-
 def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Objects, header and denied schemas of every job, from one scan of the texts:
     (repo, job_dir, status, last_updated, objects, flags). ``objects`` holds the distinct
@@ -162,13 +146,9 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
         files, names=_names(text), words=_all_words(text), dollars=_dollar_names(text),
         fields=_header_fields(),
     )
-    facts = _facts(
-        parsed,
-        _object_facts(F.col("names")),
-        _header_facts(F.col("fields")),
-        _word_facts(F.col("words"), F.col("dollars")),
-    )
-    kept = _first_of_each(_keep_denied(facts, deny))
+    mentions = F.transform("terms", lambda t: _fact("mention", t, _null(), _null(), _null(), F.lit(0)))
+    facts = _facts(_with_mentions(parsed, deny), _object_facts(F.col("names")), _header_facts(F.col("fields")), mentions)
+    kept = _first_of_each(facts)
     is_kind = lambda k: F.col("kind") == k
     return kept.groupBy("repo", "job_dir").agg(
         F.max(F.when(is_kind("header"), F.col("v1"))).alias("status"),
@@ -178,6 +158,17 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     )
 
 
+def object_lists(files: DataFrame) -> DataFrame:
+    """(repo, job_dir, objects): the objects of every job as ``job_facts`` lists them, where nothing else is needed."""
+    listed = F.array_sort(F.collect_list(F.struct("object_key", "object"))).getField("object")
+    return object_refs(files).groupBy("repo", "job_dir").agg(listed.alias("objects"))
+
+
+def mention_lists(files: DataFrame, deny: DataFrame) -> DataFrame:
+    """(repo, job_dir, flags): the same for denied schemas."""
+    return deprecated_mentions(files, deny).groupBy("repo", "job_dir").agg(F.array_sort(F.collect_list("term")).alias("flags"))
+
+
 def object_refs(files: DataFrame) -> DataFrame:
     """Data objects of every job in their first casing."""
     facts = _facts(_place(files, names=_names(F.col("text"))), _object_facts(F.col("names")))
@@ -189,9 +180,8 @@ def object_refs(files: DataFrame) -> DataFrame:
 def deprecated_mentions(files: DataFrame, deny: DataFrame) -> DataFrame:
     """Denied schemas named anywhere in a job's texts, comments included."""
     text = F.col("text")
-    parsed = _place(files, words=_all_words(text), dollars=_dollar_names(text))
-    facts = _facts(parsed, _word_facts(F.col("words"), F.col("dollars")))
-    return _keep_denied(facts, deny).select("repo", "job_dir", F.col("key").alias("term")).distinct()
+    parsed = files.select("repo", "job_dir", _all_words(text).alias("words"), _dollar_names(text).alias("dollars"))
+    return _with_mentions(parsed, deny).select("repo", "job_dir", F.explode("terms").alias("term")).distinct()
 
 
 def notebook_headers(files: DataFrame) -> DataFrame:

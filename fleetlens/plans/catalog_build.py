@@ -24,6 +24,16 @@ def build_catalog(
     return catalog.job_catalog(folders, extract.job_doc_fields(docs), facts, schedules, enrichment, config)
 
 
+def build_object_rows(folders: DataFrame, files: DataFrame, enrichment: DataFrame, config: DataFrame, **_: DataFrame) -> DataFrame:
+    """The catalog's (repo, ticket, dir, link, objects) without the rest of it."""
+    return catalog.object_rows(folders, extract.object_lists(files), enrichment, config)
+
+
+def build_flag_rows(folders: DataFrame, files: DataFrame, config: DataFrame, **_: DataFrame) -> DataFrame:
+    """The catalog's (repo, ticket, dir, flags), for jobs that have any."""
+    return catalog.flag_rows(folders, extract.mention_lists(files, load_policy(config)["deny"]))
+
+
 def build_catalog_for(jobs: DataFrame, **sources: DataFrame) -> DataFrame:
     """Catalog rows of some jobs (repo, job_dir, ticket): every source is cut to them before anything else."""
     keys = {

@@ -340,7 +340,8 @@ CHECKS: dict[str, str] = {
         union all select repo, 8, 'with deprecated refs', count(*) filter (where flags <> '') from @@cat group by repo
         union all select repo, 9, 'without doc', count(*) filter (where not has_claude_md) from @@cat group by repo""",
     "object_index": """
-        select e.repo, l.object_key, l.object, l.n_jobs, e.ticket, e.dir, e.link from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
+        select e.repo, l.object_key, l.object, l.n_jobs, e.ticket, e.dir, e.link,
+          row_number() over (partition by e.repo, l.object_key order by e.num, e.ticket, e.dir) as rank from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
     "graph_job_nodes": """
         select repo, ticket, arg_min(name, dir) as name, arg_min(status, dir) as status, arg_min(last_updated, dir) as last_updated,
           arg_min(purpose, dir) as purpose, count(*) as n_folders from @@cat group by 1, 2""",
@@ -350,22 +351,29 @@ CHECKS: dict[str, str] = {
         union all select distinct repo, ticket, 'flag', unnest(string_split(flags, ',')) from @@cat where flags <> ''
         union all select distinct e.repo, e.ticket, 'object', l.object from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
     "graph_object_nodes": r"""
+        select *, row_number() over (partition by repo, object order by coalesce(nullif(last_updated, ''), '0000-00-00'), cast(split_part(ticket, '-', 2) as bigint), ticket) as rank from (
         select e.repo, regexp_replace(l.object, '[:\\/]', '.', 'g') as node_id, l.object,
           case when len(string_split(l.object, '.')) >= 2 then string_split(l.object, '.')[-2] else 'object' end as layer,
           t.n_tickets, e.ticket, arg_min(e.name, row(e.dir, e.pos)) as name, arg_min(e.last_updated, row(e.dir, e.pos)) as last_updated
         from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key
         join (select repo, lower(object) as k, count(distinct ticket) as n_tickets from @@entry group by 1, 2) t on t.repo = e.repo and t.k = l.object_key
-        group by e.repo, l.object, t.n_tickets, e.ticket""",
+        group by e.repo, l.object, t.n_tickets, e.ticket)""",
     "graph_edges": r"""
         select distinct repo, ticket, lower(object) as object_key, regexp_replace(lower(object), '[:\\/]', '.', 'g') as object_node from @@entry""",
     "related_jobs": """
-        with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select repo, arg_max(ticket, num) as job from g group by repo)
+        with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select distinct repo, ticket as job from g where num % 100 = 0)
         select t.repo, t.job, b.ticket as related, count(*) as n_shared, min(a.o) as first_shared
         from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket group by 1, 2, 3""",
     "shared_objects": """
-        with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select repo, arg_max(ticket, num) as job from g group by repo)
+        with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select distinct repo, ticket as job from g where num % 100 = 0)
         select t.repo, t.job, b.ticket as related, a.o as object_key
         from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket""",
+    "failure_related": """
+        with g as (select distinct repo, ticket, lower(object) as o from @@entry), t as (select distinct repo, job_key as job from @@run where result_state = 'FAILED'),
+        s as (select t.repo, t.job, b.ticket as related, count(*) as n_shared, min(a.o) as first_shared
+          from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket group by 1, 2, 3)
+        select r.repo, r.run_id, r.job_key, s.related, s.n_shared, s.first_shared, exists (select 1 from t where t.repo = s.repo and t.job = s.related) as also_failed
+        from @@run r join s on r.repo = s.repo and r.job_key = s.job where r.result_state = 'FAILED'""",
     "migration_map": """
         with u as (select repo, unnest(string_split(flags, ',')) as schema, ticket, dir from @@cat where flags <> '')
         select u.repo, u.schema, n.n_jobs, u.ticket, u.dir from u join (select repo, schema, count(*) as n_jobs from u group by 1, 2) n on u.repo = n.repo and u.schema = n.schema""",

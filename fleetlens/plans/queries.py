@@ -64,6 +64,10 @@ def _settled_catalog(e: Estate) -> DataFrame:
     return settle(_catalog(e), "catalog-rows")
 
 
+def _object_rows(e: Estate) -> DataFrame:
+    return settle(catalog_build.build_object_rows(**_sources(e)), "object-rows")
+
+
 def _flat_catalog(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flags", joined("flags")).withColumn("objects", joined("objects"))
 
@@ -327,7 +331,7 @@ def catalog_summary(e: Estate) -> DataFrame:
 
 @query
 def object_index(e: Estate) -> DataFrame:
-    return catalog.object_index(_settled_catalog(e))
+    return catalog.index_ranks(catalog.object_index(_object_rows(e)))
 
 
 @query
@@ -342,29 +346,33 @@ def graph_job_facets(e: Estate) -> DataFrame:
 
 @query
 def graph_object_nodes(e: Estate) -> DataFrame:
-    return graph.graph_object_nodes(_settled_catalog(e))
+    return graph.node_ranks(graph.graph_object_nodes(_settled_catalog(e)))
 
 
 @query
 def graph_edges(e: Estate) -> DataFrame:
-    return graph.graph_edges(_catalog(e))
+    return graph.graph_edges(catalog_build.build_object_rows(**_sources(e)))
+
+
+def _edges(e: Estate) -> DataFrame:
+    return settle(graph.graph_edges(catalog_build.build_object_rows(**_sources(e))), "edges")
 
 
 @query
 def related_jobs(e: Estate) -> DataFrame:
-    edges = settle(graph.graph_edges(_catalog(e)), "edges")
-    return graph.related_jobs(edges, graph.newest_jobs(edges))
+    edges = _edges(e)
+    return graph.related_jobs(edges, graph.looked_up_jobs(edges))
 
 
 @query
 def shared_objects(e: Estate) -> DataFrame:
-    edges = settle(graph.graph_edges(_catalog(e)), "edges")
-    return graph.shared_objects(edges, graph.newest_jobs(edges))
+    edges = _edges(e)
+    return graph.shared_objects(edges, graph.looked_up_jobs(edges))
 
 
 @query
 def migration_map(e: Estate) -> DataFrame:
-    return catalog.migration_map(_settled_catalog(e))
+    return catalog.migration_map(settle(catalog_build.build_flag_rows(**_sources(e)), "flag-rows"))
 
 
 @query
@@ -548,10 +556,19 @@ def run_output(e: Estate) -> DataFrame:
 
 @query
 def failure_triage(e: Estate) -> DataFrame:
-    rows = _settled_catalog(e)
+    # Only the entries and objects of failing jobs are asked for, so only their sources are read.
+    failing = runs.failed_runs(e.runs()).select("repo", F.col("job_key").alias("ticket")).distinct()
+    jobs = settle(e.table("folder").join(failing, ["repo", "ticket"], "left_semi"), "failing-folders")
+    rows = settle(catalog_build.build_catalog_for(jobs, **_sources(e)), "failing-rows")
     return runs.failure_triage(e.runs(), rows, graph.graph_edges(rows))
 
 
+@query
+def failure_related(e: Estate) -> DataFrame:
+    """The related jobs of every failed run, as rows."""
+    return runs.failure_related(e.runs(), _edges(e))
+
+
 # Commands and configuration ------------------------------------------------------------------------
 @query
 def command_audit(e: Estate) -> DataFrame:

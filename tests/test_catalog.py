@@ -7,7 +7,7 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
-from fleetlens.functions import skew
+from fleetlens.functions import ranks, skew, text
 from fleetlens.operators import catalog, freshness, graph, runs
 from fleetlens.plans.catalog_build import build_catalog
 from fleetlens.sources import sinks
@@ -82,7 +82,36 @@ def test_related_jobs_of_given_jobs(spark):
     )
     target = spark.createDataFrame([("r", "J-1")], "repo string, ticket string")
     assert tuples(graph.related_jobs(edges, target), "related", "n_shared", "first_shared") == [("J-2", 2, "b"), ("J-3", 1, "c")]
-    assert tuples(graph.newest_jobs(edges), "ticket") == [("J-4",)]
+    numbered = spark.createDataFrame([("r", t, "a") for t in ("J-100", "J-12300", "J-10", "J-1001", "J-" + "9" * 30 + "00", "J-0")], edges.schema)
+    assert {t for t, in tuples(graph.looked_up_jobs(numbered), "ticket")} == {"J-100", "J-12300", "J-" + "9" * 30 + "00", "J-0"}
+
+
+def test_crowded_objects_are_counted_like_others(spark):
+    """Shared objects by bit sets, by joins, and by both, over more than one word of bits."""
+    draw = random.Random(3)
+    rows = [(f"r{r}", f"J-{t}", f"o{o:03d}") for r in range(2) for t in range(40) for o in draw.sample(range(150), 60)]
+    rows += [("r0", f"J-{t}", "hub") for t in range(40)] + [("r1", "J-1", "only")]
+    edges = spark.createDataFrame(rows, "repo string, ticket string, object_key string")
+    targets = spark.createDataFrame([("r0", "J-1"), ("r0", "J-39"), ("r1", "J-7"), ("r1", "none")], "repo string, ticket string")
+    own = {}
+    for repo, ticket, key in rows:
+        own.setdefault((repo, ticket), set()).add(key)
+    want = sorted(
+        (r, j, t, len(own[r, j] & o), min(own[r, j] & o)) for r, j in (("r0", "J-1"), ("r0", "J-39"), ("r1", "J-7")) for (q, t), o in own.items() if q == r and t != j and own[r, j] & o
+    )
+    for least in (0, 15, 20, 10**6):
+        assert tuples(graph.related_jobs(edges, targets, least)) == want
+
+
+def test_ranks_of_a_hot_group(spark):
+    rows = spark.range(3000).selectExpr("'r' as repo", "if(id % 3 = 0, 'hot', concat('o', id % 40)) as object_key", "concat('JOB-', (id * 7919) % 3000) as ticket", "concat('d', id) as dir")
+    got = ranks.ranked(rows.repartition(7), ["repo", "object_key"], [text.key_number(F.col("ticket")), F.col("ticket"), F.col("dir")], parts=16)
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.object_key, []).append((int(r.ticket[4:]), r.ticket, r.dir))
+    want = sorted((k, d, i) for k, g in groups.items() for i, (_, _, d) in enumerate(sorted(g), 1))
+    assert tuples(got, "object_key", "dir", "rank") == want and got.columns == [*rows.columns, "rank"]
+    assert len(groups["hot"]) == 1000
 
 
 def test_publishing_rewrites_only_what_changed(spark, tmp_path):

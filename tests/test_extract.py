@@ -50,6 +50,8 @@ def test_mentions_anywhere_in_configured_casing(files, config):
     assert tuples(extract.deprecated_mentions(df, deny_of(config, "Legacy_Store", "OTHER")), "term") == [("Legacy_Store",)]
     assert tuples(extract.deprecated_mentions(df, deny_of(config, "a$b_c", "B_C", "a$b", "Q$A$")), "term") == [("B_C",), ("a$b_c",)]
     assert tuples(extract.deprecated_mentions(df, deny_of(config)), "term") == []
+    # Neither can be a schema's name; their first words are not denied.
+    assert tuples(extract.deprecated_mentions(files({"a.sql": "old news, OLD.GONE OLD-STORE"}), deny_of(config, "OLD.GONE", "OLD-STORE", "", "news")), "term") == [("news",)]
 
 
 def test_mentions_agree_however_many_words_are_denied(files, config):
