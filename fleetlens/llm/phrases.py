@@ -20,9 +20,9 @@ from ..session import settle
 from .words import mix
 
 #: Texts of about so many bytes are counted together.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: A task holds at most so many counted n-grams before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Text of about so many bytes, or more beyond the most partitions, falls to a hash partition.
 PART_BYTES, MOST_PARTS = 2_000_000, 1 << 24
 #: The table of surviving n-grams that every task gets has at most so many bits.
@@ -107,7 +107,7 @@ def grams_of(texts: pa.Array, langs: pa.Array, longest: int) -> Grams:
     closes[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     doc = np.searchsorted(offsets[1:], begin, side="right")
-    piece = np.cumsum(_BREAK[data])[begin]
+    piece = np.cumsum(_BREAK[data], dtype=np.int32 if len(data) < 2**31 else np.int64)[begin]
     linked = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
     ends = np.concatenate([[0], np.cumsum(end - begin)])
     words = pa.LargeBinaryArray.from_buffers(
