@@ -110,12 +110,23 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack.pop()
 
 
-def expression_labels(expression: str) -> set[str]:
+def ways_of(expression: str) -> list[frozenset[str]]:
+    """The ways to comply with an expression; none if it is broken."""
     try:
-        ways = evaluate(parse(expression))
+        return evaluate(parse(expression))
     except ValueError:
-        return set()
-    return set().union(*ways)
+        return []
+
+
+def expression_labels(expression: str) -> set[str]:
+    return set().union(*ways_of(expression))
+
+
+def choices_text(ways: list[frozenset[str]]) -> str:
+    """Ways to comply as text: labels that hold together joined by ``+``, ways by ``|``. A way that asks for all of another one and
+    more is no choice of its own."""
+    least = [w for w in ways if not any(v < w for v in ways)]
+    return "|".join(sorted({"+".join(sorted(w)) for w in least if w}))
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -128,7 +139,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one whole text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, choices) of one whole text."""
     lowered = text.translate(_LOWER)
     line = " " + " ".join(_OTHER.sub(" ", lowered).split(" ")).strip(" ") + " "
     n_words = line.count(" ") - 1 if len(line) > 2 else 0
@@ -137,6 +148,7 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
     labels: dict[str, float] = {}
     notices: dict[int, str] = {}
     tagged = False
+    choices: list[str] = []
     at, word = 0, 0
     for end, (kind, phrase, size) in finder.iter(line):
         if kind == "base":
@@ -155,21 +167,24 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
         labels[label] = max(weight, labels.get(label, 0))
     if tagged:
         for found in _TAG_LINE.finditer(lowered):
-            for label in expression_labels(found[1]):
+            ways = ways_of(found[1])
+            for label in set().union(*ways):
                 labels[label] = 1.0
+            if said := choices_text(ways):
+                choices.append(said)
     return (
         n_words, len(places), min(places, default=None), max(places, default=None),
-        ",".join(sorted(base)), ",".join(sorted(labels)), max(labels.values(), default=0.0),
+        ",".join(sorted(base)), ",".join(sorted(labels)), max(labels.values(), default=0.0), ";".join(choices),
     )
 
 
 _LOWER = {k: k + 32 for k in range(65, 91)}
 SCHEMA = (
-    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, choices string"
 )
 _FIELDS = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "n_words", "n_base", "first_word", "last_word")]
-    + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
+    + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("choices", pa.string())]
 )
 
 
@@ -177,7 +192,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text).
 
     One narrow pass without a shuffle over whole texts. ``score`` is the weight of the best evidence: 1 for an
-    identifier tag, 0.8 for a base phrase, less for vague notices, 0 for none. A null or empty text has no words and no labels; a
+    identifier tag, 0.8 for a base phrase, less for vague notices, 0 for none. ``choices`` has what each licence expression evaluates to, in
+    order of the text and joined by ``;``: ``a|b+c`` is a, or b and c together. A null or empty text has no words and no labels; a
     null doc_id stays null; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
     """
 

@@ -65,6 +65,16 @@ def test_labels_of_the_method(documents):
     assert [r["score"] for r in rows] == [1.0, 0.9, 0.9, 0.5, 0.0, 0.9]
 
 
+def test_choices_are_what_expressions_evaluate_to(documents):
+    texts = [
+        "SPDX-License-Identifier: MIT OR GPL-2.0-only", "SPDX-License-Identifier: MIT AND GPL-2.0-only", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\n"
+        "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: MIT OR (MIT AND GPL-2.0)", "SPDX-License-Identifier: (MIT", "mit license", "SPDX-License-Identifier: LicenseRef-x",
+    ]
+    rows = licenses.license_scan(documents(texts)).collect()
+    assert [r["choices"] for r in rows] == ["gpl|mit", "gpl+mit", "apache+bsd|bsd+mit;isc", "mit", "", "", ""]
+    assert [r["labels"] for r in rows][:2] == ["gpl,mit", "gpl,mit"]
+
+
 def test_odd_rows(odd_documents):
     rows = licenses.license_scan(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(r["n_base"] == 0 and r["first_word"] is None for r in rows)
