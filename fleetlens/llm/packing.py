@@ -22,8 +22,8 @@ from ..session import settle
 END_ID = 1  #: the id that ends each document
 #: Middle lengths tried for each shortest length of a combination of three.
 FAN = 8
-#: Parts that the pieces of one length are numbered in, so that no length is numbered by one task.
-SALTS = 64
+#: Pieces of one length are numbered in parts of about so many, so that no task numbers a length of which most pieces are.
+NUMBERED = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -42,7 +42,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = True) -> DataFrame:
     """Pieces of at most ``window`` ids: whole windows from the start of a document, then a half one if more than that is left, then
     what is left. Rests of more than half a window would seldom find a partner. With ``added``, added tokens inside texts get
     their own ids, as the JSON file gives them when it is loaded as it stands."""
@@ -144,7 +144,7 @@ def _intervals(plan: Sequence[tuple[tuple[int, ...], int]]) -> dict[str, np.ndar
     return {name: np.array(x, np.int64) for name, x in zip(("length", "from", "sequence", "each", "offset"), zip(*rows))}
 
 
-def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", added: bool = True) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece.
 
     Documents are cut where a window is full; the histogram of piece lengths, at most ``window`` numbers, is all that
@@ -157,15 +157,15 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_
     rows; other columns are not read. ``added`` is as in ``cut_documents``.
     """
     pieces = settle(cut_documents(docs, window, vocabulary, added), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("salt", salt)
-    counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = 8 + max(counts.values(), default=0) // NUMBERED
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     spark = docs.sparkSession
     plan = spark.sparkContext.broadcast(_intervals(plan_packing(counts, window)) if counts else {})
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "start"))
-    ranked = salted.withColumn("own", own).join(F.broadcast(before), ["length", "salt"]).withColumn("number", F.col("before") + F.col("own") - 1)
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
+    ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("number", F.col("before") + F.col("own") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = plan.value

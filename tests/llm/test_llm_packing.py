@@ -14,7 +14,6 @@ from fleetlens.llm import packing
 
 def ids_of(texts):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     return [[*e.ids, 1] for e in coder.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
