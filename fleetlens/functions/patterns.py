@@ -130,6 +130,14 @@ GUARD_RULES = [
     ("prefect", 0, "delete", r"prefect\s+(deployment|flow-run|work-pool)\s+delete\b"),
 ]
 
+# Texts that hold guard rules: adapters in code, the copy they fall back to, and the front matter of playbooks.
+CODE_KIND = r"(?md)^[ \t]*kind[ \t]*=[ \t]*[\"']([A-Za-z0-9_]+)[\"']"
+CODE_PATTERN = r"""["']pattern["'][ \t]*:[ \t]*r?["]([^"\n]+)["]"""
+FALLBACK_SECTION = r"""(?s)["']([A-Za-z0-9_]+)["'][ \t]*:[ \t]*\[(.*?)\n[ \t]*\]"""
+FRONT_MATTER = r"(?s)\A---[ \t]*\n(.*?)\n---"
+PLAYBOOK_LIST = r"(?md)^destructive_patterns:[ \t]*\n((?:[ \t]+(?:-|#).*\n?|[ \t]*\n)*)"
+PLAYBOOK_ITEM = r"(?md)^[ \t]+-[ \t]+(.*?)[ \t]*$"
+
 # Failure classes for triage, first match wins. Rule data of our own.
 FAILURE_RULES = [
     ("transient", r"(?i)timed? ?out|throttl|connection (?:reset|refused)|spot (?:instance|termination)|unavailable"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .estate import TABLES, check_sql
+from .estate import TABLES, _kind, check_sql
 
 # Named expressions over the estate, in DuckDB's SQL only.
 STEPS: dict[str, str] = {
@@ -368,6 +368,14 @@ CHECKS: dict[str, str] = {
         with g as (select distinct repo, ticket, num, lower(object) as o from @@entry), t as (select distinct repo, ticket as job from g where num % 100 = 0)
         select t.repo, t.job, b.ticket as related, a.o as object_key
         from t join g a on a.repo = t.repo and a.ticket = t.job join g b on b.repo = a.repo and b.o = a.o and b.ticket <> a.ticket""",
+    "guard_rule_set_parity": f"""
+        with c as (select c_custkey as k, 'repo' || c_custkey as repo, {_kind('c_custkey')} as kind from @customer),
+        r as (select * from (values (0, 'tool\\s+jobs\\s+reset\\b'), (1, 'tool\\s+jobs\\s+delete\\b'), (2, '(?i)\\bdrop\\s+task\\b'), (3, 'tool\\s+(run|submit)\\b')) v(i, pattern)),
+        s as (
+          select repo, kind, k, pattern, not (i = 3 and k % 11 = 5) as code, k % 19 <> 7 and not (i = 1 and k % 7 = 3) as playbook, not (i = 0 and k % 17 = 6) as fallback from c, r
+          union all select repo, kind, k, 'it''s extra', false, k % 13 = 4 and k % 19 <> 7, false from c)
+        select repo, kind, pattern, 'playbook' as source, case when code then 'code' else 'playbook' end as only_in from s where code <> playbook
+        union all select repo, kind, pattern, 'fallback', case when code then 'code' else 'fallback' end from s where code <> fallback""",
     "failure_related": """
         with g as (select distinct repo, ticket, lower(object) as o from @@entry), t as (select distinct repo, job_key as job from @@run where result_state = 'FAILED'),
         s as (select t.repo, t.job, b.ticket as related, count(*) as n_shared, min(a.o) as first_shared

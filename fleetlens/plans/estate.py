@@ -99,7 +99,40 @@ def _definition(side: str, env: str, key: str, json: str, ddl: str) -> str:
     )
 
 
+def _rule(text: str) -> str:
+    """A pattern as SQL; ``~`` stands for a backslash, which the two engines read differently in a literal."""
+    return "concat('" + text.replace("~", "', chr(92), '") + "')"
+
+
+_RULES = [_rule(t) for t in ("tool~s+jobs~s+reset~b", "tool~s+jobs~s+delete~b", "(?i)~bdrop~s+task~b", "tool~s+(run|submit)~b")]
+#: Which of the rules a place has, by the number of the repository: code, playbook (one rule may differ), fallback.
+_HAS = {
+    "code": ["true", "true", "true", "c_custkey % 11 <> 5"],
+    "playbook": ["true", "c_custkey % 7 <> 3", "true", "true"],
+    "fallback": ["c_custkey % 17 <> 6", "true", "true", "true"],
+}
+
+
+def _rule_lines(place: str, before: str, after: str) -> str:
+    return ", ".join(_opt(has, f"'{before}'", rule, f"'{after}'") for rule, has in zip(_RULES, _HAS[place]))
+
+
+_CODE_FILE = _lines("'class Adapter:'", NL, "'    kind = \"'", "kind", "'\"'", NL, "'    rules = ['", NL, _rule_lines("code", '        {"pattern": r"', '", "reason": "x"},'), "'    ]'", NL)
+_FALLBACK_FILE = _lines(
+    "'RULES = {'", NL, "'    \"'", "kind", "'\": ['", NL, _rule_lines("fallback", '        {"pattern": r"', '", "reason": "y"},'), "'    ],'", NL,
+    "'    \"spare\": ['", NL, "'        {\"pattern\": r\"only here\"},'", NL, "'    ],'", NL, "'}'", NL,
+)
+_PLAYBOOK_FILE = _lines(
+    "'---'", NL, "'kind: '", "kind", NL, "'destructive_patterns:'", NL, "'  # kept equal to the code'", NL, _rule_lines("playbook", "  - ", ""),
+    _opt("c_custkey % 13 = 4", "'  - '", "chr(39)", "'it'", "chr(39)", "chr(39)", "'s extra'", "chr(39)"), "'---'", NL, "'# Playbook'", NL, "'  - not a rule'", NL,
+)
+
 TABLES: dict[str, str] = {
+    # Rule files: an adapter, a playbook (missing in some repositories) and a fallback copy per repository.
+    "rule_file": " union all ".join(
+        f"select concat('repo', c_custkey) as repo, '{path}' as path, {text} as text from (select *, {_kind('c_custkey')} as kind from @customer) c where {there}"
+        for path, text, there in (("adapter.py", _CODE_FILE, "true"), ("playbook.md", _PLAYBOOK_FILE, "c_custkey % 19 <> 7"), ("fallback.py", _FALLBACK_FILE, "true"))
+    ),
     # Source files: one small file per line item, jobs are parts, two folders per ticket.
     "src": (
         "select concat('repo', l_partkey % 25) as repo, concat('JOB-', l_partkey, '_', l_linestatus) as job_dir, "

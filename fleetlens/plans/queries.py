@@ -21,6 +21,7 @@ from ..operators import (
     freshness,
     graph,
     inference,
+    rule_sets,
     runs,
     secrets,
 )
@@ -604,6 +605,16 @@ def guard_rule_parity(e: Estate) -> DataFrame:
     return commands.guard_rule_parity(rules, rules.join(fired, ["kind", "rule"], "left_semi"))
 
 
+@query
+def guard_rule_set_parity(e: Estate) -> DataFrame:
+    """Rules of adapters, playbooks and fallback copies, read from their texts, against each other."""
+    files = e.table("rule_file")
+    of = lambda path: files.where(F.col("path") == path)
+    return rule_sets.rule_set_parity(
+        rule_sets.adapter_rules(of("adapter.py")), playbook=rule_sets.playbook_rules(of("playbook.md")), fallback=rule_sets.fallback_rules(of("fallback.py"))
+    )
+
+
 @query
 def config_field_violations(e: Estate) -> DataFrame:
     return config_audit.config_field_violations(e.config())
