@@ -53,6 +53,69 @@ def denylist_scan(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     return counted.select("repo", "path", "line_no", "n_terms")
 
 
+#: Length of the pieces by which terms and lines find each other.
+PIECE = 4
+
+
+def _folded(c: Column) -> Column:
+    """One spelling for all that a pattern takes for equal when case does not count."""
+    return F.replace(F.upper(F.lower(c)), F.lit("\u0307"), F.lit(""))
+
+
+def _literals(term: Column) -> Column:
+    """Literal texts of which every match of a pattern holds one: the longest literal run of each alternative. An alternative inside
+    brackets, and characters that may be left out, promise nothing."""
+    gap = "\x00"
+    bare = F.regexp_replace(term, r"(?s)\(.*\)(?:[?*+]|\{[^}]*\})*", gap)
+    bare = F.regexp_replace(bare, r"\[(?:\\.|[^\]\\])+\](?:[?*+]|\{[^}]*\})*", gap)
+    # What a quantifier may leave out goes, an escaped mark stands for itself, any other escape and any other sign for something.
+    bare = F.regexp_replace(bare, r"(?:\\.|[^\\])(?:[?*]|\{[^}]*\})[?+]?", gap)
+    bare = F.regexp_replace(bare, r"\+", gap)
+    bare = F.regexp_replace(bare, r"\\[A-Za-z0-9]", gap)
+    bare = F.regexp_replace(bare, r"(?<!\\)[.^$]", gap)
+    ways = F.when(F.contains(term, F.lit("(")) | F.contains(term, F.lit("[")), F.array(F.replace(bare, F.lit("|"), F.lit(gap)))).otherwise(F.split(bare, r"(?<!\\)\|"))
+
+    def longest(way: Column) -> Column:
+        runs = F.transform(F.split(F.regexp_replace(way, r"\\(.)", "$1"), gap), _folded)
+        return F.aggregate(runs, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+
+    return F.transform(ways, longest)
+
+
+def denylist_pieces(terms: DataFrame) -> DataFrame:
+    """(only_repo, term, piece) of terms (repo, term): for each alternative of a term a piece that its matches hold; null where one has
+    no literal run that is long enough. A null repo means all."""
+    own = terms.where(F.coalesce("term", F.lit("")) != "").select(F.col("repo").alias("only_repo"), "term").distinct()
+    pieces = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - (PIECE - 1)), lambda i: F.substr(run, i, F.lit(PIECE)))
+    # Of a run's pieces the one with the smallest hash, which spreads terms over pieces.
+    one = lambda run: F.when(F.length(run) >= PIECE, F.array_min(F.transform(pieces(run), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))["p"])
+    held = own.withColumn("held", F.transform(_literals(F.col("term")), one))
+    safe = ~F.exists("held", lambda p: p.isNull())
+    return held.select("only_repo", "term", F.explode(F.when(safe, F.array_distinct("held")).otherwise(F.array(F.lit(None).cast("string")))).alias("piece"))
+
+
+def denylist_table_scan(files: DataFrame, terms: DataFrame) -> DataFrame:
+    """As ``denylist_scan`` with a table of terms (repo, term), of any length and with lists of their own for repositories.
+
+    A term is tested on the lines that hold a piece of its literal text, found by a join on pieces; Spark sends the pieces
+    of terms to all tasks while they are few and shuffles beyond that. A term without such a text is tested on every line.
+    """
+    pieces = denylist_pieces(terms)
+    lines = source_lines(files.select("repo", "path", "text"))
+    text = F.col("folded")
+    cut = F.when(
+        F.length(text) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)), lambda i: F.substr(text, i, F.lit(PIECE))))
+    )
+    cells = lines.withColumn("folded", _folded(F.col("line"))).select("repo", "path", "line_no", "line", F.explode(cut).alias("piece"))
+    own = F.col("only_repo").isNull() | (F.col("only_repo") == F.col("repo"))
+    met = cells.join(pieces.where("piece is not null"), "piece").where(own)
+    loose = pieces.where("piece is null").select("only_repo", "term")
+    anywhere = lines.join(loose, own, "inner")
+    columns = ["repo", "path", "line_no", "line", "term"]
+    found = met.select(*columns).unionByName(anywhere.select(*columns)).where(F.rlike("line", F.concat(F.lit("(?iud:"), "term", F.lit(")"))))
+    return found.groupBy("repo", "path", "line_no").agg(F.count_distinct("term").cast("int").alias("n_terms"))
+
+
 def read_denylist(lines: Sequence[str]) -> list[str]:
     """Terms of a denylist file: blank lines and ``#`` comments dropped."""
     return [line.strip() for line in lines if line.strip() and not line.lstrip().startswith("#")]

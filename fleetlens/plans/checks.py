@@ -376,6 +376,12 @@ CHECKS: dict[str, str] = {
           union all select repo, kind, k, 'it''s extra', false, k % 13 = 4 and k % 19 <> 7, false from c)
         select repo, kind, pattern, 'playbook' as source, case when code then 'code' else 'playbook' end as only_in from s where code <> playbook
         union all select repo, kind, pattern, 'fallback', case when code then 'code' else 'fallback' end from s where code <> fallback""",
+    "denylist_table_scan": r"""
+        with t as (select 'corp\.io' as term, null as repo union all select 'old\.gone', null union all select 'erion|eaux', null
+          union all select distinct 'the ' || lower(right(source, 1)) || '[a-z]+ing|' || lower(source), source from @documents where source is not null)
+        select l.source as repo, l.path, l.line_no, count(*)::int as n_terms
+        from (select d.source, x.path, x.line_no, x.line from @@text_line x join @documents d on x.repo = 'documents' and x.path = 'd/' || d.doc_id) l
+        join t on (t.repo is null or t.repo = l.source) and regexp_matches(l.line, '(?i)' || t.term) group by 1, 2, 3""",
     "failure_related": """
         with g as (select distinct repo, ticket, lower(object) as o from @@entry), t as (select distinct repo, job_key as job from @@run where result_state = 'FAILED'),
         s as (select t.repo, t.job, b.ticket as related, count(*) as n_shared, min(a.o) as first_shared

@@ -476,6 +476,16 @@ def denylist_scan(e: Estate) -> DataFrame:
     return secrets.denylist_scan(_texts(e), DENY_TERMS)
 
 
+@query
+def denylist_table_scan(e: Estate) -> DataFrame:
+    """Terms for all repositories, and one of its own for each source of documents."""
+    shared = e.spark.createDataFrame([(None, t) for t in DENY_TERMS], "repo string, term string")
+    doc = e.given("documents")
+    own = doc.select(F.col("source").alias("repo"), F.concat(F.lit("the "), F.lower(F.right("source", F.lit(1))), F.lit("[a-z]+ing|"), F.lower("source")).alias("term"))
+    texts = doc.select(F.col("source").alias("repo"), F.concat(F.lit("d/"), "doc_id").alias("path"), "text")
+    return secrets.denylist_table_scan(secrets.scannable(texts.where("text is not null")), shared.unionByName(own.distinct()))
+
+
 # Drift ---------------------------------------------------------------------------------------------
 @query
 def definition_leaves(e: Estate) -> DataFrame:
