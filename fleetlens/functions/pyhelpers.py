@@ -96,19 +96,6 @@ def leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def parsed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row without its texts, but with the error of a file that parses neither as it stands nor without its magic lines. Files
-    without ``text`` are not parsed."""
-    for batch in batches:
-        pairs = zip(batch["text"].to_pylist(), batch["bare"].to_pylist(), strict=True)
-        errors = [None if text is None else parse_failure(text) and parse_failure(bare) for text, bare in pairs]
-        columns = {f.name: batch[f.name] for f in batch.schema if f.name not in ("text", "bare")}
-        columns["broken"] = pa.array([error is not None for error in errors])
-        columns["line"] = pa.array([error and error[0] for error in errors], pa.int64())
-        columns["msg"] = pa.array([error and error[1] for error in errors], pa.string())
-        yield pa.RecordBatch.from_pydict(columns)
-
-
 def syntax_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per file that parses neither as it stands (``text``) nor without its magic lines (``bare``)."""
     for batch in batches:

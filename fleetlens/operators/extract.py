@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.pyhelpers import parsed_batches, syntax_batches
+from ..functions.pyhelpers import syntax_batches
 from ..functions.skew import lookup_join
 from .docs import header_names
 
@@ -220,26 +220,25 @@ def _named_parts(found: DataFrame) -> DataFrame:
 
 
 def file_facts(files: DataFrame, odd_headers: Sequence[str] = ()) -> DataFrame:
-    """All that the gate needs to know of a file, from one scan of its text, in one row: the layer it declares, its references by
-    line, install lines, header names (null but for notebooks directly in a job folder), and whether it parses. Files that say
-    nothing of this are left out."""
+    """All that the gate reads off a file's text with patterns, from one scan, in one row: the layer it declares, its references by
+    line, install lines and header names (null but for notebooks directly in a job folder). Files that say nothing of this are
+    left out, notebooks never."""
     text = F.col("plain")
     refs = lambda line: F.when(
         ~line.rlike(P.IMPORT_LINE), F.regexp_extract_all(line, F.lit(P.POLICY_REF), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
-    by_line = F.transform(X.lines(text), lambda line, i: F.struct((i + 1).alias("line_no"), refs(line).alias("raw")))
+    by_line = F.transform("lines", lambda line, i: F.struct((i + 1).alias("line_no"), refs(line).alias("raw")))
     is_py = F.col("ext") == "py"
-    plain = files.select("repo", "job_dir", "path", "ext", "text", X.one_line_end(F.col("text")).alias("plain"))
-    facts = plain.select(
+    # Each is read several times below.
+    plain = X.computed_once(files.select("repo", "job_dir", "path", "ext", "text"), plain=X.one_line_end(F.col("text")))
+    cut = X.computed_once(plain, lines=X.lines(text))
+    found = X.computed_once(cut, refs=F.filter(by_line, lambda r: F.size(r["raw"]) > 0))
+    return found.select(
         "repo", "job_dir", "path", "ext", F.upper(X.first_group(F.col("text"), P.LAYER_DECLARATION)).alias("layer"),
-        F.filter(by_line, lambda r: F.size(r["raw"]) > 0).alias("refs"),
+        "refs",
         F.when(is_py, _install_args(text)).alias("installs"),
         F.when(X.is_direct_notebook(), header_names(text, odd_headers)).alias("names"),
-        F.when(is_py, F.col("text")).alias("text"),
-        F.when(is_py, F.regexp_replace(X.unix_newlines(F.col("text")), P.MAGIC_LINE, "#")).alias("bare"),
     ).where(is_py | (F.size("refs") > 0))
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in facts.schema if f.name not in ("text", "bare")]
-    return facts.mapInArrow(parsed_batches, ", ".join([*kept, "broken boolean, line bigint, msg string"]))
 
 
 def policy_refs_of(facts: DataFrame) -> DataFrame:

@@ -107,6 +107,13 @@ STEPS: dict[str, str] = {
     "label": """
         select repo, lower(object) as object_key, arg_min(object, row(num, ticket, dir, pos)) as object, count(*) as n_jobs
         from @@entry group by 1, 2""",
+    "object_node": r"""
+        select e.repo, regexp_replace(l.object, '[:\\/]', '.', 'g') as node_id, l.object,
+          case when len(string_split(l.object, '.')) >= 2 then string_split(l.object, '.')[-2] else 'object' end as layer,
+          t.n_tickets, e.ticket, arg_min(e.name, row(e.dir, e.pos)) as name, arg_min(e.last_updated, row(e.dir, e.pos)) as last_updated
+        from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key
+        join (select repo, lower(object) as k, count(distinct ticket) as n_tickets from @@entry group by 1, 2) t on t.repo = e.repo and t.k = l.object_key
+        group by e.repo, l.object, t.n_tickets, e.ticket""",
     "outdated": r"""
         select * exclude (n) replace ('OLD' as status, array_to_string(list_concat(
           case when objects = '' then [] when n % 5 = 0 then string_split(objects, ',')[2:] else string_split(objects, ',') end,
@@ -340,8 +347,10 @@ CHECKS: dict[str, str] = {
         union all select repo, 8, 'with deprecated refs', count(*) filter (where flags <> '') from @@cat group by repo
         union all select repo, 9, 'without doc', count(*) filter (where not has_claude_md) from @@cat group by repo""",
     "object_index": """
-        select e.repo, l.object_key, l.object, l.n_jobs, e.ticket, e.dir, e.link,
-          row_number() over (partition by e.repo, l.object_key order by e.num, e.ticket, e.dir) as rank from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
+        select e.repo, l.object_key, l.object, l.n_jobs, e.ticket, e.dir, e.link from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
+    "object_index_ranks": """
+        select e.repo, l.object_key, l.object, l.n_jobs, e.ticket, e.dir, e.link, row_number() over (partition by e.repo, l.object_key order by e.num, e.ticket, e.dir) as rank
+        from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
     "graph_job_nodes": """
         select repo, ticket, arg_min(name, dir) as name, arg_min(status, dir) as status, arg_min(last_updated, dir) as last_updated,
           arg_min(purpose, dir) as purpose, count(*) as n_folders from @@cat group by 1, 2""",
@@ -350,14 +359,10 @@ CHECKS: dict[str, str] = {
         union all select distinct repo, ticket, 'owner', owner from @@cat where owner <> '—'
         union all select distinct repo, ticket, 'flag', unnest(string_split(flags, ',')) from @@cat where flags <> ''
         union all select distinct e.repo, e.ticket, 'object', l.object from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key""",
-    "graph_object_nodes": r"""
-        select *, row_number() over (partition by repo, object order by coalesce(nullif(last_updated, ''), '0000-00-00'), cast(split_part(ticket, '-', 2) as bigint), ticket) as rank from (
-        select e.repo, regexp_replace(l.object, '[:\\/]', '.', 'g') as node_id, l.object,
-          case when len(string_split(l.object, '.')) >= 2 then string_split(l.object, '.')[-2] else 'object' end as layer,
-          t.n_tickets, e.ticket, arg_min(e.name, row(e.dir, e.pos)) as name, arg_min(e.last_updated, row(e.dir, e.pos)) as last_updated
-        from @@entry e join @@label l on e.repo = l.repo and lower(e.object) = l.object_key
-        join (select repo, lower(object) as k, count(distinct ticket) as n_tickets from @@entry group by 1, 2) t on t.repo = e.repo and t.k = l.object_key
-        group by e.repo, l.object, t.n_tickets, e.ticket)""",
+    "graph_object_nodes": "select * from @@object_node",
+    "graph_object_ranks": """
+        select *, row_number() over (partition by repo, object order by coalesce(nullif(last_updated, ''), '0000-00-00'), cast(split_part(ticket, '-', 2) as bigint), ticket) as rank
+        from @@object_node""",
     "graph_edges": r"""
         select distinct repo, ticket, lower(object) as object_key, regexp_replace(lower(object), '[:\\/]', '.', 'g') as object_node from @@entry""",
     "related_jobs": """

@@ -332,7 +332,13 @@ def catalog_summary(e: Estate) -> DataFrame:
 
 @query
 def object_index(e: Estate) -> DataFrame:
-    return catalog.index_ranks(catalog.object_index(_object_rows(e)))
+    return catalog.object_index(_object_rows(e))
+
+
+@query
+def object_index_ranks(e: Estate) -> DataFrame:
+    """The same with each job's place among the jobs of its object."""
+    return catalog.index_ranks(settle(catalog.object_index(_object_rows(e)), "index-rows"))
 
 
 @query
@@ -347,7 +353,13 @@ def graph_job_facets(e: Estate) -> DataFrame:
 
 @query
 def graph_object_nodes(e: Estate) -> DataFrame:
-    return graph.node_ranks(graph.graph_object_nodes(_settled_catalog(e)))
+    return graph.graph_object_nodes(_settled_catalog(e))
+
+
+@query
+def graph_object_ranks(e: Estate) -> DataFrame:
+    """The same with each ticket's place on its object."""
+    return graph.node_ranks(settle(graph.graph_object_nodes(_settled_catalog(e)), "node-rows"))
 
 
 @query

@@ -16,7 +16,7 @@ def write_findings(df: DataFrame, path: str, fmt: str = "json", by: str = "repo"
 
 
 #: Folders of a repository in a published table: a changed job rewrites one of them.
-BUCKETS = 16
+BUCKETS = 8
 
 
 def bucketed(rows: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The gate reads every text once."""
+"""The gate reads every text twice: for patterns and for Python's parser."""
 
 from __future__ import annotations
 
@@ -23,7 +23,6 @@ def test_facts_say_what_each_check_reads_off_the_text(files, config):
     columns = ("repo", "job_dir", "path", "layer", "line_no", "occ", "ref")
     assert tuples(extract.policy_refs_of(facts).fillna("-"), *columns) == tuples(extract.policy_refs(src).fillna("-"), *columns)
     assert tuples(extract.requirements(facts.where("installs is not null")).fillna("-")) == tuples(extract.pip_requirements(src).fillna("-"))
-    assert tuples(facts.where("broken").select("path", "line", "msg")) == tuples(extract.syntax_findings(src), "path", "line", "msg")
     names = lambda df: tuples(df.selectExpr("path", "array_join(array_sort(names), ',') as n"))
     assert names(facts.where("names is not null")) == names(docs.notebook_names(src))
     assert "empty.sql" not in [p.rsplit("/", 1)[1] for p, in tuples(facts, "path")]
@@ -31,7 +30,7 @@ def test_facts_say_what_each_check_reads_off_the_text(files, config):
     assert tuples(compliance.arch_findings(extract.policy_refs_of(facts), rules)) == tuples(compliance.arch_findings(extract.policy_refs(src), rules))
 
 
-def test_gate_scans_texts_once(spark, files, config):
+def test_gate_scans_texts_twice(spark, files, config):
     src = files(TEXTS)
     read = spark.sparkContext.accumulator(0)
 
@@ -48,7 +47,7 @@ def test_gate_scans_texts_once(spark, files, config):
     checks = gate_run.run_checks(folders, scanned, none(schemas.JOB_DOC), none(schemas.JOB_DEF), conf, advisory, advisory.limit(0))
     rows = {(r.job_dir, r.check): (r.ok, r.n_problems) for r in gate_run.job_gate(folders, checks).collect()}
     details = gate_run.gate_details(checks).collect()
-    assert read.value == src.count()
+    assert read.value == 2 * src.count()
     assert rows["JOB-1_A", "notebook_syntax"] == (False, 2) and rows["JOB-1_A", "dependency_vulns"] == (False, 1)
     assert rows["JOB-2_B", "architecture"] == (True, 0) and rows["JOB-2_B", "documentation"] == (False, 2)
     assert sum(d["check"] == "dependency_vulns" for d in details) == 2 and required_fields(conf).count() == 1
