@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -212,14 +213,24 @@ def classify(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     )
 
 
+def _deviations(quantile: float, n: Column) -> Column:
+    """How many standard deviations above the mean of n values one more of them lies with the given chance: few documents do not
+    reach a high quantile. Student's distribution by its expansion around the normal one."""
+    z, free = NormalDist().inv_cdf(quantile), n - 1
+    t = F.lit(z) + (z**3 + z) / (4 * F.greatest(free, F.lit(1))) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * F.greatest(free * free, F.lit(1)))
+    return t * F.sqrt(1 + 1 / n)
+
+
 def identify_languages(docs: DataFrame, quantile: float = 0.999) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score, entropy, rejected) for all rows of ``docs`` (doc_id, text, lang).
 
-    Models learn from all documents with a language whose crc32 of doc_id, modulo 4, is not 2; the others are held out. Counts of
+    Models learn from documents with a language whose crc32 of doc_id, modulo 4, is not 2; the others are held out. Of those that
+    may be learned from, one in five, by hash, is not counted but sets the limits of rejection. Counts of
     character grams are added up in Spark; the model that reaches driver and tasks has one row per gram seen in a language, which
     follows its alphabet and spelling and not the number of documents. A document gets the language with
     the lowest cross-entropy per character. ``rejected`` is true where that is above the given quantile of the entropies of
-    the documents which the language's model learned from and knows as its own, calibrated over all of them.
+    the documents set apart that the language's model knows as its own, so limits come from texts that it did not learn; a
+    language with fewer than two such documents rejects none. A very long text is read whole.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected; so is every text if nothing can be learned. A null
     doc_id is neither learned from nor held out; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
@@ -231,7 +242,12 @@ def identify_languages(docs: DataFrame, quantile: float = 0.999) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(turn == 2, F.lit(False)).alias("held_out"),
         F.when(turn != 2, F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text"),
     )
-    learned = count_grams(base.where("lang is not null")).toArrow()
+    apart = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(5)) == 0
+    usable = base.where("lang is not null")
+    # A language all of whose documents would be set apart is learned from them all the same.
+    whole = usable.groupBy("lang").agg(F.min(apart).alias("whole")).where("whole").select(F.col("lang").alias("name"))
+    counted = usable.join(whole, F.col("lang") == F.col("name"), "left").where(~apart | F.col("name").isNotNull())
+    learned = count_grams(counted.select("lang", "text")).toArrow()
     langs = np.array(learned.column("lang").to_pylist(), object)
     gram, n = (learned.column(c).to_numpy() for c in ("gram", "n"))
     counts = [(lang, gram[langs == lang].view(np.uint64), n[langs == lang]) for lang in sorted(set(langs))]
@@ -246,8 +262,9 @@ def identify_languages(docs: DataFrame, quantile: float = 0.999) -> DataFrame:
                 yield classify(part, model.value)
 
     scored = settle(base.mapInArrow(predict, SCORES), "languages")
-    known = scored.where("lang = lang_pred and letters > 0").groupBy("lang_pred")
-    limits = known.agg(F.percentile_approx("entropy", quantile, 10_000).alias("most"))
+    known = scored.where(apart & (F.col("lang") == F.col("lang_pred")) & (F.col("letters") > 0)).groupBy("lang_pred")
+    away = F.avg("entropy") + _deviations(quantile, F.count("*")) * F.stddev_samp("entropy")
+    limits = known.agg(F.when(F.count("*") > 1, F.greatest(F.percentile_approx("entropy", quantile, 10_000), away)).alias("most"))
     # One row per language that was learned.
     return scored.join(F.broadcast(limits), "lang_pred", "left").select(
         "doc_id", "held_out", "lang_pred", "score", "entropy",

@@ -88,6 +88,23 @@ def test_odd_rows(odd_documents):
     assert language.identify_languages(odd_documents.limit(0)).count() == 0
 
 
+def test_limits_come_from_documents_that_were_not_counted(documents):
+    """Of held-out documents about as many are rejected as the quantile says, not many times more."""
+    texts = invented(1500, words=40, vocabulary=3000)
+    rows = language.identify_languages(documents(texts).withColumn("lang", F.lit("made")), quantile=0.95).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert 0.01 <= sum(r["rejected"] for r in held) / len(held) <= 0.12
+
+
+def test_a_language_with_one_document_is_learned(documents):
+    texts = invented(40, words=30)
+    for i in range(40):
+        df = documents(texts).withColumn("lang", F.when(F.col("doc_id") == i, "rare").otherwise("made")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+        if i % 10 == 0 and df.where("lang = 'rare'").count():
+            own = [r for r in language.identify_languages(df).collect() if r["doc_id"] == i]
+            assert own[0]["lang_pred"] == "rare" and not own[0]["rejected"]
+
+
 def test_rejection_of_strange_text(documents):
     texts = invented(300, words=60) + ["qqq xzx wvq zzxw qwx " * 6]
     rows = {r["doc_id"]: r for r in language.identify_languages(documents(texts).withColumn("lang", F.when(F.col("doc_id") < 300, F.lit("made")))).collect()}
