@@ -299,6 +299,11 @@ CHECKS: dict[str, str] = {
           case when lang = 'en' then 'py' else 'sql' end as ext, regexp_replace(text, '\\r\\n?', chr(10), 'g') as text,
           strlen(text) as n_bytes from @documents""",
     "scan_job_docs": "select repo, job_dir, text, sha256(text) as content_sha256 from @@doc",
+    "tree_changes": """
+        with doc as (select source as repo, doc_id, concat('jobs/JOB-', doc_id, '_Text/') as folder,
+            source = (select min(source) from @documents) as gone from @documents where source is not null)
+        select repo, concat(folder, '_t.sql') as path, case when gone then 'removed' else 'changed' end as change from doc where gone or doc_id % 3 = 0
+        union all select repo, concat(folder, 'sub/n.sql'), 'added' from doc where not gone and doc_id % 5 = 0""",
     "scan_definitions": """
         select d.repo, d.job_key, d.env, d.path, d.stem, d.ext, d.raw, case when j.valid then null when d.ext = 'json' then 2 end::bigint as error_line, j.name, j.cron
         from @@all_def d left join @@json_def j on d.repo = j.repo and d.path = j.path and d.side = j.side where d.side = 'repo'

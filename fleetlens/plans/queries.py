@@ -25,10 +25,10 @@ from ..operators import (
     runs,
     secrets,
 )
-from ..session import scratch_dir, settle, tune
+from ..session import drop_path, scratch_dir, settle, tune
 from ..sources import commands as command_source
 from ..sources import files as file_source
-from ..sources import policy, sinks, snapshots
+from ..sources import listing, policy, sinks, snapshots
 from ..sources.published import Published
 from ..sources.trees import write_tree
 from ..streaming import catalog_refresh
@@ -115,6 +115,20 @@ def scan_source_files(e: Estate) -> DataFrame:
     return file_source.scan_source_files(e.spark, [root], config=config)
 
 
+@query
+def tree_changes(e: Estate) -> DataFrame:
+    """What a listing finds after some files of a tree were edited, some added, and one repository removed."""
+    root = scratch_dir(e.spark, "listed")
+    doc = e.given("documents").where("source is not null").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    place = lambda name: F.concat("source", F.lit("/jobs/JOB-"), "doc_id", F.lit(f"_Text/{name}")).alias("path")
+    write_tree(doc.select(place("_t.sql"), "text"), root)
+    before = file_source.list_job_files(e.spark, [root])
+    write_tree(doc.where("doc_id % 3 = 0").select(place("_t.sql"), F.concat("text", F.lit(" ")).alias("text")), root)
+    write_tree(doc.where("doc_id % 5 = 0").select(place("sub/n.sql"), "text"), root)
+    drop_path(e.spark, f"{root}/{doc.agg(F.min('source')).first()[0]}")
+    return listing.file_changes(before, file_source.list_job_files(e.spark, [root]))
+
+
 @query
 def scan_job_docs(e: Estate) -> DataFrame:
     root = scratch_dir(e.spark, "docs")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import path_exists
-from . import schemas
+from . import listing, schemas
 
 
 def _bases(spark: SparkSession, roots: Sequence[str]) -> list[str]:
@@ -34,21 +34,15 @@ def job_paths(
     return [p for root in roots for p in (f"{root.rstrip('/')}/{x}" for x in inner) if path_exists(spark, p)]
 
 
-_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+def _repositories(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """(repo, path, uri): the folders right below the roots, the path in them empty."""
+    return listing.repositories(spark, _bases(spark, roots))
 
 
-def _read(spark: SparkSession, roots: Sequence[str], name_glob: str, folders: Sequence[str] | None = None) -> DataFrame:
-    """repo, path in it, full name, bytes and size of every matching file. The first folder below a root is the
-    repository. ``folders`` below the roots limit what is listed. ``content`` is read only where it is selected."""
-    wanted = list(roots if folders is None else folders)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob)
-    files = reader.load(wanted) if wanted else spark.createDataFrame([], _FILE)
-    uri = F.col("path")
-    below = F.coalesce(*[F.when(uri.startswith(b + "/"), F.substr(uri, F.lit(len(b) + 2))) for b in _bases(spark, roots)], F.lit(None).cast("string"))
-    return files.select(uri.alias("uri"), below.alias("below"), "content", "length").select(
-        "uri", F.substring_index("below", "/", 1).alias("repo"),
-        F.substr("below", F.length(F.substring_index("below", "/", 1)) + 2).alias("path"), "content", "length",
-    )
+def _below(repos: DataFrame, inner: Column) -> DataFrame:
+    """The folder ``inner`` of each repository, as (repo, path, uri) and the other columns."""
+    path = X.resolved_path(inner)
+    return repos.withColumn("path", path).withColumn("uri", F.concat("uri", F.when(path != "", F.concat(F.lit("/"), path)).otherwise("")))
 
 
 def _decoded(content: Column) -> Column:
@@ -64,15 +58,33 @@ def _with_config(files: DataFrame, config: DataFrame | None, **fields: str) -> D
     return files.join(own, "repo", "left")
 
 
-def _locate(files: DataFrame, config: DataFrame | None, jobs_dir: str) -> DataFrame:
-    """Files below the job folders of their repository: job_dir, and what follows it as ``rest``."""
-    known = _with_config(files, config, own_dir="project.jobs_dir", own_prefixes="project.key_prefixes")
-    folder = F.concat(F.rtrim(F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)), F.lit("/")), F.lit("/"))
-    below = known.withColumn("folder", folder).where(F.startswith("path", "folder")).withColumn(
-        "inner", F.substr("path", F.length("folder") + 1)
-    )
-    return below.where(F.contains("inner", F.lit("/"))).withColumn("job_dir", F.substring_index("inner", "/", 1)).withColumn(
-        "rest", F.substr("inner", F.length("job_dir") + 2)
+def list_job_files(
+    spark: SparkSession,
+    roots: Sequence[str],
+    name_glob: str = "*",
+    jobs_dir: str = "jobs",
+    config: DataFrame | None = None,
+    folders: Sequence[str] | None = None,
+    levels: int | None = None,
+) -> DataFrame:
+    """Files below the job folders, without their texts: (repo, job_dir, path, uri, rest, length, modified), ``rest`` being the path
+    below the job folder. The configuration joins the repositories; nothing outside their jobs folders is listed. ``folders`` (of
+    ``job_paths``) limit the listing to some jobs, ``levels`` how deep it goes below the jobs folder."""
+    tops = _with_config(_repositories(spark, roots), config, own_dir="project.jobs_dir")
+    starts = _below(tops, F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir))).withColumnRenamed("path", "top")
+    places = starts.select("repo", F.col("top").alias("path"), "uri")
+    if folders is not None:
+        last = F.substring_index("folder", "/", -1)
+        named = spark.createDataFrame([(f,) for f in _bases(spark, folders)], "folder string")
+        own = named.withColumn("uri", F.regexp_replace("folder", "/[^/]*$", "")).join(places, "uri")
+        places = own.select("repo", F.concat_ws("/", F.nullif("path", F.lit("")), last).alias("path"), F.col("folder").alias("uri"))
+        levels = None if levels is None else levels - 1
+    found = listing.walk(places, name_glob, levels)
+    tops = starts.select("repo", "top").distinct()
+    inner = F.substr("path", F.when(F.col("top") == "", 1).otherwise(F.length("top") + 2))
+    below = found.join(tops, "repo").withColumn("inner", inner).where(F.contains("inner", F.lit("/")))
+    return below.withColumn("job_dir", F.substring_index("inner", "/", 1)).select(
+        "repo", "job_dir", "path", "uri", F.substr("inner", F.length("job_dir") + 2).alias("rest"), "length", "modified"
     )
 
 
@@ -86,8 +98,8 @@ def scan_source_files(
 ) -> DataFrame:
     """Every source file below the job folders, with its whole text. A repository's own ``project.jobs_dir`` goes
     before ``jobs_dir``. ``folders`` (of ``job_paths``) limit the scan to some jobs."""
-    found = _locate(_read(spark, roots, name_glob, folders), config, jobs_dir)
-    return found.select(
+    found = list_job_files(spark, roots, name_glob, jobs_dir, config, folders)
+    return listing.with_content(found).select(
         "repo",
         "job_dir",
         "path",
@@ -100,7 +112,7 @@ def scan_source_files(
 def scan_tree(spark: SparkSession, roots: Sequence[str], name_glob: str = "*") -> DataFrame:
     """Every file below the roots as (path, text, n_bytes); files that are no UTF-8 text are left out."""
     return (
-        _read(spark, roots, name_glob)
+        listing.with_content(listing.walk(_repositories(spark, roots), name_glob))
         .where(F.is_valid_utf8(F.col("content").cast("string")))
         .select(F.col("uri").alias("path"), _decoded(F.col("content")).alias("text"), F.col("length").alias("n_bytes"))
     )
@@ -117,10 +129,12 @@ def scan_job_docs(
 ) -> DataFrame:
     """The doc directly inside each job folder whose name carries a job key. A repository's own jobs folder and key
     prefixes go before the given ones. ``folders`` (of ``job_paths``) limit the scan to some jobs."""
-    found = _locate(_read(spark, roots, doc_name, folders), config, jobs_dir)
+    found = list_job_files(spark, roots, doc_name, jobs_dir, config, folders, levels=2)
     given = F.array(*[F.lit(p) for p in key_prefixes]).cast("array<string>")
+    own = _with_config(found.select("repo").distinct(), config, own_prefixes="project.key_prefixes")
     prefixes = F.coalesce(F.col("own_prefixes").cast("array<string>"), given)
-    return found.where(~F.contains("rest", F.lit("/")) & X.job_key(F.col("job_dir"), prefixes).isNotNull()).select(
+    keyed = found.join(own, "repo").where(X.job_key(F.col("job_dir"), prefixes).isNotNull()).drop("own_prefixes")
+    return listing.with_content(keyed).select(
         "repo",
         "job_dir",
         _decoded(F.col("content")).alias("text"),
@@ -137,13 +151,16 @@ def scan_definitions(
 ) -> DataFrame:
     """Definitions directly in the folders that a repository's ``platform.job_def_dirs`` names, with the environment it
     names them for; without such a list, in ``.../<defs_dir>/<env>/``. The key is the file stem before ``_``."""
-    files = _with_config(_read(spark, roots, name_glob), config, own_dirs="platform.job_def_dirs")
+    found = listing.walk(_repositories(spark, roots), name_glob)
+    own = _with_config(found.select("repo").distinct(), config, own_dirs="platform.job_def_dirs")
+    files = found.join(own, "repo")
     folder = F.regexp_replace("path", r"/?[^/]*\z", "")
     own = F.filter(F.map_entries(F.col("own_dirs").cast("map<string,string>")), lambda e: F.rtrim(e["value"], F.lit("/")) == folder)
     named = F.regexp_extract(folder, r"(?:^|/)\Q" + defs_dir + r"\E/([^/]+)\z", 1)
     env = F.when(F.col("own_dirs").isNull(), F.nullif(named, F.lit(""))).otherwise(F.get(own, F.lit(0))["key"])
     path = F.col("path")
-    return files.withColumn("env", env).where("env is not null").select(
+    wanted = files.withColumn("env", env).where("env is not null").drop("own_dirs")
+    return listing.with_content(wanted).select(
         "repo",
         F.lower(F.substring_index(X.file_stem(path), "_", 1)).alias("job_key"),
         F.lit("repo").alias("side"),
@@ -174,7 +191,7 @@ def load_enrichment(
     spark: SparkSession, roots: Sequence[str], name: str = "index_data.json", jobs_dir: str = "jobs", config: DataFrame | None = None
 ) -> DataFrame:
     """Curated summaries of ``<repo>/<jobs dir>/index_data.json``."""
-    files = _with_config(_read(spark, roots, name), config, own_dir="project.jobs_dir")
-    folder = F.rtrim(F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)), F.lit("/"))
-    docs = files.where(F.col("path") == F.concat(folder, F.lit("/" + name))).select("repo", _decoded(F.col("content")).alias("raw"))
-    return parse_enrichment(docs)
+    tops = _with_config(_repositories(spark, roots), config, own_dir="project.jobs_dir")
+    starts = _below(tops, F.coalesce(F.col("own_dir").cast("string"), F.lit(jobs_dir)))
+    found = listing.with_content(listing.walk(starts, name, levels=1))
+    return parse_enrichment(found.select("repo", _decoded(F.col("content")).alias("raw")))

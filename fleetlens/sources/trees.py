@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .listing import file_system
+
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Write every (path, text) row to ``root/path``. Each task writes its own rows to the shared folder;
     a repeated task writes the same files again."""
 
     def write_rows(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        target, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        target, base = file_system(root)
         for row in rows:
             full = f"{base}/{row.path}"
             target.create_dir(full.rsplit("/", 1)[0], recursive=True)

@@ -10,6 +10,7 @@ from conftest import tuples
 
 from fleetlens.operators import catalog, graph
 from fleetlens.plans import catalog_build
+from fleetlens.session import settle
 from fleetlens.sources import files, schemas, sinks
 from fleetlens.sources.published import Published
 from fleetlens.streaming.catalog_refresh import catalog_refresh_stream, touched_jobs
@@ -31,14 +32,16 @@ def tree(spark, config, tmp_path):
         src = files.scan_source_files(spark, [str(root)], config=conf, folders=folders)
         docs = files.scan_job_docs(spark, [str(root)], config=conf, folders=folders)
         if folders is not None:
-            seen.append({f.split("/repos/")[1].rsplit("/", 1)[0] for df in (src, docs) for f in df.inputFiles()})
+            listed = files.list_job_files(spark, [str(root)], config=conf, folders=folders)
+            seen.append({f.split("/repos/")[1].rsplit("/", 1)[0] for f, in listed.select("uri").collect()})
         dirs = src.select("repo", "job_dir").unionByName(docs.select("repo", "job_dir"))
         return catalog.job_folders(dirs, conf), src, docs
 
     def rows(folders=None):
         job_folders, src, docs = scan(folders)
         none = lambda schema: spark.createDataFrame([], schema)
-        return catalog_build.build_catalog(job_folders, src, docs, none(schemas.JOB_DEF), none(schemas.ENRICHMENT), conf)
+        built = catalog_build.build_catalog(job_folders, src, docs, none(schemas.JOB_DEF), none(schemas.ENRICHMENT), conf)
+        return settle(built, "rows")
 
     put("a/jobs/JOB-1_A/q.sql", "select 1 from Raw.One join raw.two")
     put("a/jobs/JOB-1_B/q.sql", "select 1 from raw.one")

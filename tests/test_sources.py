@@ -6,7 +6,8 @@ import json
 from conftest import tuples
 
 from fleetlens.operators import definitions
-from fleetlens.sources import files, policy, snapshots
+from fleetlens.session import drop_path
+from fleetlens.sources import files, listing, policy, snapshots
 
 
 def put(root, path, data):
@@ -27,6 +28,48 @@ def test_scan_source_files(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p, in tuples(files.scan_tree(spark, [str(tmp_path)], "*.{py,sql}"), "path")] == ["a.py", "a.py"]
 
 
+def test_names_that_begin_with_a_mark_are_files_too(spark, tmp_path):
+    for name in ("__init__.py", ".hidden.py", "_lib/a.py", ".cache/b.py", ".git/c.py", "x.PY", "empty.py"):
+        put(tmp_path, f"r/jobs/JOB-1_A/{name}", "" if name == "empty.py" else "x")
+    found = tuples(files.scan_source_files(spark, [str(tmp_path)]), "path", "n_bytes")
+    assert [(p.removeprefix("jobs/JOB-1_A/"), n) for p, n in found] == [(".cache/b.py", 1), (".hidden.py", 1), ("__init__.py", 1), ("_lib/a.py", 1), ("empty.py", 0)]
+
+
+def test_listing_of_job_folders_only(spark, tmp_path, config):
+    for path in ("a/jobs/JOB-1_A/a.py", "a/lib/x/y.py", "b/jobs/JOB-2_A/a.py", "b/etl/JOB-3_A/sub/deep/a.py", "b/etl/loose.py", "c/readme"):
+        put(tmp_path, path, "x")
+    conf = config({"repo": "b", "project": {"jobs_dir": "./etl/"}})
+    assert tuples(files.list_job_files(spark, [str(tmp_path)], config=conf), "repo", "job_dir", "path", "rest", "length") == [
+        ("a", "JOB-1_A", "jobs/JOB-1_A/a.py", "a.py", 1), ("b", "JOB-3_A", "etl/JOB-3_A/sub/deep/a.py", "sub/deep/a.py", 1),
+    ]
+    only = files.list_job_files(spark, [str(tmp_path)], config=conf, folders=[f"{tmp_path}/b/etl/JOB-3_A", f"{tmp_path}/b/jobs/JOB-2_A"])
+    assert tuples(only, "path") == [("etl/JOB-3_A/sub/deep/a.py",)]
+    whole = config({"repo": "a", "project": {"jobs_dir": "."}})
+    assert ("a", "lib", "lib/x/y.py") in tuples(files.list_job_files(spark, [str(tmp_path)], config=whole), "repo", "job_dir", "path")
+    assert files.list_job_files(spark, [str(tmp_path / "nowhere")]).count() == 0
+
+
+def test_changes_between_listings(spark, tmp_path):
+    for i in range(4):
+        put(tmp_path, f"r{i % 2}/jobs/JOB-{i}_A/a.py", "x")
+    take = lambda: files.list_job_files(spark, [str(tmp_path)])
+    before = take()
+    gone = take().where("job_dir = 'JOB-3_A'")
+    put(tmp_path, "r0/jobs/JOB-0_A/a.py", "longer")
+    put(tmp_path, "r0/jobs/JOB-9_A/b.py", "x")
+    drop_path(spark, f"{tmp_path}/r1/jobs/JOB-3_A")
+    assert tuples(listing.file_changes(before, take())) == [
+        ("r0", "jobs/JOB-0_A/a.py", "changed"), ("r0", "jobs/JOB-9_A/b.py", "added"), ("r1", "jobs/JOB-3_A/a.py", "removed"),
+    ]
+    assert gone.count() == 1 and listing.with_content(gone).count() == 0  # vanished after it was listed
+
+
+def test_names_of_file_systems():
+    name = lambda uri: listing.file_system(uri)[1]
+    assert [name(u) for u in ("/a b/c", "file:/a b/c%20", "file:///a", "file:/")] == ["/a b/c", "/a b/c%20", "/a", "/"]
+    assert listing._patterns("*.{py,sql}") == ["*.py", "*.sql"] and listing._patterns("a") == ["a"]
+
+
 def test_scan_docs_one_level_deep(spark, tmp_path):
     put(tmp_path, "r/jobs/JOB-1_A/claude.md", "# x\r\n")
     put(tmp_path, "r/jobs/JOB-1_A/sub/claude.md", "no")
