@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .components import connected_components
 
 #: Copies of a document that the mix may hold, and the cost of a word in its first, second, third copy.
 COPY_COSTS = (0, 1, 3)
@@ -209,8 +211,7 @@ def draw_plan(docs: DataFrame, source: str | Column = "source", weights: Sequenc
     patterns = settle(sized.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("names", F.from_json("pattern", "array<string>")), "mix-patterns")
     sources = _targets(patterns, weights)
     facts = settle(
-        patterns.withColumn("own", _key(F.col("names")[0])).join(sources.select("own", "source_size", "target"), "own").join(_flows(patterns, sources), "pattern", "left")
-        .withColumn("flow", F.coalesce("flow", _alone())), "mix-flows",
+        patterns.withColumn("own", _key(F.col("names")[0])).join(sources.select("own", "source_size", "target"), "own").join(_flows(patterns, sources), "pattern"), "mix-flows",
     )
     wanted = facts.select("pattern", "size", F.posexplode("flow").alias("copy", "need")).where("0 < need and need < size").drop("size")
     whole = F.when(F.col("size") > 0, F.size(F.filter("flow", lambda f: f == F.col("size")))).otherwise(0)
@@ -224,12 +225,6 @@ def _key(name: Column) -> Column:
     return F.to_json(F.array(name))
 
 
-def _alone() -> Column:
-    """The flow of a pattern whose one source has no other pattern: copies one after the other until the target is reached."""
-    left = F.rint("target").cast("long")
-    return F.array(*[F.least(F.greatest(left - k * F.col("size"), F.lit(0)), F.col("size")) for k in range(len(COPY_COSTS))])
-
-
 def _targets(patterns: DataFrame, weights: Sequence[float]) -> DataFrame:
     """(own, name, source_size, target) for each source, as ``share_targets`` gives it, by one aggregate for each time that shares are shared again."""
     spark = patterns.sparkSession
@@ -261,18 +256,33 @@ def _targets(patterns: DataFrame, weights: Sequence[float]) -> DataFrame:
 
 
 def _flows(patterns: DataFrame, sources: DataFrame) -> DataFrame:
-    """(pattern, flow) of the patterns that share a source with another one. Only those are routed on the driver."""
-    spark = patterns.sparkSession
-    touched = patterns.where(F.size("names") > 1).select(F.explode("names").alias("name")).select(_key(F.col("name")).alias("own")).distinct()
-    quotas = {r["own"]: round(r["target"]) for r in sources.join(touched, "own", "left_semi").select("own", "target").orderBy(F.col("name").asc_nulls_last()).collect()}
-    if not quotas:
-        return spark.createDataFrame([], "pattern string, flow array<bigint>")
-    number = {own: i for i, own in enumerate(quotas)}
-    linked = patterns.withColumn("own", _key(F.col("names")[0])).join(touched, "own", "left_semi")
-    rows = linked.select("pattern", "size", F.transform("names", _key).alias("owns")).collect()
-    rows.sort(key=lambda r: [number[own] for own in r["owns"]])
-    flows = route([r["size"] for r in rows], [[number[own] for own in r["owns"]] for r in rows], list(quotas.values()))
-    return spark.createDataFrame([(r["pattern"], flow) for r, flow in zip(rows, flows)], "pattern string, flow array<bigint>")
+    """(pattern, flow) of every pattern. Words never flow between sources that no chain of patterns links, so each group of linked
+    sources is a problem of its own; the groups are routed in tasks, and nothing of them reaches the driver. A group's row holds its patterns and
+    sources, never documents."""
+    given = patterns.select("pattern", "size", F.transform("names", _key).alias("owns")).withColumn("own", F.col("owns")[0])
+    asked = sources.select("own", "name", F.rint("target").cast("long").alias("quota"))
+    links = given.where(F.size("owns") > 1).select(F.col("own").alias("u"), F.explode("owns").alias("v")).where("u <> v")
+    group = F.col("own")
+    if not links.isEmpty():
+        linked = settle(connected_components(links, "mix-groups").select(F.col("node").alias("own"), "component"), "mix-linked")
+        given, asked = (rows.join(linked, "own", "left") for rows in (given, asked))
+        group = F.coalesce("component", "own")
+    given = given.groupBy(group.alias("group")).agg(F.collect_list(F.struct("pattern", "size", "owns")).alias("given"))
+    asked = asked.groupBy(group.alias("group")).agg(F.collect_list(F.struct("own", "name", "quota")).alias("asked"))
+    return given.join(asked, "group").select("given", "asked").mapInArrow(_routed, "pattern string, flow array<bigint>")
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flows of groups of linked sources. Sources go by name, null last, patterns by their sources, so reruns agree."""
+    for batch in batches:
+        names, flows = [], []
+        for row in batch.to_pylist():
+            asked = sorted(row["asked"], key=lambda s: (s["name"] is None, s["name"] or ""))
+            number = {s["own"]: i for i, s in enumerate(asked)}
+            given = sorted(([number[own] for own in p["owns"]], p["size"], p["pattern"]) for p in row["given"])
+            flows += route([size for _, size, _ in given], [members for members, _, _ in given], [s["quota"] for s in asked])
+            names += [pattern for _, _, pattern in given]
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array(flows, pa.list_(pa.int64()))], names=["pattern", "flow"])
 
 
 def _copies() -> Column:
@@ -286,9 +296,9 @@ def mix_sources(docs: DataFrame, source: str | Column = "source", weights: Seque
     """Rows (doc_id, size, source_size, target, taken, copies) for all rows of ``docs`` (doc_id, text, source).
 
     ``source`` is a name, or with ``many`` an array of names for documents that belong to several sources; documents
-    with the same sources form a pattern. Sources in order of code points, null last, have the weights in turn. What reaches the driver
-    are patterns of several sources and those that share a source with them; without such patterns nothing per source. Each document is taken 0 to 3 times; which ones make up a
-    part of a copy depends on a hash of seed, doc_id and text alone, so reruns agree.
+    with the same sources form a pattern. Sources in order of code points, null last, have the weights in turn. The flow is solved in tasks, one
+    problem for each group of sources that patterns link; nothing per source reaches the driver. Each document is taken 0 to 3 times; which
+    ones make up a part of a copy depends on a hash of seed, doc_id and text alone, so reruns agree. A very long text is counted whole.
 
     ``source_size`` and ``target`` are those of the document's first source. Null and empty texts have size 0 and are never
     taken; rows with one doc_id, text and source go together; an empty table gives no rows; other columns are not read.

@@ -77,6 +77,40 @@ def test_overlapping_sources(documents):
     assert sum(r["taken"] for r in rows) == pytest.approx(sum(r["size"] for r in rows), rel=0.05)
 
 
+def test_flows_of_single_sources_fill_copies_one_after_the_other():
+    draw = random.Random(2)
+    capacity = [draw.randint(0, 50) for _ in range(60)]
+    quotas = [draw.randint(0, 3 * c) for c in capacity]
+    flow = mixing.route(capacity, [[i] for i in range(60)], quotas)
+    assert flow == [[min(max(q - k * c, 0), c) for k in range(3)] for c, q in zip(capacity, quotas)]
+
+
+def test_groups_of_linked_sources_are_routed_as_well_as_all_at_once(spark):
+    """Two chains of overlapping sources, a pair with a null name, and single sources beside them."""
+    draw = random.Random(4)
+    chains = [["a"], ["a", "b"], ["b", "c"], ["c"], ["x", "y"], ["y"], ["z", None], ["single"], ["other"], ["empty"]]
+    sizes = [0 if c == ["empty"] else draw.randint(50, 400) for c in chains]
+    names = sorted({n for c in chains for n in c if n}) + [None]
+    quotas = [draw.randint(0, 500) for _ in names]
+    key = {n: spark.createDataFrame([(n,)], "n string").select(F.to_json(F.array("n"))).first()[0] for n in names}
+    patterns = spark.createDataFrame([(str(i), c, z) for i, (c, z) in enumerate(zip(chains, sizes))], "pattern string, names array<string>, size long")
+    sources = spark.createDataFrame([(key[n], n, float(q)) for n, q in zip(names, quotas)], "own string, name string, target double")
+    got = {int(r["pattern"]): r["flow"] for r in mixing._flows(patterns, sources).collect()}
+    flow = [got[i] for i in range(len(chains))]
+    whole = mixing.route(sizes, [[names.index(n) for n in c] for c in chains], quotas)
+    assert all(0 <= x <= c for f, c in zip(flow, sizes) for x in f)
+    assert sum(map(sum, flow)) == sum(map(sum, whole)) and cost(flow, sizes) == cost(whole, sizes)
+
+
+def test_every_row_goes_through_the_flow(documents, monkeypatch):
+    """The mix of single sources is the flow's: with flows of nothing, nothing is taken."""
+    df = documents(invented(30, words=20))
+    assert sum(r["copies"] for r in mixing.mix_sources(df).collect()) > 0
+    real = mixing._flows
+    monkeypatch.setattr(mixing, "_flows", lambda *given: real(*given).withColumn("flow", F.transform("flow", lambda _: F.lit(0).cast("long"))))
+    assert sum(r["copies"] for r in mixing.mix_sources(df).collect()) == 0
+
+
 def test_odd_rows(odd_documents):
     rows = mixing.mix_sources(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(r["taken"] == 0 for r in rows if not r["size"])
