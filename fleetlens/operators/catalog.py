@@ -72,7 +72,7 @@ def job_catalog(
         X.either(c("def_cron"), c("doc_schedule"), dash).alias("schedule"),
         X.either(c("cur_owner"), c("doc_owner"), dash).alias("owner"),
         F.coalesce("flags", no_text).alias("flags"),
-        X.strip(X.either(c("hdr_status"), c("doc_status"), c("cur_status"), F.lit("Unknown"))).alias("status"),
+        _status().alias("status"),
         X.either(c("hdr_updated"), c("cur_date"), dash).alias("last_updated"),
         _link().alias("link"),
         F.coalesce("has_doc", F.lit(False)).alias("has_claude_md"),
@@ -84,6 +84,10 @@ def job_catalog(
     )
 
 
+def _status() -> Column:
+    return X.strip(X.either(F.col("hdr_status"), F.col("doc_status"), F.col("cur_status"), F.lit("Unknown")))
+
+
 def _link() -> Column:
     return F.concat(X.url_path(F.concat_ws("/", F.coalesce("jobs_dir", F.lit("jobs")), "job_dir")), F.lit("/"))
 
@@ -105,6 +109,18 @@ def object_rows(folders: DataFrame, objects: DataFrame, enrichment: DataFrame, c
     return rows.select("repo", "ticket", F.col("job_dir").alias("dir"), _link().alias("link"), _objects().alias("objects"))
 
 
+def status_rows(folders: DataFrame, doc_fields: DataFrame, facts: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """Of the catalog only what its summary counts: (repo, ticket, dir, status, flags, has_claude_md). No object or definition is read."""
+    doc = doc_fields.select("repo", "job_dir", F.col("status").alias("doc_status"), F.lit(True).alias("has_doc"))
+    found = facts.withColumnRenamed("status", "hdr_status")
+    curated = enrichment.select("repo", "ticket", F.col("status").alias("cur_status"))
+    rows = folders.join(doc, ["repo", "job_dir"], "left").join(found, ["repo", "job_dir"], "left")
+    return lookup_join(rows, curated, ["repo", "ticket"]).select(
+        "repo", "ticket", F.col("job_dir").alias("dir"), _status().alias("status"),
+        F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), F.coalesce("has_doc", F.lit(False)).alias("has_claude_md"),
+    )
+
+
 def flag_rows(folders: DataFrame, mentions: DataFrame) -> DataFrame:
     """Of the catalog only (repo, ticket, dir, flags), for jobs that have any."""
     return folders.join(mentions, ["repo", "job_dir"]).select("repo", "ticket", F.col("job_dir").alias("dir"), "flags")

@@ -158,6 +158,19 @@ def job_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
     )
 
 
+def status_facts(files: DataFrame, deny: DataFrame) -> DataFrame:
+    """(repo, job_dir, status, flags) as ``job_facts`` gives them, from one scan that looks for no objects."""
+    text = F.col("text")
+    parsed = _place(files, words=_all_words(text), dollars=_dollar_names(text), fields=_header_fields())
+    mentions = F.transform("terms", lambda t: _fact("mention", t, _null(), _null(), _null(), F.lit(0)))
+    kept = _first_of_each(_facts(_with_mentions(parsed, deny), _header_facts(F.col("fields")), mentions))
+    is_kind = lambda k: F.col("kind") == k
+    return kept.groupBy("repo", "job_dir").agg(
+        F.max(F.when(is_kind("header"), F.col("v1"))).alias("status"),
+        F.array_sort(F.collect_list(F.when(is_kind("mention"), F.col("key")))).alias("flags"),
+    )
+
+
 def object_lists(files: DataFrame) -> DataFrame:
     """(repo, job_dir, objects): the objects of every job as ``job_facts`` lists them, where nothing else is needed."""
     listed = F.array_sort(F.collect_list(F.struct("object_key", "object"))).getField("object")

@@ -29,6 +29,11 @@ def build_object_rows(folders: DataFrame, files: DataFrame, enrichment: DataFram
     return catalog.object_rows(folders, extract.object_lists(files), enrichment, config)
 
 
+def build_status_rows(folders: DataFrame, files: DataFrame, docs: DataFrame, enrichment: DataFrame, config: DataFrame, **_: DataFrame) -> DataFrame:
+    """The catalog's (repo, ticket, dir, status, flags, has_claude_md) without the rest of it."""
+    return catalog.status_rows(folders, extract.job_doc_fields(docs), extract.status_facts(files, load_policy(config)["deny"]), enrichment)
+
+
 def build_flag_rows(folders: DataFrame, files: DataFrame, config: DataFrame, **_: DataFrame) -> DataFrame:
     """The catalog's (repo, ticket, dir, flags), for jobs that have any."""
     return catalog.flag_rows(folders, extract.mention_lists(files, load_policy(config)["deny"]))

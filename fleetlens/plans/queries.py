@@ -341,7 +341,7 @@ def job_catalog(e: Estate) -> DataFrame:
 
 @query
 def catalog_summary(e: Estate) -> DataFrame:
-    return catalog.catalog_summary(_settled_catalog(e))
+    return catalog.catalog_summary(settle(catalog_build.build_status_rows(**_sources(e)), "status-rows"))
 
 
 @query
