@@ -8,6 +8,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from fleetlens.functions.skew import row_join, settled_lookup
+from fleetlens.operators import extract
 from fleetlens.plans import drift_run
 from fleetlens.sources import policy
 
@@ -50,3 +51,13 @@ def test_drift_sends_no_rows_of_definitions_to_the_driver(spark, config):
     assert tuples(found, "job_key", "path", "kind", "repo_val", "live_val") == [("j-1", "name", "changed", '"x"', '"y"')]
     summary = drift_run.drift_summary(_definitions(spark), conf, policy.platform_dim(spark))
     assert [(r["job_key"], r["drift"], r["changed"]) for r in summary.orderBy("job_key").collect()] == [("j-1", True, ["name"]), ("j-2", False, [])]
+
+
+def test_files_of_a_folder_meet_once_and_unsorted(spark, files, config):
+    src = files({"b.py": "q = 'select * from Raw.Xy'\n# STATUS: LATE", "a.py": "# STATUS: EARLY\nq = 'from RAW.xy join OLD.yz'", "z.sql": "insert into raw.XY select 1", "c.py": "x"})
+    plan = _plan(extract.object_lists(src))
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1
+    deny = policy.load_policy(config({"architecture": {"deprecated_schema_deny": ["OLD"]}}))["deny"]
+    facts = extract.job_facts(src, deny).collect()
+    assert [(r["status"], r["last_updated"] or None, r["objects"], r["flags"]) for r in facts] == [("EARLY", None, ["OLD.yz", "raw.XY"], ["OLD"])]
+    assert extract.job_facts(files({"c.py": "x"}), deny).count() == 0
