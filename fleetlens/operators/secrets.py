@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.skew import settled_lookup
 from .extract import source_lines
 
 #: Terms tested in one generated expression; a longer list is tested in several.
@@ -97,10 +98,10 @@ def denylist_pieces(terms: DataFrame) -> DataFrame:
 def denylist_table_scan(files: DataFrame, terms: DataFrame) -> DataFrame:
     """As ``denylist_scan`` with a table of terms (repo, term), of any length and with lists of their own for repositories.
 
-    A term is tested on the lines that hold a piece of its literal text, found by a join on pieces; Spark sends the pieces
-    of terms to all tasks while they are few and shuffles beyond that. A term without such a text is tested on every line.
+    A term is tested on the lines that hold a piece of its literal text, found by a join on pieces. The pieces
+    of terms are written and counted first: few are sent to all tasks, so that the pieces of lines stay where they are, more are merged. A term without such a text is tested on every line.
     """
-    pieces = denylist_pieces(terms)
+    pieces = settled_lookup(denylist_pieces(terms), "denied-pieces")
     lines = source_lines(files.select("repo", "path", "text"))
     text = F.col("folded")
     cut = F.when(

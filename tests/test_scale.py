@@ -8,7 +8,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from fleetlens.functions.skew import row_join, settled_lookup
-from fleetlens.operators import extract
+from fleetlens.operators import extract, secrets
 from fleetlens.plans import drift_run
 from fleetlens.sources import policy
 
@@ -61,3 +61,12 @@ def test_files_of_a_folder_meet_once_and_unsorted(spark, files, config):
     facts = extract.job_facts(src, deny).collect()
     assert [(r["status"], r["last_updated"] or None, r["objects"], r["flags"]) for r in facts] == [("EARLY", None, ["OLD.yz", "raw.XY"], ["OLD"])]
     assert extract.job_facts(files({"c.py": "x"}), deny).count() == 0
+
+
+def test_pieces_of_lines_are_not_dealt_out_for_few_terms(spark):
+    texts = spark.createDataFrame([("r", "a.py", "one denied word\nnone"), ("q", "b.py", "denied too")], "repo string, path string, text string")
+    # The terms come from a table that looks large: only their counted number says that they are few.
+    terms = spark.createDataFrame([("r", "denied"), (None, "none")] * 3, "repo string, term string").hint("merge").join(texts.select("repo").distinct(), "repo", "left").distinct()
+    found = secrets.denylist_table_scan(texts, terms)
+    assert "SortMergeJoin" not in _plan(found)
+    assert tuples(found) == [("r", "a.py", 1, 1), ("r", "a.py", 2, 1)]
