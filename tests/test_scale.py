@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.skew import row_join, settled_lookup
 from fleetlens.operators import extract, secrets
-from fleetlens.plans import drift_run
+from fleetlens.plans import drift_run, estate
 from fleetlens.sources import policy
 
 
@@ -70,3 +70,14 @@ def test_pieces_of_lines_are_not_dealt_out_for_few_terms(spark):
     found = secrets.denylist_table_scan(texts, terms)
     assert "SortMergeJoin" not in _plan(found)
     assert tuples(found) == [("r", "a.py", 1, 1), ("r", "a.py", 2, 1)]
+
+
+def test_large_given_tables_are_not_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id as l_orderkey", "id % 7 as l_partkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for most, dealt in ((10**6, True), (1, False)):
+        monkeypatch.setattr(estate, "SPREAD_BYTES", most)
+        rows = estate.Estate(spark, str(tmp_path)).given("lineitem")
+        assert ("Exchange" in _plan(rows)) is dealt
+        assert rows.count() == 100
+    # Splits are bounded, so that what a task deals out fits its memory.
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
