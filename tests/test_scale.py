@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from conftest import tuples
 from pyspark.sql import functions as F
 
 from fleetlens.functions.skew import row_join, settled_lookup
-from fleetlens.operators import extract, secrets
+from fleetlens.operators import extract, graph, secrets
 from fleetlens.plans import drift_run, estate
 from fleetlens.sources import policy
 
@@ -81,3 +82,13 @@ def test_large_given_tables_are_not_dealt_out(spark, tmp_path, monkeypatch):
         assert rows.count() == 100
     # Splits are bounded, so that what a task deals out fits its memory.
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+
+
+def test_pairs_of_related_jobs_are_not_dealt_out_again(spark):
+    edges = spark.createDataFrame([("r", f"J-{t}", o) for t in range(6) for o in "abc"], "repo string, ticket string, object_key string")
+    found = graph.related_jobs(edges, spark.createDataFrame([("r", "J-1")], "repo string, ticket string"), least=2)
+    plan = _plan(found)
+    assert not re.search(r"Exchange hashpartitioning\(repo#\d+, job#\d+, related#\d+", plan)
+    # Partitions that make many pairs of few rows are not merged.
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert tuples(found) == [("r", "J-1", f"J-{t}", 3, "a") for t in (0, 2, 3, 4, 5)]
