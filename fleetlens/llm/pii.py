@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,19 +238,20 @@ class Selector:
         return out
 
 
-#: Parts that the sample is cut into; each is scored by trees fitted on the others.
+#: Parts that the candidates are cut into; each is scored by trees fitted on the others.
 FOLDS = 3
 #: No candidate is selected that the trees hold to be more likely false than true.
 LEAST = 0.5
 
 
 def fit_selector(docs: DataFrame, sample: int = 20_000, precision: float = 0.98) -> Selector:
-    """Trees and limits from at most ``sample`` candidates, those of the documents with the smallest hashes of doc_id and text.
+    """Trees and limits from all candidates of all documents.
 
-    Labels are weak: see ``weak_label`` and ``masked``. Every candidate of the sample is scored by trees that did not see its
+    Labels are weak: see ``weak_label`` and ``masked``. Every candidate is scored by trees that did not see its
     document, and these scores set the limits: for each kind the lowest score from which ``precision`` of its candidates are true, and
     for a kind without a true candidate that of all kinds together. The rule is the same for any number of candidates. Without both
-    true and false ones nothing is selected.
+    true and false ones nothing is selected. Up to ``sample`` candidates are fitted on the driver, more in
+    tasks, which hand over sums and counts of scores; none is left out.
     """
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,16 +266,10 @@ def fit_selector(docs: DataFrame, sample: int = 20_000, precision: float = 0.98)
 
     proposed = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"), F.col("text").cast("string").alias("text"))
     schema = "place long, kind string, start long, turn long, features array<double>, label boolean"
-    # Documents are chosen by hash before any candidate is looked for; the share grows until it holds the sample. What is
-    # sorted and collected is some times the sample, whatever the table.
-    share = min(1.0, sample / 10 / max(1, proposed.count()))
-    while True:
-        least = F.lit(-(2**63) + min(2**64 - 1, int(share * 2**64)))
-        found = settle(proposed.where(F.col("place") <= least).mapInArrow(propose, schema), "span-candidates")
-        if share >= 1 or found.count() >= sample:
-            break
-        share = min(1.0, share * 4)
-    rows = found.orderBy("place", "start", "kind", "turn").limit(sample).collect()
+    found = settle(proposed.mapInArrow(propose, schema), "span-candidates")
+    if found.limit(sample + 1).count() > sample:
+        return _fit_in_tasks(found, precision)
+    rows = found.orderBy("place", "start", "kind", "turn").collect()
     y = np.array([r["label"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return Selector(None, {})
@@ -294,6 +289,33 @@ def fit_selector(docs: DataFrame, sample: int = 20_000, precision: float = 0.98)
     return Selector(boosting.fit(x, y), limits)
 
 
+#: Steps between 0 and 1 in which scores are counted.
+STEPS = 10_000
+
+
+def _fit_in_tasks(found: DataFrame, precision: float) -> Selector:
+    """The same for candidates of any number. Limits are rounded down to steps of the score, so that counts by step are all that the
+    driver gets."""
+    scores, models = boosting.fit_rows(found.select(F.pmod("place", F.lit(FOLDS)).cast("int").alias("fold"), "kind", "label", "features"), FOLDS)
+    if FOLDS not in models:
+        return Selector(None, {})
+    step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
+    counted = scores.groupBy("kind", step).agg(F.count("*").alias("n"), F.count_if("label").alias("true")).collect()
+    limit = lambda kinds: boosting.threshold_of(_by_step(r for r in counted if r["kind"] in kinds), precision)
+    together = limit(ALL)
+    own = {k: limit((k,)) for k in ALL}
+    return Selector(models[FOLDS], {k: max(LEAST, v if v < math.inf else together) for k, v in own.items()})
+
+
+def _by_step(counted: Iterable) -> list[tuple[float, int, int]]:
+    """(score, rows, true rows) by step over all kinds."""
+    rows, true = Counter(), Counter()
+    for r in counted:
+        rows[r["step"]] += r["n"]
+        true[r["step"]] += r["true"]
+    return [(k / STEPS, rows[k], true[k]) for k in rows]
+
+
 # Scans ----------------------------------------------------------------------------------------------
 def _join(spans: list[tuple]) -> str:
     return ",".join(f"{k}:{b}:{e}" for k, b, e, *_ in sorted(spans, key=lambda s: (ALL.index(s[0]), s[1], s[2])))
@@ -324,8 +346,7 @@ _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def find_personal_data(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, all spans as text and as structs.
 
-    Base spans have score 1. The selector is fitted on ``docs`` unless given. Two narrow passes, no shuffle but of the bounded
-    sample; offsets are code points of whole texts. A null text counts as empty and has no spans; a null doc_id stays null; repeated rows give
+    Base spans have score 1. The selector is fitted on ``docs`` unless given. Narrow passes, no shuffle but of candidates; offsets are code points of whole texts. A null text counts as empty and has no spans; a null doc_id stays null; repeated rows give
     repeated rows; an empty table gives no rows; other columns are not read.
     """
     chosen = docs.sparkSession.sparkContext.broadcast(selector or fit_selector(docs))

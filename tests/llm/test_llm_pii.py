@@ -162,3 +162,16 @@ def test_trees_add_what_the_base_patterns_miss(documents):
     found = [[(k, t[b:e]) for k, b, e, _ in model.select(t, pii.base_spans(t))] for t in fresh]
     assert found[:3] == [[("phone", "(212) 555-0142")], [("email", "jo (at) example.org")], [("phone", "030 5550142")]]
     assert found[3:] == [[], []]
+
+
+def test_no_candidate_is_left_out_of_the_fit(documents):
+    """Fits on the driver and in tasks see the same candidates, and select the same."""
+    texts = secrets_corpus()
+    here, tasks = pii.fit_selector(documents(texts)), pii.fit_selector(documents(texts), sample=60)
+    assert abs(here.trees.start - tasks.trees.start) < 1e-12
+    fresh = ['the api key: "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432" was leaked', *invented(40, seed=77), "room 101, page 20, 1999 and 2004, 3.14"]
+    spans = lambda model: [[s[:3] for s in model.select(t, [])] for t in fresh]
+    assert spans(here) == spans(tasks) and len(spans(tasks)[0]) == 1
+    assert set(tasks.limits) == set(pii.ALL) and min(tasks.limits.values()) >= pii.LEAST
+    assert boosting.threshold_of([(0.9, 2, 2), (0.7, 2, 1), (0.2, 1, 0)], 0.75) == 0.7
+    assert boosting.threshold_of([(0.9, 2, 0)], 0.75) == float("inf")
