@@ -27,6 +27,8 @@ _ENTRY = f"{LISTED}, is_dir boolean"
 SKIPPED = (".git",)
 #: Rows of files are handed over once they hold so many bytes.
 BATCH_BYTES = 32_000_000
+#: Rows of listings are handed over so many at once, of several small folders together or of a part of a large one.
+LISTED_ROWS = 10_000
 #: Spark's own names of schemes that pyarrow calls otherwise.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -47,22 +49,26 @@ def _patterns(glob: str) -> list[str]:
     return ["".join(p) for p in itertools.product(*[x.split(",") if i % 2 else [x] for i, x in enumerate(parts)])]
 
 
-def _list_level(globs: list[str]):
-    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_level(globs: list[str], rows_at_once: int = LISTED_ROWS):
+    names = ["repo", "path", "uri", "length", "modified", "is_dir"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
+    never = dt.datetime.fromtimestamp(0, dt.timezone.utc)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for folder in batch.to_pylist():
                 system, base = file_system(folder["uri"])
-                rows = []
                 for info in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
                     name = info.base_name
                     is_dir = info.type == fs.FileType.Directory
                     if (is_dir and name not in SKIPPED) or (info.type == fs.FileType.File and any(fnmatch.fnmatchcase(name, g) for g in globs)):
                         path = f"{folder['path']}/{name}" if folder["path"] else name
-                        rows.append((folder["repo"], path, f"{folder['uri']}/{name}", info.size, info.mtime or dt.datetime.fromtimestamp(0, dt.timezone.utc), is_dir))
-                if rows:
-                    columns = list(zip(*rows))
-                    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["repo", "path", "uri", "length", "modified", "is_dir"])
+                        yield folder["repo"], path, f"{folder['uri']}/{name}", info.size, info.mtime or never, is_dir
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = entries(batches)
+        while rows := list(itertools.islice(found, rows_at_once)):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return children
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from conftest import tuples
 
 from fleetlens.operators import definitions
@@ -64,6 +65,15 @@ def test_changes_between_listings(spark, tmp_path):
     assert gone.count() == 1 and listing.with_content(gone).count() == 0  # vanished after it was listed
 
 
+def test_listings_are_handed_over_by_rows_not_by_folder(tmp_path):
+    for i in range(6):
+        put(tmp_path, f"f{i // 2}/{i}.py", "x")
+    folders = pa.record_batch({"repo": ["r"] * 3, "path": [""] * 3, "uri": [f"{tmp_path}/f{i}" for i in range(3)]})
+    listed = lambda *more: list(listing._list_level(["*"], *more)(iter([folders])))
+    assert [b.num_rows for b in listed()] == [6] and [b.num_rows for b in listed(4)] == [4, 2] and listed()[0].schema == listed(4)[1].schema
+    assert sorted(listed()[0].column("path").to_pylist()) == [f"{i}.py" for i in range(6)]
+
+
 def test_names_of_file_systems():
     name = lambda uri: listing.file_system(uri)[1]
     assert [name(u) for u in ("/a b/c", "file:/a b/c%20", "file:///a", "file:/")] == ["/a b/c", "/a b/c%20", "/a", "/"]
