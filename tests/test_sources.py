@@ -7,6 +7,7 @@ import pyarrow as pa
 from conftest import tuples
 
 from fleetlens.operators import definitions
+from fleetlens.plans import queries
 from fleetlens.session import drop_path
 from fleetlens.sources import files, listing, policy, snapshots
 
@@ -158,3 +159,13 @@ def test_policy_tables_and_rows(config):
     tables = policy.load_policy(conf)
     assert tuples(tables["deny"], "term", "schema") == [("q", "Q")]
     assert tuples(tables["doc_rule"].where("kind = 'doc'"), "ord", "field") == [(0, "Purpose"), (1, "Schedule"), (2, "Business Owner")]
+
+
+def test_repositories_of_a_large_tree_lie_below_several_roots(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id as c_custkey", "concat('C', id) as c_name", "id % 3 as c_nationkey", "'M' as c_mktsegment").write.parquet(
+        str(tmp_path / "customer.parquet"))
+    written, write = [], queries.write_tree
+    monkeypatch.setattr(queries, "write_tree", lambda rows, root: (written.extend(r["path"] for r in rows.collect()), write(rows, root)))
+    found = queries.QUERIES["load_enrichment"](spark, str(tmp_path))
+    assert {len(p.split("/")) for p in written} == {4} and len({p.split("/")[0] for p in written}) > 10
+    assert found.count() == 70 and tuples(found.where("repo = 'repo1'")) == [("repo1", "JOB-1", "C1", None, "o1")]
