@@ -9,7 +9,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from fleetlens.functions.skew import row_join, settled_lookup
-from fleetlens.operators import extract, graph, secrets
+from fleetlens.operators import extract, graph, runs, secrets
 from fleetlens.plans import drift_run, estate
 from fleetlens.sources import policy
 
@@ -92,3 +92,25 @@ def test_pairs_of_related_jobs_are_not_dealt_out_again(spark):
     # Partitions that make many pairs of few rows are not merged.
     assert plan.count("REPARTITION_BY_NUM") == 2
     assert tuples(found) == [("r", "J-1", f"J-{t}", 3, "a") for t in (0, 2, 3, 4, 5)]
+
+
+def test_objects_on_a_share_of_the_jobs_are_bits(spark):
+    """Objects on 100 of 150 jobs, fewer than the root of the edges: listed object by object, they would be joined for each pair."""
+    edges = spark.range(150 * 100).selectExpr("'r' as repo", "concat('J-', id % 150) as ticket", "concat('o', (id % 150 + id div 150) % 150) as object_key")
+    assert graph._crowded(edges, 64).count() == 150
+
+
+def test_pairs_of_failed_runs_are_not_joined_again(spark):
+    edges = spark.createDataFrame([("r", f"J-{t}", o) for t in range(4) for o in "abc"] + [("r", "J-8", "z"), ("r", "J-9", "z"), ("r", "J-9", "a")], "repo string, ticket string, object_key string")
+    rows = [("r", "J-1", "R-1", "FAILED"), ("r", "J-1", "R-2", "FAILED"), ("r", "J-1", "R-2", "FAILED"), ("r", "J-8", "R-3", "FAILED"), ("r", "J-2", "R-4", "SUCCESS"), ("r", None, "R-5", "FAILED")]
+    run = spark.createDataFrame(rows, "repo string, job_key string, run_id string, result_state string")
+    found = runs.failure_related(run, edges)
+    # Words of bits are columns, and no function over arrays is called for pairs; a run is added to its job before it meets others.
+    plan = _plan(found)
+    assert "zip_with" not in plan and "mine_0" in plan
+    assert not re.search(r"Join \[[^\]]*job_key", plan)
+    near = [("J-0", 3, "a", False), ("J-2", 3, "a", False), ("J-3", 3, "a", False), ("J-9", 1, "a", False)]
+    want = [("r", i, "J-1", *n) for i in ("R-1", "R-2", "R-2") for n in near] + [("r", "R-3", "J-8", "J-9", 1, "z", False)]
+    assert tuples(found) == sorted(want)
+    crowded = graph.related_to(edges, run.where("result_state = 'FAILED'").select("repo", run.job_key.alias("job"), "run_id"), least=2)
+    assert tuples(crowded.select("repo", "run_id", "job", "related", "n_shared", "first_shared")) == sorted(w[:-1] for w in want)
