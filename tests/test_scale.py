@@ -114,3 +114,19 @@ def test_pairs_of_failed_runs_are_not_joined_again(spark):
     assert tuples(found) == sorted(want)
     crowded = graph.related_to(edges, run.where("result_state = 'FAILED'").select("repo", run.job_key.alias("job"), "run_id"), least=2)
     assert tuples(crowded.select("repo", "run_id", "job", "related", "n_shared", "first_shared")) == sorted(w[:-1] for w in want)
+
+
+def test_number_of_a_job_is_read_once_a_job(spark):
+    edges = spark.createDataFrame([("r", f"J-{t}", o) for t in (0, 7, 100) for o in "abc"], "repo string, ticket string, object_key string")
+    found = graph.looked_up_jobs(edges)
+    assert "Exchange" not in _plan(found)
+    assert tuples(found) == [("r", "J-0"), ("r", "J-100")]
+
+
+def test_pairs_on_an_object_are_dealt_into_slices(spark):
+    rows = [("r", f"J-{t}", "hub") for t in range(30)] + [("r", "J-1", "a"), ("r", "J-2", "a"), ("r", "J-2", "a"), ("q", "J-2", "a"), ("r", None, "a"), ("r", "J-1", None), (None, "J-3", "a")]
+    edges = spark.createDataFrame(rows, "repo string, ticket string, object_key string")
+    found = graph.shared_objects(edges, spark.createDataFrame([("r", "J-1"), ("r", "J-1"), ("r", "J-5")], "repo string, ticket string"))
+    assert _plan(found).count("REPARTITION_BY_NUM") == 2
+    want = [("r", j, f"J-{t}", "hub") for j in ("J-1", "J-5") for t in range(30) if j != f"J-{t}"] + [("r", "J-1", "J-2", "a")] * 2
+    assert tuples(found) == sorted(want)
