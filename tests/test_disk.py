@@ -26,3 +26,27 @@ def test_job_nodes_come_from_the_whole_catalog(spark, monkeypatch):
     monkeypatch.setattr(queries, "_sources", lambda e: {})
     monkeypatch.setattr(catalog_build, "build_catalog", lambda **sources: asked.append(1) or rows)
     assert tuples(queries.graph_job_nodes(None)) == [("r", "J-1", "A", "y", "e", "q", 2)] and asked == [1]
+
+
+def test_ranks_are_sorted_by_columns(spark, monkeypatch):
+    rows = spark.createDataFrame([("r", "o", f"J-{t}") for t in (10, 9, "007", 100, "x")], "repo string, object_key string, ticket string")
+    plans, settle = [], ranks.settle
+    monkeypatch.setattr(ranks, "settle", lambda df, label: plans.append(_plan(df)) or settle(df, label))
+    found = ranks.ranked(rows, ["repo", "object_key"], [X.key_number(F.col("ticket")), F.col("ticket")])
+    sort = next(line for line in plans[0].splitlines() if " Sort [" in line)
+    assert "regexp" not in sort and found.columns == [*rows.columns, "rank"]
+    assert [t for t, _ in sorted(tuples(found, "ticket", "rank"), key=lambda r: r[1])] == ["J-x", "J-007", "J-9", "J-10", "J-100"]
+
+
+def test_number_of_a_ticket_is_read_before_its_objects_become_rows(spark):
+    rows = spark.createDataFrame([("r", "J-7", "d", ["B.x", "a.Y"])], "repo string, ticket string, dir string, objects array<string>")
+    plan = _plan(catalog.object_entries(rows)).splitlines()
+    explode, number = (next(i for i, line in enumerate(plan) if word in line) for word in ("Generate", "regexp_extract"))
+    assert number > explode  # below it
+    assert tuples(catalog.object_entries(rows), "object_key", "place.num.digits", "place.pos") == [("a.y", "7", 1), ("b.x", "7", 0)]
+
+
+def test_names_are_told_apart_without_calls_for_each_comparison(spark):
+    rows = spark.createDataFrame([(["b.X", "A.y", "B.x", "b.X", "a.Y", "c"],), ([],)], "names array<string>")
+    found = rows.select(X.distinct_fold_case(F.col("names")).alias("n"))
+    assert "array_sort" not in _plan(found) and [r.n for r in found.collect()] == [["A.y", "b.X", "c"], []]
