@@ -28,6 +28,14 @@ def test_job_nodes_come_from_the_whole_catalog(spark, monkeypatch):
     assert tuples(queries.graph_job_nodes(None)) == [("r", "J-1", "A", "y", "e", "q", 2)] and asked == [1]
 
 
+def test_shuffle_files_of_many_written_rows_are_given_up(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(session, "release_shuffles", lambda s: released.append(s))
+    assert session.settle(spark.range(5), "few").count() == 5 and not released
+    monkeypatch.setattr(session, "RELEASE_BYTES", 1)
+    assert session.settle(spark.range(5), "many").count() == 5 and len(released) == 1
+
+
 def test_ranks_are_sorted_by_columns(spark, monkeypatch):
     rows = spark.createDataFrame([("r", "o", f"J-{t}") for t in (10, 9, "007", 100, "x")], "repo string, object_key string, ticket string")
     plans, settle = [], ranks.settle
