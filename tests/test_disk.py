@@ -28,6 +28,14 @@ def test_job_nodes_come_from_the_whole_catalog(spark, monkeypatch):
     assert tuples(queries.graph_job_nodes(None)) == [("r", "J-1", "A", "y", "e", "q", 2)] and asked == [1]
 
 
+def test_looked_up_jobs_go_to_no_more_blocks_than_tasks_need(spark):
+    edges = spark.createDataFrame([(f"r{i}", f"J-{t}", o) for i in range(200) for t in range(3) for o in "abc"], "repo string, ticket string, object_key string")
+    found = graph.related_jobs(edges, spark.createDataFrame([("r7", "J-1")], "repo string, ticket string"), least=2)
+    blocks = re.findall(r"pmod\(xxhash64\(ticket#\d+, 42\), (\d+)\)", _plan(found))
+    assert blocks and max(map(int, blocks)) <= -(-4 * graph._pair_parts(edges) // 200)
+    assert tuples(found) == [("r7", "J-1", "J-0", 3, "a"), ("r7", "J-1", "J-2", 3, "a")]
+
+
 def test_shuffle_files_of_many_written_rows_are_given_up(spark, monkeypatch):
     released = []
     monkeypatch.setattr(session, "release_shuffles", lambda s: released.append(s))
