@@ -103,17 +103,17 @@ def denylist_table_scan(files: DataFrame, terms: DataFrame) -> DataFrame:
     """
     pieces = settled_lookup(denylist_pieces(terms), "denied-pieces")
     lines = source_lines(files.select("repo", "path", "text"))
-    text = F.col("folded")
-    cut = F.when(
-        F.length(text) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)), lambda i: F.substr(text, i, F.lit(PIECE))))
-    )
-    cells = lines.withColumn("folded", _folded(F.col("line"))).select("repo", "path", "line_no", "line", F.explode(cut).alias("piece"))
+    # One pass over a line: a cut by place would count its characters from the start for every piece.
+    cut = F.array_distinct(F.regexp_extract_all(_folded(F.col("line")), F.lit(rf"(?s)(?=(.{{{PIECE}}}))"), F.lit(1)))
+    cells = lines.select("repo", "path", "line_no", "line", F.explode(cut).alias("piece"))
     own = F.col("only_repo").isNull() | (F.col("only_repo") == F.col("repo"))
     met = cells.join(pieces.where("piece is not null"), "piece").where(own)
     loose = pieces.where("piece is null").select("only_repo", "term")
-    anywhere = lines.join(loose, own, "inner")
     columns = ["repo", "path", "line_no", "line", "term"]
-    found = met.select(*columns).unionByName(anywhere.select(*columns)).where(F.rlike("line", F.concat(F.lit("(?iud:"), "term", F.lit(")"))))
+    candidates = met.select(*columns)
+    if not loose.isEmpty():
+        candidates = candidates.unionByName(lines.join(loose, own, "inner").select(*columns))
+    found = candidates.where(F.rlike("line", F.concat(F.lit("(?iud:"), "term", F.lit(")"))))
     return found.groupBy("repo", "path", "line_no").agg(F.count_distinct("term").cast("int").alias("n_terms"))
 
 

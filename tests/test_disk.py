@@ -66,3 +66,14 @@ def test_names_are_told_apart_without_calls_for_each_comparison(spark):
     rows = spark.createDataFrame([(["b.X", "A.y", "B.x", "b.X", "a.Y", "c"],), ([],)], "names array<string>")
     found = rows.select(X.distinct_fold_case(F.col("names")).alias("n"))
     assert "array_sort" not in _plan(found) and [r.n for r in found.collect()] == [["A.y", "b.X", "c"], []]
+
+
+def test_pieces_of_a_line_are_cut_in_one_pass(spark):
+    texts = spark.createDataFrame([("r", "a", "\U0001f600\U0001f600 so denied\U0001d4b3\nabc\n" + "x" * 3000 + "DEN\u0130ED"), ("r", "b", "\U0001d4b3 \U0001f600ab\U0001d4b3")], "repo string, path string, text string")
+    terms = spark.createDataFrame([(None, "denied"), ("r", "\U0001f600ab\U0001d4b3"), ("q", "denied")], "repo string, term string")
+    found = secrets.denylist_table_scan(texts, terms)
+    plan = _plan(found)
+    assert "sequence(" not in plan and "Join" in plan and "NestedLoop" not in plan
+    assert tuples(found) == [("r", "a", 1, 1), ("r", "b", 1, 1)]
+    loose = secrets.denylist_table_scan(texts, terms.unionByName(spark.createDataFrame([("r", "a.c")], "repo string, term string")))
+    assert tuples(loose) == [("r", "a", 1, 1), ("r", "a", 2, 1), ("r", "b", 1, 1)]
