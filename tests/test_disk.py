@@ -68,6 +68,21 @@ def test_names_are_told_apart_without_calls_for_each_comparison(spark):
     assert "array_sort" not in _plan(found) and [r.n for r in found.collect()] == [["A.y", "b.X", "c"], []]
 
 
+def test_the_gate_keeps_configurations_of_the_repositories_at_hand(spark, files, config, monkeypatch):
+    src = files({"a.py": "x = 1"}).unionByName(files({"a.sql": "select * from OLD.t"}, repo="q"))
+    deny = {"architecture": {"deprecated_schema_deny": ["OLD"], "layer_rules": {}}}
+    conf = config({**deny}, {"repo": "q", **deny}, *({"repo": f"other{i}"} for i in range(9)))
+    kept, required = [], gate_run.required_fields
+    monkeypatch.setattr(gate_run, "required_fields", lambda c: kept.extend(tuples(c, "repo")) or required(c))
+    none = lambda schema: spark.createDataFrame([], schema)
+    folders = catalog.job_folders(src.where("repo = 'r'"))
+    checks = gate_run.run_checks(folders, src, none(schemas.JOB_DOC), none(schemas.JOB_DEF), conf)
+    assert kept == [("q",), ("r",)]
+    # A repository without a folder of its own keeps its findings.
+    assert tuples(checks.findings, "repo", "schema") == [("q", "OLD")]
+    assert gate_run.job_gate(folders, checks).count() == 5
+
+
 def test_pieces_of_a_line_are_cut_in_one_pass(spark):
     texts = spark.createDataFrame([("r", "a", "\U0001f600\U0001f600 so denied\U0001d4b3\nabc\n" + "x" * 3000 + "DEN\u0130ED"), ("r", "b", "\U0001d4b3 \U0001f600ab\U0001d4b3")], "repo string, path string, text string")
     terms = spark.createDataFrame([(None, "denied"), ("r", "\U0001f600ab\U0001d4b3"), ("q", "denied")], "repo string, term string")
