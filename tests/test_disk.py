@@ -83,6 +83,17 @@ def test_the_gate_keeps_configurations_of_the_repositories_at_hand(spark, files,
     assert gate_run.job_gate(folders, checks).count() == 5
 
 
+def test_findings_are_written_compressed_and_in_rounds(spark, tmp_path, monkeypatch):
+    rows = spark.range(90).selectExpr("if(id % 7 = 6, null, concat('r', id % 7)) as repo", "id", "concat('says ', id) as message")
+    path = str(tmp_path / "found")
+    for most, _ in ((10**6, 1), (20, 5)):
+        monkeypatch.setattr(sinks, "ROUND_ROWS", most)
+        sinks.write_findings(rows, path)
+        names = [p.name for p in (tmp_path / "found").rglob("part-*")]
+        assert names and all(n.endswith(".json.gz") for n in names)
+        assert tuples(spark.read.schema(rows.schema).json(path).fillna("-"), *rows.columns) == tuples(rows.fillna("-"))
+
+
 def test_pieces_of_a_line_are_cut_in_one_pass(spark):
     texts = spark.createDataFrame([("r", "a", "\U0001f600\U0001f600 so denied\U0001d4b3\nabc\n" + "x" * 3000 + "DEN\u0130ED"), ("r", "b", "\U0001d4b3 \U0001f600ab\U0001d4b3")], "repo string, path string, text string")
     terms = spark.createDataFrame([(None, "denied"), ("r", "\U0001f600ab\U0001d4b3"), ("q", "denied")], "repo string, term string")
